@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, packing, sharding
-from gridloom.llm.common import read
+from gridloom.llm import bpe, packing, quality, sharding, toxicity
+from gridloom.llm.common import crc_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def scored(scores: DataFrame, divisor: int, remainder: int, threshold: float) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    held_out = crc_remainder(F.col("doc_id"), divisor) == remainder
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    learn = labels.where(crc_remainder(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    return scored(toxicity.score(docs, toxicity.fit(docs, learn)), 3, 1, 0.7)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
@@ -24,8 +37,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    trusted = labels.where((crc_remainder(F.col("doc_id"), 5) != 0) & (F.col("quality") == 1)).select("doc_id")
+    vectors = quality.featurize(docs)
+    return scored(quality.score(vectors, quality.fit(vectors, trusted)), 5, 0, 0.3)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op4_packing, op7_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op4_packing, op7_bpe, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
