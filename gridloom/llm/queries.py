@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, packing, quality, sharding, toxicity
+from gridloom.llm import bpe, packing, pii, quality, rules, sharding, toxicity
 from gridloom.llm.common import crc_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
 
+#: The key of the registered query and the pipeline; real data need a secret of their own.
+PUBLIC_KEY = b"gridloom public test key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PUBLIC_KEY)
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), "found")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), 1024, 0)
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    trusted = read(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return rules.apply_rules(docs, rules.fit(docs, trusted)).drop("llr")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
@@ -45,8 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op4_packing, op7_bpe, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_pii, op4_packing, op5_rules, op7_bpe, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_rules": rules.SQL}
