@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, packing, pii, quality, rules, sharding, toxicity
+from gridloom.llm import bpe, linededup, packing, pii, quality, rules, sharding, toxicity
 from gridloom.llm.common import crc_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, rules.fit(docs, trusted)).drop("llr")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
@@ -60,8 +64,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_pii, op4_packing, op5_rules, op7_bpe, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_pii, op4_packing, op5_rules, op6_line_dedup, op7_bpe, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rules": rules.SQL}
+    return {"op5_rules": rules.SQL, "op6_line_dedup": linededup.SQL}
