@@ -62,7 +62,8 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.where(F.length(F.trim(F.translate("chunk", "\n\t\r", "   "))) > 0)
 
 
-HASHES = [F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2")]
+def hashes() -> list[Column]:
+    return [F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2")]
 
 
 def same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
@@ -72,14 +73,14 @@ def same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, start, n) of the chunks to remove: equal, byte by byte, to an earlier one."""
     place = [*KEY, "start", "n"]
-    narrow = materialize(chunks(docs).select(*place, *HASHES), "lines-chunks")
+    narrow = materialize(chunks(docs).select(*place, *hashes()), "lines-chunks")
     total = narrow.count()
     first = F.min(F.struct("doc_id", "start", "digest")).alias("first")
     repeats = materialize(narrow.groupBy("h1", "h2").agg(F.count("*").alias("copies"), first).where("copies > 1"), "lines-repeats")
     known = repeats.select("h1", "h2", "first", (F.col("copies") > total * HOT_SHARE).alias("hot"))
     if repeats.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    found = chunks(docs).select(*place, "chunk", *HASHES).join(known, ["h1", "h2"])
+    found = chunks(docs).select(*place, "chunk", *hashes()).join(known, ["h1", "h2"])
     lead = F.struct("doc_id", "start", "digest").eqNullSafe(F.col("first"))
     found = materialize(found.select(*place, "h1", "h2", "hot", "chunk", lead.alias("lead")), "lines-found")
     later = found.where("NOT lead").alias("later")
