@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.shared import materialize, release  # noqa: F401
+
 #: Rows of an Arrow batch: long texts must fit in memory some hundred at a time.
 BATCH_ROWS = 256
 
@@ -24,41 +23,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only for a local master in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/gridloom-checkpoints"
-    return f"{root}/gridloom/{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's tables in the shared folder; results made from them are gone after it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
 
 
-def tie_key(*columns: str) -> Column:
-    """A stable spread of rows over salts, from values alone."""
-    return F.xxhash64(*columns)
-
-
 def text_array(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The strings of a batch, nulls as empty strings, in one array with 64-bit offsets."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())

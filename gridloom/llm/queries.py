@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, linededup, packing, pii, quality, rules, sharding, toxicity
+from gridloom.llm import ann, bpe, jaccard, linededup, packing, pii, quality, rules, sharding, toxicity
 from gridloom.llm.common import crc_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_sets(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     trusted = labels.where((crc_remainder(F.col("doc_id"), 5) != 0) & (F.col("quality") == 1)).select("doc_id")
@@ -68,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_pii, op4_packing, op5_rules, op6_line_dedup, op7_bpe, op8_nearest, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_pii, op4_packing, op5_rules, op6_line_dedup, op7_bpe, op8_nearest, op9_jaccard, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
