@@ -4,13 +4,12 @@ A text's set is its distinct word shingles. All shingles follow one order, rare
 fixed-size count of the whole corpus; two sets that link share shingles in their prefixes under
 it. Equal sets are joined as one. An inverted index over the prefixes is dealt out by shingle.
 
-Index lists are sorted by size and read in blocks: a block is skipped whole when its sizes or its
-positions rule out a link. Answers are derived from those of highly similar sets: each set is
-first compared with the leader of its lists alone; sets in one component by then need no further
-comparison with each other, so that only pairs of different components are searched for, and
-counts of shared prefix shingles and the distances to the leaders (Jaccard distance is a metric)
-rule most of these out. What is left is verified on the whole sets. No pair that could join two
-components is lost.
+Index lists are sorted by size and read in blocks: a block is skipped whole when its sizes rule
+out a link. Answers are derived from those of highly similar sets: in rounds, each component so far
+is compared with few sets only, the leader of its lists and its neighbour in them by size; where
+they prove similar, both take over each other's component, and need no further comparison
+within it. Last, all pairs of different components whose count of shared prefix shingles leaves a
+link possible are verified on the whole sets. No pair that could join two components is lost.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Fewer words
 than a shingle make one shingle. Repeated rows have equal sets. A null doc_id takes no part in the
@@ -36,6 +35,11 @@ SLOT_BITS, PARTS = 20, 64
 #: Prefix entries of an index bucket, about; sets whose ids are broadcast at most; lists' block size.
 BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 1_000_000, 1_000_000, 256
 
+#: Rounds of proposals at most; what they leave is found by the last step.
+ROUNDS = 5
+#: Orders of the lists that a round after the first proposes pairs by.
+SEEDS = 4
+
 #: Lower case of A-Z alone.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -116,8 +120,9 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
     counts = np.zeros((PARTS, (1 << SLOT_BITS) // PARTS), np.int64)
     for r in rows:
         counts[r.part] += np.frombuffer(r.counts, np.int64)
-    usual = 4 * int(np.ceil(counts.mean())) + 8
-    return np.ceil(np.log2(np.maximum(counts.ravel() / usual, 1))).astype(np.uint8)
+    chance = 4 * np.sqrt(counts.mean()) + 4  # a slot of rare shingles alone stays within this of the mean
+    excess = (counts.ravel() - counts.mean()) / chance
+    return np.where(excess > 1, 1 + np.floor(2 * np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
 
 def prefixes(classes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -177,47 +182,52 @@ def index_lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return e, edge[:-1], edge[1:]
 
 
-def counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.Table:
+def counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray) -> pa.Table:
     """Distinct pairs with how often they occur."""
-    pair = np.zeros(len(a), [("a", "<i8"), ("b", "<i8"), ("na", "<i8"), ("nb", "<i8")])
-    pair["a"], pair["b"], pair["na"], pair["nb"] = a, b, na, nb
-    order = np.lexsort((pair["b"], pair["a"]))
-    pair = pair[order]
-    first = np.flatnonzero(np.concatenate([[True], (pair["a"][1:] != pair["a"][:-1]) | (pair["b"][1:] != pair["b"][:-1])])) if len(pair) else np.zeros(0, int)
-    times = np.diff(np.append(first, len(pair)))
-    pair = pair[first]
-    return pa.table({"a": pair["a"].copy(), "b": pair["b"].copy(), "na": pair["na"].copy(), "nb": pair["nb"].copy(), "shared": times.astype(np.int64)})
+    columns = {"a": a, "b": b, "na": na, "nb": nb, "la": la, "lb": lb}
+    order = np.lexsort((b, a))
+    columns = {k: v[order] for k, v in columns.items()}
+    a, b = columns["a"], columns["b"]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
+    return pa.table({k: v[first].astype(np.int64) for k, v in columns.items()} | {"shared": np.diff(np.append(first, len(a))).astype(np.int64)})
 
 
+PROPOSALS = "a long, b long, na long, nb long, la long, lb long, shared long, way int"
 PAIRS = "a long, b long, na long, nb long, shared long"
 
 
-def to_leaders(table: pa.Table) -> pa.Table:
-    """Pairs (set, leader): in each list the smallest set leads as far as sizes allow, then the next one does."""
-    e, first, end = index_lists(table)
-    lead = np.repeat(first, end - first)
-    n, at, out = e["n"].astype(np.int64), np.arange(len(e)), []
-    waiting = at
-    while len(waiting):
-        fits = 100 * n[lead[waiting]] >= PERCENT * n[waiting]
-        own = waiting[fits & (lead[waiting] != waiting)]
-        out.append((own, lead[own]))
-        waiting = waiting[~fits]
-        if len(waiting):  # the first of each list that is left leads the rest of it, and goes with the one before it
-            new = np.concatenate([[True], e["hash"][waiting][1:] != e["hash"][waiting][:-1]])
-            heads = waiting[new]
-            lead[waiting] = np.repeat(heads, np.diff(np.append(np.flatnonzero(new), len(waiting))))
-            near = heads[100 * n[heads - 1] >= PERCENT * n[heads]]
-            out.append((near, near - 1))
-    x = np.concatenate([o[0] for o in out]) if out else at
-    y = np.concatenate([o[1] for o in out]) if out else at
-    return counted(e["sid"][x], e["sid"][y], n[x], n[y])
+def proposals(seeds: list[int]) -> Callable[[pa.Table], pa.Table]:
+    """Few pairs of sets with different labels that share a list, a number in proportion to the list.
+
+    Each set goes with the one before it by size (way 0: every label that could link in a list
+    shows up), and for each seed with the first of the list in an order that the seed shuffles.
+    """
+
+    def apply(table: pa.Table) -> pa.Table:
+        e, first, end = index_lists(table)
+        n, label, sid = e["n"].astype(np.int64), e["label"], e["sid"]
+        later = np.setdiff1d(np.arange(len(e)), first)
+        ways = [(0, later, later - 1)]
+        for way, seed in enumerate(seeds, 1):
+            order = np.lexsort((mix64(sid.view(np.uint64) ^ mix64(np.array([seed], np.uint64))), e["hash"]))
+            ways.append((way, np.arange(len(e)), np.repeat(order[first], end - first)))
+        tables = []
+        for way, x, y in ways:
+            swap = n[x] < n[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            ok = (label[x] != label[y]) & (100 * n[y] >= PERCENT * n[x])
+            x, y = x[ok], y[ok]
+            t = counted(sid[x], sid[y], n[x], n[y], label[x], label[y])
+            tables.append(t.append_column("way", pa.array(np.full(t.num_rows, way, np.int32))))
+        return pa.concat_tables(tables)
+
+    return apply
 
 
 def across(table: pa.Table) -> pa.Table:
     """Pairs of sets with different labels that share a list, with sizes that allow a link."""
     e, first, end = index_lists(table)
-    out = [counted(*[np.zeros(0, np.int64)] * 4)]
+    out = [pa.table({c: np.zeros(0, np.int64) for c in ("a", "b", "na", "nb", "shared")})]
     held = 0
     for f, t in zip(first, end):
         label, n = e["label"][f:t], e["n"][f:t].astype(np.int64)
@@ -254,7 +264,7 @@ def _merge(tables: list[pa.Table]) -> pa.Table:
     return t.rename_columns([c.replace("_sum", "") for c in t.column_names]).select(["a", "b", "na", "nb", "shared"])
 
 
-def enough(pair: str = "") -> Column:
+def enough(shared: Column) -> Column:
     """Whether the count of shared prefix shingles leaves a link possible.
 
     Common shingles up to the earlier end of both prefixes are in both; beyond it, the set whose
@@ -263,7 +273,7 @@ def enough(pair: str = "") -> Column:
     na, nb = F.col("na"), F.col("nb")
     need = F.floor((PERCENT * (na + nb) + 99 + PERCENT) / F.lit(100 + PERCENT))
     rest = lambda n: F.ceil(PERCENT * n / F.lit(100)) - 1  # noqa: E731  shingles after the prefix
-    return F.col("shared") + F.greatest(rest(na), rest(nb)) >= need
+    return shared + F.greatest(rest(na), rest(nb)) >= need
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,28 +318,43 @@ def join_sets(docs: DataFrame) -> DataFrame:
     classes = frequency_classes(docs)
     texts = materialize(docs.mapInArrow(prefixes(classes), "doc_id long, n long, sid long, prefix binary"), "jaccard-prefixes")
     groups = materialize(texts.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-groups")
-    sets = texts.where("n > 0").select("sid", "n", "prefix").dropDuplicates(["sid"])
-    sets = materialize(sets, "jaccard-distinct")
+    holders = groups.select("sid", "doc_id")
+    sets = materialize(texts.where("n > 0").select("sid", "n", "prefix").dropDuplicates(["sid"]), "jaccard-distinct")
     volume = sets.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     buckets = max(1, int(volume // BUCKET_ENTRIES) + 1) * 2
     spec = "bucket int, entries binary"
 
-    def lists(df: DataFrame, kernel) -> DataFrame:
-        return df.mapInArrow(entries(buckets), spec).groupBy("bucket").applyInArrow(kernel, PAIRS)
-
-    near = lists(sets.withColumn("label", F.col("sid")), to_leaders).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
-    near = materialize(near, "jaccard-near")  # at most one pair for each prefix entry
-    own = near.where(enough()).groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("shared", "b")).alias("best")).select("a", "best.*")
-    first = materialize(verified(materialize(own, "jaccard-own"), docs, groups.select("sid", "doc_id")), "jaccard-first")
-    links = first.where(linked()).select("a", "b")
-    labels = connected_components(links, "a", "b")
-    open_ = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    rest = sets.join(open_, "sid", "left_semi").join(labels.select(F.col("node").alias("sid"), F.col("component").alias("c")), "sid", "left")
-    rest = rest.select("sid", "n", "prefix", F.coalesce("c", "sid").alias("label"))
-    more = lists(rest, across).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared")).where(enough())
-    more = materialize(more.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "jaccard-more")
-    second = materialize(verified(more, docs, groups.select("sid", "doc_id")).where(linked()).select("a", "b"), "jaccard-second")
-    roots = connected_components(links.unionByName(second), "a", "b")
+    def lists(df: DataFrame, kernel, schema: str) -> DataFrame:
+        return df.mapInArrow(entries(buckets), spec).groupBy("bucket").applyInArrow(kernel, schema)
+
+    labelled, links, tried = sets.withColumn("label", F.col("sid")), None, None
+    for round_ in range(ROUNDS):
+        seeds = [round_ * 100 + k for k in range(SEEDS if round_ else 1)]
+        near = lists(labelled, proposals(seeds), PROPOSALS).groupBy("a", "b", "way").agg(*(F.max(c).alias(c) for c in ("na", "nb", "la", "lb")), F.sum("shared").alias("shared"))
+        near = materialize(near, "jaccard-near")  # a pair for each prefix entry and way at most
+        # components that share no list with another one are done
+        open_ = near.select(F.explode(F.array("la", "lb")).alias("label")).distinct()
+        labelled = materialize(labelled.join(open_, "label", "left_semi").select("sid", "n", "prefix", "label"), "jaccard-open")
+        likely = near.where(enough(2 * F.col("shared")))  # a way sees a part of what two sets share
+        if tried is not None:
+            likely = likely.join(tried, ["a", "b"], "left_anti")
+        sides = likely.select("a", "b", "na", "nb", "shared", "way", F.explode(F.array("la", "lb")).alias("label"))
+        best = sides.groupBy("label", "way").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("shared", "a", "b")).alias("best"))
+        best = materialize(best.select("best.*").distinct(), "jaccard-best")
+        found = materialize(verified(best, docs, holders), "jaccard-tried")
+        tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
+        new = found.where(linked()).select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty():
+            break
+        labels = connected_components(links, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("c"))
+        labelled = materialize(labelled.drop("label").join(labels, "sid", "left").select("sid", "n", "prefix", F.coalesce("c", "sid").alias("label")), "jaccard-labelled")
+    more = lists(labelled, across, PAIRS).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared")).where(enough(F.col("shared")))
+    for x, y in (("a", "b"), ("b", "a")):
+        more = more.join(tried.select(F.col(x).alias("a"), F.col(y).alias("b")), ["a", "b"], "left_anti")
+    more = materialize(more, "jaccard-more")
+    last = materialize(verified(more, docs, holders).where(linked()).select("a", "b"), "jaccard-last")
+    roots = connected_components(links.unionByName(last), "a", "b")
     placed = groups.join(roots.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "copies", "doc_id", F.coalesce("component", "sid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     total = texts.count()
