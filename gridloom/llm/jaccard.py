@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gridloom.llm.common import materialize, small_batches, text_array, utf8_parts
 from gridloom.llm.ngrams import SPACES, mix64, span_hashes, spans
@@ -138,7 +139,7 @@ def prefixes(classes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             cut = np.concatenate([[0], np.cumsum(prefix_length(size))]) * 8
             raw = hashes[order][keep].tobytes()
             binary = pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(ids), binary], ["doc_id", "n", "sid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(ids), binary], ["doc_id", "digest", "n", "sid", "prefix"])
 
     return apply
 
@@ -311,12 +312,16 @@ def linked() -> Column:
 
 
 def join_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+    """(doc_id, n_shingles, component_id, digest, root) of every document.
+
+    digest: 64-bit hash of the text; root: id of the component's set, null for an empty set. With
+    doc_id they tell rows apart whose doc_id is repeated or null.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     classes = frequency_classes(docs)
-    texts = materialize(docs.mapInArrow(prefixes(classes), "doc_id long, n long, sid long, prefix binary"), "jaccard-prefixes")
+    texts = materialize(docs.withColumn("digest", F.xxhash64("text")).mapInArrow(prefixes(classes), "doc_id long, digest long, n long, sid long, prefix binary"), "jaccard-prefixes")
     groups = materialize(texts.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-groups")
     holders = groups.select("sid", "doc_id")
     sets = materialize(texts.where("n > 0").select("sid", "n", "prefix").dropDuplicates(["sid"]), "jaccard-distinct")
@@ -358,9 +363,21 @@ def join_sets(docs: DataFrame) -> DataFrame:
     placed = groups.join(roots.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "copies", "doc_id", F.coalesce("component", "sid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     total = texts.count()
-    names = materialize(placed.join(smallest, "root").select("sid", "component_id", (F.col("copies") > total / 1000).alias("hot")), "jaccard-names")
-    hot = names.where("hot").select("sid", F.col("component_id").alias("hot_id"))  # under 1000 rows
-    rows = texts.select("doc_id", "n", "sid").join(F.broadcast(hot), "sid", "left")
-    known, others = rows.where("hot_id IS NOT NULL"), rows.where("hot_id IS NULL")
-    found = others.join(names.where("NOT hot").select("sid", "component_id"), "sid", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return known.select("doc_id", "n", F.col("hot_id").alias("component_id")).unionByName(found).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = materialize(placed.join(smallest, "root").select("sid", "component_id", "root", (F.col("copies") > total / 1000).alias("hot")), "jaccard-names")
+    hot = names.where("hot").select("sid", F.struct("component_id", "root").alias("known"))  # under 1000 rows
+    rows = texts.select("doc_id", "digest", "n", "sid").join(F.broadcast(hot), "sid", "left")
+    others = rows.where("known IS NULL").drop("known").join(names.where("NOT hot").select("sid", F.struct("component_id", "root").alias("known")), "sid", "left")
+    every = rows.where("known IS NOT NULL").unionByName(others)
+    root = F.when(F.col("n") > 0, F.coalesce("known.root", "sid"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("known.component_id", "doc_id").alias("component_id"), "digest", root.alias("root"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, that of the smallest doc_id (nulls last); rows without a word all stay."""
+    wordless = F.coalesce(~F.col("text").rlike(r"[^ \t\n\x0b\f\r]"), F.lit(True))
+    key = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "digest")
+    found = join_sets(docs).where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
+    keys = materialize(found.select("first.*").select(key.alias("_key")), "jaccard-kept")
+    rows = docs.where(~wordless).withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")))
+    rows = rows.join(keys, "_key", "left_semi").withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
+    return rows.where("_copy = 1").select(*docs.columns).unionByName(docs.where(wordless))

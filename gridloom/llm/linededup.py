@@ -94,18 +94,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken from ``text``, and ``n_lines`` and ``n_removed_lines`` (long)."""
-    spans = repeated_spans(docs).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("digest").alias("span_digest"), "spans")
-    rows = docs.drop("n_lines", "n_removed_lines", "spans").withColumn("digest", F.xxhash64("text"))
-    both = rows.join(spans, rows.doc_id.eqNullSafe(spans.span_doc) & (rows.digest == spans.span_digest), "left")
-    lines = F.split("text", "\n", -1)
-    gone = F.expr("aggregate(spans, 0L, (a, s) -> a + s.n)")
-    kept = F.filter(lines, lambda x, i: ~F.exists(F.col("spans"), lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed_lines", "spans")]
-    out = both.select(*own, text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed_lines"))
-    return out.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
+    """``docs`` with repeated chunks taken from ``text``, and ``n_lines`` and ``n_removed_lines`` (long).
+
+    Columns of docs that are already named so are replaced.
+    """
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed_lines")]
+    spans = repeated_spans(docs).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "_spans")
+    rows = docs.select(*own, F.col("text").alias("_text"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_digest")), "left")
+    lines = F.split("_text", "\n", -1)
+    gone = F.expr("aggregate(_spans, 0L, (a, s) -> a + s.n)")
+    kept = F.filter(lines, lambda x, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
+    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return both.select(*own, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed_lines"))
 
 
 #: The same rows in DuckDB SQL.

@@ -186,3 +186,17 @@ def score(vectors_: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of featurize()'s table."""
     g = vectors_.mapInArrow(linear(model.weights), "doc_id long, g double")
     return g.select("doc_id", F.least(F.greatest((F.col("g") + 1) / 2, F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
+def score_texts(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with the score of its text as a last column; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(name)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = features(text_array(batch)).astype(float) @ model.weights
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip((g + 1) / 2, 0, 1))], [*batch.schema.names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(apply, f"{fields}, `{name}` double")
