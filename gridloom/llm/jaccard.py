@@ -37,7 +37,7 @@ SLOT_BITS, PARTS = 20, 64
 BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 1_000_000, 1_000_000, 256
 
 #: Rounds of proposals at most; what they leave is found by the last step.
-ROUNDS = 5
+ROUNDS = 4
 #: Orders of the lists that a round after the first proposes pairs by.
 SEEDS = 4
 
@@ -144,45 +144,84 @@ def prefixes(classes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return apply
 
 
-ENTRY = np.dtype([("hash", "<u8"), ("sid", "<i8"), ("label", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Larger batches, of so many rows or bytes about."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def entries(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deal prefix entries into buckets by shingle; a row holds all of a batch for one bucket."""
+    """Deal the shingles of (sid, label, n, prefix) into buckets; a row holds a batch's part of one bucket.
+
+    Its ``sets`` are the (sid, label, n) of the batch's sets in the bucket, its ``entries`` shingles, its ``owners`` their sets.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             sid, label, n, prefix = (batch.column(batch.schema.get_field_index(c)) for c in ("sid", "label", "n", "prefix"))
-            prefix = prefix.to_pylist()
+            prefix = [b"".join(p) if isinstance(p, list) else p for p in prefix.to_pylist()]
             length = np.array([len(p) // 8 for p in prefix], np.int64)
-            e = np.zeros(int(length.sum()), ENTRY)
-            e["hash"] = np.frombuffer(b"".join(prefix), "<u8")
-            for name, column in (("sid", sid), ("label", label), ("n", n)):
-                e[name] = np.repeat(column.to_numpy(), length)
-            e["pos"] = np.arange(len(e)) - np.repeat(np.cumsum(length) - length, length)
-            bucket = (mix64(e["hash"]) % np.uint64(buckets)).astype(np.int64)
+            hashes, owner = np.frombuffer(b"".join(prefix), "<u8"), np.repeat(np.arange(len(prefix)), length)
+            heads = np.column_stack([sid.to_numpy(), label.to_numpy(), n.to_numpy()]).astype("<i8")
+            bucket = (mix64(hashes) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
-            ends = np.append(first[1:], len(e))
-            raws = [e[order[a:b]].tobytes() for a, b in zip(first, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(raws, pa.binary())], ["bucket", "entries"])
+            rows = []
+            for at, end in zip(first, np.append(first[1:], len(order))):
+                part = order[at:end]
+                own, place = np.unique(owner[part], return_inverse=True)
+                rows.append((heads[own].tobytes(), hashes[part].tobytes(), place.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["bucket", "sets", "entries", "owners"])
 
     return apply
 
 
-def index_lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entries sorted by shingle, size, id; first and end of each list with two sets or more)."""
-    e = np.frombuffer(b"".join(x for c in table.column("entries").chunks for x in c.to_pylist()), ENTRY)
-    order = np.argsort(e["hash"], kind="stable")
-    h = e["hash"][order]
-    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-    shared = np.repeat(np.diff(edge) > 1, np.diff(edge))
-    e = e[order[shared]]
-    e = e[np.lexsort((e["sid"], e["n"], e["hash"]))]
-    edge = np.flatnonzero(np.concatenate([[True], e["hash"][1:] != e["hash"][:-1], [True]])) if len(e) else np.zeros(1, int)
+DEALT = "bucket int, sets binary, entries binary, owners binary"
+
+
+def index_lists(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(columns of the entries sorted by shingle, size, id; first and end of each list with two sets or more)."""
+    hashes, sids, labels, sizes = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64))
+    for sets, raw, owners in zip(*(table.column(c).to_pylist() for c in ("sets", "entries", "owners"))):
+        head, h = np.frombuffer(sets, "<i8").reshape(-1, 3), np.frombuffer(raw, "<u8")
+        own = np.frombuffer(owners, "<u2" if len(owners) == 2 * len(h) else "<u4")
+        for out, new in zip((hashes, sids, labels, sizes), (h, head[own, 0], head[own, 1], head[own, 2])):
+            out.append(new)
+    e = {"hash": np.concatenate(hashes), "sid": np.concatenate(sids), "label": np.concatenate(labels), "n": np.concatenate(sizes)}
+
+    def pick(at: np.ndarray) -> None:
+        for k in e:
+            e[k] = e[k][at]
+
+    pick(np.argsort(e["hash"], kind="stable"))
+    edges = lambda: np.flatnonzero(np.concatenate([[True], e["hash"][1:] != e["hash"][:-1], [True]])) if len(e["hash"]) else np.zeros(1, int)
+    edge = edges()
+    pick(np.flatnonzero(np.repeat(np.diff(edge) > 1, np.diff(edge))))
+    pick(np.lexsort((e["sid"], e["n"], e["hash"])))
+    if len(e["hash"]):  # copies of a set count once
+        pick(np.flatnonzero(np.concatenate([[True], (e["hash"][1:] != e["hash"][:-1]) | (e["sid"][1:] != e["sid"][:-1])])))
+    edge = edges()
+    pick(np.flatnonzero(np.repeat(np.diff(edge) > 1, np.diff(edge))))
+    edge = edges()
     return e, edge[:-1], edge[1:]
 
 
+def shared_entries(table: pa.Table) -> pa.Table:
+    """(sid, n, part): of each set the shingles that another set has too."""
+    e, _, _ = index_lists(table)
+    order = np.lexsort((e["hash"], e["sid"]))
+    sid, n, h = e["sid"][order], e["n"][order], e["hash"][order]
+    first = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, int)
+    raw, cut = h.tobytes(), np.append(first, len(h)) * 8
+    return pa.table({"sid": sid[first], "n": n[first], "part": pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())})
+
+
 def counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray) -> pa.Table:
     """Distinct pairs with how often they occur."""
     columns = {"a": a, "b": b, "na": na, "nb": nb, "la": la, "lb": lb}
@@ -207,11 +246,11 @@ def proposals(seeds: list[int]) -> Callable[[pa.Table], pa.Table]:
     def apply(table: pa.Table) -> pa.Table:
         e, first, end = index_lists(table)
         n, label, sid = e["n"].astype(np.int64), e["label"], e["sid"]
-        later = np.setdiff1d(np.arange(len(e)), first)
+        later = np.setdiff1d(np.arange(len(sid)), first)
         ways = [(0, later, later - 1)]
         for way, seed in enumerate(seeds, 1):
             order = np.lexsort((mix64(sid.view(np.uint64) ^ mix64(np.array([seed], np.uint64))), e["hash"]))
-            ways.append((way, np.arange(len(e)), np.repeat(order[first], end - first)))
+            ways.append((way, np.arange(len(sid)), np.repeat(order[first], end - first)))
         tables = []
         for way, x, y in ways:
             swap = n[x] < n[y]
@@ -301,7 +340,7 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame
     side = ids.select("holder").distinct()
     side = F.broadcast(side) if ids.count() <= BROADCAST_IDS else side
     held = texts.join(side, texts.doc_id.eqNullSafe(F.col("holder")), "left_semi")
-    sets = materialize(held.mapInArrow(whole_sets, "sid long, hashes binary").join(ids.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+    sets = held.mapInArrow(whole_sets, "sid long, hashes binary").dropDuplicates(["sid"])  # one shuffle serves both joins
     x, y = (sets.select(F.col("sid").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     counts = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long, common long")
     return pairs.select("a", "b", "na", "nb").join(counts, ["a", "b"])
@@ -324,18 +363,20 @@ def join_sets(docs: DataFrame) -> DataFrame:
     texts = materialize(docs.withColumn("digest", F.xxhash64("text")).mapInArrow(prefixes(classes), "doc_id long, digest long, n long, sid long, prefix binary"), "jaccard-prefixes")
     groups = materialize(texts.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-groups")
     holders = groups.select("sid", "doc_id")
-    sets = materialize(texts.where("n > 0").select("sid", "n", "prefix").dropDuplicates(["sid"]), "jaccard-distinct")
-    volume = sets.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
-    buckets = max(1, int(volume // BUCKET_ENTRIES) + 1) * 2
-    spec = "bucket int, entries binary"
+    volume = texts.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
 
-    def lists(df: DataFrame, kernel, schema: str) -> DataFrame:
-        return df.mapInArrow(entries(buckets), spec).groupBy("bucket").applyInArrow(kernel, schema)
+    def lists(df: DataFrame, entries_: float, kernel, schema: str) -> DataFrame:
+        buckets = 2 * (int(entries_ // BUCKET_ENTRIES) + 1)
+        return df.mapInArrow(entries(buckets), DEALT).groupBy("bucket").applyInArrow(kernel, schema)
 
+    every = texts.where("n > 0").select("sid", F.col("sid").alias("label"), "n", "prefix")
+    shared = lists(every, volume, shared_entries, "sid long, n long, part binary")
+    sets = materialize(shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("part").alias("prefix")), "jaccard-open")
+    volume = sets.agg(F.sum(F.aggregate("prefix", F.lit(0), lambda s, p: s + F.length(p)) / 8)).first()[0] or 0
     labelled, links, tried = sets.withColumn("label", F.col("sid")), None, None
     for round_ in range(ROUNDS):
         seeds = [round_ * 100 + k for k in range(SEEDS if round_ else 1)]
-        near = lists(labelled, proposals(seeds), PROPOSALS).groupBy("a", "b", "way").agg(*(F.max(c).alias(c) for c in ("na", "nb", "la", "lb")), F.sum("shared").alias("shared"))
+        near = lists(labelled, volume, proposals(seeds), PROPOSALS).groupBy("a", "b", "way").agg(*(F.max(c).alias(c) for c in ("na", "nb", "la", "lb")), F.sum("shared").alias("shared"))
         near = materialize(near, "jaccard-near")  # a pair for each prefix entry and way at most
         # components that share no list with another one are done
         open_ = near.select(F.explode(F.array("la", "lb")).alias("label")).distinct()
@@ -354,7 +395,7 @@ def join_sets(docs: DataFrame) -> DataFrame:
             break
         labels = connected_components(links, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("c"))
         labelled = materialize(labelled.drop("label").join(labels, "sid", "left").select("sid", "n", "prefix", F.coalesce("c", "sid").alias("label")), "jaccard-labelled")
-    more = lists(labelled, across, PAIRS).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared")).where(enough(F.col("shared")))
+    more = lists(labelled, volume, across, PAIRS).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared")).where(enough(F.col("shared")))
     for x, y in (("a", "b"), ("b", "a")):
         more = more.join(tried.select(F.col(x).alias("a"), F.col(y).alias("b")), ["a", "b"], "left_anti")
     more = materialize(more, "jaccard-more")
