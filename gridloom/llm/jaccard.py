@@ -144,7 +144,7 @@ def prefixes(classes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return apply
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Larger batches, of so many rows or bytes about."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -291,7 +291,7 @@ def across(table: pa.Table) -> pa.Table:
                     flip = x > y
                     out.append(pa.table({"a": np.where(flip, y, x), "b": np.where(flip, x, y), "na": np.where(flip, ny, nx), "nb": np.where(flip, nx, ny), "shared": np.ones(len(x), np.int64)}))
                     held += len(x)
-                    if held > 4_000_000:
+                    if held > 500_000:
                         out, held = [_merge(out)], 0
     return _merge(out)
 
