@@ -34,7 +34,7 @@ WORDS, PERCENT = 5, 80
 #: Slots of the count of shingles (its size doesn't grow with the corpus) and parts it is summed in.
 SLOT_BITS, PARTS = 20, 64
 #: Prefix entries of an index bucket, about; sets whose ids are broadcast at most; lists' block size.
-BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 1_000_000, 1_000_000, 256
+BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 300_000, 1_000_000, 256
 
 #: Rounds of proposals at most; what they leave is found by the last step.
 ROUNDS = 4
@@ -265,15 +265,24 @@ def proposals(seeds: list[int]) -> Callable[[pa.Table], pa.Table]:
 
 
 def across(table: pa.Table) -> pa.Table:
-    """Pairs of sets with different labels that share a list, with sizes that allow a link."""
+    """Pairs of sets with different labels that share a list, with sizes that allow a link, and how many lists they share."""
     e, first, end = index_lists(table)
-    out = [pa.table({c: np.zeros(0, np.int64) for c in ("a", "b", "na", "nb", "shared")})]
-    held = 0
+    known, place = np.unique(e["sid"], return_inverse=True)
+    sizes = np.zeros(len(known), np.int64)
+    sizes[place] = e["n"]
+    codes, times, fresh, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def settle() -> None:
+        nonlocal codes, times, fresh, held
+        new, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *fresh]), return_counts=True)
+        codes, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        times = np.bincount(where, np.concatenate([times, counts]), len(codes)).astype(np.int64)
+        fresh, held = [], 0
+
     for f, t in zip(first, end):
-        label, n = e["label"][f:t], e["n"][f:t].astype(np.int64)
+        label, n, own = e["label"][f:t], e["n"][f:t], place[f:t]
         if (label == label[0]).all():
             continue
-        sid = e["sid"][f:t]
         for i in range(0, t - f, BLOCK):  # sizes ascend
             rows = slice(i, min(i + BLOCK, t - f))
             most = n[rows][-1] * 100 // PERCENT
@@ -282,26 +291,15 @@ def across(table: pa.Table) -> pa.Table:
                 if n[cols][0] > most:
                     break  # this block and all after it hold sets too large
                 ok = (label[rows][:, None] != label[cols][None]) & (100 * n[rows][:, None] >= PERCENT * n[cols][None])
-                if i == j:
-                    ok = np.triu(ok, 1)
-                a, b = np.nonzero(ok)
-                if len(a):
-                    x, y = sid[rows][a], sid[cols][b]
-                    nx, ny = n[rows][a], n[cols][b]
-                    flip = x > y
-                    out.append(pa.table({"a": np.where(flip, y, x), "b": np.where(flip, x, y), "na": np.where(flip, ny, nx), "nb": np.where(flip, nx, ny), "shared": np.ones(len(x), np.int64)}))
-                    held += len(x)
-                    if held > 500_000:
-                        out, held = [_merge(out)], 0
-    return _merge(out)
-
-
-def _merge(tables: list[pa.Table]) -> pa.Table:
-    t = pa.concat_tables(tables)
-    if not t.num_rows:
-        return t
-    t = t.group_by(["a", "b", "na", "nb"]).aggregate([("shared", "sum")])
-    return t.rename_columns([c.replace("_sum", "") for c in t.column_names]).select(["a", "b", "na", "nb", "shared"])
+                a, b = np.nonzero(np.triu(ok, 1) if i == j else ok)
+                x, y = own[rows][a], own[cols][b]
+                fresh.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
+                held += len(a)
+                if held > 1_000_000:
+                    settle()
+    settle()
+    a, b = codes // max(len(known), 1), codes % max(len(known), 1)
+    return pa.table({"a": known[a], "b": known[b], "na": sizes[a], "nb": sizes[b], "shared": times})
 
 
 def enough(shared: Column) -> Column:
