@@ -1,8 +1,8 @@
 """Line dedup over content-defined chunks of lines, in DataFrame functions only.
 
-A text is parted at newlines. A rolling hash (cyclic polynomial) over the hashes of ``WINDOW``
-lines decides after which lines a chunk ends, so inserted or removed lines shift no boundary
-beyond their neighbourhood; a line of ``PASSAGE`` words or more is a chunk of its own. Chunks of
+A text is parted at newlines. A chunk ends where a rolling hash (cyclic polynomial) over the hashes
+of ``WINDOW`` lines is smaller than at both neighbours, so inserted or removed lines shift no
+boundary beyond their neighbourhood, and chunks have three lines on average and two at least; a line of ``PASSAGE`` words or more is a chunk of its own. Chunks of
 several lines, and passages, that occur more than once in the corpus are compared byte by byte with
 their first occurrence (smallest doc_id, then position) and removed where they are equal to it.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialize
 
-WINDOW, EXPECTED_LINES, PASSAGE = 2, 4, 50
+WINDOW, PASSAGE = 2, 50
 #: Repeated chunks of which hashes are broadcast at most; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 #: A chunk with more than this part of all occurrences is hot: there are fewer than its inverse.
@@ -53,8 +53,14 @@ def rolled(marks: Column, i: Column) -> Column:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, start, n, chunk): the chunks that may be removed if they repeat."""
-    cut = F.transform("marks", lambda x, i: x["p"] | F.coalesce(F.get(F.col("marks"), i + 1)["p"], F.lit(True)) | (F.pmod(rolled(F.col("marks"), i), F.lit(EXPECTED_LINES)) == 0))
-    ends = with_lines(docs).select(*KEY, "lines", "marks", cut.alias("cut")).select(*KEY, "lines", "marks", F.filter(F.transform("cut", lambda c, i: F.when(c, i)), lambda x: x.isNotNull()).alias("ends"))
+    rolls = with_lines(docs).withColumn("rolls", F.transform("marks", lambda x, i: rolled(F.col("marks"), i)))
+
+    def lowest(r: Column, i: Column) -> Column:
+        beside = [F.get(F.col("rolls"), i - 1), F.get(F.col("rolls"), i + 1)]
+        return F.coalesce((r < beside[0]) & (r < beside[1]), F.lit(False))
+
+    alone = lambda i: F.get(F.col("marks"), i)["p"] | F.coalesce(F.get(F.col("marks"), i + 1)["p"], F.lit(True))
+    ends = rolls.select(*KEY, "lines", "marks", F.filter(F.transform("rolls", lambda r, i: F.when(alone(i) | lowest(r, i), i)), lambda x: x.isNotNull()).alias("ends"))
     spans = F.transform("ends", lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(F.col("ends"), k - 1) + 1).alias("start"), e.alias("end")))
     eligible = F.filter(spans, lambda s: (s["end"] > s["start"]) | F.get(F.col("marks"), s["end"])["p"])
     rows = ends.select(*KEY, "lines", F.explode(eligible).alias("s"))
@@ -116,7 +122,8 @@ SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
 m AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= 49 AS p FROM l),
-c AS (SELECT *, p OR coalesce(lead(p) OVER w, true) OR xor(h, coalesce(((lag(h) OVER w) << 1) % 4294967296 + ((lag(h) OVER w) >> 31), 0)) % 4 = 0 AS cut FROM m WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+rl AS (SELECT *, xor(h, coalesce(((lag(h) OVER w) << 1) % 4294967296 + ((lag(h) OVER w) >> 31), 0)) AS r FROM m WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+c AS (SELECT *, p OR coalesce(lead(p) OVER w, true) OR coalesce(r < lag(r) OVER w AND r < lead(r) OVER w, false) AS cut FROM rl WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
 k AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c),
 ch AS (SELECT doc_id, text, k, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk, bool_or(p) AS p FROM k GROUP BY doc_id, text, k),
 gone AS (SELECT doc_id, text, k FROM ch WHERE (n > 1 OR p) AND regexp_matches(chunk, '[^ \n\t\r]') QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) > 1),

@@ -77,7 +77,7 @@ def features(strings: pa.Array) -> np.ndarray:
     again[1:] = (line_hash[order][1:] == line_hash[order][:-1]) & (lo[order][1:] == lo[order][:-1])
     doubled = np.bincount(lo[order][again], minlength=n) / np.maximum(lines, 1)
     some = np.maximum(words, 1)
-    rest = [repeats / some, np.minimum(1, 4 * repeats / some), doubled, (distinct / some) ** 2, np.minimum(1, np.log1p(words) / 10), np.minimum(1, (end - start).sum() and np.bincount(owner, end - start, n) / some / 20), words < 10, words == 0, np.ones(n)]
+    rest = [repeats / some, np.minimum(1, 4 * repeats / some), doubled, (distinct / some) ** 2, np.minimum(1, np.log1p(words) / 10), np.minimum(1, np.bincount(owner, end - start, n) / some / 20), words < 10, words == 0, np.ones(n)]
     loud = np.minimum(1, 8 * shares[:, [1, 8, 10, 11]])
     return np.column_stack([grams, shares, loud, *rest]).astype(np.float32)
 
