@@ -39,7 +39,9 @@ BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 300_000, 1_000_000, 256
 #: Rounds of proposals at most; what they leave is found by the last step.
 ROUNDS = 4
 #: Orders of the lists that a round after the first proposes pairs by.
-SEEDS = 4
+SEEDS = 6
+#: A pair is proposed if its sets could link when sharing so many times what one way has seen of them.
+SEEN = 1.3
 
 #: Lower case of A-Z alone.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,6 +99,16 @@ def needed(a, b):
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
+def after_prefix(n):
+    """Shingles of a set beyond its prefix.
+
+    Common shingles up to the earlier end of two prefixes are in both of them; beyond it, the set
+    whose prefix ends there has only these. So two sets have at most as many in common as their
+    prefixes do, and the larger of these two numbers.
+    """
+    return (PERCENT * n + 99) // 100 - 1
+
+
 def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
@@ -233,7 +245,7 @@ def counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, la: np
 
 
 PROPOSALS = "a long, b long, na long, nb long, la long, lb long, shared long, way int"
-PAIRS = "a long, b long, na long, nb long, shared long"
+PARTNER = np.dtype([("b", "<i8"), ("n", "<i4"), ("shared", "<i4")])
 
 
 def proposals(seeds: list[int]) -> Callable[[pa.Table], pa.Table]:
@@ -299,19 +311,32 @@ def across(table: pa.Table) -> pa.Table:
                     settle()
     settle()
     a, b = codes // max(len(known), 1), codes % max(len(known), 1)
-    return pa.table({"a": known[a], "b": known[b], "na": sizes[a], "nb": sizes[b], "shared": times})
+    packed = np.zeros(len(codes), PARTNER)
+    packed["b"], packed["n"], packed["shared"] = known[b], sizes[b], times
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
+    raw, cut = packed.tobytes(), np.append(first, len(a)) * PARTNER.itemsize
+    return pa.table({"a": known[a[first]], "n": sizes[a[first]], "partners": pa.array([raw[x:y] for x, y in zip(cut, cut[1:])], pa.binary())})
 
 
-def enough(shared: Column) -> Column:
-    """Whether the count of shared prefix shingles leaves a link possible.
+def possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose counts over all buckets leave a link possible, from each set's lists of partners."""
+    for batch in batches:
+        out = [np.zeros((0, 4), np.int64)]
+        for a, n, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            p = np.frombuffer(b"".join(parts), PARTNER)
+            b, first, where = np.unique(p["b"], return_index=True, return_inverse=True)
+            shared, nb = np.bincount(where, p["shared"]).astype(np.int64), p["n"][first].astype(np.int64)
+            ok = shared + np.maximum(after_prefix(n), after_prefix(nb)) >= needed(n, nb)
+            out.append(np.column_stack([np.full(ok.sum(), a), b[ok], np.full(ok.sum(), n), nb[ok]]))
+        rows = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["a", "b", "na", "nb"])
 
-    Common shingles up to the earlier end of both prefixes are in both; beyond it, the set whose
-    prefix ends there has only the rest of its shingles.
-    """
-    na, nb = F.col("na"), F.col("nb")
-    need = F.floor((PERCENT * (na + nb) + 99 + PERCENT) / F.lit(100 + PERCENT))
-    rest = lambda n: F.ceil(PERCENT * n / F.lit(100)) - 1  # noqa: E731  shingles after the prefix
-    return shared + F.greatest(rest(na), rest(nb)) >= need
+
+def enough(shared: Column) -> Column:
+    """possible_pairs()'s bound on columns na and nb."""
+    need = F.floor((PERCENT * (F.col("na") + F.col("nb")) + 99 + PERCENT) / F.lit(100 + PERCENT))
+    rest = lambda n: F.ceil(PERCENT * F.col(n) / F.lit(100)) - 1
+    return shared + F.greatest(rest("na"), rest("nb")) >= need
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +357,7 @@ def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
     """(a, b, na, nb, common) of pairs (a, b, na, nb), from the whole sets; holders: (sid, doc_id) of one document each."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(holders, "sid").select("sid", F.col("doc_id").alias("holder"))
+    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(holders, "sid").select("sid", F.col("doc_id").alias("holder"))
     ids = materialize(ids, "jaccard-ids")
     texts = docs.select("doc_id", "text")
     side = ids.select("holder").distinct()
@@ -377,9 +402,9 @@ def join_sets(docs: DataFrame) -> DataFrame:
         near = lists(labelled, volume, proposals(seeds), PROPOSALS).groupBy("a", "b", "way").agg(*(F.max(c).alias(c) for c in ("na", "nb", "la", "lb")), F.sum("shared").alias("shared"))
         near = materialize(near, "jaccard-near")  # a pair for each prefix entry and way at most
         # components that share no list with another one are done
-        open_ = near.select(F.explode(F.array("la", "lb")).alias("label")).distinct()
+        open_ = near.select(F.col("la").alias("label")).unionByName(near.select(F.col("lb").alias("label"))).distinct()
         labelled = materialize(labelled.join(open_, "label", "left_semi").select("sid", "n", "prefix", "label"), "jaccard-open")
-        likely = near.where(enough(2 * F.col("shared")))  # a way sees a part of what two sets share
+        likely = near.where(enough(SEEN * F.col("shared")))
         if tried is not None:
             likely = likely.join(tried, ["a", "b"], "left_anti")
         sides = likely.select("a", "b", "na", "nb", "shared", "way", F.explode(F.array("la", "lb")).alias("label"))
@@ -393,7 +418,8 @@ def join_sets(docs: DataFrame) -> DataFrame:
             break
         labels = connected_components(links, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("c"))
         labelled = materialize(labelled.drop("label").join(labels, "sid", "left").select("sid", "n", "prefix", F.coalesce("c", "sid").alias("label")), "jaccard-labelled")
-    more = lists(labelled, volume, across, PAIRS).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared")).where(enough(F.col("shared")))
+    partners = lists(labelled, volume, across, "a long, n long, partners binary").groupBy("a").agg(F.max("n").alias("n"), F.collect_list("partners").alias("partners"))
+    more = partners.mapInArrow(possible_pairs, "a long, b long, na long, nb long")
     for x, y in (("a", "b"), ("b", "a")):
         more = more.join(tried.select(F.col(x).alias("a"), F.col(y).alias("b")), ["a", "b"], "left_anti")
     more = materialize(more, "jaccard-more")
