@@ -37,5 +37,5 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         before = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    roots = nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    roots = nodes.select(F.col("u").alias("node")).unionByName(nodes.select(F.col("v").alias("node"))).distinct()
     return roots.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
