@@ -119,3 +119,32 @@ def grayscale_windows(pixels: DataFrame, size: int = 256, most: int = 64) -> Dat
     """(wy, wx, n_values, looks_gray) of sample windows: more distinct values than labels have mean an image."""
     windows = pixels.groupBy(F.floor(F.col("y") / size).cast("long").alias("wy"), F.floor(F.col("x") / size).cast("long").alias("wx"))
     return windows.agg(F.countDistinct("value").alias("n_values")).withColumn("looks_gray", F.col("n_values") > most)
+
+
+def component_at(pixels: DataFrame, points: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """points(y, x) with the component there; null on background, outside and for deleted ones."""
+    found = pixels if deleted is None else delete_components(pixels, deleted)
+    return points.join(found.select("y", "x", "component"), ["y", "x"], "left")
+
+
+def component_tiles(pixels: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(ty, tx, component, pixels) of the tiles that hold the components named."""
+    held = pixels.join(ids.select("component").distinct(), "component", "left_semi")
+    return held.groupBy(F.floor(F.col("y") / size).cast("long").alias("ty"), F.floor(F.col("x") / size).cast("long").alias("tx"), "component").agg(F.count("*").alias("pixels"))
+
+
+def page(table: DataFrame, number: int, rows: int = 1000) -> DataFrame:
+    """One page of a numbered component table."""
+    first = number * rows + 1
+    return table.where((F.col("component_id") >= first) & (F.col("component_id") < first + rows))
+
+
+def toggle(selection: DataFrame, picked: DataFrame) -> DataFrame:
+    """A selection (component) with the picked ones switched: in or out."""
+    a, b = selection.select("component").distinct(), picked.select("component").distinct()
+    return a.join(b, "component", "left_anti").unionByName(b.join(a, "component", "left_anti"))
+
+
+def outline_boxes(table: DataFrame) -> DataFrame:
+    """Boxes moved by half a pixel, as they are drawn."""
+    return table.select("component", *[(F.col(f"bbox_{c}") - 0.5).alias(c) for c in ("y0", "x0", "y1", "x1")])

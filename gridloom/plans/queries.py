@@ -561,3 +561,117 @@ def stitch_blend(spark, sf_dir):
 def argmax_labels(spark, sf_dir):
     probabilities = rasters.vector_pixels(spark, sf_dir).where("x < 8").select("y", F.col("x").alias("class"), F.col("value").alias("p"))
     return metrics.argmax_labels(probabilities, ["y"])
+
+
+# ---- lookups, tiles, pages, selections
+
+POINTS_SQL = "points AS (SELECT DISTINCT o_custkey % 150 AS y, o_orderkey % 120 AS x FROM orders)"
+
+
+def order_points(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("y"), (F.col("o_orderkey") % 120).alias("x")).distinct()
+
+
+@query(f"{R1}, {POINTS_SQL} SELECT y, x, CASE WHEN p.v <> 5 THEN component END AS component FROM points LEFT JOIN pix p USING (y, x)")
+def component_lookup(spark, sf_dir):
+    pixels = r1(spark, sf_dir)
+    return components.component_at(pixels, order_points(spark, sf_dir), pixels.where("v = 5").select("component").distinct())
+
+
+@query(f"{R1} SELECT y // 16 AS ty, x // 16 AS tx, component, count(*) AS pixels FROM pix JOIN m USING (component) WHERE area >= 3 GROUP BY ALL")
+def component_tiles(spark, sf_dir):
+    pixels = r1(spark, sf_dir)
+    return components.component_tiles(pixels, components.measure(pixels).where("area >= 3"), 16)
+
+
+@query(f"{R1}, k AS (SELECT row_number() OVER (ORDER BY label_value, bbox_y0, bbox_x0, component) AS component_id, component FROM m) SELECT component_id, component FROM k WHERE component_id BETWEEN 2001 AND 3000")
+def component_page(spark, sf_dir):
+    return components.page(components.component_table(r1(spark, sf_dir)), 2).select("component_id", "component")
+
+
+@query(f"{R1}, a AS (SELECT component FROM m WHERE label_value <= 2), b AS (SELECT component FROM m WHERE area >= 2) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def selection_toggle(spark, sf_dir):
+    found = components.measure(r1(spark, sf_dir))
+    return components.toggle(found.where("label_value <= 2"), found.where("area >= 2"))
+
+
+@query(f"{R1} SELECT component, bbox_y0 - 0.5::DOUBLE AS y0, bbox_x0 - 0.5::DOUBLE AS x0, bbox_y1 - 0.5::DOUBLE AS y1, bbox_x1 - 0.5::DOUBLE AS x1 FROM m")
+def selection_boxes(spark, sf_dir):
+    return components.outline_boxes(components.measure(r1(spark, sf_dir)))
+
+
+@query(f"WITH {EVENT_CELLS_SQL} SELECT y // 32 AS wy, x // 32 AS wx, count(DISTINCT value) AS n_values, count(DISTINCT value) > 64 AS looks_gray FROM cells GROUP BY 1, 2")
+def grayscale_guard(spark, sf_dir):
+    return components.grayscale_windows(rasters.event_cells(spark, sf_dir), 32)
+
+
+@query(f"WITH {EVENT_MASK_SQL}, gone AS (SELECT y, x, v FROM mask WHERE v = 2), now AS (SELECT y, x, v FROM mask WHERE v <> 2 UNION ALL SELECT y, x, 8 FROM mask WHERE v = 2 AND (y + x) % 3 = 0) SELECT g.y, g.x, g.v, n.v IS NULL AS restored FROM gone g LEFT JOIN now n USING (y, x)")
+def deletion_restore(spark, sf_dir):
+    mask = rasters.event_mask(spark, sf_dir)
+    gone = mask.where("v = 2")
+    painted = gone.where((F.col("y") + F.col("x")) % 3 == 0).withColumn("v", F.lit(8).cast("long"))
+    return components.restore_deleted(mask.where("v <> 2").unionByName(painted), gone)
+
+
+# ---- more of patches, pyramids, library, metrics
+
+@query(f"WITH {SPLIT_SQL}, c AS (SELECT split, unnest(class_ids) AS class FROM patch JOIN split USING (block)) SELECT class, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'validation') AS validation FROM c GROUP BY class")
+def class_coverage(spark, sf_dir):
+    split = patches.holdout(part_blocks(spark, sf_dir), 0.2, "7")
+    return patches.class_coverage(part_patches(spark, sf_dir).join(split, "block"))
+
+
+@query(f"WITH {EVENT_MASK_SQL}, r AS (SELECT *, y // 32 AS block_y, x // 32 AS block_x, row_number() OVER (PARTITION BY y // 32, x // 32 ORDER BY md5('9:' || y || ':' || x)) AS r FROM mask) SELECT block_y, block_x, y, x, v FROM r WHERE r <= 16")
+def crop_anchors(spark, sf_dir):
+    return patches.anchors(rasters.event_mask(spark, sf_dir), 32, 16, "9")
+
+
+@query(f"WITH {EVENT_MASK_SQL}, a AS (SELECT i AS ny, least(floor((i + 0.5) * 150 / 40), 149)::BIGINT AS y FROM (SELECT unnest(range(40)) AS i)), b AS (SELECT i AS nx, least(floor((i + 0.5) * 120 / 33), 119)::BIGINT AS x FROM (SELECT unnest(range(33)) AS i)) SELECT ny AS y, nx AS x, v FROM mask JOIN a USING (y) JOIN b USING (x)")
+def resize_nearest(spark, sf_dir):
+    return patches.resize_nearest(rasters.event_mask(spark, sf_dir), (150, 120), (40, 33))
+
+
+@query(f"WITH {EVENT_CELLS_SQL} SELECT CASE y % 4 WHEN 0 THEN y WHEN 1 THEN 149 - x WHEN 2 THEN 149 - y ELSE x END AS y, CASE WHEN x % 2 = 0 THEN 149 - CASE y % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 149 - x ELSE 149 - y END ELSE CASE y % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 149 - x ELSE 149 - y END END AS x, value * 2 AS value FROM cells")
+def patch_augment(spark, sf_dir):
+    cells = rasters.event_cells(spark, sf_dir).select("y", "x", "value")
+    return patches.augment(cells, 150, F.col("y"), F.col("x") % 2 == 0, F.lit(2))
+
+
+@query(f"WITH {EVENT_MASK_SQL}, l1 AS (SELECT y // 2 AS y, x // 2 AS x, arg_min(v, (y % 2) * 2 + x % 2) AS v FROM mask GROUP BY 1, 2), e AS (SELECT y, x, CASE WHEN y BETWEEN 40 AND 79 AND x BETWEEN 20 AND 69 THEN v + 10 ELSE v END AS v FROM mask) SELECT y // 2 AS y, x // 2 AS x, arg_min(v, (y % 2) * 2 + x % 2) AS v FROM e GROUP BY 1, 2")
+def pyramid_rebuild(spark, sf_dir):
+    mask = rasters.event_mask(spark, sf_dir)
+    inside = F.col("y").between(40, 79) & F.col("x").between(20, 69)
+    edited = mask.withColumn("v", F.when(inside, F.col("v") + 10).otherwise(F.col("v")))
+    return pyramid.rebuild(edited, pyramid.halve_labels(mask), (40, 20, 80, 70))
+
+
+@query(f"WITH {EDIT_SQL} SELECT DISTINCT m.y // 32 AS ty, m.x // 32 AS tx FROM mask m JOIN edited e USING (y, x) WHERE m.v <> e.v")
+def tiles_changed(spark, sf_dir):
+    mask = rasters.event_mask(spark, sf_dir)
+    return library.changed_tiles(library.tile_digests(mask, 32), library.tile_digests(edited_event_mask(mask), 32))
+
+
+@query(f"WITH {EDIT_SQL} SELECT y, x, v FROM edited")
+def edit_write_back(spark, sf_dir):
+    mask = rasters.event_mask(spark, sf_dir)
+    return edits.write_back(mask, mask, edited_event_mask(mask))
+
+
+@query("""WITH b AS (SELECT CASE WHEN n_chars > 2000 THEN 3 WHEN n_chars > 800 THEN 2 ELSE 1 END AS p, 1 + quality + toxic AS t FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT k, count(*) FILTER (WHERE p = k AND t = k) AS tp, count(*) FILTER (WHERE p = k AND t <> k) AS fp, count(*) FILTER (WHERE t = k AND p <> k) AS fn FROM b, (SELECT unnest([1, 2, 3]) AS k) GROUP BY k HAVING count(*) FILTER (WHERE p = k OR t = k) > 0)
+SELECT round(avg(tp / greatest(tp + fp, 1)), 9) AS precision, round(avg(tp / greatest(tp + fn, 1)), 9) AS recall, round(avg(2 * tp / greatest(2 * tp + fp + fn, 1)), 9) AS dice, round(avg(tp / greatest(tp + fp + fn, 1)), 9) AS iou FROM c""")
+def macro_metrics(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    pred = docs.join(labels, "doc_id", "left_semi").select("doc_id", F.when(F.col("n_chars") > 2000, 3).when(F.col("n_chars") > 800, 2).otherwise(1).cast("long").alias("v"))
+    truth = labels.select("doc_id", (1 + F.col("quality") + F.col("toxic")).cast("long").alias("v"))
+    found = metrics.macro(metrics.confusion(pred, truth, None, ["doc_id"]))
+    return found.select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "dice", "iou")])
+
+
+@query("""WITH i AS (SELECT c_custkey AS image_id, c_nationkey AS truth_id FROM customer), c AS (SELECT o_custkey AS image_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE (o_orderkey % 25)::INT END AS truth, o_orderkey AS coverage_id FROM orders)
+SELECT i.image_id, i.truth_id, (SELECT c.coverage_id FROM c WHERE c.image_id = i.image_id AND (c.truth IS NULL OR c.truth = i.truth_id) ORDER BY c.truth IS NULL, c.coverage_id LIMIT 1) AS coverage_id FROM i""")
+def coverage_association(spark, sf_dir):
+    images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"), F.col("c_nationkey").alias("truth_id"))
+    o = table(spark, sf_dir, "orders")
+    made = o.select(F.col("o_custkey").alias("image_id"), F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") % 25).cast("int")).alias("truth_id"), F.col("o_orderkey").alias("coverage_id"))
+    return patches.associate(images, made)
