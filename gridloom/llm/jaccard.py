@@ -446,3 +446,15 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = docs.where(~wordless).withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")))
     rows = rows.join(keys, "_key", "left_semi").withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
     return rows.where("_copy = 1").select(*docs.columns).unionByName(docs.where(wordless))
+
+
+#: doc_id, n_shingles and component_id in DuckDB SQL, by brute force over shared shingles.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(id, c) USING KEY (id) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, min(r.c) FROM r JOIN e ON e.a = r.id JOIN recurring.r q ON q.id = e.b GROUP BY e.b, q.c HAVING min(r.c) < q.c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id
+"""

@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rules": rules.SQL, "op6_line_dedup": linededup.SQL}
+    return {"op5_rules": rules.SQL, "op6_line_dedup": linededup.SQL, "op9_jaccard": jaccard.SQL}
