@@ -31,15 +31,17 @@ from gridloom.llm.ngrams import SPACES, mix64, span_hashes, spans
 from gridloom.operators.graph import connected_components
 
 WORDS, PERCENT = 5, 80
+#: Longer prefixes by this part of a set, so that sharing a passage alone doesn't make a candidate.
+EXTRA = 5
 #: Slots of the count of shingles (its size doesn't grow with the corpus) and parts it is summed in.
 SLOT_BITS, PARTS = 20, 64
 #: Prefix entries of an index bucket, about; sets whose ids are broadcast at most; lists' block size.
-BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 300_000, 1_000_000, 256
+BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 600_000, 1_000_000, 256
 
 #: Rounds of proposals at most; what they leave is found by the last step.
 ROUNDS = 4
 #: Orders of the lists that a round after the first proposes pairs by.
-SEEDS = 6
+SEEDS = 4
 #: A pair is proposed if its sets could link when sharing so many times what one way has seen of them.
 SEEN = 1.3
 
@@ -89,9 +91,17 @@ def set_ids(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, out.view(np.int64)
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """n - ceil(0.8 n) + 1 for sets of n shingles."""
-    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+def prefix_length(n):
+    """Shingles of a set that are indexed: enough for two linked sets to share least_shared() of them."""
+    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + least_shared(n), 0)
+
+
+def least_shared(n):
+    """How many indexed shingles two linked sets share at least, if the larger one has n.
+
+    They have 0.8 n in common; at most n less 0.8 n of a prefix are not among them.
+    """
+    return 1 + EXTRA * n // 100
 
 
 def needed(a, b):
@@ -106,7 +116,7 @@ def after_prefix(n):
     whose prefix ends there has only these. So two sets have at most as many in common as their
     prefixes do, and the larger of these two numbers.
     """
-    return (PERCENT * n + 99) // 100 - 1
+    return (PERCENT * n + 99) // 100 - least_shared(n)
 
 
 def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +345,7 @@ def possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def enough(shared: Column) -> Column:
     """possible_pairs()'s bound on columns na and nb."""
     need = F.floor((PERCENT * (F.col("na") + F.col("nb")) + 99 + PERCENT) / F.lit(100 + PERCENT))
-    rest = lambda n: F.ceil(PERCENT * F.col(n) / F.lit(100)) - 1
+    rest = lambda n: F.ceil(PERCENT * F.col(n) / F.lit(100)) - 1 - F.floor(EXTRA * F.col(n) / F.lit(100))
     return shared + F.greatest(rest("na"), rest("nb")) >= need
 
 
@@ -389,12 +399,14 @@ def join_sets(docs: DataFrame) -> DataFrame:
     volume = texts.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
 
     def lists(df: DataFrame, entries_: float, kernel, schema: str) -> DataFrame:
-        buckets = 2 * (int(entries_ // BUCKET_ENTRIES) + 1)
+        buckets = 2 * int(entries_ // BUCKET_ENTRIES) + 3
         return df.mapInArrow(entries(buckets), DEALT).groupBy("bucket").applyInArrow(kernel, schema)
 
     every = texts.where("n > 0").select("sid", F.col("sid").alias("label"), "n", "prefix")
     shared = lists(every, volume, shared_entries, "sid long, n long, part binary")
     sets = materialize(shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("part").alias("prefix")), "jaccard-open")
+    # sets with fewer shared shingles than any link needs are done
+    sets = sets.where(F.aggregate("prefix", F.lit(0), lambda c, p: c + F.length(p)) >= 8 * (1 + F.floor(EXTRA * F.col("n") / F.lit(100))))
     volume = sets.agg(F.sum(F.aggregate("prefix", F.lit(0), lambda s, p: s + F.length(p)) / 8)).first()[0] or 0
     labelled, links, tried = sets.withColumn("label", F.col("sid")), None, None
     for round_ in range(ROUNDS):
@@ -420,8 +432,8 @@ def join_sets(docs: DataFrame) -> DataFrame:
         labelled = materialize(labelled.drop("label").join(labels, "sid", "left").select("sid", "n", "prefix", F.coalesce("c", "sid").alias("label")), "jaccard-labelled")
     partners = lists(labelled, volume, across, "a long, n long, partners binary").groupBy("a").agg(F.max("n").alias("n"), F.collect_list("partners").alias("partners"))
     more = partners.mapInArrow(possible_pairs, "a long, b long, na long, nb long")
-    for x, y in (("a", "b"), ("b", "a")):
-        more = more.join(tried.select(F.col(x).alias("a"), F.col(y).alias("b")), ["a", "b"], "left_anti")
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = more.join(known, ["a", "b"], "left_anti")  # possible pairs have the smaller id first
     more = materialize(more, "jaccard-more")
     last = materialize(verified(more, docs, holders).where(linked()).select("a", "b"), "jaccard-last")
     roots = connected_components(links.unionByName(last), "a", "b")
