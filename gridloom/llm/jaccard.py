@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from gridloom.llm.common import materialize, small_batches, text_array, utf8_parts
 from gridloom.llm.ngrams import SPACES, mix64, span_hashes, spans
 from gridloom.operators.graph import connected_components
+from gridloom.plans.shared import free_shuffles
 
 WORDS, PERCENT = 5, 80
 #: Longer prefixes by this part of a set, so that sharing a passage alone doesn't make a candidate.
@@ -36,12 +37,12 @@ EXTRA = 5
 #: Slots of the count of shingles (its size doesn't grow with the corpus) and parts it is summed in.
 SLOT_BITS, PARTS = 20, 64
 #: Prefix entries of an index bucket, about; sets whose ids are broadcast at most; lists' block size.
-BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 600_000, 1_000_000, 256
+BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 1_000_000, 1_000_000, 256
 
 #: Rounds of proposals at most; what they leave is found by the last step.
 ROUNDS = 4
 #: Orders of the lists that a round after the first proposes pairs by.
-SEEDS = 4
+SEEDS = 2
 #: A pair is proposed if its sets could link when sharing so many times what one way has seen of them.
 SEEN = 1.3
 
@@ -405,6 +406,7 @@ def join_sets(docs: DataFrame) -> DataFrame:
     every = texts.where("n > 0").select("sid", F.col("sid").alias("label"), "n", "prefix")
     shared = lists(every, volume, shared_entries, "sid long, n long, part binary")
     sets = materialize(shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("part").alias("prefix")), "jaccard-open")
+    free_shuffles(spark)
     # sets with fewer shared shingles than any link needs are done
     sets = sets.where(F.aggregate("prefix", F.lit(0), lambda c, p: c + F.length(p)) >= 8 * (1 + F.floor(EXTRA * F.col("n") / F.lit(100))))
     volume = sets.agg(F.sum(F.aggregate("prefix", F.lit(0), lambda s, p: s + F.length(p)) / 8)).first()[0] or 0
@@ -423,6 +425,7 @@ def join_sets(docs: DataFrame) -> DataFrame:
         best = sides.groupBy("label", "way").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("shared", "a", "b")).alias("best"))
         best = materialize(best.select("best.*").distinct(), "jaccard-best")
         found = materialize(verified(best, docs, holders), "jaccard-tried")
+        free_shuffles(spark)
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
         new = found.where(linked()).select("a", "b")
         links = new if links is None else links.unionByName(new)
@@ -435,6 +438,7 @@ def join_sets(docs: DataFrame) -> DataFrame:
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = more.join(known, ["a", "b"], "left_anti")  # possible pairs have the smaller id first
     more = materialize(more, "jaccard-more")
+    free_shuffles(spark)
     last = materialize(verified(more, docs, holders).where(linked()).select("a", "b"), "jaccard-last")
     roots = connected_components(links.unionByName(last), "a", "b")
     placed = groups.join(roots.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "copies", "doc_id", F.coalesce("component", "sid").alias("root"))
