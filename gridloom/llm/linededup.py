@@ -6,12 +6,19 @@ boundary beyond their neighbourhood, and chunks have three lines on average and
 several lines, and passages, that occur more than once in the corpus are compared byte by byte with
 their first occurrence (smallest doc_id, then position) and removed where they are equal to it.
 
+Chunks lose the ends of a repeated passage, and short ones whole. So a second, overlapping level takes
+each shortest run of lines of ``PASSAGE`` words or more, from every line on and back from every line:
+together they cover each line of any passage of so many words. Runs are compared with their first
+occurrence by SHA-256, since the overlapping texts would be moved many times over. The registered SQL
+knows chunks only, so its query leaves this level out.
+
 Null texts stay null and empty ones empty. Chunks of blank lines stay. Rows with equal doc_id
 and text count as one document: repeated rows keep the same chunks. A null doc_id sorts first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +75,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.where(F.length(F.trim(F.translate("chunk", "\n\t\r", "   "))) > 0)
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, start, n, chunk): the shortest runs of PASSAGE words or more; chunk: their SHA-256."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.split("text", "\n", -1).alias("lines"))
+    owners = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(r"\S+")))))  # the line of each word
+    words = lines.select(*KEY, "lines", owners.alias("owners")).where(F.size("owners") >= PASSAGE)
+    at = lambda k: F.get(F.col("owners"), k)
+    heads = F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda k: (k == 0) | (at(k) != at(k - 1)))
+    words = words.select(*KEY, "lines", "owners", heads.alias("heads"))
+    run = lambda a, b: F.when((a >= 0) & (b < F.size("owners")), F.struct(at(a).alias("start"), (at(b) - at(a) + 1).alias("n")))
+    ahead = F.transform("heads", lambda k: run(k, k + (PASSAGE - 1)))
+    back = F.transform("heads", lambda k: run(k - PASSAGE, k - 1))  # ends before the line of this word
+    last = F.array(run(F.size("owners") - PASSAGE, F.size("owners") - 1))
+    runs = F.array_distinct(F.filter(F.concat(ahead, back, last), lambda r: r.isNotNull()))
+    rows = words.select(*KEY, "lines", F.explode(runs).alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.n").alias("n"), "lines")
+    return rows.select(*KEY, "start", "n", F.unhex(F.sha2(F.array_join(F.slice("lines", F.col("start") + 1, F.col("n")), "\n").cast("binary"), 256)).alias("chunk"))
+
+
 def hashes() -> list[Column]:
     return [F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2")]
 
@@ -76,45 +100,56 @@ def same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, start, n) of the chunks to remove: equal, byte by byte, to an earlier one."""
+def repeated_spans(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, start, n) of the chunks to remove: equal to an earlier one.
+
+    Of a chunk that overlaps its own first occurrence only the lines after that go.
+    """
     place = [*KEY, "start", "n"]
-    narrow = materialize(chunks(docs).select(*place, *hashes()), "lines-chunks")
+    narrow = materialize(parts_of(docs).select(*place, *hashes()), "lines-chunks")
     total = narrow.count()
     first = F.min(F.struct("doc_id", "start", "digest")).alias("first")
     repeats = materialize(narrow.groupBy("h1", "h2").agg(F.count("*").alias("copies"), first).where("copies > 1"), "lines-repeats")
     known = repeats.select("h1", "h2", "first", (F.col("copies") > total * HOT_SHARE).alias("hot"))
     if repeats.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    found = chunks(docs).select(*place, "chunk", *hashes()).join(known, ["h1", "h2"])
+    found = parts_of(docs).select(*place, "chunk", *hashes()).join(known, ["h1", "h2"])
     lead = F.struct("doc_id", "start", "digest").eqNullSafe(F.col("first"))
-    found = materialize(found.select(*place, "h1", "h2", "hot", "chunk", lead.alias("lead")), "lines-found")
+    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest"))
+    skip = F.when(own, F.greatest(F.lit(0), F.col("first.start") + F.col("n") - F.col("start"))).otherwise(0)
+    found = materialize(found.select(*place, "h1", "h2", "hot", "chunk", lead.alias("lead"), skip.alias("skip")), "lines-found")
     later = found.where("NOT lead").alias("later")
     firsts = found.where("lead").dropDuplicates(["h1", "h2"]).select("h1", "h2", "hot", F.col("chunk").alias("original"))
     parts = []
     for hot in (True, False):
         originals = firsts.where(F.col("hot") == hot).drop("hot")
         pair = later.where(F.col("hot") == hot).join(F.broadcast(originals) if hot else originals, ["h1", "h2"])  # hot: under 1 / HOT_SHARE rows
-        parts.append(pair.where(F.col("chunk") == F.col("original")).select(*place))
+        parts.append(pair.where(F.col("chunk") == F.col("original")).select(*KEY, (F.col("start") + F.col("skip")).alias("start"), (F.col("n") - F.col("skip")).alias("n")))
     return parts[0].unionByName(parts[1])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
     """``docs`` with repeated chunks taken from ``text``, and ``n_lines`` and ``n_removed_lines`` (long).
 
-    Columns of docs that are already named so are replaced.
+    Columns of docs that are already named so are replaced. Without ``whole`` only content-defined
+    chunks go, as in ``SQL``.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed_lines")]
-    spans = repeated_spans(docs).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "_spans")
+    spans = repeated_spans(chunks, docs)
+    if whole:
+        spans = spans.unionByName(repeated_spans(passages, docs))
+    spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
+    gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), gone.alias("_gone"))
     rows = docs.select(*own, F.col("text").alias("_text"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_digest")), "left")
-    lines = F.split("_text", "\n", -1)
-    gone = F.expr("aggregate(_spans, 0L, (a, s) -> a + s.n)")
-    kept = F.filter(lines, lambda x, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
-    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return both.select(*own, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed_lines"))
+    both = both.select(*own, "_text", "_gone", F.split("_text", "\n", -1).alias("_lines"))
+    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
+    kept = F.transform(F.array_except(numbers, "_gone"), lambda i: F.get(F.col("_lines"), i))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+    return both.select(*own, text.alias("text"), n_lines.alias("n_lines"), removed.alias("n_removed_lines"))
 
 
 #: The same rows in DuckDB SQL.

@@ -49,7 +49,7 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

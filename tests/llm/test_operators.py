@@ -348,6 +348,31 @@ def test_repeated_passages_go_but_the_first(spark):
     assert all(set(out[i].split("\n")) <= set(texts[i].split("\n")) for i in texts)
 
 
+@pytest.mark.parametrize("m", [2, 3, 4, 5, 8])
+def test_passages_of_few_lines_go_whole(spark, m):
+    rng = random.Random(m)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    around = lambda: [words(rng.randint(3, 12)) for _ in range(rng.randint(1, 6))]
+    docs, passages = [], []
+    for i in range(20):
+        each = [50 // m + 1] * m if i % 2 else [40, *[3] * (m - 2), 13 + m]
+        passages.append([words(n) for n in each])
+        docs += [(2 * i, [*around(), *passages[i], *around()]), (2 * i + 1, [*around(), *passages[i], *around()])]
+    rows = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in docs], "doc_id long, text string")
+    out = {r.doc_id: r for r in linededup.dedup_lines(rows).collect()}
+    for i, lines in docs:
+        want = [x for x in lines if not i % 2 or x not in passages[i // 2]]
+        assert out[i].text == "\n".join(want) and out[i].n_removed_lines == len(lines) - len(want)
+
+
+def test_repeats_within_a_document_leave_their_first_passage(spark):
+    lines = ["one two three four five six seven eight nine ten"] * 40
+    rows = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["head", *lines, "tail"]))], "doc_id long, text string")
+    spans = linededup.repeated_spans(linededup.passages, rows).collect()
+    gone = {i: {k for r in spans if r.doc_id == i for k in range(r.start, r.start + r.n)} for i in (1, 2)}
+    assert gone[1] == set(range(5, 40)) and gone[2] == set(range(1, 41))
+
+
 # ---- Jaccard join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
