@@ -5,8 +5,7 @@ corpus (all documents), give each bucket a log-likelihood ratio. A text's verdic
 per n-gram against a fixed threshold, the same for every document. Weights are rounded to integers
 so that sums don't depend on their order.
 
-The target may be a bounded sample of trusted rows (``max_target``, by a hash of the id); the raw
-corpus is counted whole. Null and empty texts have no words and fail the base rules; a text
+The target is every trusted row and the raw corpus every document. Null and empty texts have no words and fail the base rules; a text
 without an n-gram has a ratio of 0. Without target texts all ratios are 0.
 """
 
@@ -29,6 +28,8 @@ GRAM, BITS = 4, 16
 UNIT = 1 << 20
 #: A text with a smaller mean log-likelihood ratio goes.
 THRESHOLD = -0.5
+#: Trusted ids that are broadcast at most; beyond, the join is shuffled.
+BROADCAST_ROWS = 500_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANK = " \t\n\x0b\x0c\r"
@@ -79,11 +80,13 @@ def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.floor((p - q) * UNIT + 0.5).astype(np.int64)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, max_target: int = 20_000) -> np.ndarray:
+def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Ratios from all documents and the ids of trusted ones."""
     small_batches(docs.sparkSession)
-    sample = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).withColumn("yes", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", F.col("yes").isNotNull().alias("trusted"))  # max_target rows at most
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("yes", F.lit(True))
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.col("yes").isNotNull().alias("trusted"))
     rows = flagged.mapInArrow(count_grams, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # 2 ** BITS rows at most
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for r in rows:

@@ -324,6 +324,13 @@ def test_rules_of_odd_documents(spark):
     assert rules.apply_rules(no_docs(spark), rules.fit(no_docs(spark), trusted)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 100])
+def test_every_trusted_row_counts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", broadcast, raising=False)
+    docs = spark.range(20_400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.md5(F.col("id").cast("string"))).alias("text"))
+    assert not rules.fit(docs, docs).any()  # trusted and raw are the same
+
+
 def test_base_counts():
     assert rules.base_counts("a b c a b c x\n#x\n#x\n\n") == (9, 11, 2, 1, 6)
     assert rules.base_counts("") == (0, 0, 0, 0, 0)
