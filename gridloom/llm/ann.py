@@ -3,7 +3,7 @@
 Vectors are scaled to length 1 and rotated by a random orthogonal matrix, so that the first
 dimensions of a difference are a random projection of it. k-means centroids, fitted on a bounded
 sample (``max_sample`` rows by a hash of the id), part all vectors into lists. A query reads the
-nearest lists. Within a list the rotated vectors are read in column blocks: after each block a
+nearest lists, and further ones until they hold k other vectors. Within a list the rotated vectors are read in column blocks: after each block a
 candidate whose partial distance is too large for the hypothesis that it belongs to the best k
 is abandoned. Survivors get the exact cosine of the original vectors in double precision.
 
@@ -127,7 +127,7 @@ def search(vectors: DataFrame, query_filter, k: int = 5, max_sample: int = 20_00
 
     The sample's square root gives the number of lists. So many of them are read for a query as
     brute force within the sample needs for ``recall``: few for clustered vectors, more than
-    half for vectors without structure.
+    half for vectors without structure. A query whose lists hold fewer than k others reads more.
     """
     rows = valid(vectors.select("vec_id", F.col(column).cast("array<double>").alias("v")), "v")
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -142,20 +142,30 @@ def search(vectors: DataFrame, query_filter, k: int = 5, max_sample: int = 20_00
     probes = probes_for(known, centers, k, recall)
     rows = rows.where(F.size("v") == dim)
 
-    def lists_of(n: int):
+    def lists_of(n: int, ids: np.ndarray | None):
+        """The n nearest lists; with the numbers of ids, more until k + 1 ids are in them."""
+
         def apply(batches):
             for batch in batches:
-                near = nearest_lists(unit(stack(batch.column(1), dim)) @ turn, centers, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+                near = nearest_lists(unit(stack(batch.column(1), dim)) @ turn, centers, n if ids is None else len(centers))
+                if ids is not None:
+                    short = (np.cumsum(ids[near], axis=1) < k + 1).sum(axis=1) + 1
+                    near = [row[:m] for row, m in zip(near, np.maximum(short, n))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.astype(np.int32) for row in near], pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
 
         return apply
 
-    def assigned(df: DataFrame, n: int) -> DataFrame:
-        return df.mapInArrow(lists_of(n), "vec_id long, v array<double>, lists array<int>").select("vec_id", "v", F.explode("lists").alias("list"))
-
-    members, queries = assigned(rows, 1), assigned(rows.where(query_filter), probes)
-    blocks = lambda df: {r.list: -(-r.n // BLOCK) for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # noqa: E731  a row for each list
-    m_blocks, q_blocks = blocks(members), blocks(queries)
+    def assigned(df: DataFrame, n: int, ids: np.ndarray | None = None) -> DataFrame:
+        return df.mapInArrow(lists_of(n, ids), "vec_id long, v array<double>, lists array<int>").select("vec_id", "v", F.explode("lists").alias("list"))
+
+    members = assigned(rows, 1)
+    held = members.groupBy("list").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")).collect()  # a row for each list
+    ids = np.zeros(len(centers), np.int64)
+    for r in held:
+        ids[r.list] = r.ids
+    queries = assigned(rows.where(query_filter), probes, ids)
+    m_blocks = {r.list: -(-r.n // BLOCK) for r in held}
+    q_blocks = {r.list: -(-r.n // BLOCK) for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect()}
     table = rows.sparkSession.createDataFrame([(i, m_blocks.get(i, 0), q_blocks.get(i, 0)) for i in range(len(centers))], "list int, mb int, qb int").where("mb > 0 AND qb > 0")
     salt = F.xxhash64("vec_id")
     members = members.join(F.broadcast(table), "list").select("list", F.pmod(salt, F.col("mb")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "vec_id", "v")

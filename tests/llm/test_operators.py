@@ -466,6 +466,19 @@ def test_recall_against_brute_force(spark, sf_dir):
     assert hits / total >= 0.9
 
 
+def test_an_outlier_gets_k_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(0, 0.01, (40, 8)) + np.eye(8)[0]
+    vectors[7] = np.eye(8)[1]
+    centers = lambda x, k: x[[np.argmin(x @ x.mean(axis=0)), np.argmax(x @ x.mean(axis=0))]]  # noqa: E731  the outlier's and one of the others
+    monkeypatch.setattr(ann, "kmeans", centers)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in ann.search(df, F.lit(True), 5).collect())
+    assert got == {i: 5 for i in range(40)}
+    few = ann.search(df.where("vec_id < 10"), F.lit(True), 12).collect()
+    assert Counter(r.query_id for r in few) == {i: 9 for i in range(10)}
+
+
 def test_search_with_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [0.0, 2.0]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
