@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.numbering import number_rows
 from gridloom.operators import algebra, components, edits, library, pyramid, rects
+from gridloom.operators import graph
 from gridloom.operators.graph import connected_components
 
 
@@ -82,6 +83,15 @@ def test_graph_of_texts_and_loops(spark):
     assert {r.node: r.component for r in connected_components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "z": "z"}
 
 
+def test_contracted_parts_meet_in_star_steps(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 40)
+    pairs = [(i, i + 1) for i in range(150) if i % 50 != 49] + [(200, 300), (300, 250), (7, 7), (999, 999)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    expected = {i: i // 50 * 50 for i in range(150)} | {200: 200, 250: 200, 300: 200, 999: 999}
+    assert found == expected
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_grid_edges_and_missing_steps(spark):
     df = spark.createDataFrame([(0.0, 0.0), (3.999, 5.999), (4.0, 6.0), (10.0, 14.0)], "centroid_y double, centroid_x double")
     assert [r.grid_id for r in components.grid_address(df, 4, 6).collect()] == ["R00C00", "R00C00", "R01C01", "R02C02"]
