@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a kernel works on at once (a longer text alone).
+SLICE_BYTES = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of so many bytes of a column at most, or of one row."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        reach, first = np.cumsum(length), 0
+        while first < batch.num_rows:
+            done = reach[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(reach, done + size, side="right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, by rows and (where known) by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

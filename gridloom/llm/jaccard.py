@@ -2,18 +2,26 @@
 
 A text's set is its distinct word shingles. All shingles follow one order, rare ones first by a
 fixed-size count of the whole corpus; two sets that link share shingles in their prefixes under
-it. Equal sets are joined as one. An inverted index over the prefixes is dealt out by shingle.
-
-Index lists are sorted by size and read in blocks: a block is skipped whole when its sizes rule
-out a link. Answers are derived from those of highly similar sets: in rounds, each component so far
-is compared with few sets only, the leader of its lists and its neighbour in them by size; where
-they prove similar, both take over each other's component, and need no further comparison
-within it. Last, all pairs of different components whose count of shared prefix shingles leaves a
-link possible are verified on the whole sets. No pair that could join two components is lost.
+it. Equal sets are joined as one. Shingles of prefixes are dealt out once, to find those that two sets
+share; sets that share too few for any link are done.
+
+Answers of similar sets: for a few random orders of shingles, sets with the same least shingle meet the one
+of them that shares most of its prefix, the hub. Hubs' pairs are compared on whole texts; sets that link
+take over each other's component. Then an inverted index over the shared shingles, its lists sorted by
+size, is read in blocks: a block is skipped by its sizes, by the unshared shingles of its sets, and an entry by
+its position (how many shared shingles come before it, and how many shingles after). Pairs within a component need no
+comparison. For pairs of other components whose counts leave a link possible, the answer is derived
+from the overlap of their hubs and the known differences between a set and its hub; where that doesn't
+decide, the whole texts are compared. No pair that could join two components is lost.
+
+Candidates come from 64-bit hashes and 32-bit parts of them, where equal hashes of different shingles only
+add candidates. Links are decided on words: the hashes of a comparison are checked against
+the bytes. Sets are told apart by 128 bits.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Fewer words
 than a shingle make one shingle. Repeated rows have equal sets. A null doc_id takes no part in the
-smallest id of its component. Hashes of 64 bits stand for shingles and sets.
+smallest id of its component; a component of such rows alone has none. Very long texts are read whole, in
+slices of their own. An empty table gives no rows. Other columns than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -22,29 +30,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from gridloom.llm.common import materialize, small_batches, text_array, utf8_parts
+from gridloom.llm.common import materialize, slices, text_array, utf8_parts
 from gridloom.llm.ngrams import SPACES, mix64, span_hashes, spans
 from gridloom.operators.graph import connected_components
-from gridloom.plans.shared import free_shuffles
 
 WORDS, PERCENT = 5, 80
 #: Longer prefixes by this part of a set, so that sharing a passage alone doesn't make a candidate.
 EXTRA = 5
 #: Slots of the count of shingles (its size doesn't grow with the corpus) and parts it is summed in.
 SLOT_BITS, PARTS = 20, 64
-#: Prefix entries of an index bucket, about; sets whose ids are broadcast at most; lists' block size.
-BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 1_000_000, 1_000_000, 256
-
-#: Rounds of proposals at most; what they leave is found by the last step.
-ROUNDS = 4
-#: Orders of the lists that a round after the first proposes pairs by.
-SEEDS = 2
-#: A pair is proposed if its sets could link when sharing so many times what one way has seen of them.
-SEEN = 1.3
+#: Entries that a bucket of lists holds about, ids that are broadcast at most, entries of a block.
+BUCKET_ENTRIES, BROADCAST_IDS, BLOCK = 500_000, 1_000_000, 256
+#: Entries of a list that one task reads; longer lists are dealt as pairs of chunks of this size.
+LIST = 20_000
+#: Distinct pairs that a task holds before it writes what it has counted of them.
+HELD_PAIRS = 2_000_000
+#: Random orders of shingles in each of two rounds.
+SEEDS, ROUNDS = 3, 2
+#: Sets are numbered in blocks of so many bits.
+SET_BITS = 12
 
 #: Lower case of A-Z alone.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,27 +60,43 @@ _LOWER[65:91] += 32
 _STEPS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(strings: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles, sorted by both."""
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(sorted_) else np.zeros(1, np.int64)
+
+
+def _split(raw: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Binary parts of an array, from cut to cut."""
+    data, cut = raw.tobytes(), np.asarray(cut) * raw.dtype.itemsize
+    return pa.array([data[a:b] for a, b in zip(cut, cut[1:])], pa.binary())
+
+
+def shingle_words(strings: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(row, first word, number of words, hash) of each shingle in order, and (bytes, start, end, hash) of the words."""
     data, offsets = utf8_parts(strings)
     start, end, row = spans(data, offsets, SPACES)
-    h = span_hashes(_LOWER[data], start, end)
+    data = _LOWER[data]
+    h = span_hashes(data, start, end)
     count = np.bincount(row, minlength=len(strings))
+    first, length = np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         size = len(h) - words + 1
-        rows = hashes = np.zeros(0, np.int64)
+        hashes = np.zeros(0, np.uint64)
         if size > 0:
             total = np.zeros(size, np.uint64)
             for k in range(words):
                 total += h[k : k + size] * _STEPS[k]
-            whole = row[:size] == row[words - 1 :]
-            rows, hashes = row[:size][whole], mix64(total[whole])
+            first = np.flatnonzero(row[:size] == row[words - 1 :])
+            hashes, length = mix64(total[first]), np.full(len(first), words)
         few = np.flatnonzero((count > 0) & (count < words))
         if len(few):
-            first = np.searchsorted(row, few)
-            short = [mix64(np.array([(h[f : f + count[r]] * _STEPS[: count[r]]).sum() + np.uint64(count[r])], np.uint64))[0] for r, f in zip(few, first)]
-            rows, hashes = np.append(rows, few), np.append(hashes.astype(np.uint64), np.array(short, np.uint64))
-    hashes = hashes.astype(np.uint64)
+            begin = np.searchsorted(row, few)
+            short = [mix64(np.array([(h[f : f + count[r]] * _STEPS[: count[r]]).sum() + np.uint64(count[r])], np.uint64))[0] for r, f in zip(few, begin)]
+            first, hashes, length = np.append(first, begin), np.append(hashes, np.array(short, np.uint64)), np.append(length, count[few])
+    return row[first], first, length, hashes, (data, start, end, h)
+
+
+def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
     new = np.ones(len(rows), bool)
@@ -80,21 +104,52 @@ def shingle_sets(strings: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.
     return rows[new], hashes[new]
 
 
-def set_ids(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(size, id) of each row's set; 0, 0 for an empty one."""
+def shingle_sets(strings: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles, sorted by both."""
+    rows, _, _, hashes, _ = shingle_words(strings, words)
+    return distinct(rows, hashes)
+
+
+def faithful(first: np.ndarray, length: np.ndarray, hashes: np.ndarray, words: tuple) -> bool:
+    """Whether equal hashes stand for equal words, and for equal shingles, throughout."""
+    data, start, end, h = words
+    if not len(h):
+        return True
+    _, leader, code = np.unique(h, return_index=True, return_inverse=True)
+    size, like = end - start, leader[code]
+    if not np.array_equal(size, size[like]):
+        return False
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    if not np.array_equal(data[within + np.repeat(start, size)], data[within + np.repeat(start[like], size)]):
+        return False
+    _, leader, place = np.unique(hashes, return_index=True, return_inverse=True)
+    if not np.array_equal(length, length[leader[place]]):
+        return False
+    code = np.append(code, np.full(WORDS, -1))
+    return all(np.array_equal(np.where(k < length, code[first + k], -1), np.where(k < length, code[first[leader[place]] + k], -1)) for k in range(WORDS))
+
+
+def exact_sets(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() by words: codes that are equal only for equal shingles within this call."""
+    rows, first, length, hashes, words = shingle_words(strings)
+    if not faithful(first, length, hashes, words):  # two words or shingles with one hash: number them one by one
+        data, start, end, _ = words
+        raw, codes = data.tobytes(), {}
+        hashes = np.array([codes.setdefault(tuple(raw[start[w] : end[w]] for w in range(f, f + k)), len(codes)) for f, k in zip(first, length)], np.uint64)
+    return distinct(rows, hashes)
+
+
+def set_ids(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, id, second id) of each row's set; 0, 0, 0 for an empty one."""
     size = np.bincount(rows, minlength=n)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((2, n), np.uint64)
     some = np.flatnonzero(size)
     if len(some):
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)), np.searchsorted(rows, some))
-            out[some] = mix64(sums + size[some].astype(np.uint64))
-    return size, out.view(np.int64)
-
-
-def prefix_length(n):
-    """Shingles of a set that are indexed: enough for two linked sets to share least_shared() of them."""
-    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + least_shared(n), 0)
+            for k, salt in enumerate((0x5851F42D4C957F2D, 0x9FB21C651E98DF25)):
+                sums = np.add.reduceat(mix64(hashes ^ np.uint64(salt)), np.searchsorted(rows, some))
+                out[k, some] = mix64(sums + size[some].astype(np.uint64))
+    return size, out[0].view(np.int64), out[1].view(np.int64)
 
 
 def least_shared(n):
@@ -105,24 +160,29 @@ def least_shared(n):
     return 1 + EXTRA * n // 100
 
 
+def prefix_length(n):
+    """Shingles of a set that are indexed: enough for two linked sets to share least_shared() of them."""
+    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + least_shared(n), 0)
+
+
 def needed(a, b):
     """The least overlap of two linked sets: the smallest i with 100 i >= 80 (a + b - i)."""
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
-def after_prefix(n):
+def after(n: str) -> str:
     """Shingles of a set beyond its prefix.
 
     Common shingles up to the earlier end of two prefixes are in both of them; beyond it, the set
     whose prefix ends there has only these. So two sets have at most as many in common as their
     prefixes do, and the larger of these two numbers.
     """
-    return (PERCENT * n + 99) // 100 - least_shared(n)
+    return f"(({PERCENT} * {n} + 99) DIV 100 - 1 - ({EXTRA} * {n}) DIV 100)"
 
 
 def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOT_BITS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         _, hashes = shingle_sets(text_array(batch))
         counts += np.bincount((hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
     parts = counts.reshape(PARTS, -1)
@@ -151,18 +211,15 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
 
 def prefixes(classes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
+        for batch in slices(batches):
             rows, hashes = shingle_sets(text_array(batch))
-            size, ids = set_ids(rows, hashes, n)
+            size, *ids = set_ids(rows, hashes, batch.num_rows)
             kind = classes[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
             order = np.lexsort((hashes, kind, rows))
             place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
             keep = place < np.repeat(prefix_length(size), size)
-            cut = np.concatenate([[0], np.cumsum(prefix_length(size))]) * 8
-            raw = hashes[order][keep].tobytes()
-            binary = pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(ids), binary], ["doc_id", "digest", "n", "sid", "prefix"])
+            binary = _split(hashes[order][keep], np.concatenate([[0], np.cumsum(prefix_length(size))]))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 2, 3)] + [pa.array(size, pa.int64()), *map(pa.array, ids), binary], ["doc_id", "d1", "d2", "n", "sid", "sid2", "prefix"])
 
     return apply
 
@@ -179,289 +236,406 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 8
         yield pa.concat_batches(held)
 
 
-def entries(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deal the shingles of (sid, label, n, prefix) into buckets; a row holds a batch's part of one bucket.
+#: Stands in a list for entries of other tasks that are known to be shared.
+WITNESS = np.uint16(0xFFFF)
+ENTRIES = "bucket int, block long, own binary, pos binary, hash binary"
+
+
+def dealt(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deal the shingles of (set, prefix) into buckets; a row holds a block's part of one bucket.
 
-    Its ``sets`` are the (sid, label, n) of the batch's sets in the bucket, its ``entries`` shingles, its ``owners`` their sets.
+    Shingles that a batch has in two sets are known to be shared. They go to any task, with one witness
+    for each of them in the bucket, so that a shingle of very many sets fills no bucket.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
-            sid, label, n, prefix = (batch.column(batch.schema.get_field_index(c)) for c in ("sid", "label", "n", "prefix"))
-            prefix = [b"".join(p) if isinstance(p, list) else p for p in prefix.to_pylist()]
+            sets, prefix = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             length = np.array([len(p) // 8 for p in prefix], np.int64)
-            hashes, owner = np.frombuffer(b"".join(prefix), "<u8"), np.repeat(np.arange(len(prefix)), length)
-            heads = np.column_stack([sid.to_numpy(), label.to_numpy(), n.to_numpy()]).astype("<i8")
-            bucket = (mix64(hashes) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            found, first = np.unique(bucket[order], return_index=True)
-            rows = []
-            for at, end in zip(first, np.append(first[1:], len(order))):
-                part = order[at:end]
-                own, place = np.unique(owner[part], return_inverse=True)
-                rows.append((heads[own].tobytes(), hashes[part].tobytes(), place.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["bucket", "sets", "entries", "owners"])
+            hashes, owner = mix64(np.frombuffer(b"".join(prefix), "<u8")), np.repeat(np.arange(len(prefix)), length)
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+            order = np.argsort(hashes, kind="stable")
+            edge = _runs(hashes[order])
+            known = np.zeros(len(hashes), bool)
+            known[order] = np.repeat(np.diff(edge) > 1, np.diff(edge))
+            witness = order[edge[:-1][np.diff(edge) > 1]]
+            e = {"hash": np.append(hashes, hashes[witness]), "own": np.append((sets & ((1 << SET_BITS) - 1))[owner], np.full(len(witness), WITNESS)).astype("<u2"), "pos": np.append(pos, np.zeros(len(witness), int)).astype("<u4")}
+            e["block"], e["known"] = np.append((sets >> SET_BITS)[owner], np.full(len(witness), -1)), np.append(known, np.zeros(len(witness), bool))
+            e["bucket"] = ((e["hash"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((e["block"], e["bucket"], e["known"]))
+            e = {k: v[order] for k, v in e.items()}
+            step = (np.diff(e["block"]) != 0) | (np.diff(e["bucket"]) != 0) | (np.diff(e["known"].astype(int)) != 0)
+            cut = np.concatenate([[0], np.flatnonzero(step) + 1, [len(order)]]) if len(order) else np.zeros(1, int)
+            at = cut[:-1]
+            anywhere = (mix64(e["block"][at].astype(np.uint64) * np.uint64(buckets) + e["bucket"][at].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            heads = [pa.array(np.where(e["known"][at], anywhere, e["bucket"][at]), pa.int32()), pa.array(e["known"][at]), pa.array(e["bucket"][at], pa.int32()), pa.array(e["block"][at])]
+            yield pa.RecordBatch.from_arrays(heads + [_split(v, cut) for v in (e["own"], e["pos"], (e["hash"] & np.uint64(0xFFFFFFFF)).astype("<u4"))], ["deal", "known", "bucket", "block", "own", "pos", "hash"])
 
     return apply
 
 
-DEALT = "bucket int, sets binary, entries binary, owners binary"
+def _column(table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def index_lists(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """(columns of the entries sorted by shingle, size, id; first and end of each list with two sets or more)."""
-    hashes, sids, labels, sizes = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64))
-    for sets, raw, owners in zip(*(table.column(c).to_pylist() for c in ("sets", "entries", "owners"))):
-        head, h = np.frombuffer(sets, "<i8").reshape(-1, 3), np.frombuffer(raw, "<u8")
-        own = np.frombuffer(owners, "<u2" if len(owners) == 2 * len(h) else "<u4")
-        for out, new in zip((hashes, sids, labels, sizes), (h, head[own, 0], head[own, 1], head[own, 2])):
-            out.append(new)
-    e = {"hash": np.concatenate(hashes), "sid": np.concatenate(sids), "label": np.concatenate(labels), "n": np.concatenate(sizes)}
+def shared_entries(table: pa.Table) -> pa.Table:
+    """The entries whose shingle another set has too."""
+    known = table.filter(table.column("known")).select(["bucket", "block", "own", "pos", "hash"])
+    open_ = table.filter(pc.invert(table.column("known")))
+    own, pos, h = _column(open_, "own", "<u2"), _column(open_, "pos", "<u4"), _column(open_, "hash", "<u4")
+    size = np.array([len(x) // 2 for x in open_.column("own").to_pylist()], np.int64)
+    block = np.repeat(open_.column("block").to_numpy(), size)
+    order = np.argsort(h, kind="stable")
+    edge = _runs(h[order])
+    kept = order[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+    kept = kept[own[kept] != WITNESS]
+    kept = kept[np.argsort(block[kept], kind="stable")]
+    cut = _runs(block[kept])
+    at = block[kept][cut[:-1]]
+    bucket = np.full(len(at), open_.column("bucket")[0].as_py() if open_.num_rows else 0)
+    found = pa.table([pa.array(bucket, pa.int32()), pa.array(at, pa.int64()), *(_split(v[kept], cut) for v in (own, pos, h))], names=known.column_names)
+    return pa.concat_tables([found, known.cast(found.schema)])
+
+
+def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        sets = np.repeat(batch.column(0).to_numpy() << SET_BITS, [len(r) // 2 for r in raw]) + np.frombuffer(b"".join(raw), "<u2")
+        found, times = np.unique(sets, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["set", "shared"])
 
-    def pick(at: np.ndarray) -> None:
-        for k in e:
-            e[k] = e[k][at]
 
-    pick(np.argsort(e["hash"], kind="stable"))
-    edges = lambda: np.flatnonzero(np.concatenate([[True], e["hash"][1:] != e["hash"][:-1], [True]])) if len(e["hash"]) else np.zeros(1, int)
-    edge = edges()
-    pick(np.flatnonzero(np.repeat(np.diff(edge) > 1, np.diff(edge))))
-    pick(np.lexsort((e["sid"], e["n"], e["hash"])))
-    if len(e["hash"]):  # copies of a set count once
-        pick(np.flatnonzero(np.concatenate([[True], (e["hash"][1:] != e["hash"][:-1]) | (e["sid"][1:] != e["sid"][:-1])])))
-    edge = edges()
-    pick(np.flatnonzero(np.repeat(np.diff(edge) > 1, np.diff(edge))))
-    edge = edges()
-    return e, edge[:-1], edge[1:]
+def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the ids of their sets and the least shingle of these in each random order."""
+    for batch in slices(batches):
+        rows, hashes = shingle_sets(text_array(batch))
+        size, *ids = set_ids(rows, hashes, batch.num_rows)
+        some = np.flatnonzero(size)
+        least = np.zeros((batch.num_rows, SEEDS * ROUNDS), np.uint64)
+        for k in range(SEEDS * ROUNDS):
+            if len(some):
+                least[some, k] = np.minimum.reduceat(mix64(hashes ^ mix64(np.array([k + 1], np.uint64))), np.searchsorted(rows, some))
+        cut = pa.array(np.arange(batch.num_rows + 1) * SEEDS * ROUNDS, pa.int32())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, ids), batch.column(0).cast(pa.string()), pa.ListArray.from_arrays(cut, pa.array(least.ravel().view(np.int64)))], ["sid", "sid2", "text", "least"])
 
 
-def shared_entries(table: pa.Table) -> pa.Table:
-    """(sid, n, part): of each set the shingles that another set has too."""
-    e, _, _ = index_lists(table)
-    order = np.lexsort((e["hash"], e["sid"]))
-    sid, n, h = e["sid"][order], e["n"][order], e["hash"][order]
-    first = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, int)
-    raw, cut = h.tobytes(), np.append(first, len(h)) * 8
-    return pa.table({"sid": sid[first], "n": n[first], "part": pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())})
+def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, common) of pairs with the texts x of a and y of b."""
+    for wide in slices(batches, "x"):
+        for batch in slices(iter([wide]), "y"):
+            sides = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
+            ids, place = np.unique(np.concatenate([s.to_numpy() for s in sides]), return_index=True)
+            both = pa.concat_arrays([text_array(batch, "x"), text_array(batch, "y")]).take(pa.array(place))
+            rows, codes = exact_sets(both)
+            edge = np.searchsorted(rows, np.arange(len(ids) + 1))
+            common = [len(np.intersect1d(codes[edge[x] : edge[x + 1]], codes[edge[y] : edge[y + 1]], assume_unique=True)) for x, y in zip(*(np.searchsorted(ids, s.to_numpy()) for s in sides))]
+            yield pa.RecordBatch.from_arrays([*sides, pa.array(common, pa.int64())], ["a", "b", "common"])
+
+
+def compared(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """pairs (a, b, ...) with how many shingles they have in common, by the whole texts (set, text).
+
+    A set in very many pairs is dealt over several keys.
+    """
+    pairs = materialize(pairs, f"{name}-pairs")
+    many = max(512, pairs.count() // 50_000)
+    sides = pairs.select("a", "b")
+    for key, other, text in (("a", "b", "x"), ("b", "a", "y")):
+        hot = F.broadcast(pairs.groupBy(key).count().where(F.col("count") > many).select(F.col(key).alias("set"), F.ceil(F.col("count") / many).cast("int").alias("parts")))  # 50,000 rows at most
+        part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
+        sides = sides.withColumnRenamed(key, "set").join(hot, "set", "left").withColumn("part", part).drop("parts")
+        dealt_ = texts.select("set", F.col("text").alias(text)).join(hot, "set", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        sides = sides.join(dealt_, ["set", "part"]).drop("part").withColumnRenamed("set", key)
+    found = sides.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long, common long")
+    return materialize(pairs.join(found, ["a", "b"]), name)
+
+
+def linked(common: str = "common") -> Column:
+    return F.expr(f"100 * {common} >= {PERCENT} * (na + nb - {common})")
+
+
+def proposals(sets: DataFrame, seed: int) -> DataFrame:
+    """(a, b, na, nb, hub): in each of SEEDS orders, sets (one of each label) with their least shingle's hub, if labels differ."""
+    least = sets.select("set", "n", "label", (F.col("cap") / F.col("n")).alias("part"), F.posexplode(F.slice("least", seed + 1, SEEDS)).alias("order", "sig"))
+    rank = F.struct("part", (-F.col("set")).alias("first"), "n", "label")
+    own = least.groupBy("order", "sig", "label").agg(F.max(rank).alias("own"))
+    hubs = own.groupBy("order", "sig").agg(F.max("own").alias("hub"), F.count("*").alias("size")).where("size > 1").select("order", "sig", "hub", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    met = own.withColumn("salt", F.pmod(F.xxhash64("label"), F.lit(8)).cast("int")).join(hubs, ["order", "sig", "salt"]).where("own.label <> hub.label")
+    a, b = -F.col("own.first"), -F.col("hub.first")
+    met = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(a < b, F.col("own.n")).otherwise(F.col("hub.n")).alias("na"), F.when(a < b, F.col("hub.n")).otherwise(F.col("own.n")).alias("nb"), b.alias("hub"))
+    return met.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").groupBy("a", "b", "na", "nb").agg(F.max("hub").alias("hub"))
+
+
+LISTS = "deal int, part int, parts int, block long, heads binary, own binary, key binary, rank binary, rest binary"
+HEAD = np.dtype([("set", "<i8"), ("label", "<i8"), ("n", "<i4"), ("cap", "<i4")])
+
+
+def list_entries(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Entries of a block's open sets, with the numbers of shared shingles before and of all shingles after, dealt into buckets."""
+
+    def apply(entries: pa.Table, sets: pa.Table) -> pa.Table:
+        head = np.zeros(sets.num_rows, HEAD)
+        for name in HEAD.names:
+            head[name] = sets.column(name).to_numpy()
+        head = np.sort(head, order="set")
+        size = [len(x) // 2 for x in entries.column("own").to_pylist()]
+        own, pos, h = (_column(entries, c, t) for c, t in (("own", "<u2"), ("pos", "<u4"), ("hash", "<u4")))
+        key = (np.repeat(entries.column("bucket").to_numpy().astype(np.uint64), size) << np.uint64(32)) | h
+        set_ = np.repeat(entries.column("block").to_numpy() << SET_BITS, size) + own
+        place = np.searchsorted(head["set"], set_)
+        keep = place < len(head)
+        keep[keep] = head["set"][place[keep]] == set_[keep]
+        order = np.flatnonzero(keep)[np.lexsort((pos[keep], place[keep]))]
+        place, pos, key = place[order], pos[order].astype(np.int64), key[order]
+        edge = _runs(place)
+        rank = np.arange(len(place)) - np.repeat(edge[:-1], np.diff(edge))
+        rest = head["n"][place] - 1 - pos
+        keep = 100 * (rank + 1 + rest) >= PERCENT * head["n"][place]  # no link shares an entry after too many unshared ones
+        place, key, rank, rest = place[keep], key[keep], rank[keep], rest[keep]
+        deal = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(deal, kind="stable")
+        place, key, rank, rest, cut = place[order], key[order], rank[order], rest[order], _runs(deal[order])
+        rows = []
+        for a, b in zip(cut, cut[1:]):
+            used, local = np.unique(place[a:b], return_inverse=True)
+            rows.append((int(deal[order[a]]), 0, 1, int(head["set"][0] >> SET_BITS), head[used].tobytes(), local.astype("<u2").tobytes(), key[a:b].astype("<u8").tobytes(), rank[a:b].astype("<u4").tobytes(), rest[a:b].astype("<u4").tobytes()))
+        names = [f.split()[0] for f in LISTS.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
+    return apply
 
-def counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray) -> pa.Table:
-    """Distinct pairs with how often they occur."""
-    columns = {"a": a, "b": b, "na": na, "nb": nb, "la": la, "lb": lb}
-    order = np.lexsort((b, a))
-    columns = {k: v[order] for k, v in columns.items()}
-    a, b = columns["a"], columns["b"]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
-    return pa.table({k: v[first].astype(np.int64) for k, v in columns.items()} | {"shared": np.diff(np.append(first, len(a))).astype(np.int64)})
 
+def _entries(batch) -> dict[str, np.ndarray]:
+    """Columns of the entries of rows of LISTS."""
+    heads = [np.frombuffer(h, HEAD) for h in batch.column("heads").to_pylist()]
+    own = batch.column("own").to_pylist()
+    before = np.cumsum([0, *map(len, heads)])[:-1]
+    place = np.frombuffer(b"".join(own), "<u2").astype(np.int64) + np.repeat(before, [len(o) // 2 for o in own])
+    head = np.concatenate([np.zeros(0, HEAD), *heads])
+    return {"key": _column(batch, "key", "<u8"), "rank": _column(batch, "rank", "<u4").astype(np.int64), "rest": _column(batch, "rest", "<u4").astype(np.int64)} | {k: head[k][place].astype(np.int64) for k in HEAD.names}
 
-PROPOSALS = "a long, b long, na long, nb long, la long, lb long, shared long, way int"
-PARTNER = np.dtype([("b", "<i8"), ("n", "<i4"), ("shared", "<i4")])
 
+def list_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, size, least label, greatest label) of the lists, batch by batch."""
+    for batch in gathered(batches):
+        e = _entries(batch)
+        order = np.argsort(e["key"], kind="stable")
+        label, edge = e["label"][order], _runs(e["key"][order])
+        at = edge[:-1]
+        least, most = (f.reduceat(label, at) if len(at) else label for f in (np.minimum, np.maximum))
+        yield pa.RecordBatch.from_arrays([pa.array(e["key"][order][at].view(np.int64)), pa.array(np.diff(edge)), pa.array(least), pa.array(most)], ["key", "size", "least", "most"])
 
-def proposals(seeds: list[int]) -> Callable[[pa.Table], pa.Table]:
-    """Few pairs of sets with different labels that share a list, a number in proportion to the list.
 
-    Each set goes with the one before it by size (way 0: every label that could link in a list
-    shows up), and for each seed with the first of the list in an order that the seed shuffles.
-    """
+def chunked(long_: dict[int, tuple[int, int]], buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deal the entries of long lists as pairs of chunks; long_: (number, chunks) of each one's key, no chunks if it has one label."""
 
-    def apply(table: pa.Table) -> pa.Table:
-        e, first, end = index_lists(table)
-        n, label, sid = e["n"].astype(np.int64), e["label"], e["sid"]
-        later = np.setdiff1d(np.arange(len(sid)), first)
-        ways = [(0, later, later - 1)]
-        for way, seed in enumerate(seeds, 1):
-            order = np.lexsort((mix64(sid.view(np.uint64) ^ mix64(np.array([seed], np.uint64))), e["hash"]))
-            ways.append((way, np.arange(len(sid)), np.repeat(order[first], end - first)))
-        tables = []
-        for way, x, y in ways:
-            swap = n[x] < n[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            ok = (label[x] != label[y]) & (100 * n[y] >= PERCENT * n[x])
-            x, y = x[ok], y[ok]
-            t = counted(sid[x], sid[y], n[x], n[y], label[x], label[y])
-            tables.append(t.append_column("way", pa.array(np.full(t.num_rows, way, np.int32))))
-        return pa.concat_tables(tables)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.array(sorted(long_), np.uint64)
+        for batch in batches:
+            out = []
+            for row in pa.Table.from_batches([batch]).to_pylist():
+                own, key, rank, rest = (np.frombuffer(row[c], t) for c, t in (("own", "<u2"), ("key", "<u8"), ("rank", "<u4"), ("rest", "<u4")))
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hot = keys[at] == key
+                part = lambda m, **other: row | {c: v[m].tobytes() for c, v in (("own", own), ("key", key), ("rank", rank), ("rest", rest))} | other
+                out.append(part(~hot))
+                sets = np.frombuffer(row["heads"], HEAD)["set"][own]
+                for k in np.unique(at[hot]):
+                    number, chunks = long_[int(keys[k])]
+                    chunk = (mix64(sets.view(np.uint64)) % np.uint64(max(chunks, 1))).astype(np.int64)
+                    for c in range(chunks):
+                        mine = hot & (at == k) & (chunk == c)
+                        if mine.any():
+                            out += [part(mine, deal=buckets + number, part=min(c, d) * chunks + max(c, d), parts=chunks) for d in range(chunks)]
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     return apply
 
 
-def across(table: pa.Table) -> pa.Table:
-    """Pairs of sets with different labels that share a list, with sizes that allow a link, and how many lists they share."""
-    e, first, end = index_lists(table)
-    known, place = np.unique(e["sid"], return_inverse=True)
-    sizes = np.zeros(len(known), np.int64)
-    sizes[place] = e["n"]
-    codes, times, fresh, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+CANDIDATES = "a long, b long, na long, nb long, shared long"
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets with different labels that share a list, and how many lists, as far as a link is possible by
+    sizes, unshared shingles and positions. In a chunk pair of a long list, only pairs between the chunks."""
+    tables = [_entries(b) | {"part": np.full(1, b.column("part")[0].as_py()), "parts": np.full(1, b.column("parts")[0].as_py())} for b in batches if b.num_rows]
+    if not tables:
+        return
+    part, parts = int(tables[0]["part"][0]), int(tables[0]["parts"][0])
+    e = {k: np.concatenate([t[k] for t in tables]) for k in tables[0] if k not in ("part", "parts")}
+    order = np.lexsort((e["set"], e["n"], e["key"]))
+    e = {k: v[order] for k, v in e.items()}
+    first, second = divmod(part, parts)
+    side = (mix64(e["set"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    known, own = np.unique(e["set"], return_inverse=True)
+    size = np.zeros(len(known), np.int64)
+    size[own] = e["n"]
+    held: dict[str, np.ndarray] = {"codes": np.zeros(0, np.int64), "times": np.zeros(0, np.int64)}
+    fresh: list[np.ndarray] = []
+
+    def possible(x: np.ndarray, y: np.ndarray) -> None:
+        """Count the pairs (x, y) of entries of a list, x with the smaller set."""
+        least = needed(e["n"][x], e["n"][y])
+        ok = (e["label"][x] != e["label"][y]) & (100 * e["n"][x] >= PERCENT * e["n"][y]) & (np.minimum(e["cap"][x], e["cap"][y]) >= least)
+        ok &= np.minimum(e["rank"][x], e["rank"][y]) + 1 + np.minimum(e["rest"][x], e["rest"][y]) >= least
+        if first != second:
+            ok &= side[x] != side[y]
+        x, y = own[x[ok]], own[y[ok]]
+        fresh.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
 
     def settle() -> None:
-        nonlocal codes, times, fresh, held
         new, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *fresh]), return_counts=True)
-        codes, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-        times = np.bincount(where, np.concatenate([times, counts]), len(codes)).astype(np.int64)
-        fresh, held = [], 0
-
-    for f, t in zip(first, end):
-        label, n, own = e["label"][f:t], e["n"][f:t], place[f:t]
-        if (label == label[0]).all():
-            continue
-        for i in range(0, t - f, BLOCK):  # sizes ascend
-            rows = slice(i, min(i + BLOCK, t - f))
-            most = n[rows][-1] * 100 // PERCENT
-            for j in range(i, t - f, BLOCK):
-                cols = slice(j, min(j + BLOCK, t - f))
-                if n[cols][0] > most:
+        fresh.clear()
+        codes, where = np.unique(np.concatenate([held["codes"], new]), return_inverse=True)
+        held["codes"], held["times"] = codes, np.bincount(where, np.concatenate([held["times"], counts]), len(codes)).astype(np.int64)
+
+    def written() -> pa.RecordBatch:
+        a, b = held["codes"] // len(known), held["codes"] % len(known)
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (known[a], known[b], size[a], size[b], held["times"])], [c.split()[0] for c in CANDIDATES.split(", ")])
+        held["codes"] = held["times"] = np.zeros(0, np.int64)
+        return batch
+
+    edge = _runs(e["key"])
+    start, end = edge[:-1], edge[1:]
+    mixed = np.minimum.reduceat(e["label"], start) != np.maximum.reduceat(e["label"], start)
+    short = mixed & (end - start <= BLOCK)
+    stop = np.repeat(np.where(short, end, 0), end - start)  # of each entry of a short list
+    at = np.flatnonzero(stop)
+    for step in range(1, BLOCK):
+        at = at[at + step < stop[at]]
+        if not len(at):
+            break
+        possible(at, at + step)
+        if sum(map(len, fresh)) > 1_000_000:
+            settle()
+            if len(held["codes"]) > HELD_PAIRS:
+                yield written()
+    for f, t in zip(start[mixed & ~short], end[mixed & ~short]):
+        blocks = np.append(np.arange(f, t, BLOCK), t)
+        lows, highs = e["n"][blocks[:-1]], e["n"][blocks[1:] - 1]
+        caps = np.maximum.reduceat(e["cap"][f:t], blocks[:-1] - f)
+        reach = np.maximum.reduceat(e["rank"][f:t], blocks[:-1] - f) + 1 + np.maximum.reduceat(e["rest"][f:t], blocks[:-1] - f)
+        for i in range(len(lows)):
+            for j in range(i, len(lows)):
+                if 100 * highs[i] < PERCENT * lows[j]:
                     break  # this block and all after it hold sets too large
-                ok = (label[rows][:, None] != label[cols][None]) & (100 * n[rows][:, None] >= PERCENT * n[cols][None])
-                a, b = np.nonzero(np.triu(ok, 1) if i == j else ok)
-                x, y = own[rows][a], own[cols][b]
-                fresh.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
-                held += len(a)
-                if held > 1_000_000:
+                if min(caps[i], caps[j], reach[i], reach[j]) < needed(lows[i], lows[j]):
+                    continue  # no set of these sizes has enough shared shingles left
+                x, y = np.meshgrid(np.arange(blocks[i], blocks[i + 1]), np.arange(blocks[j], blocks[j + 1]), indexing="ij")
+                ok = x < y
+                possible(x[ok], y[ok])
+                if sum(map(len, fresh)) > 1_000_000:
                     settle()
+                    if len(held["codes"]) > HELD_PAIRS:
+                        yield written()
     settle()
-    a, b = codes // max(len(known), 1), codes % max(len(known), 1)
-    packed = np.zeros(len(codes), PARTNER)
-    packed["b"], packed["n"], packed["shared"] = known[b], sizes[b], times
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
-    raw, cut = packed.tobytes(), np.append(first, len(a)) * PARTNER.itemsize
-    return pa.table({"a": known[a[first]], "n": sizes[a[first]], "partners": pa.array([raw[x:y] for x, y in zip(cut, cut[1:])], pa.binary())})
-
-
-def possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose counts over all buckets leave a link possible, from each set's lists of partners."""
-    for batch in batches:
-        out = [np.zeros((0, 4), np.int64)]
-        for a, n, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            p = np.frombuffer(b"".join(parts), PARTNER)
-            b, first, where = np.unique(p["b"], return_index=True, return_inverse=True)
-            shared, nb = np.bincount(where, p["shared"]).astype(np.int64), p["n"][first].astype(np.int64)
-            ok = shared + np.maximum(after_prefix(n), after_prefix(nb)) >= needed(n, nb)
-            out.append(np.column_stack([np.full(ok.sum(), a), b[ok], np.full(ok.sum(), n), nb[ok]]))
-        rows = np.concatenate(out)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["a", "b", "na", "nb"])
-
-
-def enough(shared: Column) -> Column:
-    """possible_pairs()'s bound on columns na and nb."""
-    need = F.floor((PERCENT * (F.col("na") + F.col("nb")) + 99 + PERCENT) / F.lit(100 + PERCENT))
-    rest = lambda n: F.ceil(PERCENT * F.col(n) / F.lit(100)) - 1 - F.floor(EXTRA * F.col(n) / F.lit(100))
-    return shared + F.greatest(rest("na"), rest("nb")) >= need
-
-
-def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, hashes = shingle_sets(text_array(batch))
-        size, ids = set_ids(rows, hashes, batch.num_rows)
-        cut = np.concatenate([[0], np.cumsum(size)]) * 8
-        raw = hashes.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())], ["sid", "hashes"])
-
-
-def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "x", "y"))
-        both = [len(np.intersect1d(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), assume_unique=True)) for p, q in zip(x.to_pylist(), y.to_pylist())]
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(both, pa.int64())], ["a", "b", "common"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) of pairs (a, b, na, nb), from the whole sets; holders: (sid, doc_id) of one document each."""
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(holders, "sid").select("sid", F.col("doc_id").alias("holder"))
-    ids = materialize(ids, "jaccard-ids")
-    texts = docs.select("doc_id", "text")
-    side = ids.select("holder").distinct()
-    side = F.broadcast(side) if ids.count() <= BROADCAST_IDS else side
-    held = texts.join(side, texts.doc_id.eqNullSafe(F.col("holder")), "left_semi")
-    sets = held.mapInArrow(whole_sets, "sid long, hashes binary").dropDuplicates(["sid"])  # one shuffle serves both joins
-    x, y = (sets.select(F.col("sid").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    counts = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long, common long")
-    return pairs.select("a", "b", "na", "nb").join(counts, ["a", "b"])
-
-
-def linked() -> Column:
-    return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
+    yield written()
+
+
+def derived(pairs: DataFrame, hubs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among pairs (a, b, na, nb), from the overlaps of their hubs (set, hub, n_hub, common) and, where these leave it open, the texts."""
+    for side in "ab":
+        mine = hubs.select(F.col("set").alias(side), F.col("hub").alias(f"h{side}"), F.col("n_hub").alias(f"nh{side}"), F.col("common").alias(f"c{side}"))
+        pairs = pairs.join(mine, side, "left")
+        for c, own in (("h", side), ("nh", f"n{side}"), ("c", f"n{side}")):
+            pairs = pairs.withColumn(c + side, F.coalesce(c + side, own))
+    turned = F.col("ha") > F.col("hb")
+    pairs = materialize(pairs, "jaccard-derive")
+    met = pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"), F.when(turned, F.col("nhb")).otherwise(F.col("nha")).alias("na"), F.when(turned, F.col("nha")).otherwise(F.col("nhb")).alias("nb")).distinct()
+    met = compared(met, texts, "jaccard-hubs").select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("common").alias("between"))
+    known = pairs.join(met, (F.least("ha", "hb") == F.col("p")) & (F.greatest("ha", "hb") == F.col("q")))
+    known = known.withColumn("most", F.expr("least(na, nb, between + (na - ca) + (nb - cb))")).withColumn("least", F.expr("greatest(0, between - (nha - ca) - (nhb - cb))"))
+    sure = linked("least")
+    known = materialize(known.where(linked("most")).select("a", "b", "na", "nb", sure.alias("sure")), "jaccard-derived")
+    rest = compared(known.where("NOT sure").select("a", "b", "na", "nb"), texts, "jaccard-last").where(linked())
+    return known.where("sure").select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def join_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, digest, root) of every document.
+    """(doc_id, n_shingles, component_id, d1, d2, root) of every document.
 
-    digest: 64-bit hash of the text; root: id of the component's set, null for an empty set. With
+    d1, d2: hashes of the text; root: number of the component's first set, null for an empty set. With
     doc_id they tell rows apart whose doc_id is repeated or null.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
     classes = frequency_classes(docs)
-    texts = materialize(docs.withColumn("digest", F.xxhash64("text")).mapInArrow(prefixes(classes), "doc_id long, digest long, n long, sid long, prefix binary"), "jaccard-prefixes")
-    groups = materialize(texts.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-groups")
-    holders = groups.select("sid", "doc_id")
-    volume = texts.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
-
-    def lists(df: DataFrame, entries_: float, kernel, schema: str) -> DataFrame:
-        buckets = 2 * int(entries_ // BUCKET_ENTRIES) + 3
-        return df.mapInArrow(entries(buckets), DEALT).groupBy("bucket").applyInArrow(kernel, schema)
-
-    every = texts.where("n > 0").select("sid", F.col("sid").alias("label"), "n", "prefix")
-    shared = lists(every, volume, shared_entries, "sid long, n long, part binary")
-    sets = materialize(shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("part").alias("prefix")), "jaccard-open")
-    free_shuffles(spark)
-    # sets with fewer shared shingles than any link needs are done
-    sets = sets.where(F.aggregate("prefix", F.lit(0), lambda c, p: c + F.length(p)) >= 8 * (1 + F.floor(EXTRA * F.col("n") / F.lit(100))))
-    volume = sets.agg(F.sum(F.aggregate("prefix", F.lit(0), lambda s, p: s + F.length(p)) / 8)).first()[0] or 0
-    labelled, links, tried = sets.withColumn("label", F.col("sid")), None, None
+    hashed = docs.withColumn("d1", F.xxhash64("text")).withColumn("d2", F.xxhash64(F.lit(1), "text"))
+    rows = materialize(hashed.mapInArrow(prefixes(classes), "doc_id long, d1 long, d2 long, n long, sid long, sid2 long, prefix binary"), "jaccard-prefixes")
+    groups = rows.where("n > 0").groupBy("sid", "sid2", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+    groups = materialize(groups.withColumn("set", F.monotonically_increasing_id()), "jaccard-groups")
+    volume = groups.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    buckets = int(volume // BUCKET_ENTRIES) + 1
+    shared = groups.select("set", "prefix").mapInArrow(dealt(buckets), f"deal int, known boolean, {ENTRIES}").groupBy("deal").applyInArrow(shared_entries, ENTRIES)
+    shared = materialize(shared, "jaccard-shared")
+    counts = shared.select("block", "own").mapInArrow(count_shared, "set long, shared long").groupBy("set").agg(F.sum("shared").alias("shared"))
+    cap = F.expr(f"{after('n')} + shared")
+    open_ = materialize(groups.drop("prefix", "copies").join(counts, "set").withColumn("cap", cap).where(f"100 * cap >= {PERCENT} * n").drop("shared"), "jaccard-open")
+    ids = open_.select(F.col("doc_id").alias("holder")).distinct()
+    ids = F.broadcast(ids) if open_.count() <= BROADCAST_IDS else ids
+    texts = docs.join(ids, docs.doc_id.eqNullSafe(F.col("holder")), "left_semi").select("text").mapInArrow(described, "sid long, sid2 long, text string, least array<long>")
+    texts = texts.groupBy("sid", "sid2").agg(F.first(F.struct("text", "least")).alias("t")).join(open_.drop("doc_id"), ["sid", "sid2"])
+    texts = materialize(texts.select("set", "n", "cap", "t.text", "t.least"), "jaccard-texts")
+    sets = texts.select("set", "n", "cap", "least").withColumn("label", F.col("set"))
+    found = links = None
     for round_ in range(ROUNDS):
-        seeds = [round_ * 100 + k for k in range(SEEDS if round_ else 1)]
-        near = lists(labelled, volume, proposals(seeds), PROPOSALS).groupBy("a", "b", "way").agg(*(F.max(c).alias(c) for c in ("na", "nb", "la", "lb")), F.sum("shared").alias("shared"))
-        near = materialize(near, "jaccard-near")  # a pair for each prefix entry and way at most
-        # components that share no list with another one are done
-        open_ = near.select(F.col("la").alias("label")).unionByName(near.select(F.col("lb").alias("label"))).distinct()
-        labelled = materialize(labelled.join(open_, "label", "left_semi").select("sid", "n", "prefix", "label"), "jaccard-open")
-        likely = near.where(enough(SEEN * F.col("shared")))
-        if tried is not None:
-            likely = likely.join(tried, ["a", "b"], "left_anti")
-        sides = likely.select("a", "b", "na", "nb", "shared", "way", F.explode(F.array("la", "lb")).alias("label"))
-        best = sides.groupBy("label", "way").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("shared", "a", "b")).alias("best"))
-        best = materialize(best.select("best.*").distinct(), "jaccard-best")
-        found = materialize(verified(best, docs, holders), "jaccard-tried")
-        free_shuffles(spark)
-        tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
-        new = found.where(linked()).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            break
-        labels = connected_components(links, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("c"))
-        labelled = materialize(labelled.drop("label").join(labels, "sid", "left").select("sid", "n", "prefix", F.coalesce("c", "sid").alias("label")), "jaccard-labelled")
-    partners = lists(labelled, volume, across, "a long, n long, partners binary").groupBy("a").agg(F.max("n").alias("n"), F.collect_list("partners").alias("partners"))
-    more = partners.mapInArrow(possible_pairs, "a long, b long, na long, nb long")
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.join(known, ["a", "b"], "left_anti")  # possible pairs have the smaller id first
-    more = materialize(more, "jaccard-more")
-    free_shuffles(spark)
-    last = materialize(verified(more, docs, holders).where(linked()).select("a", "b"), "jaccard-last")
-    roots = connected_components(links.unionByName(last), "a", "b")
-    placed = groups.join(roots.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "copies", "doc_id", F.coalesce("component", "sid").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
-    total = texts.count()
-    names = materialize(placed.join(smallest, "root").select("sid", "component_id", "root", (F.col("copies") > total / 1000).alias("hot")), "jaccard-names")
-    hot = names.where("hot").select("sid", F.struct("component_id", "root").alias("known"))  # under 1000 rows
-    rows = texts.select("doc_id", "digest", "n", "sid").join(F.broadcast(hot), "sid", "left")
-    others = rows.where("known IS NULL").drop("known").join(names.where("NOT hot").select("sid", F.struct("component_id", "root").alias("known")), "sid", "left")
-    every = rows.where("known IS NOT NULL").unionByName(others)
-    root = F.when(F.col("n") > 0, F.coalesce("known.root", "sid"))
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("known.component_id", "doc_id").alias("component_id"), "digest", root.alias("root"))
+        pairs = proposals(sets, round_ * SEEDS)
+        if found is not None:
+            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
+        new = compared(pairs, texts, "jaccard-near")
+        found = new if found is None else found.unionByName(new)
+        links = found.where(linked()).select("a", "b")
+        labels = connected_components(links, "a", "b").select(F.col("node").alias("set"), F.col("component").alias("c"))
+        sets = materialize(sets.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("c", "set")).drop("c"), "jaccard-labelled")
+    hub = F.when(F.col("a") == F.col("hub"), F.struct("common", "b", F.col("a").alias("hub"), F.col("na").alias("n_hub"))).otherwise(F.struct("common", F.col("a").alias("b"), F.col("b").alias("hub"), F.col("nb").alias("n_hub")))
+    hubs = found.where(linked()).select(hub.alias("best")).groupBy(F.col("best.b").alias("set")).agg(F.max("best").alias("best")).select("set", "best.hub", "best.n_hub", "best.common")
+    hubs = materialize(hubs, "jaccard-hub")
+
+    entries = shared.agg(F.sum(F.length("own") / 2)).first()[0] or 0
+    buckets = int(entries // BUCKET_ENTRIES) + 1
+    blocks = sets.select("set", "n", "cap", "label", F.shiftright("set", SET_BITS).alias("block"))
+    lists = materialize(shared.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(list_entries(buckets), LISTS), "jaccard-lists")
+    if sets.count() > LIST:  # else no list is longer
+        sizes = lists.mapInArrow(list_sizes, "key long, size long, least long, most long").groupBy("key").agg(F.sum("size").alias("size"), F.min("least").alias("least"), F.max("most").alias("most"))
+        long_ = sizes.where(F.col("size") > LIST).collect()  # at most one for LIST entries
+        if long_:
+            plan = {r.key % (1 << 64): (k, 0 if r.least == r.most else -(-r.size // LIST)) for k, r in enumerate(long_)}
+            lists = lists.mapInArrow(chunked(plan, buckets), LISTS)
+    more = lists.groupBy("deal", "part").applyInArrow(across, CANDIDATES).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    possible = F.expr(f"shared + greatest({after('na')}, {after('nb')}) >= ({PERCENT} * (na + nb) + {99 + PERCENT}) DIV {100 + PERCENT}")
+    more = materialize(more.where(possible).drop("shared").join(found.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
+    links = links.unionByName(derived(more, hubs, texts))
+
+    roots = connected_components(links, "a", "b")
+    placed = groups.drop("prefix", "n").join(roots.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("root", F.coalesce("component", "set"))
+    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1").drop("members")
+    many = F.greatest(F.lit(10_000), F.lit(rows.count() // 50_000))  # so fewer than 50,000 rows are broadcast
+    names = materialize(placed.join(smallest, "root", "left").select("sid", "sid2", F.struct("component_id", "root").alias("known"), (F.col("copies") > many).alias("hot")), "jaccard-names")
+    rows = rows.select("doc_id", "d1", "d2", "n", "sid", "sid2").join(F.broadcast(names.where("hot").select("sid", "sid2", F.col("known").alias("hot"))), ["sid", "sid2"], "left")
+    usual = rows.where("hot IS NULL").join(names.where("NOT hot").select("sid", "sid2", "known"), ["sid", "sid2"], "left").drop("hot")
+    every = rows.where("hot IS NOT NULL").withColumnRenamed("hot", "known").select(*usual.columns).unionByName(usual)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("known.component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "d1", "d2", F.when(F.col("n") > 0, F.col("known.root")).alias("root"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``, that of the smallest doc_id (nulls last); rows without a word all stay."""
-    wordless = F.coalesce(~F.col("text").rlike(r"[^ \t\n\x0b\f\r]"), F.lit(True))
-    key = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "digest")
-    found = join_sets(docs).where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
-    keys = materialize(found.select("first.*").select(key.alias("_key")), "jaccard-kept")
-    rows = docs.where(~wordless).withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")))
-    rows = rows.join(keys, "_key", "left_semi").withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
-    return rows.where("_copy = 1").select(*docs.columns).unionByName(docs.where(wordless))
+    """One row of each component of ``docs``, that of the smallest doc_id (nulls last); rows without a word all stay.
+
+    Rows are told apart by doc_id and 128 bits of their text; of rows equal in both, one stays.
+    """
+    key = ["__null", "__id", "__d1", "__d2"]
+    row = lambda df, d1, d2: df.withColumn("__null", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__d1", d1).withColumn("__d2", d2)
+    found = row(join_sets(docs).where("root IS NOT NULL"), F.col("d1"), F.col("d2"))
+    found = materialize(found.groupBy("root", *key).agg(F.count("*").alias("times")), "jaccard-rows")
+    best = found.groupBy("root").agg(F.min(F.struct(*key)).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    gone = found.join(best, "root").where(F.struct(*key) != F.col("best")).select(*key)
+    twice = found.where("times > 1").select(*key)
+    changed = materialize(gone.withColumn("gone", F.lit(True)).unionByName(twice.withColumn("gone", F.lit(False))).groupBy(*key).agg(F.max("gone").alias("gone")), "jaccard-gone")
+    small = changed.count() <= BROADCAST_IDS
+    side = lambda df: F.broadcast(df) if small else df
+    rows = row(docs, F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    once = rows.join(side(changed.select(*key)), key, "left_anti")
+    one = rows.join(side(changed.where("NOT gone").select(*key)), key, "left_semi").dropDuplicates(key)
+    return once.select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 #: doc_id, n_shingles and component_id in DuckDB SQL, by brute force over shared shingles.

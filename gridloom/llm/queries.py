@@ -61,7 +61,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_sets(read(spark, sf_dir, "documents")).drop("digest", "root")
+    return jaccard.join_sets(read(spark, sf_dir, "documents")).drop("d1", "d2", "root")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

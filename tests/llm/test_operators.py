@@ -439,6 +439,31 @@ def test_join_of_odd_documents(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, None, 7, 8, 9, 10], key=repr)
 
 
+def test_join_in_small_parts(spark, monkeypatch):
+    """Long lists in chunk pairs, short blocks, pairs written early, many buckets: the components stay the same."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"u{k}_{i}" for i in range(13 + k % 4)]) for k in range(60)]
+    texts += [" ".join(w if rng.random() > 0.02 else f"x{rng.random()}" for w in passage + [f"c{i}" for i in range(40)]) for _ in range(70)]
+    rows = list(enumerate(texts)) + [(900 + k, texts[3]) for k in range(40)]
+    expected = brute_components(rows)
+    assert len({c for _, _, c in expected}) > 3
+    for name, value in (("BLOCK", 8), ("LIST", 10), ("HELD_PAIRS", 50), ("BUCKET_ENTRIES", 300), ("BROADCAST_IDS", 5), ("ROUNDS", 1), ("SEEDS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert joined(spark, rows) == expected
+    monkeypatch.setattr(jaccard, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    x = pa.array(["aa bb cc dd ee ff", "aa bb cc dd ee gg", "a b"], pa.large_string())
+    sets, codes = jaccard.exact_sets(x)
+    assert np.bincount(sets).tolist() == [2, 2, 1] and len(np.intersect1d(codes[sets == 0], codes[sets == 1])) == 1
+
+
+def test_dropped_rows_of_equal_ids(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "x y z w v u"), (None, "a b c d e f g"), (None, "q r s t u v"), (2, "q r s t u v"), (3, None)]
+    kept = jaccard.drop_near_copies(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, _d1 string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a b c d e f g"), (1, "x y z w v u"), (2, "q r s t u v"), (3, None)], key=repr)
+    assert kept.columns == ["doc_id", "text", "_d1"]
+
+
 def test_bounds_of_linked_sets():
     for a in range(1, 60):
         for b in range(a, 75):
