@@ -11,8 +11,12 @@ encoded (the leaves in threads), then growing windows around the join are encode
 the window's first and last ids agree with both sides. All neighbours in the result then stand
 next to each other in some exact encoding, which for BPE makes the whole exact.
 
+White space of any kind counts as one pre-token too, so that no text, however long, meets the limits
+of a backtracking pattern engine; time and memory grow in proportion to the text.
+
 Strings of special tokens in a text become their ids, as the library does by default.
-Null texts count as empty; empty texts have no ids.
+Null texts count as empty; empty texts have no ids. Repeated rows each get their own equal row. Empty tables
+give no rows. Other columns than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ WINDOW = 8
 THREADS = 2
 #: The pattern that splits text before the merges. Fixed value, as byte-level vocabularies define it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space in the pattern (for a character class). Unicode's White_Space.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters up to this one are alike for both pattern engines; the tests try each.
 AGREED = 0x31FF
 
@@ -68,7 +74,7 @@ class ByteBPE:
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = {t.content: i for i, t in added.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.unsplit = re.compile(f"[^ ]{{{long + 1}}}| {{{long + 1}}}")
+        self.unsplit = re.compile(f"[^ ]{{{long + 1}}}|[{WHITE}]{{{long + 1}}}")
 
     def _plain(self, text: str) -> list[int]:
         """Ids of a text without strings of special tokens."""
@@ -115,27 +121,30 @@ class ByteBPE:
         """Ids of a text without strings of special tokens, long pre-tokens by tree."""
         if len(text) > self.long and self.unsplit.search(text):
             ids = []
-            for chunk in self.chunks(text):
-                if len(chunk) <= self.long:
-                    ids += self._plain(chunk)
-                else:
+            for start, end in self.chunks(text):
+                chunk = text[start:end]
+                if self.unsplit.search(chunk):
                     for _, (start, end) in self.lib.pre_tokenizer.pre_tokenize_str(chunk):
                         ids += self.tree(chunk[start:end])
+                else:
+                    ids += self._plain(chunk)
             return np.asarray(ids, "<u4")
         if _BEYOND.search(text):
             return np.asarray(self._plain(text), "<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Cut before each space that a character other than white space follows: always a boundary of the pattern."""
-        parts = text.split(" ")
-        out = [parts[0]] if parts[0] else []
-        for p in parts[1:]:
-            if out and (not p or p[0].isspace()):
-                out[-1] += " " + p
+    def chunks(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of parts that end before a space that a character other than white space follows, always a
+        boundary of the pattern: each part above the limit alone, all others next to each other together."""
+        cuts = [0, *(m.start() for m in re.finditer(r"(?<!^) (?=\S)", text)), len(text)]
+        out: list[tuple[int, int]] = []
+        small = False
+        for start, end in zip(cuts, cuts[1:]):
+            if end - start <= self.long and small:
+                out[-1] = (out[-1][0], end)
             else:
-                out.append(" " + p)
+                out.append((start, end))
+            small = end - start <= self.long
         return out
 
     def encode_ids(self, text: str) -> np.ndarray:
@@ -170,11 +179,11 @@ def default_path() -> str:
 
 
 def digests(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    from gridloom.llm.common import text_array
+    from gridloom.llm.common import slices, text_array
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path or default_path())
-        for batch in batches:
+        for batch in slices(batches):
             counts, ids_sha, text_sha = [], [], []
             for text in text_array(batch).to_pylist():
                 ids = bpe.encode_ids(text)
@@ -187,11 +196,11 @@ def digests(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def tokens(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    from gridloom.llm.common import text_array
+    from gridloom.llm.common import slices, text_array
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path or default_path())
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode_ids(text).astype(np.int64) for text in text_array(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
@@ -200,15 +209,9 @@ def tokens(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def encode_documents(docs, path: str | None = None):
     """(doc_id, ids array<bigint>) of every text."""
-    from gridloom.llm.common import small_batches
-
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(tokens(path), "doc_id long, ids array<bigint>")
 
 
 def encode_digests(docs, path: str | None = None):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again."""
-    from gridloom.llm.common import small_batches
-
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,8 @@ backtracking through the stages gives the count of each length; and the pattern
 while its counts last. Pieces get their places from their rank among pieces of equal length.
 
 Null texts count as empty: one piece that holds only the end id. Repeated rows are packed
-each for itself. An empty table gives an empty result.
+each for itself; ties between equal pieces are broken by doc_id and start, and then don't matter. Texts of any
+length are cut whole. An empty table gives an empty result. Other columns than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.llm.bpe import default_path, encoder
-from gridloom.llm.common import materialize, small_batches, text_array
+from gridloom.llm.common import materialize, slices, text_array
 
 #: Independent runs that number the pieces of one length; full pieces are the most frequent.
 RUNS, FULL_RUNS = 64, 4096
@@ -91,7 +92,7 @@ def places(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
 def cut(capacity: int, end_id: int, path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path or default_path())
-        for batch in batches:
+        for batch in slices(batches):
             lengths, crcs, starts, rows, totals = [], [], [], [], []
             for row, text in enumerate(text_array(batch).to_pylist()):
                 ids = bpe.encode_ids(text)
@@ -125,7 +126,6 @@ def place(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, path: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
-    small_batches(docs.sparkSession)
     pieces = docs.select("doc_id", "text").mapInArrow(cut(capacity, end_id, path), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     runs = F.when(F.col("length") == capacity, FULL_RUNS).otherwise(RUNS)
     pieces = materialize(pieces.withColumn("run", F.pmod(F.xxhash64("doc_id", "start"), runs)), "pack-pieces")
