@@ -7,8 +7,16 @@ addresses stay addresses. The permutation depends on the key, the kind and the v
 equal values get equal pseudonyms in all documents, also in other groupings, and different values
 of a format never collide. ``restore=True`` inverts it with the same key.
 
-Null texts stay null, with no finds; empty texts stay empty. Values that fail validation
-(a wrong check digit, no such day) are left alone.
+What counts as one value: a phone number is its digits with the calling code after a plus, in any grouping
+(the code stays; a number without a plus is another value than one with a code, as its country isn't known);
+an email address is its lower case, whose pseudonym takes on the case of the text; a date is its day in any
+layout. The permutation of days keeps day and month on their side of 10 and the day on its side of 13, so that
+layout and padding stay as they were and reading the pseudonym again gives the same parts.
+
+Null texts stay null, with no finds; empty texts stay empty; rows that are repeated get equal results, row by
+row. Texts of any length are read whole, in slices of their own. Empty tables give no rows. Other columns
+stay; one named ``found`` is replaced. Where finds overlap, the kind that stands first in KINDS wins. Values
+that fail validation (a wrong check digit, no such day) are left alone.
 """
 
 from __future__ import annotations
@@ -16,13 +24,14 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import slices
 
 ROUNDS = 8
 KINDS = ("secret", "email", "iban", "card", "phone", "ip", "ssn", "date")
@@ -38,6 +47,8 @@ _IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _DATE = re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?!\w|[./-][0-9])")
 _DIGIT = re.compile("[0-9]")
+#: Calling codes of one and two digits; all others have three. Fixed values (ITU-T E.164).
+_CODE = re.compile("[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -140,10 +151,8 @@ class Pseudonymizer:
         if kind == "phone":
             if not 9 <= len(compact) <= 15:
                 return None
-            code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-            at = code.end() if code else 0
-            own = "".join(c for c in value[at:] if c.isdigit())
-            return value[:at] + regroup(value[at:], net.string("phone" + value[:at], own))
+            code = _CODE.match(compact)[0] if value[0] == "+" else ""
+            return regroup(value, code + net.string("phone" + code, compact[len(code) :]))
         if kind == "ip":
             octets = list(map(int, value.split(".")))
             if max(octets) > 255 or any(len(o) > 1 and o[0] == "0" for o in value.split(".")):
@@ -164,45 +173,46 @@ class Pseudonymizer:
                 return None
             return self._date(match, *found)
         if kind == "email":
-            local, _, domain = value.rpartition("@")
+            local, _, domain = value.lower().rpartition("@")
             name, dot, top = domain.rpartition(".")
-            return net.string("email", local) + "@" + net.string("domain", name) + dot + top
+            new = net.string("email", local) + "@" + net.string("domain", name) + dot + top
+            return "".join(n.upper() if o.isupper() else n for n, o in zip(new, value, strict=True))
         mark = _MARK.match(value)
         head, rest = (value[: mark.end()], value[mark.end() :]) if mark else ("", value)
         return head + net.string("secret" + head, rest, bool(re.fullmatch("[0-9a-f]+", rest)))
 
     def _date(self, match: re.Match, day: datetime.date, order: str) -> str:
-        """The new date in the old layout. Both numbers up to 12 stay ambiguous or not as they were, so that reading it again gives it back."""
+        """The new date in the old layout, each number padded as it was."""
         g = match.groups()
         separator = g[1] or g[5]
-        parts = {"ymd": (g[2], g[3]), "dmy": (g[4], g[6]), "mdy": (g[4], g[6])}[order]
-        padded = any(len(p) == 2 and p[0] == "0" for p in parts) or all(len(p) == 2 for p in parts)
-        ordinal = day.toordinal() - FIRST_DAY
+        side = lambda x: (x.day < 10, x.day > 12, x.month < 10)
+        new = day
         while True:
-            ordinal = self.net.below("date", ordinal, LAST_DAY - FIRST_DAY + 1)
-            new = datetime.date.fromordinal(ordinal + FIRST_DAY)
-            if order != "mdy" or new.day > 12:  # else it would be read as day, month
+            new = datetime.date.fromordinal(self.net.below("date", new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1) + FIRST_DAY)
+            if side(new) == side(day):
                 break
-        d, m = (f"{x:02d}" if padded else str(x) for x in (new.day, new.month))
-        return separator.join({"ymd": (f"{new.year}", m, d), "dmy": (d, m, f"{new.year}"), "mdy": (m, d, f"{new.year}")}[order])
+        old = {"ymd": (g[0], g[2], g[3]), "dmy": (g[4], g[6], g[7]), "mdy": (g[4], g[6], g[7])}[order]
+        parts = {"ymd": (new.year, new.month, new.day), "dmy": (new.day, new.month, new.year), "mdy": (new.month, new.day, new.year)}[order]
+        return separator.join(f"{n:0{len(o)}d}" for n, o in zip(parts, old))
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of the valid values, without overlaps."""
-        at, digits = "@" in text, _DIGIT.search(text) is not None
+        mail, digits = "@" in text, _DIGIT.search(text) is not None
         patterns = [("secret", _SECRET)] if digits or "=" in text or ":" in text else []
-        patterns += [("email", _EMAIL)] if at else []
+        patterns += [("email", _EMAIL)] if mail else []
         patterns += [("iban", _IBAN), ("card", _CARD), ("phone", _PHONE), ("ip", _IP), ("ssn", _SSN), ("date", _DATE)] if digits else []
         taken: list[tuple[int, int, str, str]] = []
         for kind, pattern in patterns:
             for match in pattern.finditer(text):
                 group = next((i for i in (1, 2) if match.group(i)), 0) if kind == "secret" else 0
                 start, end = match.span(group)
-                if any(start < e and s < end for s, e, _, _ in taken):
+                at = bisect(taken, (end,))  # the finds before it begin before this one's end; they don't overlap
+                if at and taken[at - 1][1] > start:
                     continue
                 new = self.one(kind, match.group(group))
                 if new is not None:
-                    taken.append((start, end, kind, new))
-        return sorted(taken)
+                    taken.insert(at, (start, end, kind, new))
+        return taken
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         found, out, last = self.find(text), [], 0
@@ -216,7 +226,7 @@ def replaced(key: bytes, restore: bool) -> Callable[[Iterator[pa.RecordBatch]],
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonymizer(key, restore)
         spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(batch.schema.get_field_index("text")).to_pylist()
             both = [(None, []) if text is None else names.replace(text) for text in column]
             found = pa.array([[{"kind": k, "start": s, "end": e} for s, e, k, _ in f] for _, f in both], spans)
@@ -233,7 +243,6 @@ def pseudonymize(docs: DataFrame, key: bytes, restore: bool = False) -> DataFram
 
     A column of docs that is already named ``found`` is replaced.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("found")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(replaced(key, restore), f"{fields}, found array<struct<kind:string,start:int,end:int>>")
