@@ -7,22 +7,29 @@ nearest lists, and further ones until they hold k other vectors. Within a list t
 candidate whose partial distance is too large for the hypothesis that it belongs to the best k
 is abandoned. Survivors get the exact cosine of the original vectors in double precision.
 
-Lists and their queries are dealt out in blocks of bounded size, so a list of many copies makes
-more tasks, not larger ones. Vectors that are null, empty, zero, hold null or non-finite components
-or have another length than most of the sample take no part. Ties go to the smaller id.
+Each query scans its nearest list first; its best k there bound the scan of all its other lists.
+
+Lists and their queries are dealt out in blocks of bounded bytes, so a list of many copies makes
+more tasks, not larger ones. Vectors that are null, empty, zero or hold null or non-finite components
+take no part, nor do null ids. Cosine is defined between vectors of one length, so each length is searched for itself.
+Ties go to the smaller id. Rows that share a vec_id aren't each other's neighbours and are ranked once, by
+the best score of any of them; so is a query id that is repeated. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows of a list, and queries, that one task holds at a time.
-BLOCK = 8192
+from gridloom.llm.common import materialize
+
+#: Bytes of vectors of a list, and of queries, that one task holds at a time.
+BLOCK_BYTES = 16 << 20
+#: Different lengths of vectors in one table; more are an error, as no such table is meant to be searched.
+LENGTHS = 100
 #: Dimensions of a column block, candidates between two updates of the bound, queries at once.
 COLUMNS, STEP, QUERIES = 16, 512, 64
 #: Tightness of the test: a true neighbour is abandoned with a chance falling as exp(-c * EPSILON ** 2).
@@ -39,6 +46,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 0.5 to 1: cosines stay as they are, without over- or underflow."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0))
+    return np.ldexp(x, -exponent[:, None])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), k, replace=False)]
@@ -68,15 +81,15 @@ def stack(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, q0: np.ndarray, x0: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, cosine) of the best k of each query. q, x: rotated units; q0, x0: original vectors."""
+def adaptive_scan(q: np.ndarray, x: np.ndarray, q0: np.ndarray, x0: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int, epsilon: float = EPSILON, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, cosine) of the best k of each query. q, x: rotated units; q0, x0: original vectors; limit: squared distances beyond which a candidate isn't wanted."""
     dim = q.shape[1]
     edges = [*range(0, dim, COLUMNS), dim]
     qn, xn = np.sqrt(np.einsum("ij,ij->i", q0, q0)), np.sqrt(np.einsum("ij,ij->i", x0, x0))
     best_q, best_x, best_s = (np.zeros(0, t) for t in (int, int, float))
     for at in range(0, len(q), QUERIES):
         rows = np.arange(at, min(at + QUERIES, len(q)))
-        bound = np.full(len(rows), np.inf)
+        bound = np.full(len(rows), np.inf) if limit is None else limit[rows].copy()
         kq, kx, ks = (np.zeros(0, t) for t in (int, int, float))
         for start in range(0, len(x), STEP):
             cols = np.arange(start, min(start + STEP, len(x)))
@@ -101,7 +114,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, q0: np.ndarray, x0: np.ndarray,
             kq, kx, ks = kq[order], kx[order], ks[order]
             rank = np.arange(len(kq)) - np.searchsorted(kq, kq, side="left")
             full = rank == k - 1
-            bound[kq[full] - at] = 2 - 2 * ks[full]
+            bound[kq[full] - at] = np.minimum(bound[kq[full] - at], 2 - 2 * ks[full])
             kq, kx, ks = kq[rank < k], kx[rank < k], ks[rank < k]
         best_q, best_x, best_s = np.append(best_q, kq), np.append(best_x, kx), np.append(best_s, ks)
     return best_q, best_x, best_s
@@ -125,61 +138,78 @@ def probes_for(known: np.ndarray, centers: np.ndarray, k: int, recall: float, qu
 def search(vectors: DataFrame, query_filter, k: int = 5, max_sample: int = 20_000, recall: float = 0.96, column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each row that passes the filter; vectors: vec_id, column.
 
-    The sample's square root gives the number of lists. So many of them are read for a query as
-    brute force within the sample needs for ``recall``: few for clustered vectors, more than
+    The square root of the number of vectors gives the number of lists, an eighth of the sample at most. So many of them
+    are read for a query as brute force within the sample needs for ``recall``: few for clustered vectors, more than
     half for vectors without structure. A query whose lists hold fewer than k others reads more.
     """
-    rows = valid(vectors.select("vec_id", F.col(column).cast("array<double>").alias("v")), "v")
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = valid(vectors.select("vec_id", F.col(column).cast("array<double>").alias("v"), F.coalesce(query_filter, F.lit(False)).alias("asks")), "v")
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).limit(LENGTHS + 1).collect()
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for r in sorted(sizes):
+        found = found.unionByName(_search(rows.where(F.size("v") == r.dim), r.dim, r.n, k, max_sample, recall))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, dim: int, n_rows: int, k: int, max_sample: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each block of a list that a query reads. rows: vec_id, v, asks, of one length."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("v").toPandas()["v"]  # max_sample rows at most
-    if sample.empty:
-        return empty
-    dims = sample.map(len)
-    dim = int(dims.mode().iloc[0])
     turn = rotation(dim)
-    known = unit(np.stack(sample[dims == dim].to_numpy())) @ turn
-    centers = kmeans(known, max(1, int(np.sqrt(len(known)))))
+    known = unit(np.stack(sample.to_numpy())) @ turn
+    centers = kmeans(known, max(1, min(int(np.sqrt(n_rows)), len(known) // 8)))
     probes = probes_for(known, centers, k, recall)
-    rows = rows.where(F.size("v") == dim)
+    block = max(1024, BLOCK_BYTES // (8 * dim))
 
-    def lists_of(n: int, ids: np.ndarray | None):
-        """The n nearest lists; with the numbers of ids, more until k + 1 ids are in them."""
+    def near(n: int, ids: np.ndarray | None):
+        """(vec_id, x, lists): the n nearest lists; with the numbers of ids, more until k + 1 ids are in them."""
 
         def apply(batches):
             for batch in batches:
-                near = nearest_lists(unit(stack(batch.column(1), dim)) @ turn, centers, n if ids is None else len(centers))
+                x = scaled(stack(batch.column(1), dim))
+                lists = nearest_lists(unit(x) @ turn, centers, n if ids is None else len(centers))
                 if ids is not None:
-                    short = (np.cumsum(ids[near], axis=1) < k + 1).sum(axis=1) + 1
-                    near = [row[:m] for row, m in zip(near, np.maximum(short, n))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.astype(np.int32) for row in near], pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+                    short = (np.cumsum(ids[lists], axis=1) < k + 1).sum(axis=1) + 1
+                    lists = [row[:m] for row, m in zip(lists, np.maximum(short, n))]
+                raw = pa.array([row.tobytes() for row in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array([row.astype(np.int32) for row in lists], pa.list_(pa.int32()))], ["vec_id", "x", "lists"])
 
         return apply
 
-    def assigned(df: DataFrame, n: int, ids: np.ndarray | None = None) -> DataFrame:
-        return df.mapInArrow(lists_of(n, ids), "vec_id long, v array<double>, lists array<int>").select("vec_id", "v", F.explode("lists").alias("list"))
-
-    members = assigned(rows, 1)
+    schema = "vec_id long, x binary, lists array<int>"
+    members = materialize(rows.select("vec_id", "v").mapInArrow(near(1, None), schema).select("vec_id", "x", F.col("lists")[0].alias("list")), "ann-members")
     held = members.groupBy("list").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")).collect()  # a row for each list
     ids = np.zeros(len(centers), np.int64)
     for r in held:
         ids[r.list] = r.ids
-    queries = assigned(rows.where(query_filter), probes, ids)
-    m_blocks = {r.list: -(-r.n // BLOCK) for r in held}
-    q_blocks = {r.list: -(-r.n // BLOCK) for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    table = rows.sparkSession.createDataFrame([(i, m_blocks.get(i, 0), q_blocks.get(i, 0)) for i in range(len(centers))], "list int, mb int, qb int").where("mb > 0 AND qb > 0")
-    salt = F.xxhash64("vec_id")
-    members = members.join(F.broadcast(table), "list").select("list", F.pmod(salt, F.col("mb")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "vec_id", "v")
-    queries = queries.join(F.broadcast(table), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(salt, F.col("qb")).cast("int").alias("q"), "vec_id", "v")
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q0, x0 = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        qid, xid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        qi, xi, s = adaptive_scan(unit(q0) @ turn, unit(x0) @ turn, q0, x0, qid, xid, k)
-        return pd.DataFrame({"query_id": qid[qi], "vec_id": xid[xi], "score": s})
-
-    keys = ["list", "m", "q"]
-    found = queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = materialize(rows.where("asks").select("vec_id", "v").mapInArrow(near(probes, ids), schema), "ann-queries")
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        q0, x0 = (np.frombuffer(b"".join(t.column("x").to_pylist()), float).reshape(-1, dim) for t in (left, right))
+        qid, xid = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        qi, xi, s = adaptive_scan(unit(q0) @ turn, unit(x0) @ turn, q0, x0, qid, xid, k, limit=left.column("limit").to_numpy())
+        return pa.table({"query_id": qid[qi], "vec_id": xid[xi], "score": s})
+
+    def scanned(asked: DataFrame) -> DataFrame:
+        """The scan of rows (vec_id, x, limit, list)."""
+        m_blocks = {r.list: -(-r.n // block) for r in held}
+        q_blocks = {r.list: -(-r.n // block) for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
+        table = [(i, m_blocks[i], q_blocks[i]) for i in range(len(centers)) if i in m_blocks and i in q_blocks]
+        table = F.broadcast(rows.sparkSession.createDataFrame(table, "list int, mb int, qb int"))
+        salt = F.xxhash64("vec_id")
+        right = members.join(table, "list").select("list", F.pmod(salt, F.col("mb")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "vec_id", "x")
+        left = asked.join(table, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(salt, F.col("qb")).cast("int").alias("q"), "vec_id", "x", "limit")
+        keys = ["list", "m", "q"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
+
+    first = materialize(scanned(queries.select("vec_id", "x", F.lit(float("inf")).alias("limit"), F.col("lists")[0].alias("list"))), "ann-first")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+    kth = kth.select(F.col("query_id").alias("vec_id"), (2 - 2 * F.col("score")).alias("limit"))
+    more = queries.join(kth, "vec_id", "left").select("vec_id", "x", F.coalesce("limit", F.lit(float("inf"))).alias("limit"), F.explode(F.slice("lists", F.lit(2), F.greatest(F.size("lists") - 1, F.lit(0)))).alias("list"))
+    return first.unionByName(scanned(more))
