@@ -13,7 +13,9 @@ occurrence by SHA-256, since the overlapping texts would be moved many times ove
 knows chunks only, so its query leaves this level out.
 
 Null texts stay null and empty ones empty. Chunks of blank lines stay. Rows with equal doc_id
-and text count as one document: repeated rows keep the same chunks. A null doc_id sorts first.
+and text count as one document: repeated rows keep the same chunks. Of equal chunks the one of the smallest doc_id,
+then position, stays. A null doc_id sorts first. Texts of any length are read whole; an empty table gives no
+rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialize
 
 WINDOW, PASSAGE = 2, 50
-#: Repeated chunks of which hashes are broadcast at most; beyond, the join is shuffled.
+#: Repeated chunks of which hashes and places (six numbers) are broadcast at most; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
-#: A chunk with more than this part of all occurrences is hot: there are fewer than its inverse.
-HOT_SHARE = 1 / 1000
+#: Bytes of removed line numbers that are broadcast at most; beyond, texts are shuffled to them.
+BROADCAST_BYTES = 32 << 20
+#: Occurrences of one chunk that are compared in a task; more are dealt over several keys.
+SPLIT = 1000
 
 KEY = ["doc_id", "digest"]
 
@@ -107,25 +111,20 @@ def repeated_spans(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame)
     """
     place = [*KEY, "start", "n"]
     narrow = materialize(parts_of(docs).select(*place, *hashes()), "lines-chunks")
-    total = narrow.count()
     first = F.min(F.struct("doc_id", "start", "digest")).alias("first")
     repeats = materialize(narrow.groupBy("h1", "h2").agg(F.count("*").alias("copies"), first).where("copies > 1"), "lines-repeats")
-    known = repeats.select("h1", "h2", "first", (F.col("copies") > total * HOT_SHARE).alias("hot"))
+    known = repeats.select("h1", "h2", "first", F.ceil(F.col("copies") / SPLIT).cast("int").alias("parts"))
     if repeats.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     found = parts_of(docs).select(*place, "chunk", *hashes()).join(known, ["h1", "h2"])
     lead = F.struct("doc_id", "start", "digest").eqNullSafe(F.col("first"))
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest"))
     skip = F.when(own, F.greatest(F.lit(0), F.col("first.start") + F.col("n") - F.col("start"))).otherwise(0)
-    found = materialize(found.select(*place, "h1", "h2", "hot", "chunk", lead.alias("lead"), skip.alias("skip")), "lines-found")
-    later = found.where("NOT lead").alias("later")
-    firsts = found.where("lead").dropDuplicates(["h1", "h2"]).select("h1", "h2", "hot", F.col("chunk").alias("original"))
-    parts = []
-    for hot in (True, False):
-        originals = firsts.where(F.col("hot") == hot).drop("hot")
-        pair = later.where(F.col("hot") == hot).join(F.broadcast(originals) if hot else originals, ["h1", "h2"])  # hot: under 1 / HOT_SHARE rows
-        parts.append(pair.where(F.col("chunk") == F.col("original")).select(*KEY, (F.col("start") + F.col("skip")).alias("start"), (F.col("n") - F.col("skip")).alias("n")))
-    return parts[0].unionByName(parts[1])
+    found = materialize(found.select(*place, "h1", "h2", "parts", "chunk", lead.alias("lead"), skip.alias("skip")), "lines-found")
+    later = found.where("NOT lead").withColumn("part", F.pmod(F.xxhash64(*KEY, "start"), F.col("parts")).cast("int"))
+    firsts = found.where("lead").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("chunk").alias("original"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pair = later.join(firsts, ["h1", "h2", "part"]).where(F.col("chunk") == F.col("original"))
+    return pair.select(*KEY, (F.col("start") + F.col("skip")).alias("start"), (F.col("n") - F.col("skip")).alias("n"))
 
 
 def dedup_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
@@ -140,7 +139,9 @@ def dedup_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
         spans = spans.unionByName(repeated_spans(passages, docs))
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
     gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), gone.alias("_gone"))
+    spans = materialize(spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), gone.alias("_gone")), "lines-gone")
+    if (spans.agg(F.sum(F.size("_gone") * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        spans = F.broadcast(spans)
     rows = docs.select(*own, F.col("text").alias("_text"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_digest")), "left")
     both = both.select(*own, "_text", "_gone", F.split("_text", "\n", -1).alias("_lines"))
