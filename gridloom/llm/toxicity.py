@@ -6,9 +6,12 @@ difference between the classes is significant are kept, so that the many chance
 very long text don't drown a few telling ones. Logistic regression is fitted on the scaled features.
 
 It is fitted on a bounded sample of labelled rows (``max_per_class`` of each class, by a hash of
-the id). Every whole text is scored. Null and empty texts have no n-grams: their score is that of
-the intercept. Rows with a null label don't count. Without labelled rows of both classes every
-score is the share of label 1 (0 without any).
+the id). Every n-gram whose difference has a z of ``min_z`` counts, or of 0.7 times the largest that so few
+labelled rows can reach; ``max_features`` keeps the most telling ones only, if given. Every whole text is scored.
+Null and empty texts have no n-grams: their score is that of the intercept. Rows with a null label don't count.
+Repeated rows get equal scores; each labelled one counts. Very long texts count each n-gram once, and are read
+whole in slices of their own. Without labelled rows of both classes every score is the share of label 1 (0 without
+any). An empty table gives no rows. Other columns than doc_id, text and label aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import code_points, materialize, small_batches, text_array
+from gridloom.llm.common import code_points, materialize, slices, text_array
 from gridloom.llm.ngrams import gram_buckets, inside, lower, owners
 
 LENGTHS, BITS = (3, 4, 5, 6), 20
@@ -55,7 +58,7 @@ def hits(batch: pa.RecordBatch, selected: np.ndarray | None) -> tuple[np.ndarray
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, len(LENGTHS) << BITS), np.int32)
-    for batch in batches:
+    for batch in slices(batches):
         label = batch.column(batch.schema.get_field_index("label")).to_numpy()
         row, feature = hits(batch, None)
         for c in (0, 1):
@@ -68,7 +71,7 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def features_of(selected: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, feature = hits(batch, selected)
             order = np.argsort(row, kind="stable")
             ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
@@ -94,7 +97,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, label: np.nd
     return w[:d] * scale, float(w[d])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_features: int = 4096, min_z: float = 4.0, l2: float = 1e-4, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_features: int | None = None, min_z: float = 4.0, l2: float = 1e-4, steps: int = 400) -> Model:
     """Fit on (doc_id, text) and (doc_id, label); labels must hold only rows to learn from."""
     labels = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
     sample = None
@@ -102,7 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_featu
         part = labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")  # 2 * max_per_class rows at most
-    texts = materialize(texts, "toxicity-sample").coalesce(8)
+    texts = materialize(texts, "toxicity-sample")
+    if texts.count() > 2 * max_per_class:  # repeated ids; the bound is one of rows
+        texts = materialize(texts.orderBy(F.xxhash64("text"), "label").limit(2 * max_per_class), "toxicity-sample")
     totals = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
@@ -112,7 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_featu
     p0, p1, p = F.col("n0") / n0, F.col("n1") / n1, (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
     ratio = F.log((F.col("n1") + 1) / (n1 + 2)) - F.log((F.col("n0") + 1) / (n0 + 2))
-    kept = counts.select("feature", F.abs(z).alias("z"), ratio.alias("r")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "feature").limit(max_features).collect()
+    least = min(min_z, 0.7 * float(np.sqrt(4 * n0 * n1 / (n0 + n1))))  # few labelled rows can't reach more than the root
+    chosen = counts.select("feature", F.abs(z).alias("z"), ratio.alias("r")).where(F.col("z") >= least)
+    kept = (chosen if max_features is None else chosen.orderBy(F.desc("z"), "feature").limit(max_features)).collect()  # as many as there are buckets at most
     kept.sort(key=lambda x: x.feature)
     selected, scale = np.array([x.feature for x in kept], np.int64), np.array([x.r for x in kept], float)
     rows = texts.mapInArrow(features_of(selected), "label int, features array<int>").collect()  # 2 * max_per_class rows at most
@@ -125,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_featu
 
 def score_with(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, feature = hits(batch, model.buckets)
             z = model.intercept + np.bincount(row, model.weights[np.searchsorted(model.buckets, feature)], batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
@@ -135,5 +142,4 @@ def score_with(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every whole text."""
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(score_with(model), "doc_id long, score double")
