@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.shared import materialize, release  # noqa: F401
 
-#: Rows of an Arrow batch: long texts must fit in memory some hundred at a time.
-BATCH_ROWS = 256
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,11 +33,6 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", size: int = SL
             first = end
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get, by rows and (where known) by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def crc_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))

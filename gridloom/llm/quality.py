@@ -13,7 +13,9 @@ smallest ratio of the tails of U and P under a score that tells P from U (best b
 (g + 1) / 2, cut to 0..1, estimates the posterior of quality and is the score.
 
 The positives may be a bounded sample (``max_positives``, by a hash of the id). Null texts count
-as empty; empty texts have a feature vector, and so a score. Without positives every score is 0.
+as empty; empty texts have a feature vector, and so a score. Without positives every score is 0. Repeated rows
+count as often as they stand there and get equal scores; very long texts count once like others, read whole in slices of
+their own. An empty table gives no rows. Other columns aren't read; score_texts keeps them.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, small_batches, text_array, utf8_parts
+from gridloom.llm.common import materialize, slices, text_array, utf8_parts
 from gridloom.llm.ngrams import NEWLINE, SPACES, owners, span_hashes, spans
 
 #: Classes of bytes: letters and non-ASCII bytes 0, then as listed. Fixed values.
@@ -83,7 +85,7 @@ def features(strings: pa.Array) -> np.ndarray:
 
 
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         x = features(text_array(batch))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
@@ -155,7 +157,6 @@ def estimate_prior(u: np.ndarray, p: np.ndarray, delta: float = 0.1, gamma: floa
 
 def featurize(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the feature vectors as a table in the shared folder, so that the texts are read once."""
-    small_batches(docs.sparkSession)
     return materialize(docs.select("doc_id", "text").mapInArrow(vectors, "doc_id long, x binary"), "quality-features")
 
 
@@ -190,11 +191,10 @@ def score(vectors_: DataFrame, model: Model) -> DataFrame:
 
 def score_texts(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
     """``docs`` with the score of its text as a last column; a column of that name is replaced."""
-    small_batches(docs.sparkSession)
     docs = docs.drop(name)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             g = features(text_array(batch)).astype(float) @ model.weights
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip((g + 1) / 2, 0, 1))], [*batch.schema.names, name])
 

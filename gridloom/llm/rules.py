@@ -6,7 +6,9 @@ per n-gram against a fixed threshold, the same for every document. Weights are r
 so that sums don't depend on their order.
 
 The target is every trusted row and the raw corpus every document. Null and empty texts have no words and fail the base rules; a text
-without an n-gram has a ratio of 0. Without target texts all ratios are 0.
+without an n-gram has a ratio of 0. Without target texts all ratios are 0. A ratio equal to the threshold is
+kept. Repeated rows count as often as they stand there and get equal verdicts; texts of any length are read whole. An
+empty table gives no rows. Other columns than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import code_points, small_batches, text_array
+from gridloom.llm.common import code_points, slices, text_array
 from gridloom.llm.ngrams import gram_buckets, inside, owners
 
 GRAM, BITS = 4, 16
@@ -62,7 +64,7 @@ def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         trusted = batch.column(batch.schema.get_field_index("trusted")).to_numpy(zero_copy_only=False)
         row, bucket = grams(batch)
         raw += np.bincount(bucket, minlength=1 << BITS)
@@ -82,7 +84,6 @@ def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Ratios from all documents and the ids of trusted ones."""
-    small_batches(docs.sparkSession)
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("yes", F.lit(True))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
 
 def judge(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, bucket = grams(batch)
             n = np.bincount(row, minlength=batch.num_rows)
             order = np.concatenate([[0], np.cumsum(n)])
@@ -110,7 +111,6 @@ def judge(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def apply_rules(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr) of every document."""
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = docs.select("doc_id", "text").mapInArrow(judge(weights), schema)

@@ -530,3 +530,141 @@ def test_spans_are_the_words_of_each_text(texts):
 
 def test_long_text_counts():
     assert rules.base_counts(LONG)[0] == 3001
+
+
+@pytest.mark.parametrize("text", ["x" + " \n" * 600_000 + "y", "a  b" + " " * 300_000 + "c d", "w" * 300_000 + " v", "\u2003\t" * 9000 + "é" * 5000 + " 12" * 3000 + "!" * 5000, "p " * 9000 + "\xa0 " * 5000, " " * 4097, "\n" * 9000 + " q"])
+def test_long_runs_like_the_library(lib, text):
+    found = bpe.encoder(bpe.default_path()).encode(text)
+    assert found == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_time_of_long_runs_grows_in_proportion():
+    import time
+
+    enc, took = bpe.encoder(bpe.default_path()), []
+    for n in (200_000, 800_000):
+        start = time.perf_counter()
+        enc.encode("a" + " \n" * n + "b " + " " * n + "c" * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_phones_and_emails_link_in_all_forms():
+    names = pii.Pseudonymizer(b"k")
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    forms = ["+15551234567", "+1 555 123 4567", "+1-555-123-4567", "+1 (555) 123-4567"]
+    assert len({digits(names.replace(f)[0]) for f in forms}) == 1 and digits(names.replace(forms[0])[0]) != "15551234567"
+    assert names.replace("+44 20 7946 0958")[0].startswith("+44 ")
+    a, b = (names.replace(f)[0] for f in ("Ann.Lee@Example.com", "ann.lee@example.com"))
+    assert a.lower() == b and a[0].isupper() and a != "Ann.Lee@Example.com"
+    back = pii.Pseudonymizer(b"k", restore=True)
+    for f in [*forms, "+44 20 7946 0958", "Ann.Lee@Example.com", "ann.lee@example.com"]:
+        assert back.replace(names.replace(f)[0])[0] == f
+
+
+def test_days_link_in_all_layouts_and_come_back():
+    names, back = pii.Pseudonymizer(b"k"), pii.Pseudonymizer(b"k", restore=True)
+    for year in (1999, 2024):
+        for month in range(1, 13):
+            for day in (1, 5, 9, 10, 12, 13, 28):
+                found = set()
+                forms = [f"{year}-{month:02d}-{day:02d}", f"{year}/{month}/{day}", f"{day}/{month}/{year}", f"{day:02d}.{month:02d}.{year}", f"{day:02d}-{month}-{year}"]
+                forms += [f"{month}/{day}/{year}", f"{month:02d}/{day:02d}/{year}"] if day > 12 else []
+                for f in forms:
+                    new = names.replace(f)[0]
+                    assert back.replace(new)[0] == f and len(new) == len(f)
+                    found.add(pii.date_of(pii._DATE.fullmatch(new))[0])
+                assert len(found) == 1
+
+
+def test_many_finds_take_no_square_time():
+    import time
+
+    start = time.perf_counter()
+    text, found = pii.Pseudonymizer(b"k").replace(" ".join(f"10.{i // 250 % 250}.{i % 250}.7" for i in range(20_000)))
+    assert len(found) == 20_000 and [f[0] for f in found] == sorted(f[0] for f in found) and time.perf_counter() - start < 20
+
+
+def test_pseudonyms_of_documents_like_a_plain_loop(spark, sf_dir):
+    names = pii.Pseudonymizer(queries.PUBLIC_KEY)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op3_pii(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text, found = names.replace(texts[r.doc_id]) if texts[r.doc_id] is not None else (None, [])
+        assert (r.text, r.n_replaced, [(f.kind, f.start, f.end) for f in r.found]) == (text, len(found), [(k, a, b) for a, b, k, _ in found])
+
+
+def test_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(7)]
+    rows += [(200, [1e200, 2e200, 0.0, 0.0, 0.0, 1e190]), (201, [1e-200, 2e-200, 0.0, 0.0, 0.0, 0.0]), (300, None), (301, []), (302, [0.0] * 6), (303, [float("nan")] * 6), (304, [None] * 6), (None, [1.0] * 6)]
+    rows += [(0, rows[0][1]), (5, rows[7][1])]  # repeated ids
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 5, recall=1.0).toPandas()
+    assert np.isfinite(found.score).all() and not set(found.query_id) & {300, 302} and not set(found.vec_id) & {301, 303, 304}
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    for q in {i for i, _ in good if i % 10 == 0}:
+        best = {}
+        for i, a in good:
+            for j, b in good:
+                if i == q and j != q and len(a) == len(b):
+                    x, y = (np.array(v) / max(map(abs, v)) for v in (a, b))
+                    best[j] = max(best.get(j, -2), float(x @ y / np.sqrt((x @ x) * (y @ y))))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5]
+        mine = found[found.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == [j for j, _ in want] and np.allclose(mine.score, [s for _, s in want], atol=1e-12)
+    assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 5).count() == 0
+
+
+def test_blocks_of_lists_change_nothing(spark, sf_dir, monkeypatch):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    one = ann.search(vectors, F.col("vec_id") % 20 == 0, 5, recall=1.0).collect()
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1)
+    many = ann.search(vectors, F.col("vec_id") % 20 == 0, 5, recall=1.0).collect()
+    key = lambda r: (r.query_id, r["rank"], r.vec_id, round(r.score, 12))
+    assert sorted(map(key, one)) == sorted(map(key, many))
+
+
+def test_a_chunk_of_very_many_texts(spark, monkeypatch):
+    rows = [(i, f"head {i} of one\nshared line {'word ' * 60}end\ntail {i * 7} here") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    monkeypatch.setattr(linededup, "SPLIT", 3)
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == one
+    assert "shared" in one[0] and sum("shared" in t for t in one.values()) == 1
+
+
+def test_toxicity_of_few_labelled_rows(spark):
+    rows = [(i, f"you are a vile {w}" if i % 2 else f"the garden has a {w}") for i, w in enumerate(["pig", "tree", "rat", "rose", "toad", "path"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("label")))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(scores[i] for i in (1, 3, 5)) > max(scores[i] for i in (0, 2, 4))
+
+
+def test_list_blocks_and_early_writes(spark):
+    """across() in blocks of four entries, writing after each ten pairs, counts what it counts at once."""
+    rng = np.random.default_rng(8)
+    n = rng.integers(20, 30, 40)
+    head = np.zeros(40, jaccard.HEAD)
+    head["set"], head["label"], head["n"], head["cap"] = np.arange(40), np.arange(40) % 9, n, n
+    own, key = (a.ravel() for a in np.meshgrid(np.arange(40), np.arange(3), indexing="ij"))
+    rank, rest = np.zeros(120, "<u4"), np.full(120, 28, "<u4")
+    batch = pa.RecordBatch.from_pylist([{"deal": 0, "part": 0, "parts": 1, "block": 0, "heads": head.tobytes(), "own": own.astype("<u2").tobytes(), "key": key.astype("<u8").tobytes(), "rank": rank.tobytes(), "rest": rest.tobytes()}])
+
+    def counted():
+        out = Counter()
+        for b in jaccard.across(iter([batch])):
+            for r in b.to_pylist():
+                out[r["a"], r["b"], r["na"], r["nb"]] += r["shared"]
+        return out
+
+    whole = counted()
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 9 != b % 9 and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])}
+    assert {k[:2] for k in whole} == want and set(whole.values()) == {3}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "BLOCK", 4)
+        patch.setattr(jaccard, "HELD_PAIRS", 10)
+        assert counted() == whole
