@@ -75,19 +75,48 @@ def aligned_window(shape: tuple[int, int], center: tuple[float, float], size: in
     return Window(ends[0][0], ends[1][0], ends[0][1], ends[1][1])
 
 
-def follow_window(view: tuple[float, float, float, float], shape: tuple[int, int], current: Window | None, bytes_per_pixel: int = 4, step: int = 512, most: int = 4096, limit: int = 128 << 20) -> Window | None:
-    """The window to read for a view: the current one while it holds the view with half its height to spare, else a new one in steps; None if too large."""
-    if current is not None and current.contains(*view):
+#: Screen pixels of a source pixel at which following begins, and below which it ends. Fixed values.
+ENTER_PIXELS, EXIT_PIXELS = 0.5, 0.35
+STEP, LARGEST, READ_BYTES = 512, 4096, 128 << 20
+
+
+@dataclass(frozen=True)
+class Follow:
+    """A square window that follows the view."""
+
+    y0: int
+    x0: int
+    size: int
+
+    def guards(self, view: tuple[float, float, float, float]) -> bool:
+        """Whether a view stays inside the guard band, a tenth of the window or 128 pixels wide."""
+        return Window(self.y0, self.x0, self.y0 + self.size, self.x0 + self.size).contains(*view, margin=min(128, self.size / 10))
+
+
+def follow_window(view: tuple[float, float, float, float], shape: tuple[int, int], pixel_size: float, current: Follow | None = None, bytes_per_pixel: int = 4, requested: int | None = None) -> Follow | None:
+    """The square to read for a view of ``pixel_size`` screen pixels a source pixel; None if the view is too wide or empty.
+
+    Its side doubles from 1024 until the view, a border and one step fit, or is the requested one; beyond 4096 or the
+    bytes that may be read there is none. The current window stays while its guard band holds the view and it isn't
+    over twice too large. A new one begins at a step near the view's centre, so that it holds the view if it can.
+    """
+    if pixel_size < (ENTER_PIXELS if current is None else EXIT_PIXELS):
+        return None
+    y0, x0, y1, x1 = view = (max(0, view[0]), max(0, view[1]), min(shape[0], view[2]), min(shape[1], view[3]))
+    if y0 >= y1 or x0 >= x1:
+        return None
+    span = max(y1 - y0, x1 - x0)
+    border = 2 * min(128, max(32, span / 10))
+    size = requested or max(1024, 1 << math.ceil(math.log2(span + STEP + border)))
+    if size > LARGEST or size * size * bytes_per_pixel > READ_BYTES:
+        return None
+    middle = [math.floor((low + high - size) / 2 / STEP) * STEP for low, high in ((y0, y1), (x0, x1))]
+    if requested and span + border > size:  # a wish too small for the view covers its centre
+        return Follow(max(0, middle[0]), max(0, middle[1]), size)
+    if current is not None and current.guards(view) and current.size <= 2 * size and requested in (None, current.size):
         return current
-    ends = []
-    for low, high, n in ((view[0], view[2], shape[0]), (view[1], view[3], shape[1])):
-        spare = 0.5 * (high - low)
-        a = max(0, math.floor((low - spare) / step) * step)
-        b = min(n, math.ceil((high + spare) / step) * step)
-        ends.append((a, b))
-    window = Window(ends[0][0], ends[1][0], ends[0][1], ends[1][1])
-    h, w = window.y1 - window.y0, window.x1 - window.x0
-    return window if 0 < h <= most and 0 < w <= most and h * w * bytes_per_pixel <= limit else None
+    start = [max(0, math.ceil((high - size) / STEP) * STEP, min(math.floor(low / STEP) * STEP, m)) for (low, high), m in zip(((y0, y1), (x0, x1)), middle)]
+    return Follow(start[0], start[1], size)
 
 
 def uses_tiles(height: int, width: int, bytes_per_pixel: int, free_bytes: int) -> bool:

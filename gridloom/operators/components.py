@@ -1,42 +1,64 @@
 """Connected components of a mask: equal values that touch up, down, left or right.
 
-Rows are folded into horizontal runs first, so the graph has a node for each run, not each pixel.
+Tiles are labelled first, each in one task; the graph then has a node for each tile's part of a component
+that touches a seam, not for each pixel.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.numbering import number_rows
-from gridloom.operators.graph import connected_components
+from gridloom.operators.graph import connected_components, roots
 from gridloom.plans.shared import materialize
 
 #: Positions are y * STRIDE + x.
 STRIDE = 1 << 32
+#: Side of the tiles that a task labels: a million pixels at most.
+TILE = 1024
 
 
 def position(y: str = "y", x: str = "x") -> Column:
     return F.col(y) * STRIDE + F.col(x)
 
 
-def with_runs(mask: DataFrame) -> DataFrame:
-    """(y, x, v, run): run is the position of the first pixel of the horizontal run."""
-    row = W.partitionBy("y").orderBy("x")
-    starts = (F.lag("x").over(row) + 1).eqNullSafe(F.col("x")) & F.lag("v").over(row).eqNullSafe(F.col("v"))
-    marked = mask.where("v <> 0").select("y", "x", "v", (~starts).alias("_start"))
-    return marked.withColumn("run", F.max(F.when(F.col("_start"), position())).over(row)).drop("_start")
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def label_tile(table: pa.Table) -> pa.Table:
+    """(y, x, v, component) of a tile's pixels: the smallest position of those that touch it within the tile."""
+    y, x, v = _columns(table, "y", "x", "v")
+    at = y * STRIDE + x
+    order = np.argsort(at)
+    at, y, x, v = at[order], y[order], x[order], v[order]
+    edges = []
+    for step in (1, STRIDE):  # to the right, and down
+        other = np.minimum(np.searchsorted(at, at + step), len(at) - 1)
+        a = np.flatnonzero((at[other] == at + step) & (v[other] == v))
+        edges.append((a, other[a]))
+    (a, b), (c, d) = edges
+    root = roots(len(at), np.concatenate([a, c]), np.concatenate([b, d]))
+    return pa.table({"y": y, "x": x, "v": v, "component": at[root]})
 
 
 def label_pixels(mask: DataFrame) -> DataFrame:
     """(y, x, v, component): component is the smallest position in it."""
-    pixels = materialize(with_runs(mask), "component-runs")
-    column = W.partitionBy("x").orderBy("y")
-    above = [F.lag(c).over(column).alias(f"_{c}") for c in ("y", "v", "run")]
-    touching = pixels.select("y", "v", "run", *above).where("_y = y - 1 AND _v = v").select(F.col("run").alias("u"), F.col("_run").alias("v")).distinct()
-    roots = connected_components(touching)
-    return pixels.join(roots.withColumnRenamed("node", "run"), "run", "left").select("y", "x", "v", F.coalesce("component", "run").alias("component"))
+    tiles = mask.where("v <> 0").select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
+    tiles = tiles.groupBy(F.floor(F.col("y") / TILE).alias("ty"), F.floor(F.col("x") / TILE).alias("tx")).applyInArrow(label_tile, "y long, x long, v long, component long")
+    pixels = materialize(tiles, "component-tiles")
+    seams = None
+    for c, o in ("yx", "xy"):
+        side = lambda at: pixels.where(F.pmod(F.col(c), F.lit(TILE)) == at)  # noqa: B023, E731
+        before = side(TILE - 1).select((F.col(c) + 1).alias(c), o, "v", F.col("component").alias("u"))
+        met = before.join(side(0).select(c, o, "v", F.col("component").alias("w")), ["y", "x", "v"]).select("u", "w").distinct()
+        seams = met if seams is None else seams.unionByName(met)
+    moved = connected_components(seams, "u", "w").where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("_root"))
+    return pixels.join(moved, "component", "left").select("y", "x", "v", F.coalesce("_root", "component").alias("component"))
 
 
 def measure(pixels: DataFrame) -> DataFrame:
@@ -63,15 +85,39 @@ def grid_address(df: DataFrame, step_y: float | None, step_x: float | None) -> D
     return df.withColumns({"grid_row": row, "grid_col": col}).withColumn("grid_id", F.format_string("R%02dC%02d", "grid_row", "grid_col"))
 
 
+def euler_tile(table: pa.Table) -> pa.Table:
+    """(component, quarter): sums of the weights of the 2 x 2 windows that begin in a tile."""
+    ty, tx, y, x, component = _columns(table, "ty", "tx", "y", "x", "component")
+    wy, wx, bit, own = [], [], [], []
+    for dy in (0, 1):
+        for dx in (0, 1):
+            inside = ((y - dy) // TILE == ty) & ((x - dx) // TILE == tx)
+            wy.append((y - dy)[inside])
+            wx.append((x - dx)[inside])
+            own.append(component[inside])
+            bit.append(np.full(inside.sum(), 1 << (2 * dy + dx)))
+    wy, wx, bit, own = map(np.concatenate, (wy, wx, bit, own))
+    order = np.lexsort((wx, wy, own))
+    wy, wx, bit, own = wy[order], wx[order], bit[order], own[order]
+    if not len(own):
+        return pa.table({"component": own, "quarter": own})
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(wy) != 0) | (np.diff(wx) != 0) | (np.diff(own) != 0)]))
+    weight = np.zeros(16, np.int64)
+    weight[[1, 2, 4, 8]], weight[[7, 11, 13, 14]], weight[[6, 9]] = 1, -1, -2
+    ids, place = np.unique(own[first], return_inverse=True)
+    return pa.table({"component": ids, "quarter": np.bincount(place, weight[np.add.reduceat(bit, first)]).astype(np.int64)})
+
+
 def euler(pixels: DataFrame) -> DataFrame:
     """(component, euler): 8-connected Euler number of each component, from the weights of all 2 x 2 windows.
 
-    A window with one pixel of the component counts 1, with three -1, with two on a diagonal -2; the sum is four times the number.
+    A window with one pixel of the component counts 1, with three -1, with two on a diagonal -2; the sum is four times the
+    number. A pixel goes to the tiles in which its four windows begin: to one, but for those on seams.
     """
-    corner = F.explode(F.array(*[F.struct((F.col("y") - dy).alias("wy"), (F.col("x") - dx).alias("wx"), F.lit(1 << (2 * dy + dx)).alias("bit")) for dy in (0, 1) for dx in (0, 1)]))
-    windows = pixels.select("component", corner.alias("w")).groupBy("component", "w.wy", "w.wx").agg(F.sum("w.bit").alias("bits"))
-    weight = F.when(F.col("bits").isin(1, 2, 4, 8), 1).when(F.col("bits").isin(7, 11, 13, 14), -1).when(F.col("bits").isin(6, 9), -2).otherwise(0)
-    return windows.groupBy("component").agg((F.sum(weight) / 4).cast("long").alias("euler"))
+    owners = F.array_distinct(F.array(*[F.struct(F.floor((F.col("y") - dy) / TILE).alias("ty"), F.floor((F.col("x") - dx) / TILE).alias("tx")) for dy in (0, 1) for dx in (0, 1)]))
+    dealt = pixels.select("y", "x", "component", F.explode(owners).alias("t")).select("t.ty", "t.tx", "y", "x", "component")
+    parts = dealt.groupBy("ty", "tx").applyInArrow(euler_tile, "component long, quarter long")
+    return parts.groupBy("component").agg((F.sum("quarter") / 4).cast("long").alias("euler"))
 
 
 def delete_components(pixels: DataFrame, ids: DataFrame) -> DataFrame:
@@ -148,3 +194,91 @@ def toggle(selection: DataFrame, picked: DataFrame) -> DataFrame:
 def outline_boxes(table: DataFrame) -> DataFrame:
     """Boxes moved by half a pixel, as they are drawn."""
     return table.select("component", *[(F.col(f"bbox_{c}") - 0.5).alias(c) for c in ("y0", "x0", "y1", "x1")])
+
+
+def active_records(table: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Records that aren't deleted, by component_id."""
+    return table.join(deleted.select("component_id").distinct(), "component_id", "left_anti").orderBy("component_id")
+
+
+def component_mask(pixels: DataFrame, component: int, bounds: tuple[int, int, int, int]) -> DataFrame:
+    """(y, x) of a component's pixels within a window, counted from its corner."""
+    y0, x0, y1, x1 = bounds
+    inside = (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
+    return pixels.where((F.col("component") == component) & inside).select((F.col("y") - y0).alias("y"), (F.col("x") - x0).alias("x"))
+
+
+def deletion_counts(pixels: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: components found of those named, and pixels that deleting them changes."""
+    held = pixels.join(ids.select("component").distinct(), "component", "left_semi")
+    return held.agg(F.countDistinct("component").alias("components"), F.count("*").alias("changed"))
+
+
+def checked_copy(pixels: DataFrame, ids: DataFrame, target: DataFrame, shape: tuple[int, int], limits: tuple[int, int], dy: int = 0, dx: int = 0) -> DataFrame:
+    """copy_components() into a target of a shape and a range of ids; what doesn't fit fails the query."""
+    y, x = F.col("y") + dy, F.col("x") + dx
+    outside = (y < 0) | (x < 0) | (y >= shape[0]) | (x >= shape[1])
+    wide = (F.col("v") < limits[0]) | (F.col("v") > limits[1])
+    v = F.when(outside, F.raise_error(F.lit("a component lies outside the destination"))).when(wide, F.raise_error(F.lit("a label is out of the destination's range"))).otherwise(F.col("v"))
+    return copy_components(pixels.join(ids.select("component").distinct(), "component", "left_semi").withColumn("v", v), ids, target, dy, dx)
+
+
+def matching_destination(target: DataFrame, shape: tuple[int, int], dy: int, dx: int) -> DataFrame:
+    """A destination of the source's shape that keeps what of the old one overlaps it, moved by an integer offset."""
+    y, x = F.col("y") - dy, F.col("x") - dx
+    return target.select(y.alias("y"), x.alias("x"), "v").where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < shape[0]) & (F.col("x") < shape[1]))
+
+
+def copy_work(pixels: DataFrame, ids: DataFrame, size: int, dy: int = 0, dx: int = 0) -> DataFrame:
+    """(ty, tx, y0, x0, y1, x1, pixels): tiles of the destination that a copy writes, with the box of what it writes there."""
+    held = pixels.join(ids.select("component").distinct(), "component", "left_semi").select((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
+    tiles = held.groupBy(F.floor(F.col("y") / size).cast("long").alias("ty"), F.floor(F.col("x") / size).cast("long").alias("tx"))
+    return tiles.agg(F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") + 1).alias("y1"), (F.max("x") + 1).alias("x1"), F.count("*").alias("pixels"))
+
+
+def copy_tiles(target: DataFrame, source: DataFrame, done: DataFrame, size: int) -> DataFrame:
+    """The target (y, x, v) after a copy that was stopped: only tiles named as done (ty, tx) are written over."""
+    part = source.withColumn("ty", F.floor(F.col("y") / size).cast("long")).withColumn("tx", F.floor(F.col("x") / size).cast("long")).join(done.select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
+    return target.join(part.select("y", "x", F.col("v").alias("_new")), ["y", "x"], "full").select("y", "x", F.coalesce("_new", "v").alias("v"))
+
+
+def selection_states(picks: DataFrame, most: int = 20) -> DataFrame:
+    """(user, component) of each user's selection after their picks (user, seq, action, component).
+
+    replace keeps the pick alone, toggle switches it, clear keeps none; undo takes back the last change that isn't
+    taken back yet, of the last ``most`` ones.
+    """
+    def step(state, e):
+        sets, now = state["history"], F.element_at(state["history"], -1)["ids"]
+        one = F.array(e["component"])
+        changed = F.when(e["action"] == "replace", one).when(e["action"] == "clear", F.array().cast("array<long>"))
+        changed = changed.when(F.array_contains(now, e["component"]), F.array_remove(now, e["component"])).otherwise(F.concat(now, one))
+        longer = F.concat(sets, F.array(F.struct(changed.alias("ids"))))
+        kept = F.slice(longer, F.greatest(F.size(longer) - most, F.lit(1)), most + 1)
+        back = F.when(F.size(sets) > 1, F.slice(sets, F.lit(1), F.greatest(F.size(sets) - 1, F.lit(1)))).otherwise(sets)
+        return F.struct(F.when(e["action"] == "undo", back).otherwise(kept).alias("history"))
+
+    empty = F.expr("named_struct('history', array(named_struct('ids', cast(array() as array<bigint>))))")
+    events = picks.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("seq", "action", F.col("component").cast("long").alias("component")))).alias("events"))
+    last = F.aggregate("events", empty, step)["history"]
+    return events.select("user", F.explode(F.element_at(last, -1)["ids"]).alias("component"))
+
+
+def grayscale_verdict(pixels: DataFrame, height: int, width: int, size: int = 256, most: int = 64) -> DataFrame:
+    """One row, looks_gray: whether one of five windows, in the corners and the middle, holds more distinct values than labels have."""
+    h, w = min(size, height), min(size, width)
+    corners = {(0, 0), (0, width - w), (height - h, 0), (height - h, width - w), ((height - h) // 2, (width - w) // 2)}
+    windows = F.array_compact(F.array(*[F.when((F.col("y") >= y) & (F.col("y") < y + h) & (F.col("x") >= x) & (F.col("x") < x + w), k) for k, (y, x) in enumerate(sorted(corners))]))
+    held = pixels.select("value", F.explode(windows).alias("window")).groupBy("window").agg(F.countDistinct("value").alias("n"))
+    return held.agg(F.coalesce(F.max("n") > most, F.lit(False)).alias("looks_gray"))
+
+
+def world_position(table: DataFrame, affine) -> DataFrame:
+    """component with the world coordinates (wy, wx) of its centroid under a 3 x 3 affine."""
+    at = lambda k: F.lit(float(affine[k][0])) * F.col("centroid_y") + F.lit(float(affine[k][1])) * F.col("centroid_x") + F.lit(float(affine[k][2]))
+    return table.select("component", at(0).alias("wy"), at(1).alias("wx"))
+
+
+def final_ids(local: DataFrame, table: DataFrame) -> DataFrame:
+    """Tile pixels (y, x, component) with the component_id of the global table."""
+    return local.join(table.select("component", "component_id"), "component").select("y", "x", "component_id")

@@ -39,3 +39,77 @@ def write_back(base: DataFrame, current: DataFrame, edited: DataFrame, low: int
     new = F.when(F.col("state") == "conflict", F.raise_error(F.lit("another writer changed an edited pixel"))).when((F.col("new") < low) | (F.col("new") > high), F.raise_error(F.lit("a value is out of the mask's range"))).otherwise(F.col("new"))
     merged = current.select("y", "x", "v").join(states.select("y", "x", new.alias("_new"), F.lit(True).alias("_hit")), ["y", "x"], "full")
     return merged.select("y", "x", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("v")).alias("v")).where("v IS NOT NULL AND v <> 0")
+
+
+def commit_within(base: DataFrame, current: DataFrame, edited: DataFrame, dirty: DataFrame, bucket: int = 512) -> DataFrame:
+    """write_back() of the edits inside the dirty rectangles; pixels outside stay as they are."""
+    from gridloom.operators.rects import overlap_join
+
+    changed = differences(base, edited)
+    points = changed.select(F.col("y").alias("y0"), F.col("x").alias("x0"), (F.col("y") + 1).alias("y1"), (F.col("x") + 1).alias("x1"))
+    inside = overlap_join(points, dirty.select("y0", "x0", "y1", "x1"), bucket).select(F.col("l_y0").alias("y"), F.col("l_x0").alias("x")).distinct()
+    old = base.select("y", "x", F.col("v").alias("old")).join(changed.join(inside, ["y", "x"], "left_anti").select("y", "x", F.lit(True).alias("_out")), ["y", "x"], "full")
+    kept = edited.select("y", "x", F.col("v").alias("new")).join(old, ["y", "x"], "full")
+    return write_back(base, current, kept.select("y", "x", F.when(F.col("_out"), F.col("old")).otherwise(F.col("new")).alias("v")).where("v IS NOT NULL"))
+
+
+def journal(base: DataFrame, current: DataFrame, edited: DataFrame) -> DataFrame:
+    """(y, x, old, new) of the pixels that a write will change, to be stored before it; a conflict fails the query."""
+    states = edit_states(base, current, edited)
+    new = F.when(F.col("state") == "conflict", F.raise_error(F.lit("another writer changed an edited pixel"))).otherwise(F.col("new"))
+    return states.select("y", "x", F.col("now").alias("old"), new.alias("new"))
+
+
+def replay(current: DataFrame, entries: DataFrame) -> DataFrame:
+    """The mask after a journal: pixels that still hold the old value, or hold the new one already, get the new one; any other fails the query.
+
+    Replaying twice, or after a write that stopped half-way, gives the same mask.
+    """
+    both = current.select("y", "x", "v", F.lit(True).alias("_now")).join(entries.select("y", "x", "old", "new", F.lit(True).alias("_entry")), ["y", "x"], "full")
+    fits = F.col("v").eqNullSafe(F.col("old")) | F.col("v").eqNullSafe(F.col("new"))
+    value = F.when(F.col("_entry").isNull(), F.col("v")).when(fits, F.col("new")).otherwise(F.raise_error(F.lit("a journal's pixel was changed by another writer")))
+    return both.select("y", "x", value.alias("v")).where("v IS NOT NULL AND v <> 0")
+
+
+def unwritten(stored: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries whose new value the store doesn't hold: empty after a write that is verified."""
+    now = stored.select("y", "x", F.col("v").alias("_now"))
+    return entries.join(now, ["y", "x"], "left").where(~F.col("_now").eqNullSafe(F.col("new"))).drop("_now")
+
+
+def safe_write(base: DataFrame, edited: DataFrame, path: str) -> None:
+    """Write edits to a stored mask so that a crash at any point can be made good by recover().
+
+    The journal is stored first, then the mask is published; it is read back, and the journal goes when all is there.
+    """
+    from gridloom.sources import workspace
+
+    spark, log = base.sparkSession, f"{path}.journal"
+    now = workspace.read_mask(spark, path)
+    staged = f"{log}.staged"
+    journal(base, now, edited).write.mode("overwrite").parquet(staged)
+    workspace.publish(spark, staged, log)
+    recover(spark, path)
+
+
+def recover(spark, path: str) -> bool:
+    """Replay a journal that a write has left; whether there was one. A conflict keeps the journal and fails."""
+    from gridloom.sources import workspace
+
+    files, make = workspace.file_system(spark, path)
+    log = make(f"{path}.journal")
+    if not files.exists(log):
+        return False
+    entries = spark.read.parquet(f"{path}.journal")
+    workspace.write_mask(replay(workspace.read_mask(spark, path), entries), path)
+    if not unwritten(workspace.read_mask(spark, path), entries).isEmpty():
+        raise OSError(f"the mask doesn't hold what was written; the journal is kept beside {path}")
+    files.delete(log, True)
+    return True
+
+
+def undo_review(now: DataFrame, before: DataFrame, revision: int) -> DataFrame:
+    """The review rows before a step, if no edit came after it: ``now`` and ``before`` hold edit_revision; another one than expected is an error."""
+    last = now.agg(F.max("edit_revision").alias("_last"))  # one row
+    checked = F.when(F.col("_last") != revision, F.raise_error(F.lit("annotations changed after this review"))).otherwise(F.col("edit_revision"))
+    return before.join(F.broadcast(last)).withColumn("edit_revision", checked).drop("_last")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from functools import reduce
 
@@ -37,17 +35,75 @@ def counts(components: DataFrame) -> DataFrame:
     return active.agg(F.count("*").alias("total"), F.count_if(F.col("included") & ~F.col("needs_review")).alias("selected"), F.count_if("needs_review").alias("review"))
 
 
-def closure(boxes: DataFrame, dirty: DataFrame, rounds: int = 50) -> DataFrame:
-    """The smallest rectangle around the dirty ones that cuts through no component's box."""
+def closure(boxes: DataFrame, dirty: DataFrame) -> DataFrame:
+    """The smallest rectangle around the dirty ones that cuts through no component's box.
+
+    It grows until nothing changes; each round takes in a box at least, so it ends.
+    """
     extent = lambda df: df.agg(*[(F.min if c.endswith("0") else F.max)(c).alias(c) for c in BOX])
-    now = extent(dirty).first()
-    for _ in range(rounds):
+    now, spark = extent(dirty).first(), boxes.sparkSession
+    while True:
         hit = boxes.where((F.col("y0") < now.y1) & (F.col("y1") > now.y0) & (F.col("x0") < now.x1) & (F.col("x1") > now.x0)).select(*BOX)
-        new = extent(hit.unionByName(boxes.sparkSession.createDataFrame([tuple(now)], boxes.select(*BOX).schema))).first()
+        row = spark.createDataFrame([tuple(now)], boxes.select(*BOX).schema)
+        new = extent(hit.unionByName(row)).first()
         if new == now:
-            return boxes.sparkSession.createDataFrame([tuple(now)], boxes.select(*BOX).schema)
+            return row
         now = new
-    raise RuntimeError(f"the closure did not settle in {rounds} rounds")
+
+
+def tile_rounded(box: tuple[int, int, int, int], size: int, height: int, width: int) -> tuple[int, int, int, int]:
+    """A box grown to whole tiles within the image."""
+    y0, x0, y1, x1 = box
+    return y0 // size * size, x0 // size * size, min(height, -(-y1 // size) * size), min(width, -(-x1 // size) * size)
+
+
+def update_region(boxes: DataFrame, mask: DataFrame, dirty: DataFrame, size: int, height: int, width: int) -> DataFrame:
+    """The rectangle of whole tiles to index anew: around the dirty ones and every old footprint it meets, grown by a
+    tile on each side over which foreground of one label runs on. One row."""
+    spark, pixels = mask.sparkSession, mask.where("v <> 0").select("y", "x", "v")
+    first = dirty.agg(F.min("y0"), F.min("x0"), F.max("y1"), F.max("x1")).first()
+    now = tile_rounded(tuple(first), size, height, width)
+    while True:
+        y0, x0, y1, x1 = now
+        hit = boxes.where((F.col("y0") < y1) & (F.col("y1") > y0) & (F.col("x0") < x1) & (F.col("x1") > x0))
+        low = hit.agg(F.min("y0"), F.min("x0"), F.max("y1"), F.max("x1")).first()
+        if low[0] is not None:
+            a, b, c, d = tile_rounded(tuple(low), size, height, width)
+            y0, x0, y1, x1 = min(y0, a), min(x0, b), max(y1, c), max(x1, d)
+        # pairs of equal neighbours across each side, from the two lines of pixels beside it
+        lines = [("y", "x", y0, (x0, x1)), ("x", "y", x0, (y0, y1)), ("y", "x", y1, (x0, x1)), ("x", "y", x1, (y0, y1))]
+        near = [F.when(F.col(across).isin(at - 1, at) & (F.col(along) >= start) & (F.col(along) < end), k) for k, (across, along, at, (start, end)) in enumerate(lines)]
+        runs = pixels.select("y", "x", "v", F.explode(F.array_compact(F.array(*near))).alias("side"))
+        met = runs.withColumn("at", F.when(F.col("side") % 2 == 0, F.col("x")).otherwise(F.col("y"))).groupBy("side", "at", "v").agg(F.count("*").alias("n")).where("n = 2").select("side").distinct()
+        sides = {r.side for r in met.collect()}  # four rows
+        y0, x0 = y0 - size * (0 in sides and y0 > 0), x0 - size * (1 in sides and x0 > 0)
+        y1, x1 = min(height, y1 + size * (2 in sides and y1 < height)), min(width, x1 + size * (3 in sides and x1 < width))
+        if (y0, x0, y1, x1) == now:
+            return spark.createDataFrame([now], "y0 long, x0 long, y1 long, x1 long")
+        now = (y0, x0, y1, x1)
+
+
+def log_dirty(log: DataFrame, rects: DataFrame, height: int, width: int) -> DataFrame:
+    """The dirty log (box, edit_revision) with rectangles cut to the image; empty ones are left out, each other one is a revision."""
+    cut = rects.select("seq", F.greatest("y0", F.lit(0)).alias("y0"), F.greatest("x0", F.lit(0)).alias("x0"), F.least("y1", F.lit(height)).alias("y1"), F.least("x1", F.lit(width)).alias("x1")).where("y0 < y1 AND x0 < x1")
+    last = log.agg(F.coalesce(F.max("edit_revision"), F.lit(0)).alias("_last"))  # one row
+    numbered = number_rows(cut, ["seq"], "_k", 1).join(F.broadcast(last))
+    return log.select(*BOX, "edit_revision").unionByName(numbered.select(*BOX, (F.col("_k") + F.col("_last")).alias("edit_revision")))
+
+
+def selected_ids(components: DataFrame) -> DataFrame:
+    """(component_id) of active, selected components that need no review."""
+    return components.where("active AND included AND NOT needs_review").select("component_id")
+
+
+def ids_under(labelled: DataFrame, valid: DataFrame) -> DataFrame:
+    """(component_id, pixels): components (y, x, id) with valid foreground, and how much of it."""
+    return labelled.join(valid.select("y", "x").distinct(), ["y", "x"], "left_semi").groupBy(F.col("id").alias("component_id")).agg(F.count("*").alias("pixels"))
+
+
+def tile_size(chunks: tuple[int, ...], default: int = 512) -> int:
+    """Tiles of a library: the chunk's side where chunks are squares of 128 to 2048, else the default."""
+    return chunks[0] if len(chunks) == 2 and chunks[0] == chunks[1] and 128 <= chunks[0] <= 2048 else default
 
 
 def match_identity(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,17 +122,23 @@ def allocate(matched: DataFrame, next_id: int) -> DataFrame:
 
 
 def publish(components: DataFrame, fresh: DataFrame, affected: DataFrame) -> DataFrame:
-    """The component table after an update: affected ids not seen again go inactive; a changed footprint loses its selection and asks for review."""
+    """The component table after an update of the active rows.
+
+    Affected ids that aren't seen again go inactive and lose their selection. An id that is seen again with the same
+    footprint keeps selection and review; with another one it loses its selection and asks for review. New ids
+    are active, not selected and ask for no review.
+    """
     new = fresh.select("component_id", F.col("fingerprint").alias("_now"))
     hit = affected.select("component_id").distinct().withColumn("_hit", F.lit(True))
-    both = components.join(new, "component_id", "full").join(hit, "component_id", "left")
-    same = F.col("fingerprint").eqNullSafe(F.col("_now"))
-    touched = F.coalesce("_hit", F.lit(False)) | F.col("_now").isNotNull()
+    both = components.withColumn("_old", F.col("active")).join(new, "component_id", "full").join(hit, "component_id", "left")
+    seen, old = F.col("_now").isNotNull(), F.coalesce("_old", F.lit(False))
+    same = old & F.col("fingerprint").eqNullSafe(F.col("_now"))
+    gone = ~seen & F.coalesce("_hit", F.lit(False))
     return both.select(
         "component_id", F.coalesce("_now", "fingerprint").alias("fingerprint"),
-        F.when(touched, F.coalesce(F.col("included") & same, F.lit(False))).otherwise(F.col("included")).alias("included"),
-        F.when(touched, F.col("_now").isNotNull()).otherwise(F.col("active")).alias("active"),
-        F.when(touched, ~same | F.coalesce("needs_review", F.lit(True))).otherwise(F.col("needs_review")).alias("needs_review"),
+        F.when(gone, False).when(seen, same & F.coalesce("included", F.lit(False))).otherwise(F.col("included")).alias("included"),
+        F.when(gone, False).when(seen, True).otherwise(F.col("active")).alias("active"),
+        F.when(seen & ~same, old).otherwise(F.col("needs_review")).alias("needs_review"),
     )
 
 
@@ -102,40 +164,45 @@ def candidate_tiles(rects: DataFrame, size: int) -> DataFrame:
 
 
 class VersionedTable:
-    """Snapshots of a table in a folder, each written whole before the pointer moves; a stale writer fails.
+    """Snapshots of a table in a folder of any file system that Spark reads, each written whole before it counts.
 
-    The folder belongs to the driver's storage and holds metadata-sized tables; on object stores use a table format.
+    A version is published by renaming a staged mark to its number, which one writer alone can do; a
+    stale writer fails. A failure before that leaves nothing behind that counts.
     """
 
-    def __init__(self, folder: str):
-        self.folder, self.pointer = folder, f"{folder}/CURRENT.json"
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _marks(self) -> dict[int, str]:
+        """Version -> name of its data."""
+        root = self.path(f"{self.folder}/versions")
+        names = [s.getPath().getName() for s in self.files.listStatus(root)] if self.files.exists(root) else []
+        return {int(n): "" for n in names if n.isdigit()}
 
     def version(self) -> int:
-        try:
-            with open(self.pointer) as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return 0
+        return max(self._marks(), default=0)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        with open(self.pointer) as f:
-            return spark.read.parquet(json.load(f)["path"])
+    def read(self, spark: SparkSession | None = None) -> DataFrame:
+        spark = spark or self.spark
+        name = spark.read.text(f"{self.folder}/versions/{self.version()}").first()[0]
+        return spark.read.parquet(f"{self.folder}/{name}")
 
     def commit(self, df: DataFrame, expected: int) -> int:
         """Write the next version if the current one is still the expected one."""
         if self.version() != expected:
             raise RuntimeError(f"version {self.version()} is not the expected {expected}")
-        path = f"{self.folder}/v{expected + 1}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        mark = f"{self.folder}/.{expected + 1}"
-        try:
-            os.close(os.open(mark, os.O_CREAT | os.O_EXCL))  # one writer wins a version
-        except FileExistsError:
-            raise RuntimeError(f"another writer made version {expected + 1}") from None
-        temporary = f"{self.pointer}.tmp"
-        with open(temporary, "w") as f:
-            json.dump({"version": expected + 1, "path": path}, f)
-        os.replace(temporary, self.pointer)
+        name = f"v{expected + 1}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.folder}/{name}")
+        mark, staged = self.path(f"{self.folder}/versions/{expected + 1}"), self.path(f"{self.folder}/staged-{name}")
+        out = self.files.create(staged)
+        out.write(bytearray(f"{name}\n", "utf-8"))
+        out.close()
+        self.files.mkdirs(self.path(f"{self.folder}/versions"))
+        if self.files.exists(mark) or not self.files.rename(staged, mark):
+            self.files.delete(staged, False)
+            raise RuntimeError(f"another writer made version {expected + 1}")
         return expected + 1
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +44,21 @@ def best_checkpoint(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.max_by("epoch", F.struct("dice", "epoch")).alias("best_epoch"), F.max("dice").alias("best_dice"))
 
 
-def plateau(losses: list[float], patience: int, min_delta: float = 0.0) -> list[str]:
-    """What to do after each loss: continue, reduce (once, at the first plateau), stop (at the next)."""
-    best, stale, reduced, out = float("inf"), 0, False, []
+def plateau(losses: list[float], reduce_patience: int = 10, stop_patience: int = 10, min_delta: float = 1e-4) -> list[str]:
+    """What to do after each loss: continue, reduce (once, after ``reduce_patience`` losses without improvement), stop (after ``stop_patience`` more)."""
+    if min(reduce_patience, stop_patience) < 1 or min_delta < 0:
+        raise ValueError("patience must be 1 or more, the improvement 0 or more")
+    best, waited, phases, out = math.inf, 0, [("reduce", reduce_patience), ("stop", stop_patience)], []
     for loss in losses:
-        if loss < best - min_delta:
-            best, stale = loss, 0
-        else:
-            stale += 1
-        if stale >= patience:
-            out.append("stop" if reduced else "reduce")
-            reduced, stale = True, 0
+        if not math.isfinite(loss):
+            raise ValueError("a loss isn't finite")
+        improved = loss < best - min_delta
+        best, waited = (loss, 0) if improved else (best, waited + 1)
+        action, patience = phases[0]
+        if waited >= patience:
+            out.append(action)
+            if len(phases) > 1:
+                phases, waited = phases[1:], 0
         else:
             out.append("continue")
     return out
@@ -68,10 +74,46 @@ def argmax_labels(probabilities: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def weight_statistics(weights: DataFrame, most: int = 65_536) -> DataFrame:
-    """Mean, population deviation and range per tensor of (tensor, pos, value), strided to at most so many, finite ones only."""
-    from pyspark.sql import Window as W
-
-    stride = F.greatest(F.ceil(F.count("*").over(W.partitionBy("tensor")) / most), F.lit(1))
+    """Mean, population deviation and range per tensor of (tensor, pos, value), strided to at most so many, finite ones only; how many were taken and not finite."""
+    sizes = weights.groupBy("tensor").agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias("_s"))
     finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
-    sampled = weights.withColumn("_s", stride).where(F.col("pos") % F.col("_s") == 0)
-    return sampled.groupBy("tensor").agg(F.avg(finite).alias("mean"), F.stddev_pop(finite).alias("std"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    sampled = weights.join(F.broadcast(sizes), "tensor").where(F.col("pos") % F.col("_s") == 0)  # a row for each tensor
+    taken = [F.count("*").alias("sampled"), (F.count("*") - F.count(finite)).alias("nonfinite")]
+    return sampled.groupBy("tensor").agg(F.avg(finite).alias("mean"), F.stddev_pop(finite).alias("std"), F.min(finite).alias("low"), F.max(finite).alias("high"), *taken)
+
+
+def loss_sums(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of a binary loss over known pixels (keys, p, t, valid): cross entropy, overlap, areas and pixels."""
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    known = F.col("valid") > 0
+    entropy = -(F.col("t") * F.log(p) + (1 - F.col("t")) * F.log(1 - p))
+    only = lambda c: F.sum(F.when(known, c).otherwise(0.0))
+    return df.groupBy(*keys).agg(only(entropy).alias("entropy"), only(F.col("p") * F.col("t")).alias("both"), only(F.col("p")).alias("p_area"), only(F.col("t").cast("double")).alias("t_area"), F.count_if(known).alias("pixels"))
+
+
+def binary_loss(df: DataFrame, keys: list[str], smooth: float = 1.0) -> DataFrame:
+    """Mean cross entropy plus one less the soft Dice score, over known pixels alone; of each group of keys."""
+    dice = (2 * F.col("both") + smooth) / (F.col("p_area") + F.col("t_area") + smooth)
+    return loss_sums(df, keys).select(*keys, (F.col("entropy") / F.greatest("pixels", F.lit(1)) + 1 - dice).alias("loss"), "pixels")
+
+
+def multilabel_loss(df: DataFrame, keys: list[str], channel: str = "channel") -> DataFrame:
+    """Mean of binary_loss() over the channels that are known somewhere in a group; channels nowhere known don't count."""
+    return binary_loss(df, [*keys, channel]).where("pixels > 0").groupBy(*keys).agg(F.avg("loss").alias("loss"), F.count("*").alias("channels"))
+
+
+def class_loss(df: DataFrame, keys: list[str], pixel: list[str], smooth: float = 1.0) -> DataFrame:
+    """Cross entropy plus mean soft Dice over classes of (keys, pixel, class, p, t, valid): t is the true class, class 0 the background."""
+    hit = (F.col("class") == F.col("t")).cast("int")
+    per = loss_sums(df.withColumn("t", hit), [*keys, "class"])
+    dice = (2 * F.col("both") + smooth) / (F.col("p_area") + F.col("t_area") + smooth)
+    known = df.where((F.col("valid") > 0) & (F.col("class") == F.col("t")))
+    entropy = known.groupBy(*keys).agg(F.avg(-F.log(F.least(F.greatest("p", F.lit(1e-7)), F.lit(1.0)))).alias("_ce"))
+    return per.where("class > 0").groupBy(*keys).agg(F.avg(dice).alias("_dice")).join(entropy, keys).select(*keys, (F.col("_ce") + 1 - F.col("_dice")).alias("loss"))
+
+
+def full_validation(pred: DataFrame, truth: DataFrame, patches: DataFrame, valid: DataFrame, size: int) -> DataFrame:
+    """(class, tp, fp, fn, scores) over the whole reserved pool: known pixels of all validation patches (py, px, split)."""
+    held = patches.where("split = 'validation'").select("py", "px").distinct()
+    inside = valid.withColumn("py", F.floor(F.col("y") / size).cast("long")).withColumn("px", F.floor(F.col("x") / size).cast("long")).join(held, ["py", "px"], "left_semi").select("y", "x")
+    return scores(confusion(pred, truth, inside, ["y", "x"]))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,13 +83,46 @@ def grid_lines(spark, height: int, width: int, step_y: int, step_x: int) -> Data
     return out
 
 
-def cell_coverage(cells: DataFrame, rects: DataFrame, bucket: int) -> DataFrame:
-    """(row, col, covered, touched) of cells; a cell's own rectangles decide, no pixel is scanned."""
-    pairs = overlap_join(cells, rects.select(*BOX), bucket)
-    per = pairs.groupBy("l_row", "l_col", *[f"l_{c}" for c in BOX]).agg(F.collect_set(F.struct(*[F.col(f"r_{c}").alias(c) for c in BOX])).alias("rects"))
-    area = F.struct(*[F.col(f"l_{c}").alias(c) for c in BOX])
-    done = per.select(F.col("l_row").alias("row"), F.col("l_col").alias("col"), covered(area, F.col("rects")).alias("covered"))
-    return cells.join(done, ["row", "col"], "left").select("row", "col", F.coalesce("covered", F.lit(False)).alias("covered"), F.col("covered").isNotNull().alias("touched"))
+#: Columns of cells that a task decides at once.
+CELL_BLOCK = 64
+
+
+def _block_coverage(step_y: int, step_x: int) -> Callable[[pa.Table], pa.Table]:
+    """Which cells of a row's block its rectangles cover and touch, on the grid of their own edges."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        row, first = (table.column(c)[0].as_py() for c in ("row", "first"))
+        y0, x0, y1, x1, height, width = (table.column(c).to_numpy() for c in (*BOX, "height", "width"))
+        top, bottom = row * step_y, min((row + 1) * step_y, height[0])
+        edges = np.minimum(np.arange(first, first + CELL_BLOCK + 1) * step_x, width[0])
+        edges = edges[: np.searchsorted(edges, width[0]) + 1]
+        y0, y1, x0, x1 = (np.clip(v, *ends) for v, ends in ((y0, (top, bottom)), (y1, (top, bottom)), (x0, (edges[0], edges[-1])), (x1, (edges[0], edges[-1]))))
+        ys, xs = np.unique(np.concatenate([y0, y1, [top, bottom]])), np.unique(np.concatenate([x0, x1, edges]))
+        change = np.zeros((len(ys), len(xs)), np.int64)
+        a, b, c, d = (np.searchsorted(s, v) for s, v in ((ys, y0), (ys, y1), (xs, x0), (xs, x1)))
+        for at, sign in (((a, c), 1), ((b, d), 1), ((a, d), -1), ((b, c), -1)):
+            np.add.at(change, at, sign)
+        held = change.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
+        cells = np.searchsorted(xs, edges[:-1])
+        covered, touched = np.logical_and.reduceat(held.all(axis=0), cells), np.logical_or.reduceat(held.any(axis=0), cells)
+        n = len(cells)
+        return pa.table({"row": np.full(n, row), "col": first + np.arange(n), "covered": covered, "touched": touched})
+
+    return apply
+
+
+def cell_coverage(rects: DataFrame, height: int, width: int, step_y: int, step_x: int) -> DataFrame:
+    """(row, col, covered, touched) of every grid cell; edges of rectangles decide, no pixel is scanned.
+
+    A task sweeps one block of cells of a row, in time and memory that grow with its rectangles' edges, at most its pixels.
+    """
+    inside = rects.select(F.greatest("y0", F.lit(0)).alias("y0"), F.greatest("x0", F.lit(0)).alias("x0"), F.least("y1", F.lit(height)).alias("y1"), F.least("x1", F.lit(width)).alias("x1")).where("y0 < y1 AND x0 < x1")
+    blocks = inside.withColumn("_c", F.explode(cells_of(*[F.col(c) for c in BOX], step_y, step_x * CELL_BLOCK)))
+    dealt = blocks.select(*[F.col(c).cast("long").alias(c) for c in BOX], F.col("_c.row").alias("row"), (F.col("_c.col") * CELL_BLOCK).alias("first"), F.lit(height).cast("long").alias("height"), F.lit(width).cast("long").alias("width")).distinct()
+    found = dealt.groupBy("row", "first").applyInArrow(_block_coverage(step_y, step_x), "row long, col long, covered boolean, touched boolean")
+    cells = grid_cells(rects.sparkSession, height, width, step_y, step_x).select("row", "col")
+    no = F.lit(False)
+    return cells.join(found, ["row", "col"], "left").select("row", "col", F.coalesce("covered", no).alias("covered"), F.coalesce("touched", no).alias("touched"))
 
 
 def next_uncovered(coverage: DataFrame, columns: int, start: int) -> DataFrame:
@@ -99,3 +137,39 @@ def visible_stride(pixels_per_cell: float) -> int | None:
         if pixels_per_cell >= least:
             return stride
     return None
+
+
+def multiples(start: int, stop: int, stride: int) -> int:
+    """How many multiples of a stride lie from start to stop, both included."""
+    return max(0, stop // stride + (-start) // stride + 1) if stop >= start else 0
+
+
+def visible_labels(spark, shape: tuple[int, int], step: tuple[int, int], center: tuple[float, float], viewport: tuple[float, float], zoom: float, scale: tuple[float, float] = (1.0, 1.0), most: int = 150) -> DataFrame:
+    """(label, y, x) of the grid cells that are named in a viewport of screen pixels.
+
+    The stride follows the size of a cell on screen and grows until no more than ``most`` labels are left.
+    """
+    empty = spark.createDataFrame([], "label string, y double, x double")
+    if min(*shape, *step, *viewport, zoom, *(abs(s) for s in scale)) <= 0:
+        return empty
+    stride = visible_stride(min(n * abs(s) * zoom for n, s in zip(step, scale)))
+    if stride is None:
+        return empty
+    ends = []
+    for n, k, c, v, s in zip(shape, step, center, viewport, scale):
+        half = v / (2 * zoom * abs(s))
+        ends.append((max(0, math.floor((c - half) / k) - 1), min(-(-n // k) - 1, math.floor((c + half) / k) + 1)))
+    while math.prod(multiples(a, b, stride) for a, b in ends) > most:
+        stride += 1
+    axes = []
+    for name, (a, b), k, n in zip(("row", "col"), ends, step, shape):
+        at = F.least(F.col(name) * k + k / 2, F.lit(n - 1.0))
+        axes.append(spark.range(-(-a // stride) * stride, b + 1, stride).select(F.col("id").alias(name)).withColumn("y" if name == "row" else "x", at))
+    return axes[0].join(F.broadcast(axes[1])).select(F.format_string("R%02dC%02d", "row", "col").alias("label"), "y", "x")  # ``most`` rows at most
+
+
+def cell_box(row: int, col: int, shape: tuple[int, int], step: tuple[int, int]) -> tuple[int, int, int, int]:
+    """The box of a grid cell, cut at the edges; a cell outside is an error."""
+    if row < 0 or col < 0 or row * step[0] >= shape[0] or col * step[1] >= shape[1]:
+        raise ValueError(f"there is no cell R{row:02d}C{col:02d}")
+    return row * step[0], col * step[1], min((row + 1) * step[0], shape[0]), min((col + 1) * step[1], shape[1])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators import algebra, catalog, components, edits, library, metrics, patches, pyramid, rects, stitch
+from gridloom.plans.shared import materialize
 from gridloom.sources import rasters
 from gridloom.sources.rasters import EVENT_CELLS_SQL, EVENT_MASK_SQL, LAYERS_SQL, PART_MASK_SQL, PIXELS_SQL, table
 from gridloom.streaming import activity
@@ -102,7 +104,7 @@ t AS (SELECT *, count(*) OVER (PARTITION BY label_value, area, bbox_y0, bbox_x0,
 SELECT label_value, area, bbox_y0, bbox_x0, bbox_y1, bbox_x1, CASE WHEN component % 2 = 0 AND twins = 1 THEN component END AS component, component % 2 = 0 AND twins = 1 AS restored FROM t WHERE label_value = 3""")
 def component_selection_restore(spark, sf_dir):
     pixels = r1(spark, sf_dir)
-    found = components.measure(pixels).join(components.fingerprints(pixels), "component")
+    found = materialize(components.measure(pixels).join(components.fingerprints(pixels), "component"), "selection")
     saved = found.where("label_value = 3").select(*components.KEY, F.when(F.col("component") % 2 == 0, F.col("fingerprint")).otherwise("changed since").alias("fingerprint"))
     return components.restore_selection(found, saved)
 
@@ -183,8 +185,7 @@ cover AS (SELECT row, col, coalesce(n = 100, false) AS covered, n IS NOT NULL AS
 
 
 def coverage(spark, sf_dir):
-    cells = rects.grid_cells(spark, SIDE, SIDE, CELL, CELL)
-    return rects.cell_coverage(cells, order_rects(spark, sf_dir), 40)
+    return rects.cell_coverage(order_rects(spark, sf_dir), SIDE, SIDE, CELL, CELL)
 
 
 @query(f"WITH {COVER_SQL} SELECT row, count(*) FILTER (WHERE covered) AS covered_cells, count(*) FILTER (WHERE touched) AS touched_cells FROM cover GROUP BY row")
@@ -232,23 +233,30 @@ def library_closure(spark, sf_dir):
 
 # ---- patches, splits, sampling
 
+#: Patches of 4 x 4 pixels; blocks of two on an axis of four patches or more.
 PATCH_SQL = f"""{PART_MASK_SQL}, reviewed AS (SELECT DISTINCT l_partkey // 20 AS y, l_suppkey AS x FROM lineitem WHERE l_linestatus = 'F'),
-patch AS (SELECT y // 16 AS py, x // 16 AS px, count(*) AS reviewed_pixels, count(v) FILTER (WHERE v = 1) AS foreground_pixels, list_sort(list_distinct(list(v) FILTER (WHERE v = 1))) AS class_ids, count(v) FILTER (WHERE v = 1) > 30 AS contains_foreground, (y // 16 // 2) || ':' || (x // 16 // 2) AS block FROM reviewed LEFT JOIN mask USING (y, x) GROUP BY ALL)"""
+ends AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w, CASE WHEN max(y) + 1 > 12 THEN 2 ELSE 1 END AS gr, CASE WHEN max(x) + 1 > 12 THEN 2 ELSE 1 END AS gc FROM mask),
+raw AS (SELECT y // 4 AS py, x // 4 AS px, count(*) AS reviewed_pixels, count(v) FILTER (WHERE v = 1) AS foreground_pixels, list_sort(list_distinct(list(v) FILTER (WHERE v = 1))) AS class_ids FROM reviewed LEFT JOIN mask USING (y, x) GROUP BY y // 4, x // 4),
+patch AS (SELECT raw.*, py * 4 AS y0, px * 4 AS x0, least(py * 4 + 4, h) AS y1, least(px * 4 + 4, w) AS x1, foreground_pixels % 2 = 1 AS contains_foreground, (py // gr) || ':' || (px // gc) AS block FROM raw, ends)"""
 
 
-def part_patches(spark, sf_dir):
+def part_shape(spark, sf_dir):
+    return tuple(rasters.part_mask(spark, sf_dir).agg(F.max("y") + 1, F.max("x") + 1).first())
+
+
+def part_reviewed(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")
-    reviewed = lines.select(F.floor(F.col("l_partkey") / 20).cast("long").alias("y"), F.col("l_suppkey").alias("x"))
-    found = patches.index_patches(rasters.part_mask(spark, sf_dir).where("v = 1"), reviewed, 16)
-    return found.withColumn("contains_foreground", F.col("foreground_pixels") > 30)
+    return lines.select(F.floor(F.col("l_partkey") / 20).cast("long").alias("y"), F.col("l_suppkey").alias("x"))
 
 
-PATCH_SQL = PATCH_SQL.replace("GROUP BY ALL)", "GROUP BY y // 16, x // 16, y // 16 // 2, x // 16 // 2)")
+def part_patches(spark, sf_dir):
+    found = patches.index_patches(rasters.part_mask(spark, sf_dir).where("v = 1"), part_reviewed(spark, sf_dir), 4, *part_shape(spark, sf_dir))
+    return found.withColumn("contains_foreground", F.col("foreground_pixels") % 2 == 1)  # both kinds in each region
 
 
-@query(f"WITH {PATCH_SQL} SELECT py, px, reviewed_pixels, foreground_pixels, len(class_ids)::BIGINT AS classes, contains_foreground, block FROM patch")
+@query(f"WITH {PATCH_SQL} SELECT py, px, y0, x0, y1, x1, reviewed_pixels, foreground_pixels, len(class_ids)::BIGINT AS classes, CASE WHEN foreground_pixels > 0 THEN 'target' ELSE 'reviewed background' END AS kind, block FROM patch")
 def patch_index(spark, sf_dir):
-    return part_patches(spark, sf_dir).select("py", "px", "reviewed_pixels", "foreground_pixels", F.size("class_ids").cast("long").alias("classes"), "contains_foreground", "block")
+    return part_patches(spark, sf_dir).select("py", "px", "y0", "x0", "y1", "x1", "reviewed_pixels", "foreground_pixels", F.size("class_ids").cast("long").alias("classes"), "kind", "block")
 
 
 @query(f"""WITH RECURSIVE {PART_MASK_SQL}, {labelled_sql()}, held AS (SELECT DISTINCT component, (y // 32) || ':' || (x // 32) AS block FROM pix),
@@ -259,14 +267,15 @@ def patch_block_merge(spark, sf_dir):
     return patches.merge_blocks(r2(spark, sf_dir), 16)
 
 
-SPLIT_SQL = f"""{PATCH_SQL}, blocks AS (SELECT block, bool_or(contains_foreground) AS positive, md5(block) < '2' AS forbidden, sum(reviewed_pixels)::BIGINT AS size FROM patch GROUP BY block),
-ok AS (SELECT *, NOT forbidden OR (positive AND count(*) FILTER (WHERE NOT forbidden) OVER (PARTITION BY positive) = 0) AS ok FROM blocks),
-rk AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY positive, ok) AS n FROM ok WINDOW w AS (PARTITION BY positive, ok ORDER BY md5('7:' || block))),
-split AS (SELECT block, CASE WHEN ok AND r <= CASE WHEN positive THEN greatest(1, floor(n * 0.2)) ELSE floor(n * 0.2) END THEN 'validation' ELSE 'train' END AS split FROM rk)"""
+SPLIT_SQL = f"""{PATCH_SQL}, blocks AS (SELECT block, bool_or(contains_foreground) AS positive, md5(block) < '4' AS forbidden FROM patch GROUP BY block),
+candidate AS (SELECT block, positive FROM blocks WHERE NOT forbidden UNION ALL SELECT block, positive FROM blocks WHERE positive AND NOT EXISTS (SELECT 1 FROM blocks WHERE positive AND NOT forbidden)),
+taken AS (SELECT block FROM (SELECT *, row_number() OVER (PARTITION BY positive ORDER BY md5('7:' || block)) AS r FROM candidate)
+  WHERE r <= CASE WHEN positive THEN greatest(1, floor((SELECT count(*) FROM blocks WHERE positive) * 0.2)) ELSE floor((SELECT count(*) FROM candidate WHERE NOT positive) * 0.2) END),
+split AS (SELECT block, CASE WHEN block IN (SELECT block FROM taken) THEN 'validation' ELSE 'train' END AS split FROM blocks)"""
 
 
 def part_blocks(spark, sf_dir):
-    return part_patches(spark, sf_dir).groupBy("block").agg(F.bool_or("contains_foreground").alias("positive"), (F.md5("block") < "2").alias("forbidden"), F.sum("reviewed_pixels").alias("size"))
+    return part_patches(spark, sf_dir).groupBy("block").agg(F.bool_or("contains_foreground").alias("positive"), (F.md5("block") < "4").alias("forbidden"))
 
 
 @query(f"WITH {SPLIT_SQL} SELECT block, split FROM split")
@@ -280,10 +289,23 @@ def split_summary(spark, sf_dir):
     return patches.split_summary(part_patches(spark, sf_dir).join(split, "block"))
 
 
-@query()
+FOLD_SQL = """blocks AS (SELECT (o_custkey % 60)::VARCHAR AS block, bool_or(o_orderstatus = 'P' AND o_custkey % 3 = 0) AS positive, count(*) AS size FROM orders GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY NOT positive, size DESC, md5('42:' || block)) AS i FROM blocks),
+r(i, loads, block, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], NULL::VARCHAR, NULL::BIGINT UNION ALL
+SELECT o.i, list_transform(r.loads, lambda x, k: x + CASE WHEN k = list_position(r.loads, list_min(r.loads)) THEN o.size ELSE 0 END), o.block, list_position(r.loads, list_min(r.loads)) - 1 FROM r JOIN o ON o.i = r.i + 1)"""
+
+
+def order_blocks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("block", (F.col("o_custkey") % 60).cast("string"))
+    return o.groupBy("block").agg(F.bool_or((F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 3 == 0)).alias("positive"), F.count("*").alias("size"))
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL} SELECT block, fold FROM r WHERE i > 0")
 def kfold(spark, sf_dir):
-    blocks = [(r.block, r.positive, r.size) for r in part_blocks(spark, sf_dir).collect()]  # a summary, as the sequential rule needs
-    return spark.createDataFrame(patches.spatial_folds(blocks), "block string, fold int")
+    rows = order_blocks(spark, sf_dir).limit(100_001).collect()  # a summary, as the sequential rule needs
+    if len(rows) > 100_000:
+        raise ValueError("folds are dealt over 100,000 blocks at most")
+    return spark.createDataFrame(patches.spatial_folds([(r.block, r.positive, r.size) for r in rows]), "block string, fold long")
 
 
 @query(f"""WITH {PATCH_SQL}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE contains_foreground) AS p FROM patch),
@@ -336,11 +358,13 @@ def multilabel_join(spark, sf_dir):
     return patches.join_channels([per(1), per(5)], ["click", "view"], ["py", "px"])
 
 
-@query(f"""WITH {SPLIT_SQL}, a AS (SELECT py, px, split, contains_foreground, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY split, contains_foreground) AS n FROM patch JOIN split USING (block) WINDOW w AS (PARTITION BY split, contains_foreground ORDER BY py, px))
-SELECT py, px, split, contains_foreground FROM a WHERE n <= 4 OR r = 0 OR floor(r * 4 / n) > floor((r - 1) * 4 / n)""")
+@query(f"""WITH {SPLIT_SQL}, a AS (SELECT py, px, split, contains_foreground, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY split, contains_foreground) AS n FROM patch JOIN split USING (block) WINDOW w AS (PARTITION BY split, contains_foreground ORDER BY py, px)),
+k AS (SELECT DISTINCT split, contains_foreground, n, least(n, 5) AS m FROM a), w AS (SELECT split, contains_foreground, n, m, unnest(range(m)) AS i FROM k),
+places AS (SELECT split, contains_foreground, CASE WHEN i = m - 1 AND i > 0 THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / greatest(m - 1, 1)))::BIGINT END AS r FROM w)
+SELECT py, px, split, contains_foreground FROM a JOIN places USING (split, contains_foreground, r)""")
 def patch_preview(spark, sf_dir):
     split = patches.holdout(part_blocks(spark, sf_dir), 0.2, "7")
-    return patches.preview(part_patches(spark, sf_dir).join(split, "block"), 4, ("py", "px")).select("py", "px", "split", "contains_foreground")
+    return patches.preview(part_patches(spark, sf_dir).join(split, "block"), 20, ("py", "px")).select("py", "px", "split", "contains_foreground")
 
 
 # ---- metrics and catalog
@@ -388,11 +412,13 @@ def latest_run(spark, sf_dir):
     return catalog.latest_runs(order_runs(spark, sf_dir)).select("model", "run", "dice")
 
 
-@query(f"""WITH {RUNS_SQL}, k AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus || '|' || left(o_orderpriority, 1) END AS key, model || '/' || left(o_orderpriority, 1) AS g FROM runs)
-SELECT g AS series, CASE WHEN count(DISTINCT key) = 1 AND count(key) = count(*) THEN arg_max(run, dice) END AS best_run, count(*) AS runs FROM k GROUP BY g""")
+@query(f"""WITH {RUNS_SQL}, k AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN [o_orderstatus, left(o_orderpriority, 1)] END AS key, model || '/' || left(o_orderpriority, 1) AS g, CASE WHEN o_orderkey % 7 > 0 THEN dice END AS s FROM runs)
+SELECT g AS series, CASE WHEN count(DISTINCT key) = 1 AND count(key) = count(*) THEN arg_max(run, s) END AS best_run, count(*) AS runs FROM k GROUP BY g""")
 def best_comparable(spark, sf_dir):
-    runs = order_runs(spark, sf_dir).withColumn("p", F.left("o_orderpriority", F.lit(1))).withColumn("s", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
-    keyed = catalog.comparison_key(runs, ["s", "p"]).withColumn("series", F.concat_ws("/", F.col("model").cast("string"), "p"))
+    split = F.when(F.col("o_orderstatus") == "P", "none").otherwise(F.col("o_orderstatus"))
+    score = F.when(F.col("o_orderkey") % 7 > 0, F.col("dice")).when(F.col("o_orderkey") % 2 == 0, float("nan")).otherwise(float("inf"))  # some aren't finite
+    runs = order_runs(spark, sf_dir).withColumns({"p": F.left("o_orderpriority", F.lit(1)), "held": split, "dice": score})
+    keyed = catalog.comparison_key(runs, "p", "held", ["o_orderstatus"]).withColumn("series", F.concat_ws("/", F.col("model").cast("string"), "p"))
     return catalog.best_comparable(keyed, ["series"], "dice")
 
 
@@ -420,11 +446,11 @@ def best_checkpoint(spark, sf_dir):
     return metrics.best_checkpoint(points, ["model"])
 
 
-@query(f"WITH {PIXELS_SQL}, s AS (SELECT y // 100 AS tensor, (y % 100) * 64 + x AS pos, value FROM pixels), k AS (SELECT *, greatest(ceil(count(*) OVER (PARTITION BY tensor) / 1000), 1) AS k FROM s) SELECT tensor, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, min(value) AS low, max(value) AS high FROM k WHERE pos % k = 0 GROUP BY tensor")
+@query(f"WITH {PIXELS_SQL}, s AS (SELECT y // 100 AS tensor, (y % 100) * 64 + x AS pos, value FROM pixels), k AS (SELECT *, greatest(ceil(count(*) OVER (PARTITION BY tensor) / 1000), 1) AS k FROM s) SELECT tensor, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, min(value) AS low, max(value) AS high, count(*) AS sampled FROM k WHERE pos % k = 0 GROUP BY tensor")
 def weight_statistics(spark, sf_dir):
     weights = rasters.vector_pixels(spark, sf_dir).select(patches.tile("y", 100).alias("tensor"), ((F.col("y") % 100) * 64 + F.col("x")).alias("pos"), "value")
     found = metrics.weight_statistics(weights, 1000)
-    return found.select("tensor", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "low", "high")
+    return found.select("tensor", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "low", "high", "sampled")
 
 
 # ---- library
@@ -522,18 +548,37 @@ def batch_fold(spark, sf_dir):
     return activity.batch_states(batch_events(spark, sf_dir))
 
 
-REPORT_SQL = "rep AS (SELECT user_id AS source, event_id AS seq, CASE event_type WHEN 'click' THEN 'running' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'ready' WHEN 'signup' THEN 'waiting' ELSE 'idle' END AS state, epoch_us(ts) // 1000000 AS tm FROM events)"
+REPORT_SQL = """rep AS (SELECT CASE user_id % 7 WHEN 0 THEN 'view' WHEN 1 THEN 'camera' WHEN 2 THEN 'context' ELSE 'task' END || CASE WHEN user_id % 7 > 2 OR user_id >= 7 THEN user_id::VARCHAR ELSE '' END AS source, user_id, event_id AS seq, floor(value)::BIGINT % 60 AS priority, value >= 5 AS transient,
+CASE event_type WHEN 'click' THEN 'busy' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'ready' WHEN 'signup' THEN 'warning' ELSE 'idle' END AS state, epoch_us(ts) // 1000000 AS tm FROM events)"""
 
 
 def reports(spark, sf_dir):
-    names = {"click": "running", "error": "error", "purchase": "ready", "signup": "waiting", "view": "idle"}
+    names = {"click": "busy", "error": "error", "purchase": "ready", "signup": "warning", "view": "idle"}
     state = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("seq"), state.alias("state"), rasters.epoch_seconds("ts").alias("at"), F.lit(0).alias("priority"))
+    kind = F.col("user_id") % 7
+    name = F.when(kind == 0, "view").when(kind == 1, "camera").when(kind == 2, "context").otherwise("task")
+    source = F.concat(name, F.when((kind > 2) | (F.col("user_id") >= 7), F.col("user_id").cast("string")).otherwise(""))
+    return table(spark, sf_dir, "events").select(source.alias("source"), F.col("event_id").alias("seq"), state.alias("state"), rasters.epoch_seconds("ts").alias("at"), (F.floor("value").cast("long") % 60).alias("priority"), (F.col("value") >= 5).alias("transient"))
+
 
+RANKED_SQL = f"""{REPORT_SQL}, last AS (SELECT source, arg_max(struct_pack(state := state, tm := tm, priority := priority, transient := transient, seq := seq), seq) AS r FROM rep GROUP BY source),
+now AS (SELECT max(tm) - 86400 * 3 AS t FROM rep), shown AS (SELECT source, r.* FROM last, now WHERE NOT (r.state = 'ready' AND r.transient AND r.tm + 4 <= now.t)),
+ranked AS (SELECT source, state, seq, priority + CASE WHEN source = 'view' AND state <> 'error' THEN -100 WHEN source = 'context' THEN 25 WHEN source = 'camera' AND state <> 'error' THEN CASE WHEN state = 'busy' THEN 50 ELSE -50 END
+  ELSE CASE state WHEN 'error' THEN 400 WHEN 'busy' THEN 200 WHEN 'warning' THEN 120 WHEN 'ready' THEN 100 ELSE 0 END END AS rank FROM shown)"""
 
-@query(f"WITH {REPORT_SQL}, l AS (SELECT source, arg_max(state, seq) AS state, max(seq) AS seq FROM rep GROUP BY source) SELECT source, state, seq, CASE state WHEN 'error' THEN 5 WHEN 'running' THEN 4 WHEN 'waiting' THEN 3 WHEN 'ready' THEN 2 ELSE 1 END::BIGINT AS rank FROM l")
+
+def report_time(spark, sf_dir):
+    return reports(spark, sf_dir).agg(F.max("at")).first()[0] - 86400 * 3
+
+
+@query(f"WITH {RANKED_SQL} SELECT source, state, seq, rank FROM ranked")
+def activity_ranks(spark, sf_dir):
+    return activity.source_activity(reports(spark, sf_dir), report_time(spark, sf_dir)).select("source", "state", "seq", "rank")
+
+
+@query(f"WITH {RANKED_SQL} SELECT source, state, seq, rank FROM ranked ORDER BY rank DESC, seq DESC LIMIT 1")
 def activity_current(spark, sf_dir):
-    return activity.current_activity(reports(spark, sf_dir)).select("source", "state", "seq", "rank")
+    return activity.current_activity(reports(spark, sf_dir), report_time(spark, sf_dir))
 
 
 @query(f"WITH {REPORT_SQL}, n AS (SELECT source, tm, seq, coalesce(tm - lag(tm) OVER w >= 3600, true)::INT AS fresh FROM rep WINDOW w AS (PARTITION BY source ORDER BY tm, seq)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY tm, seq) AS k FROM n) SELECT source, min(tm) AS first, max(tm) AS last, count(*) AS edits FROM s GROUP BY source, k")
@@ -548,18 +593,32 @@ def dirty_bounds(spark, sf_dir):
 
 # ---- inference
 
-@query(f"WITH {PIXELS_SQL} SELECT y, x, round(value, 6) AS p FROM pixels")
+def slope(image):
+    """A scorer whose scores depend on the place in the tile, so that tiling and blending show."""
+    n = len(image)
+    i = np.arange(n)
+    return np.abs(image) / (1 + np.abs(image)) * (i[:, None] + i[None, :] + 1) / (2 * n)
+
+
+STITCH_SQL = f"""{PIXELS_SQL}, d AS (SELECT least(48, max(y) + 1, 64) AS n, max(y) + 1 AS h FROM pixels),
+sy AS (SELECT DISTINCT unnest(list_append(range(0, h - n, greatest(1, n * 3 // 4)), h - n)) AS ty FROM d), sx AS (SELECT DISTINCT unnest(list_append(range(0, 64 - n, greatest(1, n * 3 // 4)), 64 - n)) AS tx FROM d),
+t AS (SELECT y, x, abs(value) / (1 + abs(value)) * (y - ty + x - tx + 1) / (2 * n) AS p, greatest(0.5 - 0.5 * cos(2 * pi() * (y - ty) / (n - 1)), 0.05) * greatest(0.5 - 0.5 * cos(2 * pi() * (x - tx) / (n - 1)), 0.05) AS w
+  FROM pixels, d JOIN sy ON true JOIN sx ON true WHERE y >= ty AND y < ty + n AND x >= tx AND x < tx + n),
+blended AS (SELECT y, x, round(sum(p * w) / sum(w), 6) AS p FROM t GROUP BY y, x)"""
+
+
+@query(f"WITH {STITCH_SQL} SELECT y, x, p FROM blended")
 def stitch_blend(spark, sf_dir):
     pixels = rasters.vector_pixels(spark, sf_dir)
     height = pixels.agg(F.max("y") + 1).first()[0]
-    if "identity" not in stitch.SCORERS:
-        stitch.register_scorer("identity", lambda image: image)
-    return stitch.predict(pixels, height, 64, 48, "identity").select("y", "x", F.round("p", 6).alias("p"))
+    if "slope" not in stitch.SCORERS:
+        stitch.register_scorer("slope", slope)
+    return stitch.predict(pixels, height, 64, 48, "slope", prepare=False).select("y", "x", F.round("p", 6).alias("p"))
 
 
-@query("WITH p AS (SELECT vec_id AS y, unnest(range(8))::BIGINT AS class, unnest(embedding[1:8])::DOUBLE AS p FROM embeddings) SELECT y, arg_max(class, struct_pack(p := p, c := -class)) AS v FROM p GROUP BY y")
+@query("WITH p AS (SELECT vec_id AS y, unnest(range(len(embedding)))::BIGINT AS class, unnest(embedding)::DOUBLE AS p FROM embeddings) SELECT y, arg_max(class, struct_pack(p := p, c := -class)) AS v FROM p GROUP BY y")
 def argmax_labels(spark, sf_dir):
-    probabilities = rasters.vector_pixels(spark, sf_dir).where("x < 8").select("y", F.col("x").alias("class"), F.col("value").alias("p"))
+    probabilities = rasters.vector_pixels(spark, sf_dir).select("y", F.col("x").alias("class"), F.col("value").alias("p"))
     return metrics.argmax_labels(probabilities, ["y"])
 
 
@@ -651,10 +710,14 @@ def tiles_changed(spark, sf_dir):
     return library.changed_tiles(library.tile_digests(mask, 32), library.tile_digests(edited_event_mask(mask), 32))
 
 
-@query(f"WITH {EDIT_SQL} SELECT y, x, v FROM edited")
+@query(f"WITH {EDIT_SQL}, cur AS (SELECT m.y, m.x, CASE WHEN m.v <> e.v AND m.x % 3 = 0 THEN e.v WHEN m.v = e.v AND m.x % 5 = 0 THEN 7 ELSE m.v END AS v FROM mask m JOIN edited e USING (y, x)) SELECT y, x, CASE WHEN m.v <> e.v THEN e.v ELSE c.v END AS v FROM mask m JOIN edited e USING (y, x) JOIN cur c USING (y, x)")
 def edit_write_back(spark, sf_dir):
+    """Some edited pixels hold the new value already, and another writer changed pixels that aren't edited."""
     mask = rasters.event_mask(spark, sf_dir)
-    return edits.write_back(mask, mask, edited_event_mask(mask))
+    edited = edited_event_mask(mask)
+    both = mask.join(edited.select("y", "x", F.col("v").alias("e")), ["y", "x"])
+    now = both.select("y", "x", F.when((F.col("v") != F.col("e")) & (F.col("x") % 3 == 0), F.col("e")).when((F.col("v") == F.col("e")) & (F.col("x") % 5 == 0), 7).otherwise(F.col("v")).alias("v"))
+    return edits.write_back(mask, now, edited)
 
 
 @query("""WITH b AS (SELECT CASE WHEN n_chars > 2000 THEN 3 WHEN n_chars > 800 THEN 2 ELSE 1 END AS p, 1 + quality + toxic AS t FROM labels JOIN documents USING (doc_id)),

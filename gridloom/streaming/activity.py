@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rank of activity states. Fixed values.
-RANKS = {"error": 5, "running": 4, "waiting": 3, "ready": 2, "idle": 1}
-#: Seconds after which a ready record is no longer shown.
-READY_SECONDS = 4
+#: Ranks of activity states, and of the sources view, context and camera, before the priority is added. Fixed values.
+RANKS = {"error": 400, "busy": 200, "warning": 120, "ready": 100}
+VIEW, CONTEXT, CAMERA_BUSY, CAMERA = -100, 25, 50, -50
+#: Seconds after which a transient ready record is no longer shown; entries of the log that are kept.
+READY_SECONDS, LOG_ENTRIES = 4, 100
 
 
-def fold_batches(events: DataFrame) -> DataFrame:
-    """State of each batch from events(batch_id, seq, action, region): regions that are members, whether it is finished, rejected events.
+def batch_states(events: DataFrame) -> DataFrame:
+    """State of each batch from events(batch_id, seq, action, region): how many regions are members, whether it is finished, rejected events.
 
     add and remove change membership; approve and revoke don't; finish and reopen switch; a finished batch rejects add and approve.
     """
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        members, finished, rejected = set(), False, 0
-        for action, region in frame.sort_values("seq")[["action", "region"]].itertuples(index=False):
-            if action == "finish":
-                finished = True
-            elif action == "reopen":
-                finished = False
-            elif action in ("add", "approve") and finished:
-                rejected += 1
-            elif action == "add":
-                members.add(region)
-            elif action == "remove":
-                members.discard(region)
-        return pd.DataFrame({"batch_id": [frame["batch_id"].iloc[0]], "regions": [len(members)], "finished": [finished], "rejected": [rejected], "events": [len(frame)]})
-
-    return events.groupBy("batch_id").applyInPandas(fold, "batch_id long, regions long, finished boolean, rejected long, events long")
-
-
-def batch_states(events: DataFrame) -> DataFrame:
-    """fold_batches() by window functions alone, for batches of any size."""
     order = W.partitionBy("batch_id").orderBy("seq")
     switch = F.when(F.col("action") == "finish", True).when(F.col("action") == "reopen", False)
     before = F.coalesce(F.last(switch, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
@@ -48,12 +28,44 @@ def batch_states(events: DataFrame) -> DataFrame:
     return totals.join(members, "batch_id", "left").select("batch_id", F.coalesce("regions", F.lit(0)).cast("long").alias("regions"), F.coalesce("_last", F.lit(False)).alias("finished"), "rejected", "events")
 
 
+def activity_rank() -> Column:
+    """Rank of a report (source, state, priority): errors first; view, camera and context stand back unless they fail or, the camera, work."""
+    states = F.coalesce(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[F.col("state")], F.lit(0))
+    error = F.col("state") == "error"
+    base = F.when((F.col("source") == "view") & ~error, VIEW).when(F.col("source") == "context", CONTEXT)
+    base = base.when((F.col("source") == "camera") & ~error, F.when(F.col("state") == "busy", CAMERA_BUSY).otherwise(CAMERA)).otherwise(states)
+    return (base + F.col("priority")).cast("long")
+
+
+def changes_only(reports: DataFrame) -> DataFrame:
+    """Reports without those that repeat the last one of their source in everything but seq and time: these renew nothing."""
+    said = F.struct(*[c for c in reports.columns if c not in ("source", "seq", "at")])
+    w = W.partitionBy("source").orderBy("seq")
+    return reports.withColumn("_said", said).withColumn("_before", F.lag("_said").over(w)).where("_before IS NULL OR NOT (_said <=> _before)").drop("_said", "_before")
+
+
+def source_activity(reports: DataFrame, now: float | None = None) -> DataFrame:
+    """The latest report (source, state, at, priority, transient, seq) of each source, with its rank; at ``now`` a transient ready one that is too old is gone."""
+    latest = reports.groupBy("source").agg(F.max_by(F.struct("state", "at", "priority", "transient", "seq"), "seq").alias("r")).select("source", "r.*")
+    if now is not None:
+        latest = latest.where(~((F.col("state") == "ready") & F.col("transient") & (F.col("at") + READY_SECONDS <= now)))
+    return latest.withColumn("rank", activity_rank())
+
+
 def current_activity(reports: DataFrame, now: float | None = None) -> DataFrame:
-    """The latest report of each source, with its rank; ready ones that are older than READY_SECONDS are gone."""
-    latest = reports.groupBy("source").agg(F.max_by(F.struct("state", "at", "priority", "seq"), "seq").alias("r")).select("source", "r.*")
-    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[F.col("state")], F.lit(0)).cast("long")
-    latest = latest.withColumn("rank", rank)
-    return latest if now is None else latest.where((F.col("state") != "ready") | (F.col("at") + READY_SECONDS > now))
+    """The one report that is shown: of the sources' latest ones that of the highest rank, the later one at a tie; none is idle."""
+    best = source_activity(reports, now).agg(F.max_by(F.struct("source", "state", "seq", "rank"), F.struct("rank", "seq")).alias("b"))
+    return best.select(F.coalesce("b.source", F.lit("view")).alias("source"), F.coalesce("b.state", F.lit("idle")).alias("state"), "b.seq", "b.rank")
+
+
+def activity_log(reports: DataFrame) -> DataFrame:
+    """The last LOG_ENTRIES reports (source, state, details, seq), without view, camera and context and without direct repeats."""
+    entries = reports.where(~F.col("source").isin("view", "camera", "context"))
+    said = F.struct("source", "state", "details")
+    # one order over all sources; a window of one partition over no more than the newest entries
+    newest = entries.orderBy(F.desc("seq")).limit(50 * LOG_ENTRIES)
+    fresh = newest.withColumn("_before", F.lag(said).over(W.orderBy("seq"))).where(F.col("_before").isNull() | ~said.eqNullSafe(F.col("_before")))
+    return fresh.select("source", "state", "details", "seq").orderBy(F.desc("seq")).limit(LOG_ENTRIES)
 
 
 def edit_sessions(edits: DataFrame, gap_seconds: int) -> DataFrame:

@@ -135,34 +135,45 @@ def test_restore_deleted_only_where_empty(spark):
     assert {(r.x, r.restored) for r in components.restore_deleted(now, deleted).collect()} == {(0, True), (1, False)}
 
 
-def test_identity_lifecycle(spark):
-    """An object that grows keeps its id; split parts get new ones, never used before."""
-    old = np.zeros((48, 48), int)
-    old[5:15, 5:15], old[30:32, 4:20] = 17, 9
-    new = old.copy()
-    new[5:15, 15:17] = 17
-    new[30:32, 10:12] = 0
+def test_ids_over_three_versions(spark):
+    """A square that moves by a row keeps its id, a frame that is cut in two gets two new ones, one that is painted over goes."""
+    first = np.zeros((20, 30), int)
+    first[2:6, 2:6], first[10:18, 10:18], first[12:16, 12:16], first[3, 20:28] = 4, 6, 0, 2
+    second = np.zeros((20, 30), int)
+    second[3:7, 2:6], second[10:18, 10:18], second[12:16, 12:16] = 4, 6, 0
+    second[10:18, 13] = 0
+    second[3, 20:28] = 5
     snap = lambda m: library.labelled_snapshot(components.label_pixels(mask_of(spark, m)))
-    before, after = snap(old), snap(new)
-    matched = library.match_identity(before, after)
-    ids = {r.new_id: r.component_id for r in library.allocate(matched, 10**12).collect()}
-    kept = 5 * components.STRIDE + 5
-    assert ids[kept] == kept and sorted(ids.values())[1:] == [10**12, 10**12 + 1]
-    digests = components.fingerprints(components.label_pixels(mask_of(spark, old))).withColumnRenamed("component", "component_id")
-    table = digests.select("component_id", "fingerprint", F.lit(True).alias("included"), F.lit(True).alias("active"), F.lit(False).alias("needs_review"))
-    fresh = components.fingerprints(components.label_pixels(mask_of(spark, new))).join(library.allocate(matched, 10**12), F.col("component") == F.col("new_id")).select("component_id", "fingerprint")
+    matched = library.match_identity(snap(first), snap(second))
+    given = {r.new_id: r.component_id for r in library.allocate(matched, 10**12).collect()}
+    at = lambda y, x: y * components.STRIDE + x
+    assert given[at(3, 2)] == at(2, 2) and sorted(v for v in given.values() if v >= 10**12) == [10**12, 10**12 + 1, 10**12 + 2]
+    prints = lambda m: components.fingerprints(components.label_pixels(mask_of(spark, m)))
+    table = prints(first).select(F.col("component").alias("component_id"), "fingerprint", F.lit(True).alias("included"), F.lit(True).alias("active"), F.lit(False).alias("needs_review"))
+    fresh = prints(second).join(library.allocate(matched, 10**12), F.col("component") == F.col("new_id")).select("component_id", "fingerprint")
     out = {r.component_id: (r.included, r.active, r.needs_review) for r in library.publish(table, fresh, table).collect()}
-    assert out[kept] == (False, True, True)
-    assert out[30 * components.STRIDE + 4][1] is False
-    assert out[10**12] == (False, True, True)
+    assert out[at(2, 2)] == (False, True, True)  # changed: to be reviewed
+    assert out[at(10, 10)] == out[at(3, 20)] == (False, False, False)  # gone; review stays as it was
+    assert {out[10**12 + k] for k in range(3)} == {(False, True, False)}  # new ones ask for no review
+    kept = library.publish(table, prints(first).select(F.col("component").alias("component_id"), "fingerprint"), table)
+    assert {(r.included, r.active, r.needs_review) for r in kept.collect()} == {(True, True, False)}
+
+
+def test_closure_of_a_long_chain(spark):
+    boxes = spark.createDataFrame([(2 * i, 0, 2 * i + 3, 4) for i in range(70)], "y0 long, x0 long, y1 long, x1 long")
+    dirty = spark.createDataFrame([(0, 1, 1, 2)], boxes.schema)
+    assert tuple(library.closure(boxes, dirty).first()) == (0, 0, 141, 4)
 
 
 def test_versions_refuse_a_stale_writer(spark, tmp_path):
-    table = library.VersionedTable(str(tmp_path))
+    table = library.VersionedTable(spark, str(tmp_path))
     assert table.commit(spark.range(3), 0) == 1
     with pytest.raises(RuntimeError):
         table.commit(spark.range(4), 0)
     assert table.read(spark).count() == 3
+    with pytest.raises(Exception, match="DIVIDE"):
+        table.commit(spark.range(3).selectExpr("id / (id - id)"), 1)
+    assert table.commit(spark.range(5), 1) == 2 and table.read().count() == 5  # a failed write blocks no version
 
 
 def test_rectangles_cover_and_subtract(spark):
@@ -175,12 +186,14 @@ def test_rectangles_cover_and_subtract(spark):
     assert len(row.q) == 1 and row.part is False and row.whole is True
 
 
-def test_pyramid_keeps_wide_ids(spark):
-    array = np.zeros((129, 135), np.int64)
-    array[0, 1], array[1, 0], array[128, 134] = 2**40 + 17, 9, 37
-    top = pyramid.label_pyramid(mask_of(spark, array), 3).where("level = 2")
-    assert {(r.y, r.x, r.v) for r in top.collect()} == {(0, 0, 2**40 + 17), (32, 33, 37)}
-    assert len(pyramid.level_shapes(129, 135)) == 7
+def test_pyramid_takes_the_first_label_whole(spark):
+    array = np.zeros((70, 50), np.int64)
+    array[3, 3], array[2, 7], array[69, 48], array[68, 49] = 3_000_000_001, 12, 6_000_000_002, 5
+    got = {(r.level, r.y, r.x, r.v) for r in pyramid.label_pyramid(mask_of(spark, array), 3).where("level > 0").collect()}
+    assert got == {(1, 1, 1, 3_000_000_001), (1, 1, 3, 12), (1, 34, 24, 5), (2, 0, 0, 3_000_000_001), (2, 0, 1, 12), (2, 17, 12, 5)}
+    assert pyramid.level_shapes(70, 50) == [(70, 50), (35, 25), (18, 13), (9, 7), (5, 4), (3, 2), (2, 1)]
+    assert pyramid.level_shapes(3, 1) == [(3, 1), (2, 1), (1, 1)] and pyramid.level_shapes(1, 1) == [(1, 1)]
+    assert pyramid.needs_image_pyramid(40_000, 10) and not pyramid.needs_image_pyramid(32_768, 32_768)
 
 
 def test_edits_apply_or_conflict(spark):

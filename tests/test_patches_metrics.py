@@ -1,3 +1,7 @@
+import hashlib
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,15 +24,48 @@ def test_confusion_within_valid_pixels(spark):
 
 
 def test_plateau_reduces_once_then_stops():
-    assert metrics.plateau([1, 0.9, 0.9, 0.9, 0.9, 0.9], 2) == ["continue", "continue", "continue", "reduce", "continue", "stop"]
-
-
-def test_folds_are_disjoint_and_even():
-    blocks = [(f"{i}:0", i % 3 == 0, 1 + i % 4) for i in range(40)]
-    folds = dict(patches.spatial_folds(blocks, 5))
-    assert len(folds) == 40
-    load = [sum(s for b, _, s in blocks if folds[b] == f) for f in range(5)]
-    assert max(load) - min(load) <= 8
+    assert metrics.plateau([1, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9], 2, 3) == ["continue", "continue", "continue", "reduce", "continue", "continue", "stop"]
+    assert metrics.plateau([1, 0.99995, 0.9999], 1, 1) == ["continue", "reduce", "stop"]  # too small to count
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            metrics.plateau([1, bad])
+    with pytest.raises(ValueError):
+        metrics.plateau([1], 0)
+
+
+def brute_folds(blocks, count):
+    """Blocks one after the other, each to the fold with the fewest patches of all kinds."""
+    loads, out = [0] * count, {}
+    for kind in (True, False):
+        rows = [b for b in blocks if b[1] is kind]
+        rows.sort(key=lambda b: (-b[2], hashlib.md5(f"42:{b[0]}".encode()).hexdigest()))
+        for name, _, size in rows:
+            fold = loads.index(min(loads))
+            out[name] = fold
+            loads[fold] += size
+    return out, loads
+
+
+@pytest.mark.parametrize("count", [2, 3, 5, 10])
+def test_folds_keep_one_load_over_both_kinds(count):
+    rng = random.Random(count)
+    blocks = [(f"{i}:0", i % 3 == 0, rng.randint(1, 9)) for i in range(47)]
+    want, loads = brute_folds(blocks, count)
+    assert dict(patches.spatial_folds(blocks, count)) == want
+    assert max(loads) - min(loads) <= 9
+
+
+def test_folds_that_cant_be_made(spark):
+    blocks = [("a", True, 1), ("b", True, 1), ("c", False, 3)]
+    for count in (1, 3, 11):
+        with pytest.raises(ValueError):
+            patches.spatial_folds(blocks, count)
+    rows = [("a", True, 4, 1), ("b", True, 4, 4), ("c", False, 4, 0)]
+    table = spark.createDataFrame(rows, "block string, contains_foreground boolean, reviewed_pixels long, foreground_pixels long")
+    folds = spark.createDataFrame([("a", 0), ("b", 1), ("c", 0)], "block string, fold long")
+    assert {(r.fold, r.split, r.problem) for r in patches.fold_problems(table, folds).collect()} == {(1, "validation", "no reviewed background"), (0, "train", "no reviewed background")}
+    split = table.withColumn("split", F.when(F.col("block") == "b", "validation").otherwise("train"))
+    assert [(r.split, r.problem) for r in patches.split_problems(split).collect()] == [("validation", "no reviewed background")]
 
 
 def test_subset_sizes():
@@ -37,10 +74,37 @@ def test_subset_sizes():
 
 
 def test_split_holds_out_both_kinds(spark):
-    blocks = spark.createDataFrame([(str(i), i % 2 == 0, i == 0) for i in range(20)], "block string, positive boolean, forbidden boolean")
-    out = {r.block: r.split for r in patches.holdout(blocks, 0.2, "1").collect()}
-    held = [b for b, s in out.items() if s == "validation"]
-    assert out["0"] == "train" and sum(int(b) % 2 == 0 for b in held) == 1 and sum(int(b) % 2 for b in held) == 2
+    blocks = spark.createDataFrame([(str(i), i % 2 == 0, i in (0, 1, 2)) for i in range(20)], "block string, positive boolean, forbidden boolean")
+    out = {r.block: r.split for r in patches.holdout(blocks, 0.25, "1").collect()}
+    held = [int(b) for b, s in out.items() if s == "validation"]
+    # a quarter of all ten with targets, of the nine free ones without
+    assert out["0"] == out["1"] == out["2"] == "train" and sum(b % 2 == 0 for b in held) == 2 and sum(b % 2 for b in held) == 2
+    seen = blocks.withColumn("forbidden", F.col("positive"))
+    assert sum(r.split == "validation" and int(r.block) % 2 == 0 for r in patches.holdout(seen, 0.25, "1").collect()) == 2
+    with pytest.raises(Exception, match="two blocks"):
+        patches.holdout(blocks.where("NOT positive OR block = '4'"), 0.25, "1").collect()
+    with pytest.raises(ValueError):
+        patches.holdout(blocks, 0.6, "1")
+
+
+def test_short_axes_have_blocks_of_one():
+    assert patches.block_spans(64, 48, 16) == (2, 1) and patches.block_spans(49, 64, 16) == (2, 2)
+
+
+def test_preview_takes_both_ends(spark):
+    rows = [(i, "train", True) for i in range(11)] + [(i, "validation", False) for i in range(2)]
+    found = patches.preview(spark.createDataFrame(rows, "k long, split string, contains_foreground boolean"), 16, ("k",)).collect()
+    assert sorted(r.k for r in found if r.split == "train") == [0, 3, 6, 10] and sorted(r.k for r in found if r.split == "validation") == [0, 1]
+
+
+def test_pooled_images_stay_in_their_group(spark):
+    rows = spark.createDataFrame([(1, "0:0"), (2, "0:0"), (3, "1:0")], "image_id long, block string")
+    pairs = spark.createDataFrame([(1, " s "), (2, "s"), (3, None)], "image_id long, group string")
+    assert {(r.image_id, r.block, r.source_block) for r in patches.pool_pairs(rows, pairs).collect()} == {(1, "s", "0:0"), (2, "s", "0:0"), (3, "3", "1:0")}
+    with pytest.raises(Exception, match="stands twice"):
+        patches.pool_pairs(rows, pairs.unionByName(pairs.where("image_id = 1"))).collect()
+    with pytest.raises(Exception, match="two groups"):
+        patches.pool_pairs(rows, pairs.where("image_id < 3")).collect()
 
 
 def test_merged_blocks_take_the_smallest_key(spark):
@@ -60,7 +124,9 @@ def test_epoch_repeats_positives_only(spark):
 
 
 def test_names_and_tags(spark):
-    assert catalog.name_part("Élan vital / №1") == "elan-vital-no1"
+    assert catalog.name_part("Élan vital / №1") == "Elan-vital-No1" and catalog.name_part("ab cd", 3) == "ab" and catalog.name_part(None) == ""
+    assert catalog.checkpoint_name("Çelik", "unet-w16", 3, "0123456789", "Plate 4", input_pixels=256, started="2024-05-06T23:30:00-02:00") == "Celik_Plate-4_unet-w16_in256_run03_20240507_01234567.pt"
+    assert catalog.checkpoint_name("", "", 1, "r", started="soon") == "model_network_run01_undated_r.pt"
     assert catalog.unique_name("mask", {"mask", "mask 2"}) == "mask 3"
     assert spark.range(1).select(catalog.ordered_tags(F.lit(" b, a ,,b")).alias("t")).first().t == ["b", "a"]
     assert catalog.unet_parameters(1, 1, [2]) == 18 + 2 + 36 + 2 + 2 + 1
@@ -76,22 +142,61 @@ def test_snapshot_ignores_row_order(spark):
 def test_tiles_cover_every_pixel():
     for size, tile in ((10, 16), (100, 16), (64, 16), (17, 16)):
         starts = stitch.tile_starts(size, tile)
-        assert {p for s in starts for p in range(s, min(s + tile, size))} == set(range(size))
-
-
-def test_batch_fold_forms_agree(spark):
+        assert {p for s in starts for p in range(s, min(s + tile, size))} == set(range(size)) and max(starts) + min(tile, size) == size
+    assert stitch.tile_starts(100, 16, 50, 60) == [50] and stitch.tile_starts(100, 16, 95, 100) == [84]
+
+
+def brute_prediction(image, tile, scorer):
+    """Tiles one after the other, weighted by NumPy's Hann window with a floor."""
+    n = min(tile, *image.shape)
+    ramp = np.maximum(np.hanning(n), 0.05)
+    total, weight = np.zeros(image.shape), np.zeros(image.shape)
+    for y in stitch.tile_starts(image.shape[0], n):
+        for x in stitch.tile_starts(image.shape[1], n):
+            p = np.clip(scorer(stitch.normalized(image[y : y + n, x : x + n])), 0, 1)
+            total[y : y + n, x : x + n] += p * np.outer(ramp, ramp)
+            weight[y : y + n, x : x + n] += np.outer(ramp, ramp)
+    return total / weight
+
+
+def test_prediction_like_a_plain_loop(spark):
+    rng = np.random.default_rng(1)
+    image = rng.normal(size=(30, 23))
+    scorer = lambda a: a * np.linspace(0, 1.2, len(a))[:, None]
+    stitch.SCORERS["loop"] = scorer
+    pixels = spark.createDataFrame([(y, x, float(image[y, x])) for y in range(30) for x in range(23)], "y long, x long, value double")
+    found = np.zeros((30, 23))
+    for r in stitch.predict(pixels, 30, 23, 12, "loop").collect():
+        found[r.y, r.x] = r.p
+    assert np.allclose(found, brute_prediction(image, 12, scorer), atol=1e-9)
+    part = stitch.predict(pixels, 30, 23, 12, "loop", bounds=(-3, 20, 9, 99)).collect()
+    assert {(r.y, r.x) for r in part} == {(y, x) for y in range(9) for x in range(20, 23)}
+    assert stitch.predict(pixels, 30, 23, 12, "loop", input_pixels=6).count() == 690
+    with pytest.raises(ValueError):
+        stitch.predict(pixels, 30, 23, 12, "loop", bounds=(40, 0, 50, 5))
+
+
+def test_batch_membership(spark):
     rows = [(1, 1, "add", 5), (1, 2, "add", 6), (1, 3, "remove", 5), (1, 4, "finish", 0), (1, 5, "add", 7), (1, 6, "approve", 6), (1, 7, "reopen", 0), (1, 8, "revoke", 6), (1, 9, "add", 8), (2, 1, "approve", 1)]
     events = spark.createDataFrame(rows, "batch_id long, seq long, action string, region long")
-    want = {(1, 2, False, 2, 9), (2, 0, False, 0, 1)}
     columns = ["batch_id", "regions", "finished", "rejected", "events"]
-    assert {tuple(r) for r in activity.fold_batches(events).select(columns).collect()} == want
-    assert {tuple(r) for r in activity.batch_states(events).select(columns).collect()} == want
-
-
-def test_ready_reports_expire(spark):
-    reports = spark.createDataFrame([("a", "running", 1, 0, 1), ("a", "ready", 2, 0, 2), ("b", "error", 1, 0, 3)], "source string, state string, at long, priority int, seq long")
-    assert {r.source for r in activity.current_activity(reports, 3).collect()} == {"a", "b"}
-    assert {r.source for r in activity.current_activity(reports, 6).collect()} == {"b"}
+    assert {tuple(r) for r in activity.batch_states(events).select(columns).collect()} == {(1, 2, False, 2, 9), (2, 0, False, 0, 1)}
+
+
+def test_ready_reports_expire_and_errors_come_first(spark):
+    rows = [("a", "busy", 1, 0, True, 1), ("a", "ready", 2, 0, True, 2), ("b", "warning", 1, 5, True, 3), ("c", "ready", 0, 0, False, 4), ("view", "busy", 9, 90, True, 5), ("camera", "busy", 9, 0, True, 6)]
+    reports = spark.createDataFrame(rows, "source string, state string, at long, priority int, transient boolean, seq long")
+    ranks = lambda now: {r.source: r["rank"] for r in activity.source_activity(reports, now).collect()}
+    assert ranks(5) == {"a": 100, "b": 125, "c": 100, "view": -10, "camera": 50} and set(ranks(6)) == {"b", "c", "view", "camera"}
+    assert activity.current_activity(reports, 5).first().source == "b"
+    worse = reports.unionByName(spark.createDataFrame([("view", "error", 9, 0, True, 7)], reports.schema))
+    assert activity.current_activity(worse, 5).first().source == "view"
+    none = activity.current_activity(reports.where("source = 'a'"), 100).first()
+    assert (none.source, none.state) == ("view", "idle")
+    twice = reports.unionByName(reports.where("source = 'b'").withColumn("seq", F.lit(9).cast("long")).withColumn("at", F.lit(8).cast("long")))
+    assert activity.changes_only(twice).count() == reports.count()
+    log = reports.withColumn("details", F.col("state"))
+    assert [r.source for r in activity.activity_log(log).collect()] == ["c", "b", "a", "a"]
 
 
 def test_streams_of_edits(spark, tmp_path):

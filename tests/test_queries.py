@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from gridloom.plans import more_queries  # noqa: F401  (registers its queries)
 from gridloom.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,10 +33,8 @@ def test_same_rows_as_sql(spark, con, sf_dir, name):
     assert got == sorted((tuple(r[names.index(c)] for c in columns) for r in result.fetchall()), key=repr)
 
 
-def test_kfold_is_balanced(spark, sf_dir):
-    rows = QUERIES["kfold"](spark, sf_dir).collect()
-    assert len({r.block for r in rows}) == len(rows)
-    assert {r.fold for r in rows} <= set(range(5))
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_imports_without_a_session():
@@ -43,3 +42,41 @@ def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+@pytest.mark.parametrize(("gone", "left"), [(("gridloom.llm",), False), (("corpus_pipeline",), True), (("gridloom.llm", "corpus_pipeline"), False)])
+def test_entry_without_optional_modules(gone, left):
+    """Each may be absent; a module that is missing inside them is an error."""
+    root = Path(__file__).resolve().parent.parent
+    if not (root / "gridloom" / "llm").exists():
+        left = False
+    block = f"""
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name in {gone!r}:
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+q = e.queries()
+assert "pipeline" not in q and ("op9_jaccard" in q) == {left} and "components_table" in q and set(e.oracle_sql()) <= set(q)
+"""
+    out = subprocess.run([sys.executable, "-c", block], cwd=root, env=os.environ, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+
+
+def test_a_missing_part_of_an_optional_module_is_an_error():
+    root = Path(__file__).resolve().parent.parent
+    if not (root / "gridloom" / "llm").exists():
+        pytest.skip("the optional modules are absent")
+    block = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "gridloom.llm.bpe":
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__
+"""
+    out = subprocess.run([sys.executable, "-c", block], cwd=root, env=os.environ, capture_output=True, text=True, timeout=120)
+    assert out.returncode != 0 and "gridloom.llm.bpe" in out.stderr
