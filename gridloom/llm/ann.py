@@ -156,9 +156,10 @@ def search(vectors: DataFrame, query_filter, k: int = 5, max_sample: int = 20_00
 
 def _search(rows: DataFrame, dim: int, n_rows: int, k: int, max_sample: int, recall: float) -> DataFrame:
     """(query_id, vec_id, score): the best k of each block of a list that a query reads. rows: vec_id, v, asks, of one length."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("v").toPandas()["v"]  # max_sample rows at most
+    packed = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("v").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in stack(b.column(0), dim)], pa.binary())], ["v"]) for b in batches), "v binary")
+    sample = b"".join(r.v for r in packed.collect())  # max_sample rows at most
     turn = rotation(dim)
-    known = unit(np.stack(sample.to_numpy())) @ turn
+    known = unit(np.frombuffer(sample, float).reshape(-1, dim)) @ turn
     centers = kmeans(known, max(1, min(int(np.sqrt(n_rows)), len(known) // 8)))
     probes = probes_for(known, centers, k, recall)
     block = max(1024, BLOCK_BYTES // (8 * dim))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,35 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.shared import materialize, release  # noqa: F401
+from gridloom.plans import shared
+from gridloom.plans.shared import release  # noqa: F401
+
+#: Rows of the Arrow batches of plans that are run here.
+BATCH_ROWS = 512
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that are run inside send small batches to Python workers, to hold less beside the heap; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder in small batches and read it back."""
+    with small_batches(df.sparkSession):
+        return shared.materialize(df, name)
+
+
 #: Bytes of text that a kernel works on at once (a longer text alone).
 SLICE_BYTES = 1 << 20
 

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, slices, text_array, utf8_parts
+from gridloom.llm.common import materialize, slices, small_batches, text_array, utf8_parts
 from gridloom.llm.ngrams import SPACES, mix64, span_hashes, spans
 from gridloom.operators.graph import connected_components
 
@@ -200,7 +200,8 @@ def sum_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_classes(docs: DataFrame) -> np.ndarray:
     """Class of each slot by its count over all documents: 0 for usual ones, more for frequent shingles."""
     schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count_slots, schema).repartition(PARTS, "part").mapInArrow(sum_slots, schema).collect()  # PARTS rows
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count_slots, schema).repartition(PARTS, "part").mapInArrow(sum_slots, schema).collect()  # PARTS rows
     counts = np.zeros((PARTS, (1 << SLOT_BITS) // PARTS), np.int64)
     for r in rows:
         counts[r.part] += np.frombuffer(r.counts, np.int64)

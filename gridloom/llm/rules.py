@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import code_points, slices, text_array
+from gridloom.llm.common import code_points, slices, small_batches, text_array
 from gridloom.llm.ngrams import gram_buckets, inside, owners
 
 GRAM, BITS = 4, 16
@@ -88,7 +88,8 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.col("yes").isNotNull().alias("trusted"))
-    rows = flagged.mapInArrow(count_grams, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # 2 ** BITS rows at most
+    with small_batches(docs.sparkSession):
+        rows = flagged.mapInArrow(count_grams, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # 2 ** BITS rows at most
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for r in rows:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
