@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -26,12 +25,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done, as it does by itself each half hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release(spark: SparkSession) -> None:
     """Delete this application's tables; results made from them are gone after it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
