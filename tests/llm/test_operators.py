@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, jaccard, linededup, ngrams, packing, pii, quality, queries, rules, sharding, toxicity
+from gridloom.llm import ann, bpe, common, jaccard, linededup, ngrams, packing, pii, quality, queries, rules, sharding, toxicity
 from gridloom.llm.common import code_points, utf8_parts
 from tests.llm.cases import LONG, ROWS, no_docs, odd_docs
 
@@ -668,3 +668,80 @@ def test_list_blocks_and_early_writes(spark):
         patch.setattr(jaccard, "BLOCK", 4)
         patch.setattr(jaccard, "HELD_PAIRS", 10)
         assert counted() == whole
+
+
+def plain_grams(text, n, bits):
+    """Buckets of the n-grams of a text, one by one in Python's integers."""
+    points = [ord(c.lower()) if len(c.lower()) == 1 and ord(c) < 0x10000 else ord(c) for c in text]
+    out = set()
+    for i in range(len(points) - n + 1):
+        h = points[i]
+        for p in points[i + 1 : i + n]:
+            h = (h * 16777619 + p) % (1 << 32)
+        h ^= h >> 15
+        out.add(h * 2654435761 % (1 << 32) >> (32 - bits))
+    return out
+
+
+def test_toxicity_like_a_plain_fit(spark):
+    """The query's scores from counts, ratios and a fit over every n-gram, text by text."""
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts and r.toxic is not None}
+    grams = {i: {(k, b) for k, n in enumerate(toxicity.LENGTHS) for b in plain_grams(t, n, toxicity.BITS)} for i, t in texts.items()}
+    n = [sum(v == c for v in labels.values()) for c in (0, 1)]
+    counts = defaultdict(lambda: [0, 0])
+    for i, c in labels.items():
+        for g in grams[i]:
+            counts[g][c] += 1
+    least = min(4.0, 0.7 * (4 * n[0] * n[1] / (n[0] + n[1])) ** 0.5)
+    kept = {}
+    for g, (a, b) in counts.items():
+        p = (a + b + 1) / (n[0] + n[1] + 2)
+        if abs(b / n[1] - a / n[0]) / (p * (1 - p) * (1 / n[0] + 1 / n[1])) ** 0.5 >= least:
+            kept[g] = np.log((b + 1) / (n[1] + 2)) - np.log((a + 1) / (n[0] + 2))
+    names = {g: k for k, g in enumerate(sorted(kept))}
+    ids = sorted(labels)
+    pairs = [(r, names[g]) for r, i in enumerate(ids) for g in grams[i] if g in names]
+    rows, cols = (np.array(x, int) for x in zip(*pairs))
+    weights, intercept = toxicity.logistic(rows, cols, np.array([kept[g] for g in sorted(kept)]), np.array([labels[i] for i in ids], float), 1e-4, 400)
+    found = {r.doc_id: r.score for r in queries.op1_toxicity(spark, sf_dir).collect()}
+    assert set(found) == set(texts) and len(kept) > 10
+    for i, g in grams.items():
+        z = intercept + sum(weights[names[x]] for x in g if x in names)
+        assert found[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_quality_like_a_plain_fit(spark):
+    """The query's scores from the vectors of single texts and moments summed in one place."""
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    trusted = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    ids = sorted(texts)
+    x = np.vstack([quality.features(pa.array([texts[i]], pa.large_string())) for i in ids]).astype(float)
+    p = x[[i in trusted for i in ids]]
+    su, sp, ridge = x.T @ x / len(x), p.T @ p / len(p), 1e-4
+    tell = np.linalg.solve(su + sp + 2 * ridge * np.eye(quality.WIDTH), sp[-1] - su[-1])
+    hist = [np.bincount(np.clip(((m @ tell + 1) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1), minlength=quality.BINS) for m in (x, p)]
+    weights = quality.solve(su, sp, quality.estimate_prior(*hist), ridge)
+    want = dict(zip(ids, np.clip((x @ weights + 1) / 2, 0, 1)))
+    found = {r.doc_id: r.score for r in queries.op10_quality(spark, sf_dir).collect()}
+    assert set(found) == set(want) and all(found[i] == pytest.approx(want[i], abs=1e-4) for i in ids)
+
+
+def test_features_do_not_depend_on_the_batch():
+    texts = [t or "" for _, t in ROWS] + ["a. b! c?\n" * 50, "|x|" * 999]
+    whole = quality.features(pa.array(texts, pa.large_string()))
+    assert all(np.array_equal(whole[k], quality.features(pa.array([t], pa.large_string()))[0]) for k, t in enumerate(texts))
+    for size in (1, 40, 1 << 20):
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in ROWS], pa.string())})
+        parts = list(common.slices(iter([batch]), size=size))
+        assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and all(p.num_rows == 1 or p.column(0).nbytes < size + 200 for p in parts)
+
+
+def test_settings_come_back(spark):
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark):
+        assert int(spark.conf.get(key)) <= 512
+        1 / 0
+    assert spark.conf.get(key) == before

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridloom.llm import linededup, pii, queries
 from gridloom.llm.common import materialize, read
+from tests.llm.cases import odd_docs
 from tests.llm.test_operators import brute_components, check_packing
 
 
@@ -65,3 +66,33 @@ def test_packed(stages):
 
 def test_run_is_the_stages_in_order(spark, sf_dir, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "start", "length").collect())) == sorted(map(tuple, stages[5].select("doc_id", "start", "length").collect()))
+
+
+def odd_stages(spark, sf_dir, docs):
+    tables = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "test-odd")
+        tables.append(docs)
+    return tables
+
+
+def test_stages_of_odd_documents(spark, sf_dir):
+    """Nulls, empty, long and repeated texts, null and repeated ids, clashing columns: each stage keeps columns and says what it drops."""
+    docs = odd_docs(spark).withColumn("n_chars", F.length("text").cast("long"))
+    private = spark.createDataFrame([(70, "write to ann@example.com or call +1 555 123 4567 " + "today " * 60)], "doc_id long, text string")
+    docs = docs.unionByName(private, allowMissingColumns=True)
+    tables = odd_stages(spark, sf_dir, docs)
+    for before, after in zip(tables, tables[1:-1]):
+        assert after.columns == docs.columns and after.count() <= before.count()
+    scores = {(r.doc_id, r.text): r.s for r in corpus_pipeline.quality.score_texts(docs, corpus_pipeline.quality.fit(corpus_pipeline.quality.featurize(docs), read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")), "s").collect()}
+    assert len(scores) >= 11
+    wordless = tables[2].where("NOT coalesce(text, '') RLIKE '[^ \\\\t\\\\n\\\\r]'").count()
+    assert tables[3].where("NOT coalesce(text, '') RLIKE '[^ \\\\t\\\\n\\\\r]'").count() == wordless  # near copies need words
+    assert tables[4].where("text LIKE '%ann@example.com%'").count() == 0 and tables[4].count() == tables[3].count()
+    pieces = tables[5].collect()
+    assert sum(r.length for r in pieces if r.start == 0) > 0 and {r.doc_id for r in pieces} == {r.doc_id for r in tables[4].collect()}
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").limit(0)
+    assert [t.count() for t in odd_stages(spark, sf_dir, docs)] == [0] * 6
