@@ -299,7 +299,7 @@ def shared_entries(table: pa.Table) -> pa.Table:
 
 
 def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in gathered(batches, 1 << 16, 16 << 20):  # counts of a task's part are summed here
         raw = batch.column(1).to_pylist()
         sets = np.repeat(batch.column(0).to_numpy() << SET_BITS, [len(r) // 2 for r in raw]) + np.frombuffer(b"".join(raw), "<u2")
         found, times = np.unique(sets, return_counts=True)
