@@ -45,3 +45,12 @@ def check_layers(shapes: list[tuple[int, int]], transforms: list[tuple[float, ..
         raise ValueError("layers differ in shape")
     if len(set(transforms)) > 1:
         raise ValueError("layers differ in registration")
+
+
+def output_layer(names: list[str], mode: str, overwrite: bool) -> tuple[str, bool]:
+    """(name of the layer that a result is written to, whether it replaces that layer): the first one, unless a new one is asked for; votes never replace a mask."""
+    from gridloom.operators.catalog import unique_name
+
+    if overwrite and mode != "votes":
+        return names[0], True
+    return unique_name(f"{names[0]} {mode}", set(names)), False

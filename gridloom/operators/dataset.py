@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.numbering import number_rows
-from gridloom.operators.patches import keyed_order, tile
+from gridloom.operators.patches import keyed_order, stratum_sizes, subset_size, tile
 
 #: Names that scored masks begin with, and how they name their image. Fixed values.
 PREDICTIONS = ("Model Training prediction", "Model Training preview")
@@ -125,19 +125,14 @@ def spread(patches: DataFrame, seed: str, keys: tuple[str, ...], source: str = "
 def trial_validation(patches: DataFrame, percentage: float, seed: str, keys: tuple[str, ...]) -> DataFrame:
     """The patches with a part of the reserved ones: ceil(n * p / 100), targets rounded half up in proportion, one at
     least, spread over sources and blocks; training patches all stay. A single patch must hold targets and background."""
-    if not 0 < percentage <= 100:
-        raise ValueError("choose a percentage above 0, 100 at most")
     held = patches.where("split = 'validation'")
     n, p = held.agg(F.count("*"), F.count_if("contains_foreground")).first()
-    want = max(1, -(-n * percentage // 100)) if n else 0
-    if want >= n:
+    if not n or (want := subset_size(n, percentage)) >= n:
         return patches
-    targets = max(1, int(want * p / n + 0.5))
-    targets = min(targets, want - 1) if p < n and want > 1 else targets
-    background = 0 if want == 1 else min(n - p, want - min(targets, p))
+    targets, background = stratum_sizes(n, p, want)
     mixed = F.col("reviewed_pixels") > F.col("foreground_pixels") if want == 1 else F.lit(True)
-    one = spread(held.where(F.col("contains_foreground") & mixed), seed, keys).where(F.col("turn") <= int(want - background))
-    two = spread(held.where(~F.col("contains_foreground")), seed, keys).where(F.col("turn") <= int(background))
+    one = spread(held.where(F.col("contains_foreground") & mixed), seed, keys).where(F.col("turn") <= targets)
+    two = spread(held.where(~F.col("contains_foreground")), seed, keys).where(F.col("turn") <= background)
     return patches.where("split <> 'validation'").unionByName(one.drop("turn")).unionByName(two.drop("turn"))
 
 

@@ -237,7 +237,7 @@ def library_closure(spark, sf_dir):
 PATCH_SQL = f"""{PART_MASK_SQL}, reviewed AS (SELECT DISTINCT l_partkey // 20 AS y, l_suppkey AS x FROM lineitem WHERE l_linestatus = 'F'),
 ends AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w, CASE WHEN max(y) + 1 > 12 THEN 2 ELSE 1 END AS gr, CASE WHEN max(x) + 1 > 12 THEN 2 ELSE 1 END AS gc FROM mask),
 raw AS (SELECT y // 4 AS py, x // 4 AS px, count(*) AS reviewed_pixels, count(v) FILTER (WHERE v = 1) AS foreground_pixels, list_sort(list_distinct(list(v) FILTER (WHERE v = 1))) AS class_ids FROM reviewed LEFT JOIN mask USING (y, x) GROUP BY y // 4, x // 4),
-patch AS (SELECT raw.*, py * 4 AS y0, px * 4 AS x0, least(py * 4 + 4, h) AS y1, least(px * 4 + 4, w) AS x1, foreground_pixels % 2 = 1 AS contains_foreground, (py // gr) || ':' || (px // gc) AS block FROM raw, ends)"""
+patch AS (SELECT raw.*, py * 4 AS y0, px * 4 AS x0, least(py * 4 + 4, h) AS y1, least(px * 4 + 4, w) AS x1, (foreground_pixels + py + px) % 2 = 1 AS contains_foreground, (py // gr) || ':' || (px // gc) AS block FROM raw, ends)"""
 
 
 def part_shape(spark, sf_dir):
@@ -251,7 +251,7 @@ def part_reviewed(spark, sf_dir):
 
 def part_patches(spark, sf_dir):
     found = patches.index_patches(rasters.part_mask(spark, sf_dir).where("v = 1"), part_reviewed(spark, sf_dir), 4, *part_shape(spark, sf_dir))
-    return found.withColumn("contains_foreground", F.col("foreground_pixels") % 2 == 1)  # both kinds in each region
+    return found.withColumn("contains_foreground", (F.col("foreground_pixels") + F.col("py") + F.col("px")) % 2 == 1)  # both kinds in each region
 
 
 @query(f"WITH {PATCH_SQL} SELECT py, px, y0, x0, y1, x1, reviewed_pixels, foreground_pixels, len(class_ids)::BIGINT AS classes, CASE WHEN foreground_pixels > 0 THEN 'target' ELSE 'reviewed background' END AS kind, block FROM patch")
@@ -309,11 +309,12 @@ def kfold(spark, sf_dir):
 
 
 @query(f"""WITH {PATCH_SQL}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE contains_foreground) AS p FROM patch),
-q AS (SELECT ceil(n * 30.0 / 100) AS want, least(greatest(floor(ceil(n * 30.0 / 100) * p / n + 0.5), CASE WHEN p > 0 THEN 1 ELSE 0 END), p, ceil(n * 30.0 / 100)) AS pos FROM t),
+w AS (SELECT n, p, greatest(1, ceil(n * 30.0 / 100)) AS want FROM t), k AS (SELECT *, CASE WHEN p < n THEN least(greatest(1, floor(want * p / n + 0.5)), want - 1) ELSE greatest(1, floor(want * p / n + 0.5)) END AS k FROM w),
+q AS (SELECT want, want - least(n - p, want - least(k, p)) AS pos FROM k),
 r AS (SELECT py, px, contains_foreground, row_number() OVER (PARTITION BY contains_foreground ORDER BY md5('42:' || py || ':' || px)) AS r FROM patch)
 SELECT py, px, contains_foreground FROM r, q WHERE r <= CASE WHEN contains_foreground THEN pos ELSE want - pos END""")
 def subset_stratified(spark, sf_dir):
-    return patches.subset_stratified(part_patches(spark, sf_dir), 30.0, "42", ("py", "px")).select("py", "px", "contains_foreground")
+    return patches.subset_stratified(part_patches(spark, sf_dir), "42", ("py", "px"), percentage=30.0).select("py", "px", "contains_foreground")
 
 
 @query(f"""WITH {PATCH_SQL}, a AS (SELECT py, px, block, row_number() OVER (PARTITION BY block ORDER BY md5('5:' || py || ':' || px)) AS round FROM patch)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import catalog, metrics, patches, stitch
+from gridloom.operators import algebra, catalog, metrics, patches, stitch
 from gridloom.streaming import activity
 
 
@@ -70,7 +70,20 @@ def test_folds_that_cant_be_made(spark):
 
 def test_subset_sizes():
     assert patches.subset_size(1225, percentage=10) == 123
-    assert patches.subset_size(10, count=50) == 10
+    assert patches.subset_size(10, count=50) == 10 and patches.subset_size(10, percentage=0.1) == 1
+    for bad in ({"percentage": 0}, {"percentage": 101}, {"count": 0}, {}):
+        with pytest.raises(ValueError):
+            patches.subset_size(10, **bad)
+    assert patches.stratum_sizes(100, 25, 10) == (3, 7) and patches.stratum_sizes(100, 99, 10) == (9, 1) and patches.stratum_sizes(100, 1, 10) == (1, 9)
+    assert patches.stratum_sizes(10, 10, 4) == (4, 0) and patches.stratum_sizes(10, 4, 1) == (1, 0) and patches.stratum_sizes(10, 4, 10) == (4, 6) and patches.stratum_sizes(10, 9, 5) == (4, 1)
+
+
+def test_subset_of_one_patch_holds_both(spark):
+    train = spark.createDataFrame([(1, True, 4, 4), (2, True, 4, 2), (3, False, 4, 0)], "k long, contains_foreground boolean, reviewed_pixels long, foreground_pixels long")
+    assert [r.k for r in patches.subset_stratified(train, "1", ("k",), count=1).collect()] == [2]
+    assert patches.subset_stratified(train, "1", ("k",), count=9).count() == 3
+    with pytest.raises(ValueError):
+        patches.subset_stratified(train.where("k = 3"), "1", ("k",), count=1)
 
 
 def test_split_holds_out_both_kinds(spark):
@@ -132,6 +145,15 @@ def test_names_and_tags(spark):
     assert catalog.unet_parameters(1, 1, [2]) == 18 + 2 + 36 + 2 + 2 + 1
 
 
+def test_tasks_and_outputs(spark):
+    tasks = catalog.add_task(spark.createDataFrame([], "task_id string, name string, definition string, class_names array<string>"), "1", " cells ", "all of them", ("a", "b"))
+    assert tuple(tasks.first()) == ("1", "cells", "all of them", ["a", "b"])
+    for bad in (("2", " ", "x", ()), ("2", "x", "", ()), ("2", "x", "y", ("a", "A"))):
+        with pytest.raises(ValueError):
+            catalog.add_task(tasks, *bad)
+    assert algebra.output_layer(["m", "n"], "union", True) == ("m", True) and algebra.output_layer(["m", "m votes"], "votes", True) == ("m votes 2", False)
+
+
 def test_snapshot_ignores_row_order(spark):
     df = spark.range(50).select("id", (F.col("id") % 7).alias("k"))
     one = catalog.snapshot_id(df, ["id", "k"]).first().snapshot
