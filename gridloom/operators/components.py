@@ -46,15 +46,15 @@ def label_tile(table: pa.Table) -> pa.Table:
     return pa.table({"y": y, "x": x, "v": v, "component": at[root]})
 
 
-def label_pixels(mask: DataFrame) -> DataFrame:
+def label_pixels(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """(y, x, v, component): component is the smallest position in it."""
     tiles = mask.where("v <> 0").select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
-    tiles = tiles.groupBy(F.floor(F.col("y") / TILE).alias("ty"), F.floor(F.col("x") / TILE).alias("tx")).applyInArrow(label_tile, "y long, x long, v long, component long")
+    tiles = tiles.groupBy(F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")).applyInArrow(label_tile, "y long, x long, v long, component long")
     pixels = materialize(tiles, "component-tiles")
     seams = None
     for c, o in ("yx", "xy"):
-        side = lambda at: pixels.where(F.pmod(F.col(c), F.lit(TILE)) == at)  # noqa: B023, E731
-        before = side(TILE - 1).select((F.col(c) + 1).alias(c), o, "v", F.col("component").alias("u"))
+        side = lambda at: pixels.where(F.pmod(F.col(c), F.lit(tile)) == at)  # noqa: B023, E731
+        before = side(tile - 1).select((F.col(c) + 1).alias(c), o, "v", F.col("component").alias("u"))
         met = before.join(side(0).select(c, o, "v", F.col("component").alias("w")), ["y", "x", "v"]).select("u", "w").distinct()
         seams = met if seams is None else seams.unionByName(met)
     moved = connected_components(seams, "u", "w").where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("_root"))
@@ -85,13 +85,13 @@ def grid_address(df: DataFrame, step_y: float | None, step_x: float | None) -> D
     return df.withColumns({"grid_row": row, "grid_col": col}).withColumn("grid_id", F.format_string("R%02dC%02d", "grid_row", "grid_col"))
 
 
-def euler_tile(table: pa.Table) -> pa.Table:
+def euler_tile(table: pa.Table, tile: int) -> pa.Table:
     """(component, quarter): sums of the weights of the 2 x 2 windows that begin in a tile."""
     ty, tx, y, x, component = _columns(table, "ty", "tx", "y", "x", "component")
     wy, wx, bit, own = [], [], [], []
     for dy in (0, 1):
         for dx in (0, 1):
-            inside = ((y - dy) // TILE == ty) & ((x - dx) // TILE == tx)
+            inside = ((y - dy) // tile == ty) & ((x - dx) // tile == tx)
             wy.append((y - dy)[inside])
             wx.append((x - dx)[inside])
             own.append(component[inside])
@@ -108,15 +108,15 @@ def euler_tile(table: pa.Table) -> pa.Table:
     return pa.table({"component": ids, "quarter": np.bincount(place, weight[np.add.reduceat(bit, first)]).astype(np.int64)})
 
 
-def euler(pixels: DataFrame) -> DataFrame:
+def euler(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """(component, euler): 8-connected Euler number of each component, from the weights of all 2 x 2 windows.
 
     A window with one pixel of the component counts 1, with three -1, with two on a diagonal -2; the sum is four times the
     number. A pixel goes to the tiles in which its four windows begin: to one, but for those on seams.
     """
-    owners = F.array_distinct(F.array(*[F.struct(F.floor((F.col("y") - dy) / TILE).alias("ty"), F.floor((F.col("x") - dx) / TILE).alias("tx")) for dy in (0, 1) for dx in (0, 1)]))
+    owners = F.array_distinct(F.array(*[F.struct(F.floor((F.col("y") - dy) / tile).alias("ty"), F.floor((F.col("x") - dx) / tile).alias("tx")) for dy in (0, 1) for dx in (0, 1)]))
     dealt = pixels.select("y", "x", "component", F.explode(owners).alias("t")).select("t.ty", "t.tx", "y", "x", "component")
-    parts = dealt.groupBy("ty", "tx").applyInArrow(euler_tile, "component long, quarter long")
+    parts = dealt.groupBy("ty", "tx").applyInArrow(lambda table: euler_tile(table, tile), "component long, quarter long")
     return parts.groupBy("component").agg((F.sum("quarter") / 4).cast("long").alias("euler"))
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import catalog, dataset, library, review
+from gridloom.operators import catalog, components, dataset, edits, library, pyramid, rects, review
 from gridloom.sources import checkpoints, layers
 from gridloom.streaming import batches, tasks
 
@@ -278,3 +278,56 @@ def test_references_change_on_the_expected_revision(spark):
     with pytest.raises(Exception, match="changed meanwhile"):
         catalog.update_reference(records, "a", "z", 2).collect()
     assert library.tile_size((256, 256)) == 256 and library.tile_size((256, 128)) == 512 and library.tile_size((64, 64)) == 512
+
+
+def test_small_pieces(spark, tmp_path):
+    source = library.VersionedTable(spark, str(tmp_path / "a"))
+    source.commit(spark.range(4), 0)
+    layers.copy_library(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert library.VersionedTable(spark, str(tmp_path / "b")).read().count() == 4
+    record = {"storage": {"path": "a"}}
+    assert layers.storage_reference(record, str(tmp_path)) == str(tmp_path / "a") and layers.storage_reference({"path": "gone"}, str(tmp_path)) is None
+    assert layers.chunk_shape(100, 5000, 3) == (100, 1024, 3)
+    m = lambda *rows: spark.createDataFrame(list(rows), "y long, x long, v long")
+    base, edited = m((0, 0, 1), (9, 9, 2)), m((0, 0, 5), (9, 9, 6), (3, 3, 7))
+    dirty = spark.createDataFrame([(0, 0, 4, 4)], "y0 long, x0 long, y1 long, x1 long")
+    assert {(r.y, r.x, r.v) for r in edits.commit_within(base, base, edited, dirty).collect()} == {(0, 0, 5), (3, 3, 7), (9, 9, 2)}
+    review_rows = spark.createDataFrame([("a", 3)], "area string, edit_revision long")
+    assert edits.undo_review(review_rows, review_rows.withColumn("area", F.lit("b")), 3).first().area == "b"
+    with pytest.raises(Exception, match="after this review"):
+        edits.undo_review(review_rows, review_rows, 2).collect()
+    pixels = components.label_pixels(m((0, 0, 1), (0, 1, 1), (5, 5, 2)))
+    assert {(r.y, r.x, r.component_id) for r in components.final_ids(pixels, components.component_table(pixels)).collect()} == {(0, 0, 1), (0, 1, 1), (5, 5, 2)}
+    shapes = pyramid.level_shapes(10_000, 3000)
+    assert pyramid.plan_overview(shapes) == 2 and pyramid.shown_scale(shapes, 2) == (4.0, 4.0)
+
+
+def test_components_over_tile_seams(spark):
+    """Components over many tiles, with corners on seams, are those of one tile."""
+    rng = np.random.default_rng(6)
+    array = rng.integers(0, 3, (40, 37)) * (rng.random((40, 37)) < 0.8)
+    array[10:30, 5:33] = 2
+    array[15:25, 15:20] = 0
+    rows = [(int(y), int(x), int(array[y, x])) for y, x in zip(*np.nonzero(array))]
+    mask = spark.createDataFrame(rows, "y long, x long, v long")
+    one = components.label_pixels(mask)
+    euler = {tuple(r) for r in components.euler(one).collect()}
+    assert min(e for _, e in euler) < 1
+    for tile in (8, 5):
+        many = components.label_pixels(mask, tile)
+        assert {tuple(r) for r in many.collect()} == {tuple(r) for r in one.collect()}
+        assert {tuple(r) for r in components.euler(many, tile).collect()} == euler
+
+
+def test_cells_of_any_grid_like_pixels(spark):
+    rng = np.random.default_rng(7)
+    boxes = [(int(y), int(x), int(y + h), int(x + w)) for y, x, h, w in zip(rng.integers(-5, 60, 40), rng.integers(-5, 250, 40), rng.integers(1, 30, 40), rng.integers(1, 60, 40))]
+    table = spark.createDataFrame(boxes, "y0 long, x0 long, y1 long, x1 long")
+    held = np.zeros((62, 301), bool)
+    for y0, x0, y1, x1 in boxes:
+        held[max(y0, 0) : max(y1, 0), max(x0, 0) : max(x1, 0)] = True
+    got = {(r.row, r.col): (r.covered, r.touched) for r in rects.cell_coverage(table, 62, 301, 7, 3).collect()}
+    assert len(got) == 9 * 101
+    for (row, col), flags in got.items():
+        cell = held[row * 7 : row * 7 + 7, col * 3 : col * 3 + 3]
+        assert flags == (cell.all(), cell.any())
