@@ -7,7 +7,8 @@ very long text don't drown a few telling ones. Logistic regression is fitted on
 
 It is fitted on a bounded sample of labelled rows (``max_per_class`` of each class, by a hash of
 the id). Every n-gram whose difference has a z of ``min_z`` counts, or of 0.7 times the largest that so few
-labelled rows can reach; ``max_features`` keeps the most telling ones only, if given. Every whole text is scored.
+labelled rows can reach; of these the ``max_features`` most telling ones make the model, all with None (the README has
+figures of both). Every whole text is scored.
 Null and empty texts have no n-grams: their score is that of the intercept. Rows with a null label don't count.
 Repeated rows get equal scores; each labelled one counts. Very long texts count each n-gram once, and are read
 whole in slices of their own. Without labelled rows of both classes every score is the share of label 1 (0 without
@@ -75,7 +76,8 @@ def features_of(selected: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], It
             row, feature = hits(batch, selected)
             order = np.argsort(row, kind="stable")
             ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.searchsorted(selected, feature[order]), pa.int32()))
+            places = np.searchsorted(selected, feature[order]).astype("<i4")
+            lists = pa.array([places[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), lists], ["label", "features"])
 
     return apply
@@ -97,7 +99,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, label: np.nd
     return w[:d] * scale, float(w[d])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_features: int | None = None, min_z: float = 4.0, l2: float = 1e-4, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_features: int | None = 4096, min_z: float = 4.0, l2: float = 1e-4, steps: int = 400) -> Model:
     """Fit on (doc_id, text) and (doc_id, label); labels must hold only rows to learn from."""
     labels = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
     sample = None
@@ -122,10 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 6000, max_featu
     kept = (chosen if max_features is None else chosen.orderBy(F.desc("z"), "feature").limit(max_features)).collect()  # as many as there are buckets at most
     kept.sort(key=lambda x: x.feature)
     selected, scale = np.array([x.feature for x in kept], np.int64), np.array([x.r for x in kept], float)
-    rows = texts.mapInArrow(features_of(selected), "label int, features array<int>").collect()  # 2 * max_per_class rows at most
+    rows = texts.mapInArrow(features_of(selected), "label int, features binary").collect()  # 2 * max_per_class rows at most
     label = np.array([r.label for r in rows], float)
-    lengths = np.array([len(r.features) for r in rows], int)
-    cols = np.array([c for r in rows for c in r.features], int)
+    lengths = np.array([len(r.features) // 4 for r in rows], int)
+    cols = np.frombuffer(b"".join(r.features for r in rows), "<i4").astype(int)
     weights, intercept = logistic(np.repeat(np.arange(len(rows)), lengths), cols, scale, label, l2, steps)
     return Model(selected, weights, intercept)
 
