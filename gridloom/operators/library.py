@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,20 +36,45 @@ def counts(components: DataFrame) -> DataFrame:
     return active.agg(F.count("*").alias("total"), F.count_if(F.col("included") & ~F.col("needs_review")).alias("selected"), F.count_if("needs_review").alias("review"))
 
 
+#: Boxes near a growing rectangle that the driver reads at once.
+NEAR_BOXES = 50_000
+
+
+def _met(rows: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """The rectangle around a box and the rows that overlap it."""
+    hit = rows[(rows[:, 0] < box[2]) & (rows[:, 2] > box[0]) & (rows[:, 1] < box[3]) & (rows[:, 3] > box[1])]
+    return np.concatenate([np.minimum(box[:2], hit[:, :2].min(axis=0)), np.maximum(box[2:], hit[:, 2:].max(axis=0))]) if len(hit) else box
+
+
 def closure(boxes: DataFrame, dirty: DataFrame) -> DataFrame:
     """The smallest rectangle around the dirty ones that cuts through no component's box.
 
-    It grows until nothing changes; each round takes in a box at least, so it ends.
+    It grows until nothing changes. The driver reads the boxes that stick out of it within a margin, NEAR_BOXES at
+    most (the margin shrinks until they are few enough), and grows it among them; if even its edges are crossed by
+    more, one pass over all boxes takes them in.
     """
+    spark, boxes = boxes.sparkSession, materialize(boxes.select(*[F.col(c).cast("long").alias(c) for c in BOX]), "library-boxes")
     extent = lambda df: df.agg(*[(F.min if c.endswith("0") else F.max)(c).alias(c) for c in BOX])
-    now, spark = extent(dirty).first(), boxes.sparkSession
+    now = np.array(extent(dirty).first(), np.int64)
+    margin = int(max(now[2] - now[0], now[3] - now[1], 64))
     while True:
-        hit = boxes.where((F.col("y0") < now.y1) & (F.col("y1") > now.y0) & (F.col("x0") < now.x1) & (F.col("x1") > now.x0)).select(*BOX)
-        row = spark.createDataFrame([tuple(now)], boxes.select(*BOX).schema)
-        new = extent(hit.unionByName(row)).first()
-        if new == now:
-            return row
-        now = new
+        y0, x0, y1, x1 = map(int, now)
+        near = (F.col("y0") < y1 + margin) & (F.col("y1") > y0 - margin) & (F.col("x0") < x1 + margin) & (F.col("x1") > x0 - margin)
+        out = (F.col("y0") < y0) | (F.col("x0") < x0) | (F.col("y1") > y1) | (F.col("x1") > x1)
+        rows = np.array(boxes.where(near & out).limit(NEAR_BOXES + 1).collect(), np.int64).reshape(-1, 4)
+        if len(rows) > NEAR_BOXES and margin:
+            margin //= 4
+            continue
+        if len(rows) > NEAR_BOXES:
+            new = _met(np.array([extent(boxes.where(near & out)).first()], np.int64), now)
+        else:
+            new = now
+            while not np.array_equal(new, grown := _met(rows, new)):
+                new = grown
+        reach = np.array([y0 - margin, x0 - margin, y1 + margin, x1 + margin])
+        if len(rows) <= NEAR_BOXES and (new[:2] >= reach[:2]).all() and (new[2:] <= reach[2:]).all():
+            return spark.createDataFrame([tuple(map(int, new))], boxes.schema)  # no box beyond the margin can meet it
+        now, margin = new, int(max(2 * margin, 64))
 
 
 def tile_rounded(box: tuple[int, int, int, int], size: int, height: int, width: int) -> tuple[int, int, int, int]:

@@ -165,6 +165,24 @@ def test_closure_of_a_long_chain(spark):
     assert tuple(library.closure(boxes, dirty).first()) == (0, 0, 141, 4)
 
 
+@pytest.mark.parametrize("most", [0, 3, 50_000])
+def test_closure_like_a_plain_loop(spark, monkeypatch, most):
+    monkeypatch.setattr(library, "NEAR_BOXES", most)
+    rng = np.random.default_rng(most)
+    for density in (30, 200):
+        y, x = rng.integers(0, 400, density), rng.integers(0, 400, density)
+        rows = [tuple(map(int, r)) for r in np.column_stack([y, x, y + rng.integers(1, 30, density), x + rng.integers(1, 30, density)])]
+        want = (190, 190, 200, 200)
+        while True:
+            hit = [r for r in rows if r[0] < want[2] and r[2] > want[0] and r[1] < want[3] and r[3] > want[1]] + [want]
+            new = (min(r[0] for r in hit), min(r[1] for r in hit), max(r[2] for r in hit), max(r[3] for r in hit))
+            if new == want:
+                break
+            want = new
+        boxes = spark.createDataFrame(rows, "y0 long, x0 long, y1 long, x1 long")
+        assert tuple(library.closure(boxes, spark.createDataFrame([(190, 190, 200, 200)], boxes.schema)).first()) == want
+
+
 def test_versions_refuse_a_stale_writer(spark, tmp_path):
     table = library.VersionedTable(spark, str(tmp_path))
     assert table.commit(spark.range(3), 0) == 1
