@@ -13,6 +13,8 @@ from gridloom.operators.patches import keyed_order, stratum_sizes, subset_size,
 
 #: Names that scored masks begin with, and how they name their image. Fixed values.
 PREDICTIONS = ("Model Training prediction", "Model Training preview")
+#: Side in pixels of the patches that are read together.
+TASK_SIDE = 512
 #: Pixels of the head and the gap of a crop in an atlas.
 HEADER, GUTTER = 36, 8
 
@@ -202,7 +204,7 @@ def model_patch(image: np.ndarray, labels: np.ndarray, valid: np.ndarray, size:
 def read_patches(pixels: DataFrame, mask: DataFrame, reviewed: DataFrame, indexed: DataFrame, size: int, side: int, classes: int | None = None) -> DataFrame:
     """(py, px, x, y, valid) as rows of float arrays of the indexed patches (py, px, box, reviewed_pixels, foreground_pixels).
 
-    A task holds a patch. A patch whose counts of reviewed pixels and foreground aren't those of the index any more fails the query.
+    A call holds TASK_SIDE x TASK_SIDE pixels of patches, one patch at least. A patch whose counts of reviewed pixels and foreground aren't those of the index any more fails the query.
     """
     columns = ["py", "px", "y0", "x0", "y1", "x1", "reviewed_pixels", "foreground_pixels"]
     wanted = indexed.select(*columns)
@@ -212,17 +214,26 @@ def read_patches(pixels: DataFrame, mask: DataFrame, reviewed: DataFrame, indexe
     tiles = tiles.join(truth, ["y", "x"], "left").join(known, ["y", "x"], "left").select(*columns, "y", "x", "value", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("known", F.lit(False)).alias("known"))
 
     def read(table: pa.Table) -> pa.Table:
-        head = {c: table.column(c)[0].as_py() for c in columns}
-        shape = head["y1"] - head["y0"], head["x1"] - head["x0"]
-        at = tuple(table.column(c).to_numpy() - head[o] for c, o in (("y", "y0"), ("x", "x0")))
-        image, labels, valid = np.full(shape, np.nan), np.zeros(shape, np.int64), np.zeros(shape, bool)
-        image[at], labels[at], valid[at] = table.column("value").to_numpy(), table.column("v").to_numpy(), table.column("known").to_numpy()
-        if valid.sum() != head["reviewed_pixels"] or (valid & (labels != 0)).sum() != head["foreground_pixels"]:
-            raise ValueError("annotations changed after indexing; prepare the dataset again")
-        out = model_patch(image, labels, valid, size, side, classes)
-        return pa.table({"py": [head["py"]], "px": [head["px"]], **{c: pa.array([a.ravel()], pa.list_(pa.float32())) for c, a in zip(("x", "y", "valid"), out)}})
-
-    return tiles.groupBy("py", "px").applyInArrow(read, "py long, px long, x array<float>, y array<float>, valid array<float>")
+        held = {c: table.column(c).to_numpy() for c in (*columns, "y", "x", "value", "v", "known")}
+        order = np.lexsort((held["px"], held["py"]))
+        held = {c: a[order] for c, a in held.items()}
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(held["py"]) != 0) | (np.diff(held["px"]) != 0), [True]]))
+        rows = []
+        for a, b in zip(edge, edge[1:]):
+            head = {c: int(held[c][a]) for c in columns}
+            shape = head["y1"] - head["y0"], head["x1"] - head["x0"]
+            at = held["y"][a:b] - head["y0"], held["x"][a:b] - head["x0"]
+            image, labels, valid = np.full(shape, np.nan), np.zeros(shape, np.int64), np.zeros(shape, bool)
+            image[at], labels[at], valid[at] = held["value"][a:b], held["v"][a:b], held["known"][a:b]
+            if valid.sum() != head["reviewed_pixels"] or (valid & (labels != 0)).sum() != head["foreground_pixels"]:
+                raise ValueError("annotations changed after indexing; prepare the dataset again")
+            rows.append((head["py"], head["px"], *(t.ravel() for t in model_patch(image, labels, valid, size, side, classes))))
+        kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.float32())] * 3]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["py", "px", "x", "y", "valid"])
+
+    together = max(1, TASK_SIDE // size)  # small patches share a task's call
+    keys = [F.floor(F.col(c) / together).alias(f"g{c}") for c in ("py", "px")]
+    return tiles.groupBy(*keys).applyInArrow(read, "py long, px long, x array<float>, y array<float>, valid array<float>")
 
 
 def read_channels(parts: list[DataFrame], side: int) -> DataFrame:
