@@ -168,9 +168,13 @@ def publish(components: DataFrame, fresh: DataFrame, affected: DataFrame) -> Dat
     )
 
 
-def select_component(components: DataFrame, component_id: int, included: bool) -> DataFrame:
-    """Choosing or not choosing an active component settles its review; inactive ones stay as they are."""
+def select_component(components: DataFrame, component_id: int, included: bool, dirty: DataFrame | None = None) -> DataFrame:
+    """Choosing or not choosing an active component settles its review. With dirty rectangles left to index, or for an id that isn't active, it is an error."""
+    if dirty is not None and not dirty.isEmpty():
+        raise ValueError("update the library before choosing components")
     hit = (F.col("component_id") == component_id) & F.col("active")
+    if components.where(hit).isEmpty():
+        raise ValueError(f"component {component_id} isn't active")
     return components.withColumns({"included": F.when(hit, included).otherwise(F.col("included")), "needs_review": F.when(hit, False).otherwise(F.col("needs_review"))})
 
 
@@ -232,6 +236,93 @@ class VersionedTable:
         return expected + 1
 
 
+class ComponentLibrary:
+    """Components of a mask with ids that last over edits, in a folder of any file system that Spark reads.
+
+    One versioned row names the tables of a state: components, pixels with their ids, and the log of dirty
+    rectangles. A new state counts when that row is committed, so readers never see half of an update, and a
+    writer that started from an older state fails.
+    """
+
+    COMPONENTS = "component_id long, label_value long, area long, centroid_y double, centroid_x double, y0 long, x0 long, y1 long, x1 long, fingerprint string, included boolean, active boolean, needs_review boolean"
+    PIXELS, DIRTY = "y long, x long, v long, id long", "y0 long, x0 long, y1 long, x1 long, edit_revision long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.states = spark, folder, VersionedTable(spark, f"{folder}/state")
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, height: int, width: int, source_id: str, size: int = 512) -> ComponentLibrary:
+        """A new library of nothing, all of its mask to be indexed."""
+        library = cls(spark, folder)
+        names = {n: library._stored(spark.createDataFrame([], t), n) for n, t in (("components", cls.COMPONENTS), ("pixels", cls.PIXELS))}
+        names["dirty"] = library._stored(spark.createDataFrame([(0, 0, height, width, 0)], cls.DIRTY), "dirty")
+        library._commit({"height": height, "width": width, "size": size, "source_id": source_id, "next_id": 1, **names}, 0)
+        return library
+
+    def _stored(self, df: DataFrame, name: str) -> str:
+        path = f"{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.folder}/{path}")
+        return path
+
+    def _commit(self, state: dict, expected: int) -> int:
+        schema = "height long, width long, size long, source_id string, next_id long, components string, pixels string, dirty string"
+        return self.states.commit(self.spark.createDataFrame([tuple(state[f.split()[0]] for f in schema.split(", "))], schema), expected)
+
+    def state(self) -> tuple[dict, int]:
+        """(the row of the current state, its version)."""
+        version = self.states.version()
+        return self.states.read().first().asDict(), version
+
+    def table(self, name: str, state: dict | None = None) -> DataFrame:
+        state = state or self.state()[0]
+        return self.spark.read.schema({"components": self.COMPONENTS, "pixels": self.PIXELS, "dirty": self.DIRTY}[name]).parquet(f"{self.folder}/{state[name]}")
+
+    def mark_dirty(self, rects: DataFrame) -> None:
+        """Note rectangles (seq, box) in which the mask changed."""
+        state, version = self.state()
+        log = log_dirty(self.table("dirty", state), rects, state["height"], state["width"])
+        self._commit(state | {"dirty": self._stored(log, "dirty")}, version)
+
+    def select(self, component_id: int, included: bool) -> None:
+        state, version = self.state()
+        chosen = select_component(self.table("components", state), component_id, included, self.table("dirty", state))
+        self._commit(state | {"components": self._stored(chosen, "components")}, version)
+
+    def counts(self) -> DataFrame:
+        return counts(self.table("components"))
+
+    def update(self, mask: DataFrame, verify: bool = False) -> bool:
+        """Index what is dirty anew; whether there was anything. With ``verify`` every tile is compared with its pixels first."""
+        from gridloom.operators.components import fingerprints, label_pixels, measure
+
+        state, version = self.state()
+        size, height, width = state["size"], state["height"], state["width"]
+        old, pixels, dirty = self.table("components", state), self.table("pixels", state), self.table("dirty", state).select(*BOX)
+        if verify:
+            tiles = changed_tiles(tile_digests(pixels, size), tile_digests(mask.where("v <> 0"), size))
+            dirty = dirty.unionByName(tiles.select((F.col("ty") * size).alias("y0"), (F.col("tx") * size).alias("x0"), ((F.col("ty") + 1) * size).alias("y1"), ((F.col("tx") + 1) * size).alias("x1")))
+        if dirty.isEmpty():
+            return False
+        y0, x0, y1, x1 = update_region(old.where("active"), mask, dirty, size, height, width).first()
+        inside = (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
+        before, found = pixels.where(inside), labelled_snapshot(label_pixels(mask.where(inside)))
+        given = materialize(allocate(match_identity(before, found), state["next_id"]), "library-ids")
+        now = materialize(found.join(given, F.col("id") == F.col("new_id")).select("y", "x", "v", F.col("component_id").alias("component")), "library-now")
+        fresh = measure(now).join(fingerprints(now), "component").withColumnRenamed("component", "component_id")
+        flags = publish(old.select("component_id", "fingerprint", "included", "active", "needs_review"), fresh.select("component_id", "fingerprint"), before.select(F.col("id").alias("component_id")))
+        measured = ["label_value", "area", "centroid_y", "centroid_x", *BOX]
+        new = fresh.select("component_id", *[F.col(f"bbox_{c}" if c in BOX else c).alias(f"_{c}") for c in measured])
+        rows = flags.join(old.select("component_id", *measured), "component_id", "left").join(new, "component_id", "left")
+        rows = rows.select("component_id", *[F.coalesce(f"_{c}", c).alias(c) for c in measured], "fingerprint", "included", "active", "needs_review")
+        highest = given.agg(F.max("component_id")).first()[0]
+        names = {
+            "components": self._stored(rows, "components"), "dirty": self._stored(self.spark.createDataFrame([], self.DIRTY), "dirty"),
+            "pixels": self._stored(pixels.where(~inside).unionByName(now.select("y", "x", "v", F.col("component").alias("id"))), "pixels"),
+        }
+        self._commit(state | names | {"next_id": max(state["next_id"], (highest or 0) + 1)}, version)
+        return True
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

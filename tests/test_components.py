@@ -224,3 +224,46 @@ def test_edits_apply_or_conflict(spark):
         edits.write_back(base, m((0, 0, 1), (0, 1, 9)), edited).collect()
     with pytest.raises(Exception, match="range"):
         edits.write_back(base, base, edited, high=3).collect()
+
+
+def test_library_over_edits(spark, tmp_path):
+    """Ids last while objects can be told, are never used twice, and choices survive where nothing changed."""
+    array = np.zeros((60, 90), int)
+    array[5:12, 5:12], array[30:33, 10:70], array[50:55, 80:88] = 3, 8, 3
+    mask = lambda: mask_of(spark, array)
+    lib = library.ComponentLibrary.create(spark, str(tmp_path / "lib"), 60, 90, "src", size=16)
+    assert lib.update(mask()) and not lib.update(mask())
+    active = lambda: {r.component_id: r for r in lib.table("components").where("active").collect()}
+    first = active()
+    assert sorted(first) == [1, 2, 3] and {r.area for r in first.values()} == {49, 180, 40}
+    ids = {r.area: i for i, r in first.items()}
+    lib.select(ids[49], True)
+    lib.select(ids[180], True)
+    assert tuple(lib.counts().first()) == (3, 2, 0)
+    edit = lambda *b: lib.mark_dirty(spark.createDataFrame([(1, *b)], "seq long, y0 long, x0 long, y1 long, x1 long"))
+    array[30:33, 70:72] = 8  # the bar grows beyond its tiles
+    edit(30, 70, 33, 72)
+    with pytest.raises(ValueError, match="update"):
+        lib.select(ids[49], False)
+    assert lib.update(mask())
+    now = active()
+    assert set(now) == {1, 2, 3} and now[ids[180]].area == 186 and (now[ids[180]].included, now[ids[180]].needs_review) == (False, True) and now[ids[49]].included
+    assert (now[ids[180]].y0, now[ids[180]].x1) == (30, 72)
+    array[30:33, 40] = 0  # cut in two, then joined again
+    edit(30, 40, 33, 41)
+    lib.update(mask())
+    assert set(active()) == {ids[49], ids[40], 4, 5}
+    array[30:33, 40] = 8
+    edit(-9, 40, 33, 41)
+    lib.update(mask())
+    assert set(active()) == {ids[49], ids[40], 6} and not active()[6].needs_review
+    with pytest.raises(ValueError, match="active"):
+        lib.select(4, True)
+    array[51, 81] = 0  # changed without being noted
+    assert not lib.update(mask()) and lib.update(mask(), verify=True) and active()[ids[40]].area == 39
+    held = {(r.y, r.x): r.id for r in lib.table("pixels").collect()}
+    assert len(held) == (array != 0).sum() and set(held.values()) == set(active())
+    state, version = lib.state()
+    lib.mark_dirty(spark.createDataFrame([(1, 0, 0, 1, 1)], "seq long, y0 long, x0 long, y1 long, x1 long"))
+    with pytest.raises(RuntimeError, match="expected"):
+        lib._commit(state, version)
