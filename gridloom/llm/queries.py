@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, jaccard, linededup, maxscore, packing, periodic, pii, quality, rules, sharding, toxicity
+from gridloom.llm import ann, bpe, divergence, jaccard, linededup, maxscore, packing, periodic, pii, quality, rules, sharding, toxicity
 from gridloom.llm.common import crc_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(quality.score(vectors, quality.fit(vectors, trusted)), 5, 0, 0.3)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse_runs(periodic.plant(read(spark, sf_dir, "documents"))))
 
@@ -82,9 +86,9 @@ def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_toxicity, op2_sharding, op3_pii, op4_packing, op5_rules, op6_line_dedup, op7_bpe, op8_nearest, op9_jaccard, op10_quality, op12_periodic, op13_topk)
+        for f in (op1_toxicity, op2_sharding, op3_pii, op4_packing, op5_rules, op6_line_dedup, op7_bpe, op8_nearest, op9_jaccard, op10_quality, op11_divergence, op12_periodic, op13_topk)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rules": rules.SQL, "op6_line_dedup": linededup.SQL, "op9_jaccard": jaccard.SQL, "op12_periodic": periodic.SQL, "op13_topk": maxscore.SQL}
+    return {"op5_rules": rules.SQL, "op6_line_dedup": linededup.SQL, "op9_jaccard": jaccard.SQL, "op11_divergence": divergence.SQL, "op12_periodic": periodic.SQL, "op13_topk": maxscore.SQL}
