@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.functions.numbering import number_rows
-from gridloom.operators.rects import overlap_join
+from gridloom.operators.rects import overlap_join, touched_cells
 from gridloom.plans.shared import materialize
+from gridloom.sources.tilestore import Region, StaleVersion, TileLog, TileStore, VersionLog, tile_columns
 
 BOX = ["y0", "x0", "y1", "x1"]
 
@@ -188,138 +189,233 @@ def supervision(reviewed: DataFrame, approved: DataFrame, invalid: DataFrame, se
 
 def candidate_tiles(rects: DataFrame, size: int) -> DataFrame:
     """Tiles that any rectangle touches."""
-    from gridloom.operators.rects import cells_of
-
-    return rects.select(F.explode(cells_of(*[F.col(c) for c in BOX], size, size)).alias("c")).select(F.col("c.row").alias("ty"), F.col("c.col").alias("tx")).distinct()
+    return touched_cells(rects, size).select(F.col("row").alias("ty"), F.col("col").alias("tx")).distinct()
 
 
 class VersionedTable:
     """Snapshots of a table in a folder of any file system that Spark reads, each written whole before it counts.
 
-    A version is published by renaming a staged mark to its number, which one writer alone can do; a
-    stale writer fails. A failure before that leaves nothing behind that counts.
+    A version counts once its mark is created, which one writer alone can do; a stale writer fails. A failure before that leaves
+    nothing behind that counts.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.files = self.path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _marks(self) -> dict[int, str]:
-        """Version -> name of its data."""
-        root = self.path(f"{self.folder}/versions")
-        names = [s.getPath().getName() for s in self.files.listStatus(root)] if self.files.exists(root) else []
-        return {int(n): "" for n in names if n.isdigit()}
+        self.spark, self.folder, self.log = spark, folder, VersionLog(spark, folder)
 
     def version(self) -> int:
-        return max(self._marks(), default=0)
+        return self.log.latest()[0]
 
     def read(self, spark: SparkSession | None = None) -> DataFrame:
-        spark = spark or self.spark
-        name = spark.read.text(f"{self.folder}/versions/{self.version()}").first()[0]
-        return spark.read.parquet(f"{self.folder}/{name}")
+        return (spark or self.spark).read.parquet(f"{self.folder}/{self.log.latest()[1]['table']}")
 
     def commit(self, df: DataFrame, expected: int) -> int:
         """Write the next version if the current one is still the expected one."""
         if self.version() != expected:
-            raise RuntimeError(f"version {self.version()} is not the expected {expected}")
+            raise StaleVersion(f"version {self.version()} is not the expected {expected}")
         name = f"v{expected + 1}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.folder}/{name}")
-        mark, staged = self.path(f"{self.folder}/versions/{expected + 1}"), self.path(f"{self.folder}/staged-{name}")
-        out = self.files.create(staged)
-        out.write(bytearray(f"{name}\n", "utf-8"))
-        out.close()
-        self.files.mkdirs(self.path(f"{self.folder}/versions"))
-        if self.files.exists(mark) or not self.files.rename(staged, mark):
-            self.files.delete(staged, False)
-            raise RuntimeError(f"another writer made version {expected + 1}")
-        return expected + 1
+        return self.log.commit({"table": name}, expected)
+
+
+class KeyedLog:
+    """Rows by component_id in segments, of which the newest row of an id counts; only rows that change are written."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def write(self, rows: DataFrame) -> dict:
+        name = f"components-{uuid.uuid4().hex[:12]}"
+        rows.repartitionByRange("component_id").sortWithinPartitions("component_id").write.parquet(f"{self.folder}/{name}")
+        return {"name": name, "rows": self._segment(name).count()}
+
+    def _segment(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{name}")
+
+    def read(self, segments: list[dict], ids: DataFrame | None = None, only: int | None = None) -> DataFrame:
+        """The newest rows of all ids, of those in a table, or of one."""
+        out, newer = self.spark.createDataFrame([], self.schema), None
+        for segment in reversed(segments):
+            rows = self._segment(segment["name"])
+            rows = rows if only is None else rows.where(F.col("component_id") == only)
+            rows = rows if ids is None else rows.join(ids, "component_id", "left_semi")
+            own = rows.select("component_id")
+            out = out.unionByName(rows if newer is None else rows.join(newer, "component_id", "left_anti"))
+            newer = own if newer is None else newer.unionByName(own)
+        return out
+
+    def merged(self, segments: list[dict], most: int) -> list[dict]:
+        """Small segments at the end as one, if there are more than ``most``."""
+        if len(segments) <= most:
+            return segments
+        first, total = len(segments) - 1, segments[-1]["rows"]
+        while first > 0 and (segments[first - 1]["rows"] <= 2 * total or first >= most):
+            first -= 1
+            total += segments[first]["rows"]
+        return [*segments[:first], self.write(self.read(segments[first:]))]
 
 
 class ComponentLibrary:
     """Components of a mask with ids that last over edits, in a folder of any file system that Spark reads.
 
-    One versioned row names the tables of a state: components, pixels with their ids, and the log of dirty
-    rectangles. A new state counts when that row is committed, so readers never see half of an update, and a
-    writer that started from an older state fails.
+    A state names the segments of the pixels with their ids (stored tiles), of the component rows, and of the log of dirty
+    rectangles, and holds the counts, which each change moves by the rows it replaces. It counts when its version is
+    marked, so readers never see half of an update, and a writer that started from an older state fails. An update
+    reads and writes the tiles of what is dirty and of every component that meets them, and the rows of those components.
     """
 
     COMPONENTS = "component_id long, label_value long, area long, centroid_y double, centroid_x double, y0 long, x0 long, y1 long, x1 long, fingerprint string, included boolean, active boolean, needs_review boolean"
-    PIXELS, DIRTY = "y long, x long, v long, id long", "y0 long, x0 long, y1 long, x1 long, edit_revision long"
+    DIRTY = "y0 long, x0 long, y1 long, x1 long, edit_revision long"
+    #: Segments of each kind before small ones are merged.
+    SEGMENTS = 8
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.states = spark, folder, VersionedTable(spark, f"{folder}/state")
+        self.spark, self.folder, self.log = spark, folder, VersionLog(spark, f"{folder}/state")
+        self.rows = KeyedLog(spark, folder, self.COMPONENTS)
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, height: int, width: int, source_id: str, size: int = 512) -> ComponentLibrary:
         """A new library of nothing, all of its mask to be indexed."""
         library = cls(spark, folder)
-        names = {n: library._stored(spark.createDataFrame([], t), n) for n, t in (("components", cls.COMPONENTS), ("pixels", cls.PIXELS))}
-        names["dirty"] = library._stored(spark.createDataFrame([(0, 0, height, width, 0)], cls.DIRTY), "dirty")
-        library._commit({"height": height, "width": width, "size": size, "source_id": source_id, "next_id": 1, **names}, 0)
+        empty = {"pixels": [], "components": [], "dirty": [], "total": 0, "selected": 0, "review": 0}
+        library._commit({"height": height, "width": width, "size": size, "source_id": source_id, "next_id": 1, "edit_revision": 0, **empty}, 0)
         return library
 
-    def _stored(self, df: DataFrame, name: str) -> str:
-        path = f"{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.folder}/{path}")
-        return path
-
     def _commit(self, state: dict, expected: int) -> int:
-        schema = "height long, width long, size long, source_id string, next_id long, components string, pixels string, dirty string"
-        return self.states.commit(self.spark.createDataFrame([tuple(state[f.split()[0]] for f in schema.split(", "))], schema), expected)
+        return self.log.commit(state, expected)
 
     def state(self) -> tuple[dict, int]:
-        """(the row of the current state, its version)."""
-        version = self.states.version()
-        return self.states.read().first().asDict(), version
+        """(current state, its version)."""
+        version, state = self.log.latest()
+        return state, version
+
+    def tiles(self, state: dict) -> TileLog:
+        return TileLog(self.spark, self.folder, state["size"], ("v", "id"))
 
     def table(self, name: str, state: dict | None = None) -> DataFrame:
+        """components, pixels (y, x, v, id) or dirty (box, edit_revision)."""
         state = state or self.state()[0]
-        return self.spark.read.schema({"components": self.COMPONENTS, "pixels": self.PIXELS, "dirty": self.DIRTY}[name]).parquet(f"{self.folder}/{state[name]}")
+        if name == "pixels":
+            return self.tiles(state).read(state["pixels"])
+        if name == "components":
+            return self.rows.read(state["components"])
+        none = self.spark.createDataFrame([], self.DIRTY)
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(self.DIRTY).parquet(f"{self.folder}/{n}") for n in state["dirty"]], none)
 
     def mark_dirty(self, rects: DataFrame) -> None:
-        """Note rectangles (seq, box) in which the mask changed."""
+        """Note rectangles (seq, box) in which the mask changed; each that isn't empty within the mask is a revision of edits."""
         state, version = self.state()
-        log = log_dirty(self.table("dirty", state), rects, state["height"], state["width"])
-        self._commit(state | {"dirty": self._stored(log, "dirty")}, version)
+        last = self.spark.createDataFrame([(0, 0, 0, 0, state["edit_revision"])], self.DIRTY)
+        log = materialize(log_dirty(last, rects, state["height"], state["width"]), "library-dirty").where(F.col("edit_revision") > state["edit_revision"])
+        if log.isEmpty():
+            return
+        names = state["dirty"]
+        if len(names) >= self.SEGMENTS:
+            names, log = [], self.table("dirty", state).unionByName(log)
+        name = f"dirty-{uuid.uuid4().hex[:12]}"
+        log.write.parquet(f"{self.folder}/{name}")
+        revision = log.agg(F.max("edit_revision")).first()[0]
+        self._commit(state | {"dirty": [*names, name], "edit_revision": revision}, version)
 
     def select(self, component_id: int, included: bool) -> None:
+        """Choose an active component or not, which settles its review: one row is read and one is written."""
         state, version = self.state()
-        chosen = select_component(self.table("components", state), component_id, included, self.table("dirty", state))
-        self._commit(state | {"components": self._stored(chosen, "components")}, version)
+        old = materialize(self.rows.read(state["components"], only=component_id), "library-row")
+        new = select_component(old, component_id, included, self.table("dirty", state))
+        self._commit(self._changed(state, old, materialize(new, "library-row")), version)
 
-    def counts(self) -> DataFrame:
-        return counts(self.table("components"))
+    def _changed(self, state: dict, old: DataFrame, new: DataFrame) -> dict:
+        """The state with rows in place of older ones, and its counts moved by them."""
+        a, b = counts(old).first(), counts(new).first()  # of the rows that change alone
+        moved = {c: state[c] + b[c] - a[c] for c in ("total", "selected", "review")}
+        return state | moved | {"components": self.rows.merged([*state["components"], self.rows.write(new)], self.SEGMENTS)}
 
-    def update(self, mask: DataFrame, verify: bool = False) -> bool:
-        """Index what is dirty anew; whether there was anything. With ``verify`` every tile is compared with its pixels first."""
+    def counts(self) -> DataFrame:
+        """total, selected and review counts of the active components, as the state keeps them: one row, no scan."""
+        state = self.state()[0]
+        return self.spark.createDataFrame([tuple(state[c] for c in ("total", "selected", "review"))], "total long, selected long, review long")
+
+    def lookup(self, y: int, x: int) -> int | None:
+        """Id of the component at a pixel, from one tile."""
+        state = self.state()[0]
+        row = self.tiles(state).read(state["pixels"], Region.window(y, x, y + 1, x + 1, state["size"])).where((F.col("y") == y) & (F.col("x") == x)).first()
+        return row.id if row else None
+
+    def _mask(self, mask: DataFrame | TileStore, region: Region | None, size: int) -> DataFrame:
+        """(y, x, v) of the mask's tiles in a region; of a stored mask only those are read."""
+        if isinstance(mask, TileStore) and mask.size == size:
+            return mask.read_tiles(region)
+        rows = (mask.read() if isinstance(mask, TileStore) else mask).where("v <> 0").select(*[F.col(c).cast("long").alias(c) for c in ("y", "x", "v")])
+        return rows if region is None else region.limit(rows.withColumns(tile_columns(size))).select("y", "x", "v")
+
+    def changed_tiles(self, mask: DataFrame | TileStore, state: dict, region: Region | None = None) -> DataFrame:
+        """(ty, tx) of the tiles whose pixels the mask has otherwise, by the stored digests."""
+        tiles = self.tiles(state)
+        now = mask.leaves() if isinstance(mask, TileStore) and mask.size == state["size"] and region is None else tiles.leaves_of(self._mask(mask, region, state["size"]))
+        old = tiles.nodes(state["pixels"], 0, region)
+        both = now.select("ty", "tx", F.col("h1").alias("a1"), F.col("h2").alias("a2")).join(old.select("ty", "tx", "h1", "h2"), ["ty", "tx"], "full")
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+        return both.where((zero("a1") != zero("h1")) | (zero("a2") != zero("h2"))).select("ty", "tx")
+
+    def verify(self, mask: DataFrame | TileStore, window: tuple[int, int, int, int]) -> None:
+        """An error if the mask's pixels in the tiles of a window aren't those that were indexed."""
+        state = self.state()[0]
+        if not self.changed_tiles(mask, state, Region.window(*window, state["size"])).isEmpty():
+            raise ValueError("the mask differs from the library; update it first")
+
+    def _closure(self, state: dict, mask: DataFrame | TileStore, tiles: DataFrame) -> DataFrame:
+        """The tiles with those of every old component that has pixels there, and those into which foreground of one label runs on."""
+        size, log, n = state["size"], self.tiles(state), -1
+        rows, cols = -(-state["height"] // size), -(-state["width"] // size)
+        while True:
+            tiles = materialize(tiles.where(F.col("ty").between(0, rows - 1) & F.col("tx").between(0, cols - 1)).distinct(), "library-closure")
+            now = tiles.count()
+            if now == n or not now:
+                return tiles
+            n, region = now, Region.of(tiles)
+            ids = log.read(state["pixels"], region).select(F.col("id").alias("component_id")).distinct()
+            grown = [tiles, touched_cells(self.rows.read(state["components"], ids).select(*BOX), size).select(F.col("row").cast("int").alias("ty"), F.col("col").cast("int").alias("tx"))]
+            around = F.explode(F.array(*[F.struct((F.col("ty") + a).alias("ty"), (F.col("tx") + b).alias("tx")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
+            beside = materialize(tiles.select(around.alias("t")).select("t.ty", "t.tx").distinct().join(tiles, ["ty", "tx"], "left_anti"), "library-beside")
+            edge = lambda c: F.pmod(F.col(c), F.lit(size)).isin(0, size - 1)
+            if (near := Region.of(beside)) is not None:
+                inner, outer = (self._mask(mask, r, size).where(edge("y") | edge("x")) for r in (region, near))
+                steps = F.explode(F.array(*[F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
+                reached = inner.select("v", steps.alias("p")).select("p.y", "p.x", "v")
+                grown.append(outer.join(reached, ["y", "x", "v"], "left_semi").select(*[c.alias(k) for k, c in tile_columns(size).items()]))
+            tiles = union_all(grown)
+
+    def update(self, mask: DataFrame | TileStore, verify: bool = False) -> bool:
+        """Index what is dirty anew; whether there was anything. With ``verify`` every tile's digest is compared first."""
         from gridloom.operators.components import fingerprints, label_pixels, measure
 
         state, version = self.state()
-        size, height, width = state["size"], state["height"], state["width"]
-        old, pixels, dirty = self.table("components", state), self.table("pixels", state), self.table("dirty", state).select(*BOX)
-        if verify:
-            tiles = changed_tiles(tile_digests(pixels, size), tile_digests(mask.where("v <> 0"), size))
-            dirty = dirty.unionByName(tiles.select((F.col("ty") * size).alias("y0"), (F.col("tx") * size).alias("x0"), ((F.col("ty") + 1) * size).alias("y1"), ((F.col("tx") + 1) * size).alias("x1")))
-        if dirty.isEmpty():
-            return False
-        y0, x0, y1, x1 = update_region(old.where("active"), mask, dirty, size, height, width).first()
-        inside = (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
-        before, found = pixels.where(inside), labelled_snapshot(label_pixels(mask.where(inside)))
+        size, log = state["size"], self.tiles(state)
+        if state["pixels"]:
+            dirty = touched_cells(self.table("dirty", state), size).select(F.col("row").cast("int").alias("ty"), F.col("col").cast("int").alias("tx"))
+            if verify:
+                dirty = dirty.unionByName(self.changed_tiles(mask, state))
+            tiles = self._closure(state, mask, dirty)
+            region = Region.of(tiles)
+            if region is None:
+                return False
+        else:
+            tiles, region = None, None  # all of the mask
+        before = materialize(log.read(state["pixels"], region), "library-before")
+        found = labelled_snapshot(label_pixels(self._mask(mask, region, size)))
         given = materialize(allocate(match_identity(before, found), state["next_id"]), "library-ids")
         now = materialize(found.join(given, F.col("id") == F.col("new_id")).select("y", "x", "v", F.col("component_id").alias("component")), "library-now")
-        fresh = measure(now).join(fingerprints(now), "component").withColumnRenamed("component", "component_id")
-        flags = publish(old.select("component_id", "fingerprint", "included", "active", "needs_review"), fresh.select("component_id", "fingerprint"), before.select(F.col("id").alias("component_id")))
+        fresh = materialize(measure(now).join(fingerprints(now), "component").withColumnRenamed("component", "component_id"), "library-fresh")
+        old = materialize(self.rows.read(state["components"], before.select(F.col("id").alias("component_id")).distinct()), "library-old")
+        flags = publish(old.select("component_id", "fingerprint", "included", "active", "needs_review"), fresh.select("component_id", "fingerprint"), old.select("component_id"))
         measured = ["label_value", "area", "centroid_y", "centroid_x", *BOX]
         new = fresh.select("component_id", *[F.col(f"bbox_{c}" if c in BOX else c).alias(f"_{c}") for c in measured])
         rows = flags.join(old.select("component_id", *measured), "component_id", "left").join(new, "component_id", "left")
-        rows = rows.select("component_id", *[F.coalesce(f"_{c}", c).alias(c) for c in measured], "fingerprint", "included", "active", "needs_review")
+        rows = materialize(rows.select("component_id", *[F.coalesce(f"_{c}", c).alias(c) for c in measured], "fingerprint", "included", "active", "needs_review"), "library-rows")
         highest = given.agg(F.max("component_id")).first()[0]
-        names = {
-            "components": self._stored(rows, "components"), "dirty": self._stored(self.spark.createDataFrame([], self.DIRTY), "dirty"),
-            "pixels": self._stored(pixels.where(~inside).unionByName(now.select("y", "x", "v", F.col("component").alias("id"))), "pixels"),
-        }
-        self._commit(state | names | {"next_id": max(state["next_id"], (highest or 0) + 1)}, version)
+        pixels = now.select("y", "x", "v", F.col("component").alias("id"))
+        covered = tiles if tiles is not None else pixels.select(*[c.alias(k) for k, c in tile_columns(size).items()]).distinct()
+        segments = log.merged([*state["pixels"], log.put(pixels, covered, state["pixels"], region)], self.SEGMENTS)
+        self._commit(self._changed(state, old, rows) | {"pixels": segments, "dirty": [], "next_id": max(state["next_id"], (highest or 0) + 1)}, version)
         return True
 
 

@@ -43,26 +43,40 @@ def covered(area: Column, rects: Column) -> Column:
     return F.size(subtract_all(F.array(area), rects)) == 0
 
 
-def cells_of(y0: Column, x0: Column, y1: Column, x1: Column, step_y: int, step_x: int) -> Column:
-    """Array of the (row, col) of the grid cells that a rectangle touches."""
-    rows = F.sequence(F.floor(y0 / step_y).cast("long"), F.floor((y1 - 1) / step_y).cast("long"))
-    cols = F.sequence(F.floor(x0 / step_x).cast("long"), F.floor((x1 - 1) / step_x).cast("long"))
-    return F.when((y0 < y1) & (x0 < x1), F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("row"), c.alias("col")))))).otherwise(F.array())
+def touched_cells(df: DataFrame, step_y: int, step_x: int | None = None) -> DataFrame:
+    """Rows with (row, col) of each grid cell that their rectangle touches, made a row of the grid at a time, without an array of all cells."""
+    ends = [[F.floor(v / step).cast("long") for v in (F.col(f"{c}0"), F.col(f"{c}1") - 1)] for c, step in (("y", step_y), ("x", step_x or step_y))]
+    return df.where("y0 < y1 AND x0 < x1").withColumn("row", F.explode(F.sequence(*ends[0]))).withColumn("col", F.explode(F.sequence(*ends[1])))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
-    """Pairs of rows whose boxes overlap: an equi-join on grid buckets, each pair at the first bucket that both touch.
+    """Pairs of rows whose boxes overlap: an equi-join on a hierarchy of grids, each pair once.
 
-    Columns of the left are prefixed with l_, of the right with r_.
+    A box lies in the level whose cells (``bucket`` times a power of two) are about its size, so it touches a few of them however large it is;
+    it also stands in the cells of those higher levels at which the other side has boxes. A pair meets at the higher of its
+    levels, in the cell of the first corner that both touch. Columns of the left are prefixed with l_, of the right with r_.
     """
-    def spread(df: DataFrame, p: str) -> DataFrame:
+    def leveled(df: DataFrame, p: str) -> DataFrame:
         named = df.select(*[F.col(c).alias(p + c) for c in df.columns])
-        return named.withColumn("_cell", F.explode(cells_of(*[F.col(p + c) for c in BOX], bucket, bucket)))
-
-    pairs = spread(left, "l_").join(spread(right, "r_"), "_cell")
-    low = lambda c: F.floor(F.greatest(f"l_{c}", f"r_{c}") / bucket)
+        side = F.greatest(F.col(f"{p}y1") - F.col(f"{p}y0"), F.col(f"{p}x1") - F.col(f"{p}x0"), F.lit(1))
+        return named.where((F.col(f"{p}y0") < F.col(f"{p}y1")) & (F.col(f"{p}x0") < F.col(f"{p}x1"))).withColumn(f"_{p}level", F.greatest(F.lit(0), F.ceil(F.log2(side / bucket))).cast("int"))
+
+    def spread(df: DataFrame, p: str, others: list[int]) -> DataFrame:
+        own = F.col(f"_{p}level")
+        levels = F.array_union(F.array(own), F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > own))
+        df = df.withColumn("_level", F.explode(levels)).withColumn("_size", F.shiftleft(F.lit(bucket).cast("long"), F.col("_level")))
+        for axis in "yx":
+            ends = [F.expr(f"CAST(floor({c} / _size) AS BIGINT)") for c in (f"{p}{axis}0", f"({p}{axis}1 - 1)")]
+            df = df.withColumn(f"_{axis}", F.explode(F.sequence(*ends)))
+        return df
+
+    a, b = leveled(left, "l_"), leveled(right, "r_")
+    levels = [sorted(r[0] for r in df.select(c).distinct().collect()) for df, c in ((a, "_l_level"), (b, "_r_level"))]  # powers of two: a few dozen at most
+    pairs = spread(a, "l_", levels[1]).join(spread(b, "r_", levels[0]).drop("_size"), ["_level", "_y", "_x"])
+    low = lambda c: F.floor(F.greatest(f"l_{c}", f"r_{c}") / F.col("_size"))
     hit = (F.col("l_y0") < F.col("r_y1")) & (F.col("r_y0") < F.col("l_y1")) & (F.col("l_x0") < F.col("r_x1")) & (F.col("r_x0") < F.col("l_x1"))
-    return pairs.where(hit & (F.col("_cell.row") == low("y0")) & (F.col("_cell.col") == low("x0"))).drop("_cell")
+    meets = (F.col("_level") == F.greatest("_l_level", "_r_level")) & (F.col("_y") == low("y0")) & (F.col("_x") == low("x0"))
+    return pairs.where(hit & meets).drop("_level", "_y", "_x", "_size", "_l_level", "_r_level")
 
 
 def grid_cells(spark, height: int, width: int, step_y: int, step_x: int) -> DataFrame:
@@ -117,8 +131,8 @@ def cell_coverage(rects: DataFrame, height: int, width: int, step_y: int, step_x
     A task sweeps one block of cells of a row, in time and memory that grow with its rectangles' edges, at most its pixels.
     """
     inside = rects.select(F.greatest("y0", F.lit(0)).alias("y0"), F.greatest("x0", F.lit(0)).alias("x0"), F.least("y1", F.lit(height)).alias("y1"), F.least("x1", F.lit(width)).alias("x1")).where("y0 < y1 AND x0 < x1")
-    blocks = inside.withColumn("_c", F.explode(cells_of(*[F.col(c) for c in BOX], step_y, step_x * CELL_BLOCK)))
-    dealt = blocks.select(*[F.col(c).cast("long").alias(c) for c in BOX], F.col("_c.row").alias("row"), (F.col("_c.col") * CELL_BLOCK).alias("first"), F.lit(height).cast("long").alias("height"), F.lit(width).cast("long").alias("width")).distinct()
+    blocks = touched_cells(inside, step_y, step_x * CELL_BLOCK)
+    dealt = blocks.select(*[F.col(c).cast("long").alias(c) for c in BOX], "row", (F.col("col") * CELL_BLOCK).alias("first"), F.lit(height).cast("long").alias("height"), F.lit(width).cast("long").alias("width")).distinct()
     found = dealt.groupBy("row", "first").applyInArrow(_block_coverage(step_y, step_x), "row long, col long, covered boolean, touched boolean")
     cells = grid_cells(rects.sparkSession, height, width, step_y, step_x).select("row", "col")
     no = F.lit(False)

@@ -207,8 +207,7 @@ def cell_status(spark, sf_dir):
 SELECT row, col, count(*) AS edits FROM c GROUP BY row, col""")
 def cells_invalidated(spark, sf_dir):
     dirty = order_rects(spark, sf_dir).where("kind = 'P'")
-    cells = dirty.select(F.explode(rects.cells_of(*[F.col(c) for c in rects.BOX], CELL, CELL)).alias("c"))
-    return cells.groupBy("c.row", "c.col").agg(F.count("*").alias("edits"))
+    return rects.touched_cells(dirty, CELL).groupBy("row", "col").agg(F.count("*").alias("edits"))
 
 
 @query(f"WITH {RECTS_SQL} SELECT DISTINCT row AS ty, unnest(range(x0 // 64, (x1 - 1) // 64 + 1)) AS tx FROM (SELECT unnest(range(y0 // 64, (y1 - 1) // 64 + 1)) AS row, x0, x1 FROM rects)")
