@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import crops
+from gridloom.operators import crops, holdouts
 from gridloom.plans.queries import labelled_sql, query
 from gridloom.sources import rasters
 from gridloom.sources.rasters import EVENT_MASK_SQL
@@ -63,3 +63,50 @@ SELECT split, kind, count(*) AS crops, count(*) FILTER (WHERE foreground > 0) AS
 def crop_kinds(spark, sf_dir):
     found = crop_schedule(spark, sf_dir)
     return found.groupBy("split", "kind").agg(F.count("*").alias("crops"), F.count_if(F.col("foreground") > 0).alias("with_foreground"))
+
+
+# ---- holdouts
+
+HOLDOUT_SQL = """o AS (SELECT o_orderkey % 3 AS image_id, o_orderkey * 7919 % 2950 AS y, (o_custkey * 104729 + o_orderkey) % 2950 AS x, o_orderstatus AS kind, o_orderkey % 70 AS reach FROM orders),
+pa AS (SELECT DISTINCT image_id, y // 50 AS py, x // 50 AS px, (y // 100) || ':' || (x // 100) AS block, CASE WHEN (y // 100 * 7 + x // 100 * 3 + image_id) % 11 = 0 THEN 'validation' ELSE 'train' END AS split FROM o),
+sh AS (SELECT DISTINCT image_id, (y // 100) || ':' || (x // 100) AS u, (y // 100) || ':' || ((x + reach) // 100) AS w FROM o WHERE kind = 'P'),
+hr AS (SELECT s_suppkey % 3 AS image_id, CASE WHEN s_suppkey % 2 = 0 THEN 'validation' ELSE 'train' END AS split, s_suppkey * 37 % 2900 - 20 AS y0, s_suppkey * 53 % 2900 - 20 AS x0, s_suppkey * 37 % 2900 + 40 AS y1, s_suppkey * 53 % 2900 + 60 AS x1 FROM supplier
+  UNION ALL SELECT n_nationkey % 3, 'validation', n_nationkey * 80, n_nationkey * 5 % 36 * 80, least(n_nationkey * 80 + 80, 2950), least(n_nationkey * 5 % 36 * 80 + 80, 2950) FROM nation),
+ce AS (SELECT image_id, row, unnest(range(greatest(x0, 0) // 50, (x1 - 1) // 50 + 1)) AS col, split = 'validation' AS res FROM (SELECT *, unnest(range(greatest(y0, 0) // 50, (y1 - 1) // 50 + 1)) AS row FROM hr)),
+cell AS (SELECT image_id, row, col, bool_or(res) AS reserved, bool_or(NOT res) AS trained FROM ce GROUP BY ALL),
+gb AS (SELECT image_id || '|' || u AS a, image_id || '|' || w AS b FROM sh UNION SELECT image_id || '|' || w, image_id || '|' || u FROM sh),
+gr(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM gb UNION SELECT e.b, min(r.c) FROM gr r JOIN gb e ON e.a = r.id JOIN recurring.gr q ON q.id = e.b GROUP BY e.b, q.c HAVING min(r.c) < q.c),
+hb AS (SELECT pa.image_id, block, any_value(coalesce(gr.c, pa.image_id || '|' || block)) AS grp, bool_or(split = 'validation') AS now, coalesce(bool_or(reserved), false) AS reserved, coalesce(bool_or(trained), false) AS trained
+  FROM pa LEFT JOIN cell ON cell.image_id = pa.image_id AND cell.row = py AND cell.col = px LEFT JOIN gr ON gr.id = pa.image_id || '|' || block GROUP BY pa.image_id, block),
+hg AS (SELECT grp, bool_or(now OR reserved) AS held, bool_or(reserved) AS kept, bool_or(trained) AS trained FROM hb GROUP BY grp)"""
+
+
+def order_patches(spark, sf_dir):
+    """(patches, pairs of blocks that share an object, cells of earlier runs)."""
+    o = rasters.table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    at = o.select((key % 3).alias("image_id"), (key * 7919 % 2950).alias("y"), ((F.col("o_custkey") * 104729 + key) % 2950).alias("x"), F.col("o_orderstatus").alias("kind"), (key % 70).alias("reach"))
+    tile = lambda c, n: F.floor(F.col(c) / n).cast("long") if isinstance(c, str) else F.floor(c / n).cast("long")
+    block = lambda y, x: F.concat_ws(":", tile(y, 100), tile(x, 100))
+    held = (tile("y", 100) * 7 + tile("x", 100) * 3 + F.col("image_id")) % 11 == 0
+    patches = at.select("image_id", block("y", "x").alias("block"), (tile("y", 50) * 50).alias("y0"), (tile("x", 50) * 50).alias("x0"), F.when(held, "validation").otherwise("train").alias("split")).distinct()
+    shared = at.where("kind = 'P'").select("image_id", block("y", "x").alias("u"), block("y", F.col("x") + F.col("reach")).alias("w")).distinct()
+    s, n = F.col("s_suppkey"), F.col("n_nationkey")
+    rects = rasters.table(spark, sf_dir, "supplier").select((s % 3).cast("long").alias("image_id"), F.when(s % 2 == 0, "validation").otherwise("train").alias("split"), (s * 37 % 2900 - 20).alias("y0"), (s * 53 % 2900 - 20).alias("x0"), (s * 37 % 2900 + 40).alias("y1"), (s * 53 % 2900 + 60).alias("x1"))
+    blocks = rasters.table(spark, sf_dir, "nation").select((n % 3).cast("long").alias("image_id"), F.concat_ws(":", n, n * 5 % 36).alias("block"), F.lit(40).alias("crop"), F.lit(2950).alias("height"), F.lit(2950).alias("width"))
+    return patches, shared, holdouts.history_cells(rects.unionByName(holdouts.held_out_rects(blocks)), 50)
+
+
+@query(f"""WITH RECURSIVE {HOLDOUT_SQL} SELECT image_id, block, string_split(grp, '|')[2] AS merged, CASE WHEN held THEN 'validation' ELSE 'train' END AS split, kept, kept AND hg.trained AS conflict FROM hb JOIN hg USING (grp)""")
+def holdouts_kept(spark, sf_dir):
+    """Blocks that earlier runs held out stay held out, with all that shares an object with them; groups on both sides are conflicts."""
+    return holdouts.keep_holdouts(*order_patches(spark, sf_dir), 50)
+
+
+@query(f"""WITH RECURSIVE {HOLDOUT_SQL}, v AS (SELECT image_id, py, px FROM pa JOIN hb USING (image_id, block) JOIN hg USING (grp) WHERE held)
+SELECT image_id, py * 50 AS y0, px * 50 AS x0 FROM v WHERE EXISTS (SELECT 1 FROM cell c WHERE c.image_id = v.image_id AND c.row // 2 = py // 2 AND c.col // 2 = px // 2 AND trained)""")
+def holdouts_seen(spark, sf_dir):
+    patches, shared, cells = order_patches(spark, sf_dir)
+    split = holdouts.keep_holdouts(patches, shared, cells, 50).select("image_id", "block", "split")
+    shapes = spark.createDataFrame([(k, 2950, 2950) for k in range(3)], "image_id long, height long, width long")
+    return holdouts.seen_before(patches.drop("split").join(split, ["image_id", "block"]), cells, shapes, 50)
