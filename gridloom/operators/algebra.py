@@ -10,13 +10,30 @@ def union(layers: DataFrame) -> DataFrame:
     return layers.where("v > 0").select("y", "x").distinct().withColumn("v", F.lit(1).cast("long"))
 
 
-def merge_same(layers: DataFrame, value: int) -> DataFrame:
-    return union(layers).withColumn("v", F.lit(value).cast("long"))
-
-
-def compose_last_wins(layers: DataFrame) -> DataFrame:
-    """Class k for the k-th layer; where layers overlap the last one stands."""
-    return layers.where("v > 0").groupBy("y", "x").agg(F.max("layer").cast("long").alias("v"))
+def on_background(mask: DataFrame, background: int, shape: tuple[int, int] | None) -> DataFrame:
+    """The mask with a background value at all of a shape's other pixels; sparse where that is 0."""
+    if not background:
+        return mask.where("v <> 0")
+    if shape is None:
+        raise ValueError("a background value needs the mask's shape")
+    every = mask.sparkSession.range(shape[0] * shape[1]).select(F.floor(F.col("id") / shape[1]).cast("long").alias("y"), (F.col("id") % shape[1]).alias("x"))
+    return every.join(mask, ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(background)).cast("long").alias("v"))
+
+
+def merge_same(layers: DataFrame, value: int, background: int = 0, shape: tuple[int, int] | None = None) -> DataFrame:
+    """One value wherever any layer has one, a background value elsewhere."""
+    return on_background(union(layers).withColumn("v", F.lit(value).cast("long")), background, shape)
+
+
+def compose_last_wins(layers: DataFrame, values: list[int] | None = None, background: int = 0, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Class k, or the k-th of the values, for the k-th layer; where layers overlap the last one stands. The values and the background must differ."""
+    last = layers.where("v > 0").groupBy("y", "x").agg(F.max("layer").cast("long").alias("v"))
+    if values is None:
+        return on_background(last, background, shape)
+    if len(values) < 2 or len({background, *values}) <= len(values):
+        raise ValueError("give two layers or more a value each, all different and none of the background's")
+    named = F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("v").cast("int"))
+    return on_background(last.withColumn("v", named), background, shape)
 
 
 def votes(layers: DataFrame) -> DataFrame:

@@ -144,14 +144,17 @@ def fingerprints(pixels: DataFrame) -> DataFrame:
 KEY = ["label_value", "area", "bbox_y0", "bbox_x0", "bbox_y1", "bbox_x1"]
 
 
-def restore_selection(table: DataFrame, saved: DataFrame) -> DataFrame:
+def restore_selection(table: DataFrame, saved: DataFrame, context: str | None = None) -> DataFrame:
     """Saved rows (six-part key, fingerprint) with the component they name, and whether they were restored.
 
-    The key must name exactly one component, and its footprint must be the same.
+    The key must name exactly one component, and its footprint must be the same. With the context (shape and transform) of the
+    mask, rows whose own ``context`` is another one aren't restored, whatever they hold.
     """
     found = table.withColumn("_twins", F.count("*").over(W.partitionBy(*KEY))).where("_twins = 1").select(*KEY, "component", F.col("fingerprint").alias("_now"))
     both = saved.join(found, KEY, "left")
     ok = F.coalesce(F.col("fingerprint") == F.col("_now"), F.lit(False))
+    if context is not None:
+        ok = ok & F.col("context").eqNullSafe(F.lit(context))
     return both.select(*KEY, F.when(ok, F.col("component")).alias("component"), ok.alias("restored"))
 
 

@@ -33,10 +33,16 @@ def edit_states(base: DataFrame, current: DataFrame, edited: DataFrame) -> DataF
     return both.select("y", "x", "old", "new", "now", state.alias("state"))
 
 
+def checked_value(low: int, high: int) -> Column:
+    """The new value of an edited pixel; a conflict, or a value out of the mask's range, fails the query."""
+    out_of_range = (F.col("new") < low) | (F.col("new") > high)
+    return F.when(F.col("state") == "conflict", F.raise_error(F.lit("another writer changed an edited pixel"))).when(out_of_range, F.raise_error(F.lit("a value is out of the mask's range"))).otherwise(F.col("new"))
+
+
 def write_back(base: DataFrame, current: DataFrame, edited: DataFrame, low: int = 0, high: int = (1 << 32) - 1) -> DataFrame:
     """The mask after an edit; a conflict, or a value the mask can't hold, fails the query."""
     states = edit_states(base, current, edited)
-    new = F.when(F.col("state") == "conflict", F.raise_error(F.lit("another writer changed an edited pixel"))).when((F.col("new") < low) | (F.col("new") > high), F.raise_error(F.lit("a value is out of the mask's range"))).otherwise(F.col("new"))
+    new = checked_value(low, high)
     merged = current.select("y", "x", "v").join(states.select("y", "x", new.alias("_new"), F.lit(True).alias("_hit")), ["y", "x"], "full")
     return merged.select("y", "x", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("v")).alias("v")).where("v IS NOT NULL AND v <> 0")
 
@@ -53,10 +59,10 @@ def commit_within(base: DataFrame, current: DataFrame, edited: DataFrame, dirty:
     return write_back(base, current, kept.select("y", "x", F.when(F.col("_out"), F.col("old")).otherwise(F.col("new")).alias("v")).where("v IS NOT NULL"))
 
 
-def journal(base: DataFrame, current: DataFrame, edited: DataFrame) -> DataFrame:
-    """(y, x, old, new) of the pixels that a write will change, to be stored before it; a conflict fails the query."""
+def journal(base: DataFrame, current: DataFrame, edited: DataFrame, low: int = 0, high: int = (1 << 32) - 1) -> DataFrame:
+    """(y, x, old, new) of the pixels that a write will change, to be stored before it; a conflict, or a value the mask can't hold, fails the query."""
     states = edit_states(base, current, edited)
-    new = F.when(F.col("state") == "conflict", F.raise_error(F.lit("another writer changed an edited pixel"))).otherwise(F.col("new"))
+    new = checked_value(low, high)
     return states.select("y", "x", F.col("now").alias("old"), new.alias("new"))
 
 
@@ -77,17 +83,19 @@ def unwritten(stored: DataFrame, entries: DataFrame) -> DataFrame:
     return entries.join(now, ["y", "x"], "left").where(~F.col("_now").eqNullSafe(F.col("new"))).drop("_now")
 
 
-def safe_write(base: DataFrame, edited: DataFrame, path: str) -> None:
+def safe_write(base: DataFrame, edited: DataFrame, path: str, low: int = 0, high: int = (1 << 32) - 1) -> None:
     """Write edits to a stored mask so that a crash at any point can be made good by recover().
 
-    The journal is stored first, then the mask is published; it is read back, and the journal goes when all is there.
+    A journal that an earlier write has left is replayed first. Then the own journal is stored, then the mask is published; it is read
+    back, and the journal goes when all is there. This rewrites the mask; a ``TileStore`` writes the edit alone.
     """
     from gridloom.sources import workspace
 
     spark, log = base.sparkSession, f"{path}.journal"
+    recover(spark, path)
     now = workspace.read_mask(spark, path)
     staged = f"{log}.staged"
-    journal(base, now, edited).write.mode("overwrite").parquet(staged)
+    journal(base, now, edited, low, high).write.mode("overwrite").parquet(staged)
     workspace.publish(spark, staged, log)
     recover(spark, path)
 
@@ -98,6 +106,8 @@ def recover(spark, path: str) -> bool:
 
     files, make = workspace.file_system(spark, path)
     log = make(f"{path}.journal")
+    workspace.settle(spark, path)
+    workspace.settle(spark, f"{path}.journal")
     if not files.exists(log):
         return False
     entries = spark.read.parquet(f"{path}.journal")

@@ -77,7 +77,7 @@ def weight_statistics(weights: DataFrame, most: int = 65_536) -> DataFrame:
     """Mean, population deviation and range per tensor of (tensor, pos, value), strided to at most so many, finite ones only; how many were taken and not finite."""
     sizes = weights.groupBy("tensor").agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias("_s"))
     finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
-    sampled = weights.join(F.broadcast(sizes), "tensor").where(F.col("pos") % F.col("_s") == 0)  # a row for each tensor
+    sampled = weights.join(sizes, "tensor").where(F.col("pos") % F.col("_s") == 0)
     taken = [F.count("*").alias("sampled"), (F.count("*") - F.count(finite)).alias("nonfinite")]
     return sampled.groupBy("tensor").agg(F.avg(finite).alias("mean"), F.stddev_pop(finite).alias("std"), F.min(finite).alias("low"), F.max(finite).alias("high"), *taken)
 
@@ -98,18 +98,19 @@ def binary_loss(df: DataFrame, keys: list[str], smooth: float = 1.0) -> DataFram
 
 
 def multilabel_loss(df: DataFrame, keys: list[str], channel: str = "channel") -> DataFrame:
-    """Mean of binary_loss() over the channels that are known somewhere in a group; channels nowhere known don't count."""
-    return binary_loss(df, [*keys, channel]).where("pixels > 0").groupBy(*keys).agg(F.avg("loss").alias("loss"), F.count("*").alias("channels"))
+    """Mean of binary_loss() over the channels that are known somewhere in a group; channels nowhere known don't count, and a group without any has the loss 0."""
+    known = F.when(F.col("pixels") > 0, F.col("loss"))
+    return binary_loss(df, [*keys, channel]).groupBy(*keys).agg(F.coalesce(F.avg(known), F.lit(0.0)).alias("loss"), F.count(known).alias("channels"))
 
 
 def class_loss(df: DataFrame, keys: list[str], pixel: list[str], smooth: float = 1.0) -> DataFrame:
-    """Cross entropy plus mean soft Dice over classes of (keys, pixel, class, p, t, valid): t is the true class, class 0 the background."""
+    """Cross entropy plus mean soft Dice over classes of (keys, pixel, class, p, t, valid): t is the true class, class 0 the background. A group without known pixels has the loss 0."""
     hit = (F.col("class") == F.col("t")).cast("int")
     per = loss_sums(df.withColumn("t", hit), [*keys, "class"])
     dice = (2 * F.col("both") + smooth) / (F.col("p_area") + F.col("t_area") + smooth)
     known = df.where((F.col("valid") > 0) & (F.col("class") == F.col("t")))
     entropy = known.groupBy(*keys).agg(F.avg(-F.log(F.least(F.greatest("p", F.lit(1e-7)), F.lit(1.0)))).alias("_ce"))
-    return per.where("class > 0").groupBy(*keys).agg(F.avg(dice).alias("_dice")).join(entropy, keys).select(*keys, (F.col("_ce") + 1 - F.col("_dice")).alias("loss"))
+    return per.where("class > 0").groupBy(*keys).agg(F.avg(dice).alias("_dice")).join(entropy, keys, "left").select(*keys, (F.coalesce("_ce", F.lit(0.0)) + 1 - F.col("_dice")).alias("loss"))
 
 
 def full_validation(pred: DataFrame, truth: DataFrame, patches: DataFrame, valid: DataFrame, size: int) -> DataFrame:

@@ -64,7 +64,7 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
     def spread(df: DataFrame, p: str, others: list[int]) -> DataFrame:
         own = F.col(f"_{p}level")
         levels = F.array_union(F.array(own), F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > own))
-        df = df.withColumn("_level", F.explode(levels)).withColumn("_size", F.shiftleft(F.lit(bucket).cast("long"), F.col("_level")))
+        df = df.withColumn("_level", F.explode(levels)).withColumn("_size", F.expr(f"shiftleft(CAST({bucket} AS BIGINT), _level)"))
         for axis in "yx":
             ends = [F.expr(f"CAST(floor({c} / _size) AS BIGINT)") for c in (f"{p}{axis}0", f"({p}{axis}1 - 1)")]
             df = df.withColumn(f"_{axis}", F.explode(F.sequence(*ends)))

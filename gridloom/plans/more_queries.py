@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import catalog, components, dataset, edits, library, metrics, patches, pyramid, rects, review, stitch
+from gridloom.operators import algebra, catalog, components, dataset, edits, library, metrics, patches, pyramid, rects, review, stitch
 from gridloom.plans import queries as q
 from gridloom.plans.queries import R1, SPLIT_SQL, order_rects, query, r1
-from gridloom.sources import rasters
+from gridloom.plans.shared import materialize
+from gridloom.sources import layers, rasters
 from gridloom.sources.rasters import EVENT_CELLS_SQL, EVENT_MASK_SQL, PIXELS_SQL, table
-from gridloom.streaming import batches
+from gridloom.streaming import activity, batches
 
 BOX = rects.BOX
 
@@ -112,6 +113,29 @@ def batch_restriction(spark, sf_dir):
     return review.restrict_to(rasters.event_mask(spark, sf_dir), regions, 16)
 
 
+@query(f"""WITH {EVENT_MASK_SQL}, e AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM mask), l AS (SELECT 'y' AS axis, least(i * 40, h) AS k FROM (SELECT h, unnest(range(-(-h // 40)::BIGINT + 2)) AS i FROM e) WHERE i * 40 < h + 40 UNION SELECT 'x', least(i * 50, w) FROM (SELECT w, unnest(range(w // 50 + 3)) AS i FROM e) WHERE i * 50 < w + 50)
+SELECT axis, k AS at, count(m.y) AS pixels FROM l LEFT JOIN mask m ON CASE axis WHEN 'y' THEN m.y ELSE m.x END = k GROUP BY axis, k""")
+def grid_lines_of_mask(spark, sf_dir):
+    """The lines of a grid over the mask's own extent, with how many of its pixels lie on each."""
+    mask = rasters.event_mask(spark, sf_dir)
+    height, width = mask.agg(F.max("y") + 1, F.max("x") + 1).first()
+    on = mask.select(F.explode(F.array(F.struct(F.lit("y").alias("axis"), F.col("y").alias("at")), F.struct(F.lit("x").alias("axis"), F.col("x").alias("at")))).alias("p")).select("p.axis", "p.at").groupBy("axis", "at").agg(F.count("*").alias("pixels"))
+    return rects.grid_lines(spark, height, width, 40, 50).join(on, ["axis", "at"], "left").na.fill(0, ["pixels"])
+
+
+@query(f"""WITH {EVENT_MASK_SQL}, e AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM mask), c AS (SELECT y // 10 AS row, x // 8 AS col, count(*) AS pixels FROM mask GROUP BY 1, 2),
+k AS (SELECT row, col, h, w FROM (SELECT h, w, unnest(range(-(-h // 10)::BIGINT + 1)) AS row FROM e), (SELECT unnest(range(-(-w // 8)::BIGINT + 1)) AS col FROM e) WHERE row % 2 = 0 AND col % 2 = 0 AND row * 10 < h AND col * 8 < w
+ AND row >= greatest(0, floor((60 - 20) / 10.0) - 1) AND row <= floor((60 + 20) / 10.0) + 1 AND col >= greatest(0, floor((50 - 20) / 8.0) - 1) AND col <= floor((50 + 20) / 8.0) + 1)
+SELECT printf('R%02dC%02d', row, col) AS label, least(row * 10 + 5.0, h - 1)::DOUBLE AS y, least(col * 8 + 4.0, w - 1)::DOUBLE AS x, coalesce(pixels, 0) AS pixels FROM k LEFT JOIN c USING (row, col)""")
+def grid_labels_of_mask(spark, sf_dir):
+    """Cells that are named in a viewport over the mask's own extent, with how many of its pixels each holds."""
+    mask = rasters.event_mask(spark, sf_dir)
+    height, width = mask.agg(F.max("y") + 1, F.max("x") + 1).first()
+    names = rects.visible_labels(spark, (height, width), (10, 8), (60, 50), (240, 240), 6)
+    held = mask.groupBy(F.format_string("R%02dC%02d", F.floor(F.col("y") / 10).cast("long"), F.floor(F.col("x") / 8).cast("long")).alias("label")).agg(F.count("*").alias("pixels"))
+    return names.join(held, "label", "left").na.fill(0, ["pixels"])
+
+
 @query("WITH a AS (SELECT unnest([6, 8]) AS row), b AS (SELECT unnest([8, 10, 12]) AS col) SELECT printf('R%02dC%02d', row, col) AS label, least(row * 100 + 50.0, 999)::DOUBLE AS y, least(col * 80 + 40.0, 999)::DOUBLE AS x FROM a, b ")
 def grid_labels(spark, sf_dir):
     return rects.visible_labels(spark, (1000, 1000), (100, 80), (900, 820), (180, 180), 0.5)
@@ -283,13 +307,14 @@ def journal_replay(spark, sf_dir):
     return edits.replay(half, edits.journal(mask, mask, edited))
 
 
-@query(f"""WITH {EVENT_CELLS_SQL}, d AS (SELECT y, x, (y * 31 + x * 17) % 251 AS value FROM (SELECT unnest(range(75)) AS y), (SELECT unnest(range(61)) AS x)),
+@query(f"""WITH li AS (SELECT l_suppkey % 75 AS y, l_partkey * 7 % 61 AS x, least(sum(l_quantity), 255) AS n FROM lineitem GROUP BY 1, 2), d AS (SELECT y, x, coalesce(n, 0) AS value FROM (SELECT y, x FROM (SELECT unnest(range(75)) AS y), (SELECT unnest(range(61)) AS x)) LEFT JOIN li USING (y, x)),
 h AS (SELECT y, x, value, CASE WHEN y = 74 THEN 2 ELSE 1 END * CASE WHEN x = 60 THEN 2 ELSE 1 END AS k FROM d), l1 AS (SELECT y // 2 AS y, x // 2 AS x, round_even(sum(value * k) / sum(k), 0) AS value FROM h GROUP BY 1, 2),
 h1 AS (SELECT y, x, value, CASE WHEN x = 30 THEN 2 ELSE 1 END AS k FROM l1), l2 AS (SELECT y // 2 AS y, x // 2 AS x, round_even(sum(value * k) / sum(k), 0) AS value FROM h1 GROUP BY 1, 2)
 SELECT 0::BIGINT AS level, y, x, value::DOUBLE AS value FROM d UNION ALL SELECT 1, y, x, value FROM l1 UNION ALL SELECT 2, y, x, value FROM l2""")
 def image_pyramid(spark, sf_dir):
     n = F.col("id")
-    pixels = spark.range(75 * 61).select(F.floor(n / 61).cast("long").alias("y"), (n % 61).alias("x")).withColumn("value", ((F.col("y") * 31 + F.col("x") * 17) % 251).cast("double"))
+    held = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 75).alias("y"), (F.col("l_partkey") * 7 % 61).alias("x")).agg(F.least(F.sum("l_quantity"), F.lit(255.0)).alias("value"))
+    pixels = spark.range(75 * 61).select(F.floor(n / 61).cast("long").alias("y"), (n % 61).alias("x")).join(held, ["y", "x"], "left").na.fill(0.0, ["value"])
     # 75 x 61, 38 x 31, 19 x 16: an odd side is doubled at its end
     return pyramid.image_pyramid(pixels, 75, 61, (0, 255), axis=20)
 
@@ -432,11 +457,11 @@ def customer_layers(spark, sf_dir) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     role = F.when(k % 5 == 3, "reviewed_regions").when(k % 45 == 4, "reviewed_annotations")
     truth = F.when((k % 5 == 3) & (n % 3 > 0), k - 2 + n % 2).when((k % 5 == 0) & (n % 4 == 0), k + 4)
-    layers = table(spark, sf_dir, "customer").select(
+    rows = table(spark, sf_dir, "customer").select(
         k.alias("layer_id"), k.alias("pos"), F.col("c_name").alias("name"), F.when(k % 5 == 0, "image").otherwise("labels").alias("kind"), (k % 35 == 0).alias("rgb"), (k % 41 == 0).alias("internal"), role.alias("role"),
         F.when(k % 5 == 3, k - 3).alias("image_id"), truth.alias("truth_id"), F.when((k % 5 == 4) & (n % 2 == 0), k - 4).alias("source_id"),
     )
-    return dataset.layer_roles(layers)
+    return dataset.layer_roles(rows)
 
 
 @query(f"WITH {LAYER_SQL} SELECT layer_id, use FROM used")
@@ -462,10 +487,10 @@ def suggested_pairs(spark, sf_dir):
 SELECT image_id, CASE WHEN truth_id IS NULL THEN 'labels are missing' WHEN coverage = 'partial' AND reviewed_id IS NULL THEN 'reviewed mask is missing' ELSE 'shapes or transforms differ' END AS problem FROM chosen
 WHERE truth_id IS NULL OR (coverage = 'partial' AND reviewed_id IS NULL) OR truth_id % 7 = 0 OR (coverage = 'partial' AND reviewed_id % 7 = 0) OR (image_id % 7 = 0)""")
 def pair_problems(spark, sf_dir):
-    layers = customer_layers(spark, sf_dir)
+    given = customer_layers(spark, sf_dir)
     side = F.when(F.col("layer_id") % 7 == 0, F.col("layer_id")).otherwise(0)  # others than the rest
-    placed = layers.withColumns({"height": side, "width": F.lit(10), "affine": F.array(F.lit(1.0)), "flag": F.lit(False)})
-    pairs = dataset.suggest_pairs(layers).withColumn("coverage", F.when(F.col("image_id") % 3 == 0, "partial").otherwise("complete")).withColumn("confirmed", F.lit(False))
+    placed = given.withColumns({"height": side, "width": F.lit(10), "affine": F.array(F.lit(1.0)), "flag": F.lit(False)})
+    pairs = dataset.suggest_pairs(given).withColumn("coverage", F.when(F.col("image_id") % 3 == 0, "partial").otherwise("complete")).withColumn("confirmed", F.lit(False))
     return dataset.pair_problems(pairs, placed)
 
 
@@ -554,12 +579,15 @@ def remembered_runs(spark, sf_dir):
     return catalog.remember(old.select("model").distinct(), old, new)["runs"]
 
 
-@query("SELECT o_custkey AS model, o_orderkey AS revision, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 > 0 THEN 'new' WHEN o_orderkey % 2 = 0 THEN 'old' END AS evaluation FROM orders")
+@query("""WITH e AS (SELECT l_orderkey AS revision, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS new FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY l_orderkey)
+SELECT o_custkey AS model, o_orderkey AS revision, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'old' END, new) AS evaluations, CASE WHEN new IS NULL THEN o_orderkey END AS saved_revision FROM orders LEFT JOIN e ON revision = o_orderkey""")
 def recorded_evaluations(spark, sf_dir):
+    """The lines of an order are evaluations of one revision: all are kept, behind what was there."""
     k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
-    runs = o.select(F.col("o_custkey").alias("model"), k.alias("revision"), F.when(k % 2 == 0, "old").alias("evaluation"))
-    made = o.where(k % 4 == 0).select(F.col("o_custkey").alias("model"), F.when(k % 3 > 0, k).otherwise(-1 - k).alias("revision"), F.lit("new").alias("evaluation"))
-    return catalog.record_evaluation(runs, made)
+    runs = o.select(F.col("o_custkey").alias("model"), k.alias("revision"), F.when(k % 2 == 0, F.array(F.lit("old"))).alias("evaluations"), k.alias("saved_revision"))
+    lines = table(spark, sf_dir, "lineitem").join(o.select(k.alias("l_orderkey"), F.col("o_custkey").alias("model")), "l_orderkey")
+    made = lines.select("model", F.when(F.col("l_orderkey") % 3 > 0, F.col("l_orderkey")).otherwise(-1 - F.col("l_orderkey")).alias("revision"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("evaluation"))
+    return catalog.record_evaluation(runs, made).withColumn("evaluations", F.concat_ws(",", "evaluations"))
 
 
 @query("""WITH m AS (SELECT c_custkey AS model, c_nationkey AS task_id FROM customer UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 100 = 0), r AS (SELECT o_orderkey AS run, o_custkey + CASE WHEN o_orderkey % 500 = 0 THEN 1000000 ELSE 0 END AS model, o_orderstatus AS dataset_id FROM orders)
@@ -577,3 +605,39 @@ def training_footprints(spark, sf_dir):
     every = order_rects(spark, sf_dir).withColumnRenamed("kind", "image_id")
     used = every.withColumn("split", F.when((F.col("image_id") != "F") | (F.col("rect_id") % 2 == 0), "train").otherwise("validation"))
     return catalog.training_footprints(used, every.where("image_id = 'P'"))
+
+
+# ---- values of label tools, context of selections, brightness
+
+@query(f"WITH {q.LAYERS_SQL}, g AS (SELECT y, x FROM (SELECT unnest(range(40)) AS y), (SELECT unnest(range(60)) AS x)) SELECT g.y, g.x, CASE WHEN EXISTS (SELECT 1 FROM layers l WHERE l.y = g.y AND l.x = g.x AND v > 0) THEN 7 ELSE 3 END::BIGINT AS v FROM g")
+def label_merge_background(spark, sf_dir):
+    inside = rasters.event_layers(spark, sf_dir).where("y < 40 AND x < 60")
+    return algebra.merge_same(inside, 7, 3, (40, 60))
+
+
+@query(f"WITH {q.LAYERS_SQL} SELECT y, x, [40, 7, 19, 3, 11][max(layer)]::BIGINT AS v FROM layers WHERE v > 0 GROUP BY y, x")
+def label_compose_values(spark, sf_dir):
+    return algebra.compose_last_wins(rasters.event_layers(spark, sf_dir), [40, 7, 19, 3, 11])
+
+
+@query(f"""{q.R1}, t AS (SELECT *, count(*) OVER (PARTITION BY label_value, area, bbox_y0, bbox_x0, bbox_y1, bbox_x1) AS twins FROM m)
+SELECT label_value, area, bbox_y0, bbox_x0, bbox_y1, bbox_x1, CASE WHEN component % 3 > 0 AND twins = 1 THEN component END AS component, component % 3 > 0 AND twins = 1 AS restored FROM t""")
+def component_selection_context(spark, sf_dir):
+    """A third of the saved rows was made on a mask with another transform."""
+    pixels = q.r1(spark, sf_dir)
+    found = materialize(components.measure(pixels).join(components.fingerprints(pixels), "component"), "selection")
+    here, else_ = (layers.screening_context((150, 120), t) for t in ([[1, 0, 0], [0, 1, 0], [0, 0, 1]], [[1, 0, 0.5], [0, 1, 0], [0, 0, 1]]))
+    saved = found.select(*components.KEY, "fingerprint", F.when(F.col("component") % 3 > 0, here).otherwise(else_).alias("context"))
+    return components.restore_selection(found, saved, here)
+
+
+@query(f"WITH {PIXELS_SQL} SELECT CASE y % 4 WHEN 0 THEN y WHEN 1 THEN 4999 - x WHEN 2 THEN 4999 - y ELSE x END AS y, CASE y % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 4999 - x ELSE 4999 - y END AS x, least(greatest(value * 1.5 + 0.25, 0), 1)::DOUBLE AS value FROM pixels")
+def patch_augment_brightness(spark, sf_dir):
+    pixels = rasters.vector_pixels(spark, sf_dir)
+    return patches.augment(pixels, 5000, F.col("y"), F.lit(False), F.lit(1.5), F.lit(0.25))
+
+
+@query(f"WITH {q.REPORT_SQL}, e AS (SELECT source, state, seq // 40 AS details, seq FROM rep WHERE source NOT IN ('view', 'camera', 'context')), l AS (SELECT *, lag((source, state, details)) OVER (ORDER BY seq) AS b FROM e) SELECT source, state, details, seq FROM l WHERE b IS DISTINCT FROM (source, state, details) ORDER BY seq DESC LIMIT 100")
+def activity_log(spark, sf_dir):
+    """The last hundred entries, whatever repeats stand between them."""
+    return activity.activity_log(q.reports(spark, sf_dir).withColumn("details", F.floor(F.col("seq") / 40).cast("long")))

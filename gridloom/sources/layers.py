@@ -118,33 +118,53 @@ def restored(record: dict, library: dict | None = None) -> dict:
     return {k: record[k] for k in COMMON + OWN.get(record["type"], ()) if k in record}
 
 
+def _asset(old: dict, folder: str) -> dict | None:
+    return old.get("asset_path") and {"kind": "store", "path": f"{folder}/{old['asset_path'].strip()}", "array": (old.get("asset_dataset") or "").strip().strip("/"), "mode": "r+" if kind_of(old) == "Labels" else "r"}
+
+
+def _file(old: dict, folder: str) -> dict | None:
+    source = old.get("source") or {}
+    return source.get("path") and {"kind": "file", "path": source["path"].strip()} | {k: source[k] for k in ("reader_plugin",) if source.get(k)}
+
+
+def kind_of(old: dict) -> str:
+    return old.get("layer_type") or old.get("inline_kind") or old.get("type") or ""
+
+
+#: How records of shared manifests tell where a layer's data lie; the first that does counts.
+SHARED_STORAGE = (
+    lambda old, folder: old.get("storage"), _asset, _file,
+    lambda old, folder: {"kind": "inline"} if {kind_of(old), old.get("inline_kind")} & {"Shapes", "Points"} else None,
+    lambda old, folder: {"kind": "unsupported"},
+)
+#: What a shared manifest holds besides its layers, and what stands for it where it is missing.
+SHARED_REST = {"viewer": {}, "skipped_layers": []}
+
+
+def shared_layers(document: dict, manifest: str) -> dict:
+    folder = f"{os.path.splitext(os.path.basename(manifest))[0]}_assets"
+    tell = lambda old: next(s for rule in SHARED_STORAGE if (s := rule(old, folder)))
+    layers = [old | {"type": kind_of(old), "storage": tell(old)} for old in document["layers"] if isinstance(old, dict)]
+    return {"imported": "shared-2", "layers": layers, "models": {}} | {k: document.get(k) or v for k, v in SHARED_REST.items()}
+
+
 def upgraded(document: dict, manifest: str) -> dict:
     """A manifest of any format that was ever written, in the newest form.
 
-    Without a format and of version 2 it is a shared manifest: assets lie in <manifest>_assets, or a layer names a source
-    file, or is held inline. Formats that say so in ``imported`` are read as they are.
+    Own ones go by upgrade(). One without a format and of version 2 is a shared manifest: assets lie in <manifest>_assets, or a layer names a
+    source file, or is held inline. Other workspaces (a format ending in ``sam3-workspace`` of version 1, any other workspace of version 1
+    or 2 with records of layers) are read as they are; ``imported`` says what they were.
     """
-    if document.get("format") == workspace.FORMAT:
+    name, version, newest = document.get("format") or "", document.get("version"), {"format": workspace.FORMAT, "version": workspace.VERSION}
+    if name == workspace.FORMAT:
         return workspace.upgrade(document)
-    if document.get("format") in ("sam3-workspace",):
-        if document.get("version") != 1:
-            raise ValueError("unknown version of an imported workspace")
-        return document | {"format": workspace.FORMAT, "version": workspace.VERSION, "imported": document["format"]}
-    if document.get("format") in (None, "") and document.get("version") == 2 and isinstance(document.get("layers"), list):
-        assets, layers = f"{os.path.splitext(os.path.basename(manifest))[0]}_assets", []
-        for old in document["layers"]:
-            kind = old.get("layer_type") or old.get("inline_kind")
-            if old.get("storage"):
-                storage = old["storage"]
-            elif old.get("asset_path"):
-                storage = {"kind": "store", "path": f"{assets}/{old['asset_path']}", "array": (old.get("asset_dataset") or "").strip("/"), "mode": "r+" if kind == "Labels" else "r"}
-            elif (old.get("source") or {}).get("path"):
-                storage = {"kind": "file", "path": old["source"]["path"]}
-            else:
-                storage = {"kind": "inline" if kind in ("Shapes", "Points") else "unsupported"}
-            layers.append(old | {"type": kind, "storage": storage})
-        return {"format": workspace.FORMAT, "version": workspace.VERSION, "imported": "shared-2", "layers": layers, "models": {}}
-    raise ValueError("not a workspace of a known format")
+    if not isinstance(document.get("layers"), list):
+        raise ValueError("not a workspace of a known format")
+    if not name and version == 2:
+        return newest | shared_layers(document, manifest)
+    if not name.endswith("-workspace") or version not in ((1,) if name.endswith("sam3-workspace") else (1, 2)):
+        raise ValueError("not a workspace of a known format and version")
+    return document | newest | {"imported": f"{name}-{version}"}
 
 
 def storage_reference(record: dict, base: str) -> str | None:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.numbering import number_rows
+
 #: Ranks of activity states, and of the sources view, context and camera, before the priority is added. Fixed values.
 RANKS = {"error": 400, "busy": 200, "warning": 120, "ready": 100}
 VIEW, CONTEXT, CAMERA_BUSY, CAMERA = -100, 25, 50, -50
@@ -60,11 +62,10 @@ def current_activity(reports: DataFrame, now: float | None = None) -> DataFrame:
 
 def activity_log(reports: DataFrame) -> DataFrame:
     """The last LOG_ENTRIES reports (source, state, details, seq), without view, camera and context and without direct repeats."""
-    entries = reports.where(~F.col("source").isin("view", "camera", "context"))
-    said = F.struct("source", "state", "details")
-    # one order over all sources; a window of one partition over no more than the newest entries
-    newest = entries.orderBy(F.desc("seq")).limit(50 * LOG_ENTRIES)
-    fresh = newest.withColumn("_before", F.lag(said).over(W.orderBy("seq"))).where(F.col("_before").isNull() | ~said.eqNullSafe(F.col("_before")))
+    entries = reports.where(~F.col("source").isin("view", "camera", "context")).select("source", "state", "details", "seq")
+    numbered = number_rows(entries, ["seq"], "_n")  # one order over all sources, however many repeats stand in it
+    before = numbered.select((F.col("_n") + 1).alias("_n"), F.struct("source", "state", "details").alias("_before"))
+    fresh = numbered.join(before, "_n", "left").where(~F.struct("source", "state", "details").eqNullSafe(F.col("_before")))
     return fresh.select("source", "state", "details", "seq").orderBy(F.desc("seq")).limit(LOG_ENTRIES)
 
 

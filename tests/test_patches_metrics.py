@@ -230,3 +230,29 @@ def test_streams_of_edits(spark, tmp_path):
     run = activity.stream_sessions(stream, "400 milliseconds").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(r.edits for r in spark.table("sessions").collect()) == [1, 2]
+
+
+def test_losses_without_known_pixels(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5, 1, 0), (1, 1, 0.5, 0, 0), (2, 0, 0.5, 1, 1), (2, 1, 0.2, 0, 0)], "g int, channel int, p double, t int, valid int")
+    found = {r.g: (r.loss, r.channels) for r in metrics.multilabel_loss(rows, ["g"]).collect()}
+    assert found[1] == (0.0, 0) and found[2][1] == 1 and found[2][0] > 0
+    classes = spark.createDataFrame([(1, 0, 0, 0.7, 0, 0), (1, 0, 1, 0.3, 0, 0), (2, 0, 0, 0.7, 0, 1), (2, 0, 1, 0.3, 0, 1)], "g int, pixel int, class int, p double, t int, valid int")
+    found = {r.g: r.loss for r in metrics.class_loss(classes, ["g"], ["pixel"]).collect()}
+    assert found[1] == 0.0 and found[2] > 0
+
+
+def test_names_of_networks():
+    assert catalog.network_name({}) == "unet" and catalog.network_name({"provider": "smp", "architecture": "fpn", "encoder": "resnet18"}) == "smp-fpn-resnet18"
+    assert catalog.network_name({"provider": "custom", "architecture": "unet"}, 16) == "unet-w16" and catalog.network_name({"provider": "monai", "architecture": "net", "width": 8}) == "monai-net-w8"
+    name = catalog.checkpoint_name("Cells", {"provider": "smp"}, 3, "abc", ["a", "b"], "day 1", 256, "2024-02-03T04:05:06Z")
+    assert name == "Cells_multiple-images_day-1_smp-unet-encoder_in256_run03_20240203_abc.pt"
+
+
+def test_label_values_must_differ(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 1), (2, 0, 0, 4)], "layer int, y long, x long, v long")
+    for values, background in (([5], 0), ([5, 5], 0), ([5, 0], 0), ([5, 6], 6)):
+        with pytest.raises(ValueError, match="different"):
+            algebra.compose_last_wins(rows, values, background, (2, 2))
+    with pytest.raises(ValueError, match="shape"):
+        algebra.merge_same(rows, 5, 9)
+    assert sorted(tuple(r) for r in algebra.compose_last_wins(rows, [8, 6], 2, (1, 2)).select("y", "x", "v").collect()) == [(0, 0, 6), (0, 1, 2)]

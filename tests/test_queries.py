@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gridloom.plans import more_queries, sampling_queries, store_queries  # noqa: F401  (they register their queries)
+from gridloom.plans import history_queries, more_queries, sampling_queries, store_queries  # noqa: F401  (they register their queries)
 from gridloom.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
