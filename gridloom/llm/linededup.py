@@ -8,9 +8,8 @@ their first occurrence (smallest doc_id, then position) and removed where they a
 
 Chunks lose the ends of a repeated passage, and short ones whole. So a second, overlapping level takes
 each shortest run of lines of ``PASSAGE`` words or more, from every line on and back from every line:
-together they cover each line of any passage of so many words. Runs are compared with their first
-occurrence by SHA-256, since the overlapping texts would be moved many times over. The registered SQL
-knows chunks only, so its query leaves this level out.
+together they cover each line of any passage of so many words. Only runs whose hashes repeat are made as texts, and these too
+are compared byte by byte with their first occurrence. Words are parted by the six ASCII characters of white space on both levels.
 
 Null texts stay null and empty ones empty. Chunks of blank lines stay. Rows with equal doc_id
 and text count as one document: repeated rows keep the same chunks. Of equal chunks the one of the smallest doc_id,
@@ -44,8 +43,12 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def n_words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
 def is_passage(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) >= PASSAGE - 1
+    return (F.length(line) >= 2 * PASSAGE - 1) & (n_words(line) >= PASSAGE)
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -80,9 +83,9 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, start, n, chunk): the shortest runs of PASSAGE words or more; chunk: their SHA-256."""
+    """(doc_id, digest, start, n, chunk): the shortest runs of PASSAGE words or more."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.split("text", "\n", -1).alias("lines"))
-    owners = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(r"\S+")))))  # the line of each word
+    owners = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, n_words(x))))  # the line of each word
     words = lines.select(*KEY, "lines", owners.alias("owners")).where(F.size("owners") >= PASSAGE)
     at = lambda k: F.get(F.col("owners"), k)
     heads = F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda k: (k == 0) | (at(k) != at(k - 1)))
@@ -93,17 +96,13 @@ def passages(docs: DataFrame) -> DataFrame:
     last = F.array(run(F.size("owners") - PASSAGE, F.size("owners") - 1))
     runs = F.array_distinct(F.filter(F.concat(ahead, back, last), lambda r: r.isNotNull()))
     rows = words.select(*KEY, "lines", F.explode(runs).alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.n").alias("n"), "lines")
-    return rows.select(*KEY, "start", "n", F.unhex(F.sha2(F.array_join(F.slice("lines", F.col("start") + 1, F.col("n")), "\n").cast("binary"), 256)).alias("chunk"))
+    return rows.select(*KEY, "start", "n", F.array_join(F.slice("lines", F.col("start") + 1, F.col("n")), "\n").alias("chunk"))
 
 
 def hashes() -> list[Column]:
     return [F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2")]
 
 
-def same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
-
-
 def repeated_spans(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
     """(doc_id, digest, start, n) of the chunks to remove: equal to an earlier one.
 
@@ -127,16 +126,13 @@ def repeated_spans(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame)
     return pair.select(*KEY, (F.col("start") + F.col("skip")).alias("start"), (F.col("n") - F.col("skip")).alias("n"))
 
 
-def dedup_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
-    """``docs`` with repeated chunks taken from ``text``, and ``n_lines`` and ``n_removed_lines`` (long).
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated chunks and passages taken from ``text``, and ``n_lines`` and ``n_removed_lines`` (long).
 
-    Columns of docs that are already named so are replaced. Without ``whole`` only content-defined
-    chunks go, as in ``SQL``.
+    Columns of docs that are already named so are replaced.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed_lines")]
-    spans = repeated_spans(chunks, docs)
-    if whole:
-        spans = spans.unionByName(repeated_spans(passages, docs))
+    spans = repeated_spans(chunks, docs).unionByName(repeated_spans(passages, docs))
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
     gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
     spans = materialize(spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), gone.alias("_gone")), "lines-gone")
@@ -157,13 +153,19 @@ def dedup_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
-m AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= 49 AS p FROM l),
+m AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS c, c >= 50 AS p FROM l),
 rl AS (SELECT *, xor(h, coalesce(((lag(h) OVER w) << 1) % 4294967296 + ((lag(h) OVER w) >> 31), 0)) AS r FROM m WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
 c AS (SELECT *, p OR coalesce(lead(p) OVER w, true) OR coalesce(r < lag(r) OVER w AND r < lead(r) OVER w, false) AS cut FROM rl WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
 k AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c),
 ch AS (SELECT doc_id, text, k, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk, bool_or(p) AS p FROM k GROUP BY doc_id, text, k),
 gone AS (SELECT doc_id, text, k FROM ch WHERE (n > 1 OR p) AND regexp_matches(chunk, '[^ \n\t\r]') QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) > 1),
-kept AS (SELECT doc_id, text, count(*) AS n_lines, count(g.k) AS n_removed_lines, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.k IS NULL) AS rest FROM k LEFT JOIN gone g USING (doc_id, text, k) GROUP BY doc_id, text)
+wl AS (SELECT doc_id, text, i, coalesce(sum(c) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(c) OVER (w ROWS UNBOUNDED PRECEDING) AS b, sum(c) OVER (PARTITION BY doc_id, text) AS t, c FROM m WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+en AS (SELECT doc_id, text, unnest([a, a - 50, t - 50]) AS f FROM wl WHERE c > 0),
+ru AS (SELECT DISTINCT f.doc_id, f.text, f.i AS start, g.i - f.i + 1 AS n FROM (SELECT DISTINCT * FROM en) e JOIN wl f ON f.doc_id = e.doc_id AND f.text = e.text AND f.a <= e.f AND e.f < f.b JOIN wl g ON g.doc_id = e.doc_id AND g.text = e.text AND g.a <= e.f + 49 AND e.f + 49 < g.b),
+pa AS (SELECT r.doc_id, r.text, start, n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM ru r JOIN m ON m.doc_id = r.doc_id AND m.text = r.text AND i >= start AND i < start + n GROUP BY ALL),
+pf AS (SELECT *, first_value(doc_id) OVER w AS fd, first_value(start) OVER w AS fs, row_number() OVER w AS r FROM pa WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, start)),
+gl AS (SELECT doc_id, text, i FROM k JOIN gone USING (doc_id, text, k) UNION SELECT doc_id, text, unnest(range(start + CASE WHEN fd = doc_id THEN greatest(0, fs + n - start) ELSE 0 END, start + n)) FROM pf WHERE r > 1),
+kept AS (SELECT doc_id, text, count(*) AS n_lines, count(g.i) AS n_removed_lines, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.i IS NULL) AS rest FROM k LEFT JOIN gl g USING (doc_id, text, i) GROUP BY doc_id, text)
 SELECT doc_id, CASE WHEN documents.text IS NOT NULL THEN coalesce(rest, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines
 FROM documents LEFT JOIN kept USING (doc_id, text)
 """

@@ -745,3 +745,14 @@ def test_settings_come_back(spark):
         assert int(spark.conf.get(key)) <= 512
         1 / 0
     assert spark.conf.get(key) == before
+
+
+def test_words_of_passages_are_parted_by_white_space_alone(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    tabs, wide, joined = "\t".join(word() for _ in range(50)), "  ".join(word() for _ in range(30)), "\xa0".join(word() for _ in range(60))
+    docs = [(i, f"{word()} head\n{line}\n{word()} tail") for i, line in enumerate((tabs, tabs, wide, wide, joined, joined))]
+    out = {r.doc_id: r.n_removed_lines for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+    spans = {(r.doc_id, r.start, r.n) for r in linededup.repeated_spans(linededup.passages, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert spans == {(1, 1, 1)}
