@@ -79,6 +79,47 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
     return pairs.where(hit & meets).drop("_level", "_y", "_x", "_size", "_l_level", "_r_level")
 
 
+def _pieces(bucket: int) -> Callable[[pa.Table], pa.Table]:
+    """Disjoint rectangles of a bucket's part of an area outside its cuts: runs of open columns, as long as the rows below have the same."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        y0, x0, y1, x1, cut = (table.column(c).to_numpy() for c in (*BOX, "cut"))
+        row, col, area = (table.column(c)[0].as_py() for c in ("row", "col", "rect_id"))
+        own = np.flatnonzero(~cut)[0]
+        top, low = max(row * bucket, y0[own]), max(col * bucket, x0[own])
+        bottom, high = min((row + 1) * bucket, y1[own]), min((col + 1) * bucket, x1[own])
+        y0, y1, x0, x1 = np.clip(y0[cut], top, bottom), np.clip(y1[cut], top, bottom), np.clip(x0[cut], low, high), np.clip(x1[cut], low, high)
+        ys, xs = np.unique(np.concatenate([y0, y1, [top, bottom]])), np.unique(np.concatenate([x0, x1, [low, high]]))
+        change = np.zeros((len(ys), len(xs)), np.int64)
+        a, b, c, d = (np.searchsorted(s, v) for s, v in ((ys, y0), (ys, y1), (xs, x0), (xs, x1)))
+        for at, sign in (((a, c), 1), ((b, d), 1), ((a, d), -1), ((b, c), -1)):
+            np.add.at(change, at, sign)
+        free = change.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] == 0
+        open_, out = {}, []
+        for r in range(len(ys)):
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free[r].astype(np.int8) if r < len(free) else np.zeros(len(xs) - 1, np.int8), [0]])))
+            runs = {(int(xs[i]), int(xs[j])) for i, j in zip(edges[::2], edges[1::2])}
+            out += [(open_.pop(k), k[0], int(ys[r]), k[1]) for k in [*open_] if k not in runs]
+            for k in runs:
+                open_.setdefault(k, int(ys[r]))
+        return pa.table({"rect_id": pa.array([area] * len(out), pa.int64()), **{c: pa.array([p[i] for p in out], pa.int64()) for i, c in enumerate(BOX)}})
+
+    return apply
+
+
+def areas_less_cuts(areas: DataFrame, cuts: DataFrame, bucket: int) -> DataFrame:
+    """(rect_id, box): disjoint pieces of areas (rect_id, box) outside all cuts (box), none beyond a cell of ``bucket`` pixels.
+
+    A task takes an area's part in one cell with the cuts there, so an area of any size with any number of cuts is worked on in bounded parts.
+    """
+    wide = [F.col(c).cast("long").alias(c) for c in BOX]
+    parts = touched_cells(areas.select(F.col("rect_id").cast("long").alias("rect_id"), *wide, F.lit(False).alias("cut")), bucket)
+    here = touched_cells(cuts.select(*wide, F.lit(True).alias("cut")), bucket).distinct()
+    met = parts.select("rect_id", "row", "col").join(here, ["row", "col"]).select("rect_id", *BOX, "cut", "row", "col")
+    both = parts.select("rect_id", *BOX, "cut", "row", "col").unionByName(met)
+    return both.groupBy("rect_id", "row", "col").applyInArrow(_pieces(bucket), "rect_id long, y0 long, x0 long, y1 long, x1 long")
+
+
 def grid_cells(spark, height: int, width: int, step_y: int, step_x: int) -> DataFrame:
     """(row, col, y0, x0, y1, x1) of every cell, clipped at the edge."""
     rows, cols = -(-height // step_y), -(-width // step_x)
@@ -102,21 +143,23 @@ CELL_BLOCK = 64
 
 
 def _block_coverage(step_y: int, step_x: int) -> Callable[[pa.Table], pa.Table]:
-    """Which cells of a row's block its rectangles cover and touch, on the grid of their own edges."""
+    """Which cells of a row's block its rectangles cover and touch, less those that cut, on the grid of all their edges."""
 
     def apply(table: pa.Table) -> pa.Table:
         row, first = (table.column(c)[0].as_py() for c in ("row", "first"))
+        cut = table.column("cut").to_numpy()
         y0, x0, y1, x1, height, width = (table.column(c).to_numpy() for c in (*BOX, "height", "width"))
         top, bottom = row * step_y, min((row + 1) * step_y, height[0])
         edges = np.minimum(np.arange(first, first + CELL_BLOCK + 1) * step_x, width[0])
         edges = edges[: np.searchsorted(edges, width[0]) + 1]
         y0, y1, x0, x1 = (np.clip(v, *ends) for v, ends in ((y0, (top, bottom)), (y1, (top, bottom)), (x0, (edges[0], edges[-1])), (x1, (edges[0], edges[-1]))))
         ys, xs = np.unique(np.concatenate([y0, y1, [top, bottom]])), np.unique(np.concatenate([x0, x1, edges]))
-        change = np.zeros((len(ys), len(xs)), np.int64)
+        change = np.zeros((2, len(ys), len(xs)), np.int64)
         a, b, c, d = (np.searchsorted(s, v) for s, v in ((ys, y0), (ys, y1), (xs, x0), (xs, x1)))
         for at, sign in (((a, c), 1), ((b, d), 1), ((a, d), -1), ((b, c), -1)):
-            np.add.at(change, at, sign)
-        held = change.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
+            np.add.at(change, (cut.astype(int), *at), sign)
+        there = change.cumsum(axis=1).cumsum(axis=2)[:, :-1, :-1] > 0
+        held = there[0] & ~there[1]
         cells = np.searchsorted(xs, edges[:-1])
         covered, touched = np.logical_and.reduceat(held.all(axis=0), cells), np.logical_or.reduceat(held.any(axis=0), cells)
         n = len(cells)
@@ -125,14 +168,17 @@ def _block_coverage(step_y: int, step_x: int) -> Callable[[pa.Table], pa.Table]:
     return apply
 
 
-def cell_coverage(rects: DataFrame, height: int, width: int, step_y: int, step_x: int) -> DataFrame:
-    """(row, col, covered, touched) of every grid cell; edges of rectangles decide, no pixel is scanned.
+def cell_coverage(rects: DataFrame, height: int, width: int, step_y: int, step_x: int, cuts: DataFrame | None = None) -> DataFrame:
+    """(row, col, covered, touched) of every grid cell by rectangles, less cuts; edges of rectangles decide, no pixel is scanned.
 
-    A task sweeps one block of cells of a row, in time and memory that grow with its rectangles' edges, at most its pixels.
+    A task sweeps one block of cells of a row over both sets at once, in time and memory that grow with their edges there, at most its
+    pixels; no area is ever cut into pieces.
     """
-    inside = rects.select(F.greatest("y0", F.lit(0)).alias("y0"), F.greatest("x0", F.lit(0)).alias("x0"), F.least("y1", F.lit(height)).alias("y1"), F.least("x1", F.lit(width)).alias("x1")).where("y0 < y1 AND x0 < x1")
+    both = rects.select(*BOX, F.lit(False).alias("cut"))
+    both = both if cuts is None else both.unionByName(cuts.select(*BOX, F.lit(True).alias("cut")))
+    inside = both.select("cut", F.greatest("y0", F.lit(0)).alias("y0"), F.greatest("x0", F.lit(0)).alias("x0"), F.least("y1", F.lit(height)).alias("y1"), F.least("x1", F.lit(width)).alias("x1")).where("y0 < y1 AND x0 < x1")
     blocks = touched_cells(inside, step_y, step_x * CELL_BLOCK)
-    dealt = blocks.select(*[F.col(c).cast("long").alias(c) for c in BOX], "row", (F.col("col") * CELL_BLOCK).alias("first"), F.lit(height).cast("long").alias("height"), F.lit(width).cast("long").alias("width")).distinct()
+    dealt = blocks.select(*[F.col(c).cast("long").alias(c) for c in BOX], "cut", "row", (F.col("col") * CELL_BLOCK).alias("first"), F.lit(height).cast("long").alias("height"), F.lit(width).cast("long").alias("width")).distinct()
     found = dealt.groupBy("row", "first").applyInArrow(_block_coverage(step_y, step_x), "row long, col long, covered boolean, touched boolean")
     cells = grid_cells(rects.sparkSession, height, width, step_y, step_x).select("row", "col")
     no = F.lit(False)

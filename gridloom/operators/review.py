@@ -41,20 +41,20 @@ def review_states(events: DataFrame) -> DataFrame:
 
 
 def effective_areas(areas: DataFrame, cuts: DataFrame, bucket: int) -> DataFrame:
-    """Pieces of areas (rect_id, box) outside all cuts (box): disjoint within an area."""
+    """Pieces of areas (rect_id, box) outside all cuts (box), as cutting one after the other leaves them; an area's cuts are folded in one row, so many of them need areas_less_cuts()."""
     met = overlap_join(areas, cuts.select(*BOX), bucket).groupBy("l_rect_id").agg(F.collect_set(F.struct(*[F.col(f"r_{c}").alias(c) for c in BOX])).alias("cuts"))
     own = areas.join(met, F.col("rect_id") == F.col("l_rect_id"), "left")
     left = subtract_all(F.array(F.struct(*[F.col(c).cast("long").alias(c) for c in BOX])), F.coalesce("cuts", F.array().cast(RECTS)))
     return own.select("rect_id", F.explode(left).alias("p")).select("rect_id", "p.*")
 
 
-def cell_states(areas: DataFrame, invalid: DataFrame, used: DataFrame, shape: tuple[int, int], step: tuple[int, int], bucket: int) -> DataFrame:
+def cell_states(areas: DataFrame, invalid: DataFrame, used: DataFrame, shape: tuple[int, int], step: tuple[int, int]) -> DataFrame:
     """(row, col, status, training) of every grid cell.
 
     stale if an invalid rectangle touches it, else confirmed if the areas without invalid ones cover it, else not;
     training use is full, part or none by the rectangles trained on.
     """
-    confirmed = cell_coverage(effective_areas(areas, invalid, bucket), *shape, *step).select("row", "col", F.col("covered").alias("_ok"))
+    confirmed = cell_coverage(areas, *shape, *step, cuts=invalid).select("row", "col", F.col("covered").alias("_ok"))
     stale = cell_coverage(invalid, *shape, *step).select("row", "col", F.col("touched").alias("_stale"))
     seen = cell_coverage(used, *shape, *step).withColumnsRenamed({"covered": "_full", "touched": "_part"})
     status = F.when(F.col("_stale"), "stale").when(F.col("_ok"), "confirmed").otherwise("not")

@@ -68,7 +68,7 @@ cells AS (SELECT row, col FROM (SELECT unnest(range(0, 300)) AS row), (SELECT un
 def cell_review(spark, sf_dir):
     every = order_rects(spark, sf_dir)
     kind = lambda k: every.where(F.col("kind") == k).drop("kind")
-    return review.cell_states(kind("O"), kind("P"), kind("F"), (q.SIDE, q.SIDE), (q.CELL, q.CELL), 40)
+    return review.cell_states(kind("O"), kind("P"), kind("F"), (q.SIDE, q.SIDE), (q.CELL, q.CELL))
 
 
 @query(f"WITH {EVENT_MASK_SQL} SELECT y, x, v FROM mask WHERE NOT (y >= 30 AND y < 45 AND x >= 10 AND x < 70) UNION ALL SELECT y, unnest(range(10, 70)) AS x, 3::BIGINT AS v FROM (SELECT unnest(range(30, 45)) AS y)")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -267,3 +269,35 @@ def test_library_over_edits(spark, tmp_path):
     lib.mark_dirty(spark.createDataFrame([(1, 0, 0, 1, 1)], "seq long, y0 long, x0 long, y1 long, x1 long"))
     with pytest.raises(RuntimeError, match="expected"):
         lib._commit(state, version)
+
+
+def test_areas_less_cuts_like_pixels(spark):
+    rng = random.Random(8)
+    box = lambda most: (lambda y, x: (y, x, y + rng.randint(0, most), x + rng.randint(0, most)))(rng.randrange(30), rng.randrange(30))
+    areas, cuts = [(i, *box(25)) for i in range(12)], [box(6) for _ in range(60)]
+    found = rects.areas_less_cuts(spark.createDataFrame(areas, "rect_id long, y0 long, x0 long, y1 long, x1 long"), spark.createDataFrame(cuts, "y0 long, x0 long, y1 long, x1 long"), 16).collect()
+    cells = lambda b: {(y, x) for y in range(b[0], b[2]) for x in range(b[1], b[3])}
+    gone = set().union(*map(cells, cuts))
+    for i, *area in areas:
+        parts = [cells(tuple(r)[1:]) for r in found if r.rect_id == i]
+        assert sum(map(len, parts)) == len(set().union(*parts)) and set().union(*parts) == cells(area) - gone
+
+
+def test_a_whole_slide_with_many_cuts(spark):
+    area = spark.createDataFrame([(1, 0, 0, 84_175, 79_966)], "rect_id long, y0 long, x0 long, y1 long, x1 long")
+    i = F.col("id")
+    cuts = spark.range(20_000).select((i * 7919 % 84_000).alias("y0"), (i * 104_729 % 79_900).alias("x0")).select("y0", "x0", (F.col("y0") + 40).alias("y1"), (F.col("x0") + 30).alias("x1"))
+    left = rects.areas_less_cuts(area, cuts, 4096).agg(F.count("*").alias("n"), F.sum((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).alias("size")).first()
+    assert 84_175 * 79_966 - 20_000 * 1200 <= left["size"] < 84_175 * 79_966 - 19_000 * 1200 and left.n < 200_000
+    cells = rects.cell_coverage(area, 84_175, 79_966, 1024, 1024, cuts=cuts).agg(F.count("*").alias("n"), F.count_if("covered").alias("covered"), F.count_if("touched").alias("touched")).first()
+    assert cells.n == cells.touched == 83 * 79 and cells.covered < 600
+
+
+def test_rectangles_of_all_sizes_meet_once(spark):
+    rng = random.Random(3)
+    side = lambda: rng.choice([1, 3, 9, 60, 700])
+    rows = lambda n: [(i, y, x, y + side(), x + side()) for i, y, x in ((i, rng.randrange(-300, 900), rng.randrange(-300, 900)) for i in range(n))]
+    a, b = rows(150), rows(150)
+    schema = "rect_id long, y0 long, x0 long, y1 long, x1 long"
+    found = [(r.l_rect_id, r.r_rect_id) for r in rects.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 8).collect()]
+    assert sorted(found) == sorted((p[0], q[0]) for p in a for q in b if p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4])
