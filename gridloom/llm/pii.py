@@ -8,9 +8,9 @@ equal values get equal pseudonyms in all documents, also in other groupings, and
 of a format never collide. ``restore=True`` inverts it with the same key.
 
 What counts as one value: a phone number is its digits with the calling code after a plus, in any grouping
-(the code stays; a number without a plus is another value than one with a code, as its country isn't known);
-an email address is its lower case, whose pseudonym takes on the case of the text; a date is its day in any
-layout. The permutation of days keeps day and month on their side of 10 and the day on its side of 13, so that
+(the code stays; a number without a plus is another value than one with a code, as its country isn't known, and keeps a first 0);
+an email address is its lower case, whose pseudonym takes on the case of the text and keeps the public suffix, and characters beyond Latin-1, as they are; a date is its day in any
+layout, also with the name of the month in English, German, French or Spanish, and before a time. The permutation of days keeps day and month on their side of 10 and the day on its side of 13, so that
 layout and padding stay as they were and reading the pseudonym again gives the same parts.
 
 Null texts stay null, with no finds; empty texts stay empty; rows that are repeated get equal results, row by
@@ -36,20 +36,43 @@ from gridloom.llm.common import slices
 ROUNDS = 8
 KINDS = ("secret", "email", "iban", "card", "phone", "ip", "ssn", "date")
 
-_EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])|(?<=[^\W_a-zA-Z0-9])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")
-_SECRET = re.compile(r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]\s*["']?([A-Za-z0-9_/+\-]{16,}={0,2})|(?<!\w)((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w)""")
+#: Latin letters and digits, a label of a domain in any script, and what ends one.
+_L = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_DOMAIN = r"@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?![\w-])"
+_EMAIL = re.compile(rf"(?<![\w.+%-])[{_L}](?:[{_L}._%+'-]{{0,62}}[{_L}_%+-])?{_DOMAIN}|(?<=[^\W_{_L}])[{_L}._%+-]{{1,64}}{_DOMAIN}")
+#: Second labels that are part of a country's public suffix, as in co.uk. Fixed values.
+_SUFFIX = re.compile(r"(?:ac|co|com|edu|go|gob|gov|gouv|ne|net|or|org)\.[a-z]{2}$|[^.]+$")
+_SECRET = re.compile(r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]\s*["']?([A-Za-z0-9_/+\-]{16,}={0,2}(?:\.[A-Za-z0-9_\-]{8,}){0,2})|(?i:bearer)\s+([A-Za-z0-9_~/+\-]{16,}(?:\.[A-Za-z0-9_\-]{8,}){0,2}={0,2})|(?<!\w)(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w)""")
 #: Public marks by which keys of known services are told; they stay.
-_MARK = re.compile("AKIA|ASIA|gh[pousr]_|sk-")
+_MARK = re.compile("AKIA|ASIA|eyJ|gh[pousr]_|sk-")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _CARD = re.compile(r"(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)")
-_PHONE = re.compile(r"(?<![\w+.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?!\w|[.-][0-9])|(?<![\w+.])\+[0-9]{8,15}(?!\w)|(?<![\w+.])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?!\w|[.-][0-9])")
+_PHONE = re.compile(r"(?<![\w+.])(?<![0-9][ -])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?!\w|[ .-][0-9])|(?<![\w+.])\+[0-9](?:[ ./-]?[0-9]|[ .-]?\([0-9]{1,5}\)){7,14}(?!\w|[.-][0-9])|(?<![\w+.])\(0[0-9]{1,4}\)[ ./-]?[0-9]{3,8}(?:[ .-][0-9]{2,4})?(?!\w|[.-][0-9])|(?<![\w+./-])0[0-9]{1,4}[ /-][0-9]{5,8}(?!\w|[.-][0-9])|(?<![\w+./-])0[0-9](?:[ .-][0-9]{2}){4}(?!\w|[ .-]?[0-9])")
 _IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
-_DATE = re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?!\w|[./-][0-9])")
+_DATE = re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?!(?!T[0-9]{2}:)\w|[./-][0-9])")
+#: Months in the languages of the named layouts, in their order. Fixed values.
+_MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+#: Layouts of days with a month's name: each tells its language by its points, its "de" or its capitals.
+_NAMED = {
+    "en1": ("en", r"(?P<m>{})(?P<a> )(?P<d>[0-9]{{1,2}})(?P<b>,? )(?P<y>[0-9]{{4}})"), "en2": ("en", r"(?P<d>[0-9]{{1,2}})(?P<a> )(?P<m>{})(?P<b>,? )(?P<y>[0-9]{{4}})"),
+    "de": ("de", r"(?P<d>[0-9]{{1,2}})(?P<a>\. )(?P<m>{})(?P<b> )(?P<y>[0-9]{{4}})"), "fr": ("fr", r"(?P<d>[0-9]{{1,2}})(?P<a> )(?P<m>{})(?P<b> )(?P<y>[0-9]{{4}})"),
+    "es": ("es", r"(?P<d>[0-9]{{1,2}})(?P<a> de )(?P<m>{})(?P<b> del? )(?P<y>[0-9]{{4}})"),
+}
+_NAMED = {k: (lang, re.compile(rf"(?<!\w){p.format('|'.join(_MONTHS[lang]))}(?!\w)")) for k, (lang, p) in _NAMED.items()}
+_SOME_MONTH = re.compile("|".join({m for names in _MONTHS.values() for m in names}))
 _DIGIT = re.compile("[0-9]")
 #: Calling codes of one and two digits; all others have three. Fixed values (ITU-T E.164).
 _CODE = re.compile("[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
 
+#: Classes of symbols that a permutation keeps; the letters of the last two have one-character counterparts in the other case.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -88,7 +111,7 @@ class Feistel:
 
     def string(self, kind: str, text: str, hexadecimal: bool = False) -> str:
         """Permute digits and letters within their classes; other characters stay."""
-        alphabets = [next((a for a in ("0123456789abcdef",) * hexadecimal + ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), "") for c in text]
+        alphabets = [next((a for a in ("0123456789abcdef",) * hexadecimal + ALPHABETS if c in a), "") for c in text]
         at = [i for i, a in enumerate(alphabets) if a]
         new = self.symbols(kind, [alphabets[i].index(text[i]) for i in at], [len(alphabets[i]) for i in at])
         out = list(text)
@@ -151,7 +174,10 @@ class Pseudonymizer:
         if kind == "phone":
             if not 9 <= len(compact) <= 15:
                 return None
-            code = _CODE.match(compact)[0] if value[0] == "+" else ""
+            if value[0] != "+" and compact[0] != "0":  # 0 is a trunk's prefix, no first digit of an area
+                first, *rest = net.symbols("phone", [int(compact[0]) - 1, *map(int, compact[1:])], [9] + [10] * (len(compact) - 1))
+                return regroup(value, "".join(map(str, [first + 1, *rest])))
+            code = _CODE.match(compact)[0] if value[0] == "+" else "0"
             return regroup(value, code + net.string("phone" + code, compact[len(code) :]))
         if kind == "ip":
             octets = list(map(int, value.split(".")))
@@ -168,29 +194,44 @@ class Pseudonymizer:
             area += 1 + (area >= 665)
             return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
         if kind == "date":
-            match = _DATE.fullmatch(value)
-            if (found := date_of(match)) is None:
-                return None
-            return self._date(match, *found)
+            if (match := _DATE.fullmatch(value)) is None:
+                return self._named(value)
+            return self._date(match, *found) if (found := date_of(match)) else None
         if kind == "email":
-            local, _, domain = value.lower().rpartition("@")
-            name, dot, top = domain.rpartition(".")
-            new = net.string("email", local) + "@" + net.string("domain", name) + dot + top
-            return "".join(n.upper() if o.isupper() else n for n, o in zip(new, value, strict=True))
+            plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+            local, _, domain = plain.rpartition("@")
+            top = _SUFFIX.search(domain)[0] if domain.count(".") > 1 else domain.rpartition(".")[2]
+            new = net.string("email", local) + "@" + net.string("domain", domain[: -len(top)]) + top
+            return "".join(o if n == p else n.upper() if o.isupper() else n for n, p, o in zip(new, plain, value, strict=True))
         mark = _MARK.match(value)
         head, rest = (value[: mark.end()], value[mark.end() :]) if mark else ("", value)
         return head + net.string("secret" + head, rest, bool(re.fullmatch("[0-9a-f]+", rest)))
 
-    def _date(self, match: re.Match, day: datetime.date, order: str) -> str:
-        """The new date in the old layout, each number padded as it was."""
-        g = match.groups()
-        separator = g[1] or g[5]
+    def _day(self, day: datetime.date) -> datetime.date:
         side = lambda x: (x.day < 10, x.day > 12, x.month < 10)
         new = day
         while True:
             new = datetime.date.fromordinal(self.net.below("date", new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1) + FIRST_DAY)
             if side(new) == side(day):
-                break
+                return new
+
+    def _named(self, value: str) -> str | None:
+        """The new date in a layout with a month's name, in its language."""
+        lang, match = next((lang, m) for lang, p in _NAMED.values() if (m := p.fullmatch(value)))
+        try:
+            day = datetime.date(int(match["y"]), _MONTHS[lang].index(match["m"]) + 1, int(match["d"]))
+        except ValueError:
+            return None
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+            return None
+        new = self._day(day)
+        parts = {"y": f"{new.year:04d}", "m": _MONTHS[lang][new.month - 1], "d": f"{new.day:0{len(match['d'])}d}", "a": match["a"], "b": match["b"]}
+        return "".join(parts[k] for k in sorted(parts, key=match.start))
+
+    def _date(self, match: re.Match, day: datetime.date, order: str) -> str:
+        """The new date in the old layout, each number padded as it was."""
+        g = match.groups()
+        separator, new = g[1] or g[5], self._day(day)
         old = {"ymd": (g[0], g[2], g[3]), "dmy": (g[4], g[6], g[7]), "mdy": (g[4], g[6], g[7])}[order]
         parts = {"ymd": (new.year, new.month, new.day), "dmy": (new.day, new.month, new.year), "mdy": (new.month, new.day, new.year)}[order]
         return separator.join(f"{n:0{len(o)}d}" for n, o in zip(parts, old))
@@ -201,10 +242,11 @@ class Pseudonymizer:
         patterns = [("secret", _SECRET)] if digits or "=" in text or ":" in text else []
         patterns += [("email", _EMAIL)] if mail else []
         patterns += [("iban", _IBAN), ("card", _CARD), ("phone", _PHONE), ("ip", _IP), ("ssn", _SSN), ("date", _DATE)] if digits else []
+        patterns += [("date", p) for _, p in _NAMED.values()] if digits and _SOME_MONTH.search(text) else []
         taken: list[tuple[int, int, str, str]] = []
         for kind, pattern in patterns:
             for match in pattern.finditer(text):
-                group = next((i for i in (1, 2) if match.group(i)), 0) if kind == "secret" else 0
+                group = next((i for i in (1, 2, 3) if match.group(i)), 0) if kind == "secret" else 0
                 start, end = match.span(group)
                 at = bisect(taken, (end,))  # the finds before it begin before this one's end; they don't overlap
                 if at and taken[at - 1][1] > start:
