@@ -51,21 +51,23 @@ def test_components_of_any_mask(spark, rows):
     assert labels_of(spark, array) == flood(array)
 
 
-def test_ring_and_hole(spark):
-    array = np.zeros((12, 12), int)
-    array[3:9, 3:9] = 1
-    array[4:8, 4:8] = 0
+def test_a_frame_with_two_holes(spark):
+    """A digit eight of nine rows and seven columns: 2 holes, its centre of mass where symmetry puts it."""
+    array = np.zeros((20, 31), int)
+    array[10:19, 21:28] = 6
+    array[11:14, 22:27] = array[15:18, 22:27] = 0
     pixels = components.label_pixels(mask_of(spark, array))
-    row = components.component_table(pixels).first()
-    assert (row.area, row.centroid_y, row.centroid_x, row.component_id) == (20, 5.5, 5.5, 1)
-    assert components.euler(pixels).first().euler == 0
+    (row,) = components.component_table(pixels).collect()
+    assert (row.label_value, row.area, row.centroid_y, row.centroid_x) == (6, 63 - 30, 14.0, 24.0)
+    assert (row.bbox_y0, row.bbox_x0, row.bbox_y1, row.bbox_x1) == (10, 21, 19, 28) and components.euler(pixels).first().euler == -1
 
 
-def test_values_and_diagonals_do_not_join(spark):
-    array = np.zeros((8, 8), int)
-    array[1:4, 3], array[4:7, 3], array[3, 4], array[4, 5] = 1, 2, 1, 1
-    pixels = components.label_pixels(mask_of(spark, array))
-    assert sorted(r.euler for r in components.euler(pixels).collect()) == [1, 1, 1]
+def test_a_checkerboard_is_all_single_pixels(spark):
+    """No pixel has a neighbour of its value beside it; corners that touch don't join, nor do the two colours."""
+    y, x = np.indices((6, 7))
+    array = 4 + 5 * ((y + x) % 2)
+    rows = components.component_table(components.label_pixels(mask_of(spark, array))).collect()
+    assert len(rows) == 42 and {r.area for r in rows} == {1} and {r.label_value for r in rows} == {4, 9}
 
 
 def test_long_snake_settles(spark):
@@ -94,12 +96,17 @@ def test_contracted_parts_meet_in_star_steps(spark, monkeypatch):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_grid_edges_and_missing_steps(spark):
-    df = spark.createDataFrame([(0.0, 0.0), (3.999, 5.999), (4.0, 6.0), (10.0, 14.0)], "centroid_y double, centroid_x double")
-    assert [r.grid_id for r in components.grid_address(df, 4, 6).collect()] == ["R00C00", "R00C00", "R01C01", "R02C02"]
-    assert components.grid_address(df, None, 6).first().grid_id is None
-    with pytest.raises(ValueError):
-        components.grid_address(df, 0, 6)
+def test_addresses_at_the_seams_of_a_grid(spark):
+    """A centroid on a seam belongs to the cell that begins there; one before it to the cell that ends."""
+    seams = [(r * 2.5 + d, c * 7.0 + d) for r in (0, 1, 13) for c in (0, 3, 11) for d in (0.0, 0.25, -0.25)]
+    df = spark.createDataFrame(seams, "centroid_y double, centroid_x double")
+    want = [f"R{max(0, int(y // 2.5)):02d}C{max(0, int(x // 7)):02d}" for y, x in seams]
+    assert [r.grid_id for r in components.grid_address(df, 2.5, 7).collect()] == want
+    none = components.grid_address(df, 2.5, None).first()
+    assert none.grid_id is None and none.grid_row is None
+    for steps in ((-1, 7), (2.5, 0)):
+        with pytest.raises(ValueError, match="positive"):
+            components.grid_address(df, *steps)
 
 
 def test_numbers_are_gapless(spark):
@@ -107,28 +114,36 @@ def test_numbers_are_gapless(spark):
     assert rows == list(range(1, 501))
 
 
-def test_label_tools(spark):
-    a, b = np.array([[2, 0, 2], [2, 0, 2]]), np.array([[0, 3, 3], [3, 0, 0]])
-    layers = mask_of(spark, a).withColumn("layer", F.lit(1)).unionByName(mask_of(spark, b).withColumn("layer", F.lit(2)))
+def test_label_tools_like_numpy(spark):
+    """Three random layers against the same rules on arrays."""
+    rng = np.random.default_rng(12)
+    arrays = [rng.choice([0, 0, n, n + 1], (9, 11)) for n in (1, 4, 8)]
+    stacked = np.array(arrays) > 0
+    layers = None
+    for k, array in enumerate(arrays, 1):
+        part = mask_of(spark, array).withColumn("layer", F.lit(k))
+        layers = part if layers is None else layers.unionByName(part)
 
     def dense(df):
-        out = np.zeros((2, 3), int)
+        out = np.zeros((9, 11), int)
         for r in df.collect():
             out[r.y, r.x] = r.v
         return out.tolist()
 
-    assert dense(algebra.merge_same(layers, 7)) == [[7, 7, 7], [7, 0, 7]]
-    assert dense(algebra.compose_last_wins(layers)) == [[1, 2, 2], [2, 0, 1]]
-    assert dense(algebra.votes(layers)) == [[1, 1, 2], [2, 0, 1]]
-    assert dense(algebra.consensus(layers, 2, 9, 2)) == [[0, 0, 9], [9, 0, 0]]
-    one = mask_of(spark, np.array([[0, 2, 0], [0, 0, 2]]))
-    assert dense(algebra.reassign(one, 5)) == [[0, 5, 0], [0, 0, 5]]
-    two = one.unionByName(spark.createDataFrame([(1, 0, 3)], one.schema))
+    votes = stacked.sum(axis=0)
+    assert dense(algebra.union(layers)) == (votes > 0).astype(int).tolist() and dense(algebra.votes(layers)) == votes.tolist()
+    assert dense(algebra.merge_same(layers, 21)) == np.where(votes > 0, 21, 0).tolist()
+    assert dense(algebra.compose_last_wins(layers)) == (stacked * np.array([1, 2, 3])[:, None, None]).max(axis=0).tolist()
+    for least in (1, 2, 3):
+        assert dense(algebra.consensus(layers, least, 30, 3)) == np.where(votes >= least, 30, 0).tolist()
+    for least in (0, 4):
+        with pytest.raises(ValueError, match="votes"):
+            algebra.consensus(layers, least, 30, 3)
+    several, single = mask_of(spark, arrays[0]), mask_of(spark, np.where(arrays[1] == 4, 4, 0))
+    assert dense(algebra.reassign(several, 77, 2)) == np.where(arrays[0] == 2, 77, arrays[0]).tolist()
+    assert dense(algebra.reassign(single, 77)) == np.where(arrays[1] == 4, 77, 0).tolist()
     with pytest.raises(Exception, match="several values"):
-        algebra.reassign(two, 5).collect()
-    assert dense(algebra.reassign(two, 5, 2)) == [[0, 5, 0], [3, 0, 5]]
-    with pytest.raises(ValueError):
-        algebra.consensus(layers, 3, 9, 2)
+        algebra.reassign(several, 77).collect()
 
 
 def test_restore_deleted_only_where_empty(spark):
