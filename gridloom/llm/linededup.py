@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialize
 
 WINDOW, PASSAGE = 2, 50
-#: Repeated chunks of which hashes and places (six numbers) are broadcast at most; beyond, the join is shuffled.
+#: Repeated chunks of which hashes and places (six numbers) are broadcast at most; beyond, the join is shuffled, without texts, and a frequent chunk is split by AQE.
 BROADCAST_ROWS = 500_000
-#: Bytes of removed line numbers that are broadcast at most; beyond, texts are shuffled to them.
+#: Bytes of places of repeated chunks, and of removed line numbers, that are broadcast at most; beyond, texts are shuffled to them.
 BROADCAST_BYTES = 32 << 20
 #: Occurrences of one chunk that are compared in a task; more are dealt over several keys.
 SPLIT = 1000
@@ -51,9 +51,14 @@ def is_passage(line: Column) -> Column:
     return (F.length(line) >= 2 * PASSAGE - 1) & (n_words(line) >= PASSAGE)
 
 
+def is_blank(line: Column) -> Column:
+    return F.length(F.trim(F.translate(line, "\t\r", "  "))) == 0
+
+
 def with_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, marks): of each line its hashes, whether it is a passage and whether it is blank."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.split("text", "\n", -1).alias("lines"))
-    return lines.withColumn("marks", F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), is_passage(x).alias("p"))))
+    return lines.select(*KEY, F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.xxhash64(x).alias("g"), is_passage(x).alias("p"), is_blank(x).alias("b"))).alias("marks"))
 
 
 def rolled(marks: Column, i: Column) -> Column:
@@ -65,8 +70,14 @@ def rolled(marks: Column, i: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), parts)
 
 
+def span_hashes(marks: str, start: Column, n: Column) -> list[Column]:
+    """Two hashes of a run of lines, from those of its lines."""
+    run = F.slice(marks, start + 1, n)
+    return [F.xxhash64(F.transform(run, lambda x: x["g"])).alias("h1"), F.xxhash64(F.transform(run, lambda x: x["h"])).alias("h2")]
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, start, n, chunk): the chunks that may be removed if they repeat."""
+    """(doc_id, digest, start, n, h1, h2): the chunks that may be removed if they repeat."""
     rolls = with_lines(docs).withColumn("rolls", F.transform("marks", lambda x, i: rolled(F.col("marks"), i)))
 
     def lowest(r: Column, i: Column) -> Column:
@@ -74,55 +85,75 @@ def chunks(docs: DataFrame) -> DataFrame:
         return F.coalesce((r < beside[0]) & (r < beside[1]), F.lit(False))
 
     alone = lambda i: F.get(F.col("marks"), i)["p"] | F.coalesce(F.get(F.col("marks"), i + 1)["p"], F.lit(True))
-    ends = rolls.select(*KEY, "lines", "marks", F.filter(F.transform("rolls", lambda r, i: F.when(alone(i) | lowest(r, i), i)), lambda x: x.isNotNull()).alias("ends"))
+    ends = rolls.select(*KEY, "marks", F.filter(F.transform("rolls", lambda r, i: F.when(alone(i) | lowest(r, i), i)), lambda x: x.isNotNull()).alias("ends"))
     spans = F.transform("ends", lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(F.col("ends"), k - 1) + 1).alias("start"), e.alias("end")))
     eligible = F.filter(spans, lambda s: (s["end"] > s["start"]) | F.get(F.col("marks"), s["end"])["p"])
-    rows = ends.select(*KEY, "lines", F.explode(eligible).alias("s"))
-    rows = rows.select(*KEY, F.col("s.start").alias("start"), (F.col("s.end") - F.col("s.start") + 1).alias("n"), F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1), "\n").alias("chunk"))
-    return rows.where(F.length(F.trim(F.translate("chunk", "\n\t\r", "   "))) > 0)
+    rows = ends.select(*KEY, "marks", F.explode(eligible).alias("s")).select(*KEY, "marks", F.col("s.start").alias("start"), (F.col("s.end") - F.col("s.start") + 1).alias("n"))
+    rows = rows.where(F.exists(F.slice("marks", F.col("start") + 1, F.col("n")), lambda x: ~x["b"]))
+    return rows.select(*KEY, "start", "n", *span_hashes("marks", F.col("start"), F.col("n")))
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, start, n, chunk): the shortest runs of PASSAGE words or more."""
+    """(doc_id, digest, start, n, h1, h2): the shortest runs of PASSAGE words or more."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.split("text", "\n", -1).alias("lines"))
+    marks = F.transform("lines", lambda x: F.struct(F.hash(x).alias("h"), F.xxhash64(x).alias("g"))).alias("marks")
     owners = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, n_words(x))))  # the line of each word
-    words = lines.select(*KEY, "lines", owners.alias("owners")).where(F.size("owners") >= PASSAGE)
+    words = lines.select(*KEY, marks, owners.alias("owners")).where(F.size("owners") >= PASSAGE)
     at = lambda k: F.get(F.col("owners"), k)
     heads = F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda k: (k == 0) | (at(k) != at(k - 1)))
-    words = words.select(*KEY, "lines", "owners", heads.alias("heads"))
+    words = words.select(*KEY, "marks", "owners", heads.alias("heads"))
     run = lambda a, b: F.when((a >= 0) & (b < F.size("owners")), F.struct(at(a).alias("start"), (at(b) - at(a) + 1).alias("n")))
     ahead = F.transform("heads", lambda k: run(k, k + (PASSAGE - 1)))
     back = F.transform("heads", lambda k: run(k - PASSAGE, k - 1))  # ends before the line of this word
     last = F.array(run(F.size("owners") - PASSAGE, F.size("owners") - 1))
     runs = F.array_distinct(F.filter(F.concat(ahead, back, last), lambda r: r.isNotNull()))
-    rows = words.select(*KEY, "lines", F.explode(runs).alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.n").alias("n"), "lines")
-    return rows.select(*KEY, "start", "n", F.array_join(F.slice("lines", F.col("start") + 1, F.col("n")), "\n").alias("chunk"))
-
-
-def hashes() -> list[Column]:
-    return [F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2")]
+    rows = words.select(*KEY, "marks", F.explode(runs).alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.n").alias("n"), "marks")
+    return rows.select(*KEY, "start", "n", *span_hashes("marks", F.col("start"), F.col("n")))
 
 
-def repeated_spans(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, start, n) of the chunks to remove: equal to an earlier one.
+def repeats(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame, level: int) -> DataFrame:
+    """(doc_id, digest, start, n, h1, h2, parts, lead, skip, level) of a level's chunks whose hashes stand more than once.
 
-    Of a chunk that overlaps its own first occurrence only the lines after that go.
+    lead: it is the first one. skip: the lines of one that overlaps its own first occurrence. parts: over how many keys the copies are dealt.
     """
-    place = [*KEY, "start", "n"]
-    narrow = materialize(parts_of(docs).select(*place, *hashes()), "lines-chunks")
+    narrow = materialize(parts_of(docs), "lines-chunks")
     first = F.min(F.struct("doc_id", "start", "digest")).alias("first")
-    repeats = materialize(narrow.groupBy("h1", "h2").agg(F.count("*").alias("copies"), first).where("copies > 1"), "lines-repeats")
-    known = repeats.select("h1", "h2", "first", F.ceil(F.col("copies") / SPLIT).cast("int").alias("parts"))
-    if repeats.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    found = parts_of(docs).select(*place, "chunk", *hashes()).join(known, ["h1", "h2"])
+    known = materialize(narrow.groupBy("h1", "h2").agg(F.count("*").alias("copies"), first).where("copies > 1"), "lines-repeats")
+    places = known.select("h1", "h2", "first", F.ceil(F.col("copies") / SPLIT).cast("int").alias("parts"))
+    if known.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
     lead = F.struct("doc_id", "start", "digest").eqNullSafe(F.col("first"))
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest"))
     skip = F.when(own, F.greatest(F.lit(0), F.col("first.start") + F.col("n") - F.col("start"))).otherwise(0)
-    found = materialize(found.select(*place, "h1", "h2", "parts", "chunk", lead.alias("lead"), skip.alias("skip")), "lines-found")
+    return narrow.join(places, ["h1", "h2"]).select(*narrow.columns, "parts", lead.alias("lead"), skip.alias("skip"), F.lit(level).alias("level"))
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, name: str, bytes_each: Column) -> DataFrame:
+    """Rows of docs with a column of lists(doc_id, digest, name), null where there is none: lists are broadcast behind a sum of their bytes, else texts are shuffled to them."""
+    own = lists.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), name)
+    if (lists.agg(F.sum(bytes_each)).first()[0] or 0) <= BROADCAST_BYTES:
+        own = F.broadcast(own)
+    rows = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text")})
+    return rows.join(own, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_digest")), "left").drop("_id", "_doc", "_digest")
+
+
+def repeated_spans(levels: Callable[[DataFrame], DataFrame] | tuple[Callable[[DataFrame], DataFrame], ...], docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, start, n) of the chunks to remove: equal to an earlier one of their level.
+
+    Texts of chunks are made only where hashes repeat, in one pass over the documents that hold such chunks.
+    """
+    levels = levels if isinstance(levels, tuple) else (levels,)
+    hits = reduce(DataFrame.unionByName, [repeats(parts_of, docs, k) for k, parts_of in enumerate(levels)])
+    fields = ["start", "n", "h1", "h2", "parts", "lead", "skip", "level"]
+    held = materialize(hits.groupBy(*KEY).agg(F.collect_set(F.struct(*fields)).alias("_hits")), "lines-hits")  # of one document
+    texts = with_lists(docs.select("doc_id", "text"), held, "_hits", F.size("_hits") * 48 + 64).where("_hits IS NOT NULL")
+    each = texts.select("doc_id", F.col("_hash").alias("digest"), F.split("text", "\n", -1).alias("lines"), F.explode("_hits").alias("s")).select(*KEY, "lines", "s.*")
+    found = each.select(*KEY, *fields, F.array_join(F.slice("lines", F.col("start") + 1, F.col("n")), "\n").alias("chunk"))
+    found = materialize(found, "lines-found")
+    key = ["level", "h1", "h2"]
     later = found.where("NOT lead").withColumn("part", F.pmod(F.xxhash64(*KEY, "start"), F.col("parts")).cast("int"))
-    firsts = found.where("lead").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("chunk").alias("original"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pair = later.join(firsts, ["h1", "h2", "part"]).where(F.col("chunk") == F.col("original"))
+    firsts = found.where("lead").dropDuplicates(key).select(*key, F.col("chunk").alias("original"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pair = later.join(firsts, [*key, "part"]).where(F.col("chunk") == F.col("original"))
     return pair.select(*KEY, (F.col("start") + F.col("skip")).alias("start"), (F.col("n") - F.col("skip")).alias("n"))
 
 
@@ -132,15 +163,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Columns of docs that are already named so are replaced.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed_lines")]
-    spans = repeated_spans(chunks, docs).unionByName(repeated_spans(passages, docs))
-    spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
+    spans = repeated_spans((chunks, passages), docs).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
     gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    spans = materialize(spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), gone.alias("_gone")), "lines-gone")
-    if (spans.agg(F.sum(F.size("_gone") * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
-        spans = F.broadcast(spans)
-    rows = docs.select(*own, F.col("text").alias("_text"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_digest")), "left")
-    both = both.select(*own, "_text", "_gone", F.split("_text", "\n", -1).alias("_lines"))
+    spans = materialize(spans.select(*KEY, gone.alias("_gone")), "lines-gone")
+    both = with_lists(docs.select(*own, "text"), spans, "_gone", F.size("_gone") * 4 + 64)
+    both = both.select(*own, F.col("text").alias("_text"), "_gone", F.split("text", "\n", -1).alias("_lines"))
     numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(numbers, "_gone"), lambda i: F.get(F.col("_lines"), i))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
