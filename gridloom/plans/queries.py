@@ -301,10 +301,7 @@ def order_blocks(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {FOLD_SQL} SELECT block, fold FROM r WHERE i > 0")
 def kfold(spark, sf_dir):
-    rows = order_blocks(spark, sf_dir).limit(100_001).collect()  # a summary, as the sequential rule needs
-    if len(rows) > 100_000:
-        raise ValueError("folds are dealt over 100,000 blocks at most")
-    return spark.createDataFrame(patches.spatial_folds([(r.block, r.positive, r.size) for r in rows]), "block string, fold long")
+    return patches.assign_folds(order_blocks(spark, sf_dir))
 
 
 @query(f"""WITH {PATCH_SQL}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE contains_foreground) AS p FROM patch),

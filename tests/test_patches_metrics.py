@@ -256,3 +256,16 @@ def test_label_values_must_differ(spark):
     with pytest.raises(ValueError, match="shape"):
         algebra.merge_same(rows, 5, 9)
     assert sorted(tuple(r) for r in algebra.compose_last_wins(rows, [8, 6], 2, (1, 2)).select("y", "x", "v").collect()) == [(0, 0, 6), (0, 1, 2)]
+
+
+def test_folds_of_any_number_of_blocks(spark):
+    rng = random.Random(11)
+    for count, n in ((2, 9), (5, 300), (10, 1500)):
+        blocks = [(str(i), rng.random() < 0.3 or i < count, rng.choice([1, 1, 1, 2, 4, 7])) for i in range(n)]
+        found = patches.assign_folds(spark.createDataFrame(blocks, "block string, positive boolean, size long"), count).collect()
+        assert {r.block: r.fold for r in found} == dict(patches.spatial_folds(blocks, count))
+    few = spark.createDataFrame([("a", True, 1), ("b", False, 1)], "block string, positive boolean, size long")
+    with pytest.raises(ValueError, match="targets"):
+        patches.assign_folds(few, 2)
+    with pytest.raises(ValueError, match="2 to 10"):
+        patches.assign_folds(few, 11)
