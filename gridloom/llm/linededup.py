@@ -30,7 +30,7 @@ from gridloom.llm.common import materialize
 WINDOW, PASSAGE = 2, 50
 #: Repeated chunks of which hashes and places (six numbers) are broadcast at most; beyond, the join is shuffled, without texts, and a frequent chunk is split by AQE.
 BROADCAST_ROWS = 500_000
-#: Bytes of places of repeated chunks, and of removed line numbers, that are broadcast at most; beyond, texts are shuffled to them.
+#: Bytes of removed line numbers that are broadcast at most; beyond, texts are shuffled to them.
 BROADCAST_BYTES = 32 << 20
 #: Occurrences of one chunk that are compared in a task; more are dealt over several keys.
 SPLIT = 1000
@@ -128,26 +128,18 @@ def repeats(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame, level:
     return narrow.join(places, ["h1", "h2"]).select(*narrow.columns, "parts", lead.alias("lead"), skip.alias("skip"), F.lit(level).alias("level"))
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, name: str, bytes_each: Column) -> DataFrame:
-    """Rows of docs with a column of lists(doc_id, digest, name), null where there is none: lists are broadcast behind a sum of their bytes, else texts are shuffled to them."""
-    own = lists.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), name)
-    if (lists.agg(F.sum(bytes_each)).first()[0] or 0) <= BROADCAST_BYTES:
-        own = F.broadcast(own)
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text")})
-    return rows.join(own, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_digest")), "left").drop("_id", "_doc", "_digest")
-
-
 def repeated_spans(levels: Callable[[DataFrame], DataFrame] | tuple[Callable[[DataFrame], DataFrame], ...], docs: DataFrame) -> DataFrame:
     """(doc_id, digest, start, n) of the chunks to remove: equal to an earlier one of their level.
 
-    Texts of chunks are made only where hashes repeat, in one pass over the documents that hold such chunks.
+    Texts of chunks are made only where hashes repeat: texts meet the places of their repeated chunks in one shuffle.
     """
     levels = levels if isinstance(levels, tuple) else (levels,)
     hits = reduce(DataFrame.unionByName, [repeats(parts_of, docs, k) for k, parts_of in enumerate(levels)])
     fields = ["start", "n", "h1", "h2", "parts", "lead", "skip", "level"]
     held = materialize(hits.groupBy(*KEY).agg(F.collect_set(F.struct(*fields)).alias("_hits")), "lines-hits")  # of one document
-    texts = with_lists(docs.select("doc_id", "text"), held, "_hits", F.size("_hits") * 48 + 64).where("_hits IS NOT NULL")
-    each = texts.select("doc_id", F.col("_hash").alias("digest"), F.split("text", "\n", -1).alias("lines"), F.explode("_hits").alias("s")).select(*KEY, "lines", "s.*")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    texts = texts.join(held, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("digest")))
+    each = texts.select(*KEY, F.split("text", "\n", -1).alias("lines"), F.explode("_hits").alias("s")).select(*KEY, "lines", "s.*")
     found = each.select(*KEY, *fields, F.array_join(F.slice("lines", F.col("start") + 1, F.col("n")), "\n").alias("chunk"))
     found = materialize(found, "lines-found")
     key = ["level", "h1", "h2"]
@@ -165,9 +157,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed_lines")]
     spans = repeated_spans((chunks, passages), docs).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
     gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    spans = materialize(spans.select(*KEY, gone.alias("_gone")), "lines-gone")
-    both = with_lists(docs.select(*own, "text"), spans, "_gone", F.size("_gone") * 4 + 64)
-    both = both.select(*own, F.col("text").alias("_text"), "_gone", F.split("text", "\n", -1).alias("_lines"))
+    spans = materialize(spans.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), gone.alias("_gone")), "lines-gone")
+    if (spans.agg(F.sum(F.size("_gone") * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        spans = F.broadcast(spans)
+    rows = docs.select(*own, F.col("text").alias("_text"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_digest")), "left")
+    both = both.select(*own, "_text", "_gone", F.split("_text", "\n", -1).alias("_lines"))
     numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(numbers, "_gone"), lambda i: F.get(F.col("_lines"), i))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
