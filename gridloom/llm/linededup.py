@@ -52,7 +52,7 @@ def is_passage(line: Column) -> Column:
 
 
 def is_blank(line: Column) -> Column:
-    return F.length(F.trim(F.translate(line, "\t\r", "  "))) == 0
+    return ~F.rlike(line, F.lit(r"[^ \t\r]"))
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -70,12 +70,6 @@ def rolled(marks: Column, i: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), parts)
 
 
-def span_hashes(marks: str, start: Column, n: Column) -> list[Column]:
-    """Two hashes of a run of lines, from those of its lines."""
-    run = F.slice(marks, start + 1, n)
-    return [F.xxhash64(F.transform(run, lambda x: x["g"])).alias("h1"), F.xxhash64(F.transform(run, lambda x: x["h"])).alias("h2")]
-
-
 def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, start, n, h1, h2): the chunks that may be removed if they repeat."""
     rolls = with_lines(docs).withColumn("rolls", F.transform("marks", lambda x, i: rolled(F.col("marks"), i)))
@@ -88,27 +82,28 @@ def chunks(docs: DataFrame) -> DataFrame:
     ends = rolls.select(*KEY, "marks", F.filter(F.transform("rolls", lambda r, i: F.when(alone(i) | lowest(r, i), i)), lambda x: x.isNotNull()).alias("ends"))
     spans = F.transform("ends", lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(F.col("ends"), k - 1) + 1).alias("start"), e.alias("end")))
     eligible = F.filter(spans, lambda s: (s["end"] > s["start"]) | F.get(F.col("marks"), s["end"])["p"])
-    rows = ends.select(*KEY, "marks", F.explode(eligible).alias("s")).select(*KEY, "marks", F.col("s.start").alias("start"), (F.col("s.end") - F.col("s.start") + 1).alias("n"))
-    rows = rows.where(F.exists(F.slice("marks", F.col("start") + 1, F.col("n")), lambda x: ~x["b"]))
-    return rows.select(*KEY, "start", "n", *span_hashes("marks", F.col("start"), F.col("n")))
+    rows = ends.select(*KEY, "marks", F.explode(eligible).alias("s")).select(*KEY, F.col("s.start").alias("start"), (F.col("s.end") - F.col("s.start") + 1).alias("n"), "marks")
+    run = F.slice("marks", F.col("start") + 1, F.col("n"))
+    rows = rows.where(F.exists(run, lambda x: ~x["b"]))
+    return rows.select(*KEY, "start", "n", F.xxhash64(F.transform(run, lambda x: x["g"])).alias("h1"), F.xxhash64(F.transform(run, lambda x: x["h"])).alias("h2"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, start, n, h1, h2): the shortest runs of PASSAGE words or more."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.split("text", "\n", -1).alias("lines"))
-    marks = F.transform("lines", lambda x: F.struct(F.hash(x).alias("h"), F.xxhash64(x).alias("g"))).alias("marks")
+    hashes = [F.transform("lines", lambda x: F.xxhash64(x)).alias("gs"), F.transform("lines", lambda x: F.hash(x)).alias("hs")]
     owners = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, n_words(x))))  # the line of each word
-    words = lines.select(*KEY, marks, owners.alias("owners")).where(F.size("owners") >= PASSAGE)
+    words = lines.select(*KEY, *hashes, owners.alias("owners")).where(F.size("owners") >= PASSAGE)
     at = lambda k: F.get(F.col("owners"), k)
     heads = F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda k: (k == 0) | (at(k) != at(k - 1)))
-    words = words.select(*KEY, "marks", "owners", heads.alias("heads"))
+    words = words.select(*KEY, "gs", "hs", "owners", heads.alias("heads"))
     run = lambda a, b: F.when((a >= 0) & (b < F.size("owners")), F.struct(at(a).alias("start"), (at(b) - at(a) + 1).alias("n")))
     ahead = F.transform("heads", lambda k: run(k, k + (PASSAGE - 1)))
     back = F.transform("heads", lambda k: run(k - PASSAGE, k - 1))  # ends before the line of this word
     last = F.array(run(F.size("owners") - PASSAGE, F.size("owners") - 1))
     runs = F.array_distinct(F.filter(F.concat(ahead, back, last), lambda r: r.isNotNull()))
-    rows = words.select(*KEY, "marks", F.explode(runs).alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.n").alias("n"), "marks")
-    return rows.select(*KEY, "start", "n", *span_hashes("marks", F.col("start"), F.col("n")))
+    rows = words.select(*KEY, "gs", "hs", F.explode(runs).alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.n").alias("n"), "gs", "hs")
+    return rows.select(*KEY, "start", "n", *[F.xxhash64(F.slice(c, F.col("start") + 1, F.col("n"))).alias(h) for h, c in (("h1", "gs"), ("h2", "hs"))])
 
 
 def repeats(parts_of: Callable[[DataFrame], DataFrame], docs: DataFrame, level: int) -> DataFrame:
