@@ -104,13 +104,13 @@ def multilabel_loss(df: DataFrame, keys: list[str], channel: str = "channel") ->
 
 
 def class_loss(df: DataFrame, keys: list[str], pixel: list[str], smooth: float = 1.0) -> DataFrame:
-    """Cross entropy plus mean soft Dice over classes of (keys, pixel, class, p, t, valid): t is the true class, class 0 the background. A group without known pixels has the loss 0."""
+    """Cross entropy plus mean soft Dice over classes of (keys, pixel, class, p, t, valid): t is the true class, class 0 the background; with how many pixels are known. A group without any has the loss 0."""
     hit = (F.col("class") == F.col("t")).cast("int")
     per = loss_sums(df.withColumn("t", hit), [*keys, "class"])
     dice = (2 * F.col("both") + smooth) / (F.col("p_area") + F.col("t_area") + smooth)
     known = df.where((F.col("valid") > 0) & (F.col("class") == F.col("t")))
-    entropy = known.groupBy(*keys).agg(F.avg(-F.log(F.least(F.greatest("p", F.lit(1e-7)), F.lit(1.0)))).alias("_ce"))
-    return per.where("class > 0").groupBy(*keys).agg(F.avg(dice).alias("_dice")).join(entropy, keys, "left").select(*keys, (F.coalesce("_ce", F.lit(0.0)) + 1 - F.col("_dice")).alias("loss"))
+    entropy = known.groupBy(*keys).agg(F.avg(-F.log(F.least(F.greatest("p", F.lit(1e-7)), F.lit(1.0)))).alias("_ce"), F.count("*").alias("_known"))
+    return per.where("class > 0").groupBy(*keys).agg(F.avg(dice).alias("_dice")).join(entropy, keys, "left").select(*keys, (F.coalesce("_ce", F.lit(0.0)) + 1 - F.col("_dice")).alias("loss"), F.coalesce("_known", F.lit(0)).alias("pixels"))
 
 
 def full_validation(pred: DataFrame, truth: DataFrame, patches: DataFrame, valid: DataFrame, size: int) -> DataFrame:
