@@ -28,7 +28,10 @@ an AS (SELECT block, y, x, row_number() OVER (PARTITION BY block ORDER BY md5('7
 @query(f"WITH RECURSIVE {ANCHORS_SQL} SELECT block, y, x, rank::INTEGER AS rank, seen FROM an")
 def crop_block_anchors(spark, sf_dir):
     """One middle pixel for each piece of foreground, sixteen a block: a large piece has one chance as a small one has."""
-    return crops.anchors(cluster_mask(spark, sf_dir), *CLUSTER_SHAPE, *crops.block_counts(*CLUSTER_SHAPE, CROP, BLOCK), "7", SCAN_TILE).drop("ticket")
+    mask = cluster_mask(spark, sf_dir)
+    last = mask.agg(F.max("y")).first()[0] or 0
+    shape = max(CLUSTER_SHAPE[0], (last // BLOCK + 1) * BLOCK), CLUSTER_SHAPE[1]  # whole blocks around all users
+    return crops.anchors(mask, *shape, *crops.block_counts(*shape, CROP, BLOCK), "7", SCAN_TILE).drop("ticket")
 
 
 def draw_sql(what: str) -> str:

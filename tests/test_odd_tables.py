@@ -46,3 +46,8 @@ def test_class_loss_leaves_out_patches_known_nowhere(spark, tmp_path):
 def test_multilabel_loss_leaves_out_patches_known_nowhere(spark, tmp_path):
     rows = same_rows(spark, tmp_path, "multilabel_loss", orders=[order(1, 7), order(3, 7, "O"), order(2, 8), order(5, 8), order(15, 8)] + [order(5 * k, 9) for k in range(4)])
     assert [r[2] for r in rows] == [7]
+
+
+def test_crop_block_anchors_of_more_users_than_a_fixed_plane_holds(spark, tmp_path):
+    rows = same_rows(spark, tmp_path, "crop_block_anchors", events=[event(u, d) for u in (0, 3, 150, 151, 1499, 30, 1501) for d in (0, 1, 33, 61)])
+    assert max(r[0] for r in rows) >= 180
