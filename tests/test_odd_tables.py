@@ -51,3 +51,8 @@ def test_multilabel_loss_leaves_out_patches_known_nowhere(spark, tmp_path):
 def test_crop_block_anchors_of_more_users_than_a_fixed_plane_holds(spark, tmp_path):
     rows = same_rows(spark, tmp_path, "crop_block_anchors", events=[event(u, d) for u in (0, 3, 150, 151, 1499, 30, 1501) for d in (0, 1, 33, 61)])
     assert max(r[0] for r in rows) >= 180
+
+
+def test_patch_index_without_foreground_has_no_count_of_classes(spark, tmp_path):
+    rows = same_rows(spark, tmp_path, "patch_index", lineitem=[line(5, 3), line(25, 4, "N"), line(300, 30, "R"), line(310, 30, "N"), line(900, 2, "A", "O")])
+    assert {r[1] for r in rows} == {1, None}
