@@ -269,3 +269,16 @@ def test_folds_of_any_number_of_blocks(spark):
         patches.assign_folds(few, 2)
     with pytest.raises(ValueError, match="2 to 10"):
         patches.assign_folds(few, 11)
+
+
+def test_split_of_any_number_of_blocks(spark):
+    rng = random.Random(5)
+    rows = [(f"{i}:{i % 7}", rng.random() < 0.4, rng.random() < 0.3) for i in range(900)]
+    blocks = spark.createDataFrame(rows, "block string, positive boolean, forbidden boolean")
+    found = patches.holdout(blocks, 0.2, "7")
+    held = set()
+    for kind, most in ((True, max(1, int(sum(p for _, p, _ in rows) * 0.2))), (False, int(sum(not p and not f for _, p, f in rows) * 0.2))):
+        free = [b for b, p, f in rows if p == kind and not f]
+        held |= set(sorted(free, key=lambda b: hashlib.md5(f"7:{b}".encode()).hexdigest())[:most])
+    assert {r.block for r in found.collect() if r.split == "validation"} == held and found.count() == 900
+    assert "windowspecdefinition(positive" not in found._jdf.queryExecution().toString()  # no task holds all blocks of a kind
