@@ -120,8 +120,10 @@ def spread(patches: DataFrame, seed: str, keys: tuple[str, ...], source: str = "
     """Patches with ``turn`` from 1: sources take turns, in each its blocks do, and in each block its patches, all in keyed orders."""
     rank = lambda part, *order: F.row_number().over(W.partitionBy(*part).orderBy(*order))
     in_block = patches.withColumn("_b", rank([source, "block"], keyed_order(seed, *keys)))
-    in_source = in_block.withColumn("_s", rank([source], "_b", keyed_order(seed, source, "block")))
-    return number_rows(in_source.withColumn("_o", keyed_order(seed, source)), ["_s", "_o"], "turn").drop("_b", "_s", "_o")
+    numbered = number_rows(in_block.withColumn("_k", keyed_order(seed, source, "block")), [source, "_b", "_k"], "_n")  # a source may hold most patches
+    first = numbered.groupBy(F.col(source).alias("_of")).agg(F.min("_n").alias("_first"))
+    in_source = numbered.join(first, F.col(source).eqNullSafe(F.col("_of"))).withColumn("_s", F.col("_n") - F.col("_first"))
+    return number_rows(in_source.drop("_of", "_first", "_n").withColumn("_o", keyed_order(seed, source)), ["_s", "_o"], "turn").drop("_b", "_k", "_s", "_o")
 
 
 def trial_validation(patches: DataFrame, percentage: float, seed: str, keys: tuple[str, ...]) -> DataFrame:

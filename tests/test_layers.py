@@ -1,3 +1,4 @@
+import hashlib
 import json
 import threading
 
@@ -331,3 +332,19 @@ def test_cells_of_any_grid_like_pixels(spark):
     for (row, col), flags in got.items():
         cell = held[row * 7 : row * 7 + 7, col * 3 : col * 3 + 3]
         assert flags == (cell.all(), cell.any())
+
+
+def test_spread_holds_no_source_in_one_task(spark):
+    rows = [(k, f"s{k % 2}" if k % 9 else None, str(k % 23)) for k in range(300)]
+    table = spark.createDataFrame(rows, "k long, source string, block string")
+    found = dataset.spread(table, "3", ("k",))
+    md5 = lambda *parts: hashlib.md5(":".join(map(str, (p for p in parts if p is not None))).encode()).hexdigest()
+    turns, by_block = [], {}
+    for k, s, b in sorted(rows, key=lambda r: md5(3, r[0])):
+        by_block.setdefault((s, b), []).append(k)
+    for source in {s for _, s, _ in rows}:
+        own = sorted((i, md5(3, source, b), k) for (s, b), ks in by_block.items() if s == source for i, k in enumerate(ks))
+        turns += [(n, md5(3, source), k) for n, (_, _, k) in enumerate(own)]
+    assert [r.k for r in found.orderBy("turn").collect()] == [k for *_, k in sorted(turns)]
+    assert "windowspecdefinition(source#" not in found._jdf.queryExecution().toString()
+    assert [r.turn for r in found.orderBy("turn").collect()] == list(range(1, 301))
