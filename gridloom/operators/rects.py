@@ -79,6 +79,18 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
     return pairs.where(hit & meets).drop("_level", "_y", "_x", "_size", "_l_level", "_r_level")
 
 
+def _runs(free: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Disjoint boxes of the free fields between edges: runs of free columns, as long as the rows below have the same."""
+    open_, out = {}, []
+    for r in range(len(ys)):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], free[r].astype(np.int8) if r < len(free) else np.zeros(len(xs) - 1, np.int8), [0]])))
+        runs = {(int(xs[i]), int(xs[j])) for i, j in zip(edges[::2], edges[1::2])}
+        out += [(open_.pop(k), k[0], int(ys[r]), k[1]) for k in [*open_] if k not in runs]
+        for k in runs:
+            open_.setdefault(k, int(ys[r]))
+    return out
+
+
 def _pieces(bucket: int) -> Callable[[pa.Table], pa.Table]:
     """Disjoint rectangles of a bucket's part of an area outside its cuts: runs of open columns, as long as the rows below have the same."""
 
@@ -95,13 +107,7 @@ def _pieces(bucket: int) -> Callable[[pa.Table], pa.Table]:
         for at, sign in (((a, c), 1), ((b, d), 1), ((a, d), -1), ((b, c), -1)):
             np.add.at(change, at, sign)
         free = change.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] == 0
-        open_, out = {}, []
-        for r in range(len(ys)):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], free[r].astype(np.int8) if r < len(free) else np.zeros(len(xs) - 1, np.int8), [0]])))
-            runs = {(int(xs[i]), int(xs[j])) for i, j in zip(edges[::2], edges[1::2])}
-            out += [(open_.pop(k), k[0], int(ys[r]), k[1]) for k in [*open_] if k not in runs]
-            for k in runs:
-                open_.setdefault(k, int(ys[r]))
+        out = _runs(free, ys, xs)
         return pa.table({"rect_id": pa.array([area] * len(out), pa.int64()), **{c: pa.array([p[i] for p in out], pa.int64()) for i, c in enumerate(BOX)}})
 
     return apply
@@ -120,6 +126,57 @@ def areas_less_cuts(areas: DataFrame, cuts: DataFrame, bucket: int) -> DataFrame
     return both.groupBy("rect_id", "row", "col").applyInArrow(_pieces(bucket), "rect_id long, y0 long, x0 long, y1 long, x1 long")
 
 
+#: Rectangles of a cell that one task lays over each other.
+LAYERS = 50_000
+
+
+def _visible(whole: bool) -> Callable[[pa.Table], pa.Table]:
+    """The rectangles of a cell that are seen somewhere outside those of a smaller rank, whole or as disjoint pieces."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        rank, y0, x0, y1, x1 = (table.column(c).to_numpy() for c in ("rank", *BOX))
+        ys, xs = np.unique(np.concatenate([y0, y1])), np.unique(np.concatenate([x0, x1]))
+        a, b, c, d = (np.searchsorted(s, v).tolist() for s, v in ((ys, y0), (ys, y1), (xs, x0), (xs, x1)))
+        hidden = np.zeros((len(ys) - 1, len(xs) - 1), bool)
+        order = np.argsort(rank, kind="stable")
+        kept, boxes = [], []
+        for same in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1):  # equal ranks don't hide each other
+            same = same.tolist()
+            for k in same:
+                free = ~hidden[a[k] : b[k], c[k] : d[k]]
+                if free.any():
+                    found = [(y0[k], x0[k], y1[k], x1[k])] if whole else _runs(free, ys[a[k] : b[k] + 1], xs[c[k] : d[k] + 1])
+                    kept += [k] * len(found)
+                    boxes += found
+            for k in same:
+                hidden[a[k] : b[k], c[k] : d[k]] = True
+            if hidden.all():
+                break
+        out = table.select([n for n in table.column_names if n not in BOX]).take(pa.array(kept, pa.int64()))
+        for i, n in enumerate(BOX):
+            out = out.append_column(n, pa.array([box_[i] for box_ in boxes], pa.int64()))
+        return out.select(table.column_names)
+
+    return apply
+
+
+def uppermost(rects: DataFrame, bucket: int) -> DataFrame:
+    """(region_id, box): disjoint pieces of rectangles (region_id, rank, box) outside all those of a smaller rank, none beyond a cell of ``bucket`` pixels.
+
+    A cell's rectangles are dealt to tasks of about LAYERS; what stays hidden there is hidden, and what is left, in number at most the cell's
+    pixels for each task, is laid over each other once more. No pairs of rectangles are made, however many overlap.
+    """
+    given = rects.select("region_id", F.col("rank").cast("long").alias("rank"), *[F.col(c).cast("long").alias(c) for c in BOX])
+    cells = touched_cells(given, bucket)
+    here = [F.greatest(f"{c}0", F.col(g) * bucket).alias(f"{c}0") for c, g in (("y", "row"), ("x", "col"))] + [F.least(f"{c}1", (F.col(g) + 1) * bucket).alias(f"{c}1") for c, g in (("y", "row"), ("x", "col"))]
+    cells = cells.select("region_id", "rank", "row", "col", *here)
+    parts = cells.groupBy("row", "col").agg(F.ceil(F.count("*") / LAYERS).alias("parts"))
+    dealt = cells.join(parts, ["row", "col"]).withColumn("part", F.pmod(F.xxhash64("region_id"), F.col("parts")))
+    dealt = dealt.select("region_id", "rank", "row", "col", "part", *BOX)
+    some = dealt.groupBy("row", "col", "part").applyInArrow(_visible(True), dealt.schema)
+    return some.groupBy("row", "col").applyInArrow(_visible(False), dealt.schema).select("region_id", *BOX)
+
+
 def grid_cells(spark, height: int, width: int, step_y: int, step_x: int) -> DataFrame:
     """(row, col, y0, x0, y1, x1) of every cell, clipped at the edge."""
     rows, cols = -(-height // step_y), -(-width // step_x)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.rects import BOX, cell_coverage, covered, overlap_join, overlaps, subtract_all
+from gridloom.operators.rects import BOX, areas_less_cuts, cell_coverage, overlap_join, overlaps, subtract_all, touched_cells, uppermost
+from gridloom.plans.shared import materialize
 
 RECTS = "array<struct<y0:bigint,x0:bigint,y1:bigint,x1:bigint>>"
 
@@ -100,13 +101,15 @@ def restrict_to(valid: DataFrame, regions: DataFrame, bucket: int = 512) -> Data
 def display_regions(regions: DataFrame, areas: DataFrame, bucket: int) -> DataFrame:
     """(region_id, ready, box) of what is drawn of regions (region_id, rank, box): each without those of a smaller rank.
 
-    Ranks put the active batch first, then newer batches before older ones. A region is ready if areas cover it.
+    Ranks put the active batch first, then newer batches before older ones. A region is ready if areas cover it. Both are decided in
+    cells of ``bucket`` pixels, so the work grows with the regions and areas, not with the pairs that overlap.
     """
-    box = F.struct(*[F.col(c).cast("long").alias(c) for c in BOX])
-    other = lambda: F.collect_set(F.struct(*[F.col(f"r_{c}").cast("long").alias(c) for c in BOX]))
-    over = overlap_join(regions, regions.select("rank", *BOX), bucket).where("r_rank < l_rank").groupBy("l_region_id").agg(other().alias("above"))
-    done = overlap_join(regions, areas.select(*BOX), bucket).groupBy("l_region_id").agg(other().alias("areas"))
-    own = regions.join(over.withColumnRenamed("l_region_id", "region_id"), "region_id", "left").join(done.withColumnRenamed("l_region_id", "region_id"), "region_id", "left")
-    none = F.array().cast(RECTS)
-    pieces = subtract_all(F.array(box), F.coalesce("above", none))
-    return own.select("region_id", covered(box, F.coalesce("areas", none)).alias("ready"), F.explode(pieces).alias("p")).select("region_id", "ready", "p.*")
+    drawn = materialize(uppermost(regions, bucket), "drawn-regions")
+    shown = regions.select("region_id", *[F.col(c).cast("long").alias(c) for c in BOX]).join(drawn.select("region_id").distinct(), "region_id", "left_semi")
+    parts = touched_cells(shown, bucket).select("region_id", "row", "col", *[F.col(c).alias(f"_{c}") for c in BOX])
+    cell = [(F.col("row") * bucket).alias("y0"), (F.col("col") * bucket).alias("x0"), ((F.col("row") + 1) * bucket).alias("y1"), ((F.col("col") + 1) * bucket).alias("x1")]
+    cells = parts.select("row", "col").distinct().select(F.xxhash64("row", "col").alias("rect_id"), *cell)
+    gaps = areas_less_cuts(cells, areas.select(*BOX).distinct(), bucket).withColumns({"row": F.floor(F.col("y0") / bucket), "col": F.floor(F.col("x0") / bucket)})
+    meets = (F.col("_y0") < F.col("y1")) & (F.col("y0") < F.col("_y1")) & (F.col("_x0") < F.col("x1")) & (F.col("x0") < F.col("_x1"))
+    open_ = parts.join(gaps.select("row", "col", *BOX), ["row", "col"]).where(meets).select("region_id").distinct().withColumn("_open", F.lit(True))
+    return drawn.join(open_, "region_id", "left").select("region_id", F.col("_open").isNull().alias("ready"), *BOX)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import threading
 
 import numpy as np
@@ -348,3 +349,26 @@ def test_spread_holds_no_source_in_one_task(spark):
     assert [r.k for r in found.orderBy("turn").collect()] == [k for *_, k in sorted(turns)]
     assert "windowspecdefinition(source#" not in found._jdf.queryExecution().toString()
     assert [r.turn for r in found.orderBy("turn").collect()] == list(range(1, 301))
+
+
+def test_regions_drawn_over_each_other_as_pixels(spark, monkeypatch):
+    monkeypatch.setattr(rects, "LAYERS", 20)  # several tasks a cell
+    rng = random.Random(3)
+    boxes = lambda n, most: [(y, x, y + rng.randrange(most), x + rng.randrange(1, most)) for y, x in ((rng.randrange(-9, 60), rng.randrange(-9, 60)) for _ in range(n))]
+    given = [(k, rng.randrange(60), *b) for k, b in enumerate(boxes(150, 25))]
+    held = boxes(30, 22)
+    drawn = review.display_regions(spark.createDataFrame(given, "region_id long, rank int, y0 int, x0 int, y1 int, x1 int"), spark.createDataFrame(held, "y0 int, x0 int, y1 int, x1 int"), 16)
+    assert "collect_set" not in drawn._jdf.queryExecution().toString()  # no row holds all that lie above a region
+    pixels = lambda b: {(y, x) for y in range(b[0], b[2]) for x in range(b[1], b[3])}
+    covered = set().union(*map(pixels, held))
+    wanted, got = {}, {}
+    for k, rank, *b in given:
+        left = pixels(b) - set().union(*(pixels(o) for _, r, *o in given if r < rank))
+        if left:
+            wanted[k] = left, pixels(b) <= covered
+    for r in drawn.collect():
+        seen, ready = got.setdefault(r.region_id, (set(), r.ready))
+        new = pixels((r.y0, r.x0, r.y1, r.x1))
+        assert new and not seen & new and ready == r.ready
+        seen |= new
+    assert got == wanted and {r for _, r in wanted.values()} == {False, True}
