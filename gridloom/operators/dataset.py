@@ -206,36 +206,55 @@ def model_patch(image: np.ndarray, labels: np.ndarray, valid: np.ndarray, size:
 def read_patches(pixels: DataFrame, mask: DataFrame, reviewed: DataFrame, indexed: DataFrame, size: int, side: int, classes: int | None = None) -> DataFrame:
     """(py, px, x, y, valid) as rows of float arrays of the indexed patches (py, px, box, reviewed_pixels, foreground_pixels).
 
-    A call holds TASK_SIDE x TASK_SIDE pixels of patches, one patch at least. A patch whose counts of reviewed pixels and foreground aren't those of the index any more fails the query.
+    A call holds TASK_SIDE x TASK_SIDE pixels of patches, one patch at least; pixels, labels and reviewed places meet there in one shuffle. A patch whose counts of reviewed pixels and foreground aren't those of the index any more fails the query.
     """
     columns = ["py", "px", "y0", "x0", "y1", "x1", "reviewed_pixels", "foreground_pixels"]
     wanted = indexed.select(*columns)
-    truth = mask.where("v <> 0").select("y", "x", "v")
-    known = reviewed.select("y", "x", F.lit(True).alias("known")).distinct()
-    tiles = pixels.select("y", "x", "value").withColumn("py", tile("y", size)).withColumn("px", tile("x", size)).join(wanted, ["py", "px"])
-    tiles = tiles.join(truth, ["y", "x"], "left").join(known, ["y", "x"], "left").select(*columns, "y", "x", "value", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("known", F.lit(False)).alias("known"))
-
-    def read(table: pa.Table) -> pa.Table:
-        held = {c: table.column(c).to_numpy() for c in (*columns, "y", "x", "value", "v", "known")}
-        order = np.lexsort((held["px"], held["py"]))
-        held = {c: a[order] for c, a in held.items()}
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(held["py"]) != 0) | (np.diff(held["px"]) != 0), [True]]))
+    at = [F.col(c).cast("long").alias(c) for c in "yx"]
+    rows_of = lambda df, kind, value=F.lit(0.0), v=F.lit(0): df.select(*at, value.cast("double").alias("value"), v.cast("long").alias("v"), F.lit(kind).alias("kind"))
+    given = rows_of(pixels, 0, value=F.col("value")).unionByName(rows_of(mask.where("v <> 0"), 1, v=F.col("v"))).unionByName(rows_of(reviewed, 2))
+
+    def read(heads: pa.Table, table: pa.Table) -> pa.Table:
+        head = {c: heads.column(c).to_numpy() for c in columns}
+        order = np.lexsort((head["px"], head["py"]))
+        head = {c: a[order] for c, a in head.items()}
+        held = {c: table.column(c).to_numpy() for c in ("y", "x", "value", "v", "kind")}
+        py, px = held["y"] // size, held["x"] // size
+        # the patch of each row, by its place among the group's
+        first = (py.min(initial=0), px.min(initial=0), px.max(initial=0) + 1)
+        if len(order):
+            first = (min(first[0], head["py"].min()), min(first[1], head["px"].min()), max(first[2], head["px"].max() + 1))
+        number = lambda a, b: (a - first[0]) * (first[2] - first[1]) + b - first[1]
+        keys, own = number(head["py"], head["px"]), number(py, px)
+        row = np.searchsorted(keys, own)
+        there = np.flatnonzero(np.append(keys, -1)[row] == own)
+        there = there[np.argsort(row[there], kind="stable")]
+        ends = np.searchsorted(row[there], np.arange(len(keys) + 1))
         rows = []
-        for a, b in zip(edge, edge[1:]):
-            head = {c: int(held[c][a]) for c in columns}
-            shape = head["y1"] - head["y0"], head["x1"] - head["x0"]
-            at = held["y"][a:b] - head["y0"], held["x"][a:b] - head["x0"]
-            image, labels, valid = np.full(shape, np.nan), np.zeros(shape, np.int64), np.zeros(shape, bool)
-            image[at], labels[at], valid[at] = held["value"][a:b], held["v"][a:b], held["known"][a:b]
-            if valid.sum() != head["reviewed_pixels"] or (valid & (labels != 0)).sum() != head["foreground_pixels"]:
+        for k, (a, b) in enumerate(zip(ends, ends[1:])):
+            one = {c: int(head[c][k]) for c in columns}
+            shape = one["y1"] - one["y0"], one["x1"] - one["x0"]
+            part = there[a:b]
+            y, x, kind = held["y"][part] - one["y0"], held["x"][part] - one["x0"], held["kind"][part]
+            image, labels, valid, seen = np.full(shape, np.nan), np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
+            pixel, inside = kind == 0, (y < shape[0]) & (x < shape[1])
+            if not pixel.any():
+                continue
+            image[y[pixel], x[pixel]], seen[y[pixel], x[pixel]] = held["value"][part][pixel], True
+            label, known = (kind == 1) & inside, (kind == 2) & inside
+            labels[y[label], x[label]], valid[y[known], x[known]] = held["v"][part][label], True
+            labels[~seen], valid[~seen] = 0, False
+            if valid.sum() != one["reviewed_pixels"] or (valid & (labels != 0)).sum() != one["foreground_pixels"]:
                 raise ValueError("annotations changed after indexing; prepare the dataset again")
-            rows.append((head["py"], head["px"], *(t.ravel() for t in model_patch(image, labels, valid, size, side, classes))))
+            rows.append((one["py"], one["px"], *(t.ravel() for t in model_patch(image, labels, valid, size, side, classes))))
         kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.float32())] * 3]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["py", "px", "x", "y", "valid"])
 
     together = max(1, TASK_SIDE // size)  # small patches share a task's call
-    keys = [F.floor(F.col(c) / together).alias(f"g{c}") for c in ("py", "px")]
-    return tiles.groupBy(*keys).applyInArrow(read, "py long, px long, x array<float>, y array<float>, valid array<float>")
+    group = lambda c, n: F.floor(F.floor(F.col(c) / n) / together).cast("long")
+    left = wanted.groupBy(group("py", 1).alias("gy"), group("px", 1).alias("gx"))
+    right = given.groupBy(group("y", size).alias("gy"), group("x", size).alias("gx"))
+    return left.cogroup(right).applyInArrow(read, "py long, px long, x array<float>, y array<float>, valid array<float>")
 
 
 def read_channels(parts: list[DataFrame], side: int) -> DataFrame:

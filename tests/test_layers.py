@@ -372,3 +372,13 @@ def test_regions_drawn_over_each_other_as_pixels(spark, monkeypatch):
         assert new and not seen & new and ready == r.ready
         seen |= new
     assert got == wanted and {r for _, r in wanted.values()} == {False, True}
+
+
+def test_read_patches_makes_and_shuffles_no_whole_image(spark, tmp_path):
+    """Two patches at far ends of an image of 10 ** 12 pixels."""
+    from gridloom.plans.more_queries import q
+
+    lines = [(p, s, "A" if p % 2 else "N", "F") for p, s in ((3, 1), (25, 2), (20_000_001, 1_000_000), (20_000_030, 999_999))]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.py, r.px): (r.y, r.valid) for r in q.QUERIES["read_patches"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): (2.0, 2.0), (250_000, 250_000): (1.0, 1.0), (250_000, 249_999): (0.0, 1.0)}
