@@ -20,12 +20,18 @@ def register_scorer(name: str, scorer: Callable[[np.ndarray], np.ndarray]) -> No
     SCORERS[name] = scorer
 
 
-def tile_starts(size: int, tile: int, low: int = 0, high: int | None = None) -> list[int]:
-    """Starts of tiles that cover low to high on an axis, at three quarters of a tile, the last one moved back to the edge; a tile is no longer than the axis."""
-    high, tile = size if high is None else high, min(tile, size)
+def tile_range(size: int, tile: int, low: int, high: int) -> tuple[range, int]:
+    """Starts of all tiles but the last, and of the last one."""
+    tile = min(tile, size)
     first = min(low, size - tile)
     last = max(first, min(high - tile, size - tile))
-    return sorted({*range(first, last, max(1, tile * 3 // 4)), first, last})
+    return range(first, last, max(1, tile * 3 // 4)), last
+
+
+def tile_starts(size: int, tile: int, low: int = 0, high: int | None = None) -> list[int]:
+    """Starts of tiles that cover low to high on an axis, at three quarters of a tile, the last one moved back to the edge; a tile is no longer than the axis."""
+    regular, last = tile_range(size, tile, low, size if high is None else high)
+    return [*regular, last]
 
 
 def ramp(at: Column, tile: int) -> Column:
@@ -38,8 +44,14 @@ def tiles_of(pixels: DataFrame, height: int, width: int, tile: int, bounds: tupl
     y0, x0, y1, x1 = bounds or (0, 0, height, width)
 
     def corners(c: str, size: int, low: int, high: int) -> Column:
-        starts = F.array(*[F.lit(s).cast("long") for s in tile_starts(size, tile, low, high)])
-        return F.explode(F.filter(starts, lambda s: (s <= F.col(c)) & (F.col(c) < s + tile))).alias(f"t{c}")
+        regular, last = tile_range(size, tile, low, high)
+        at, none = F.col(c).cast("long"), F.array().cast("array<bigint>")
+        # places of the two or three regular tiles around a pixel, however long the axis
+        a = F.greatest(F.ceil((at - tile + 1 - regular.start) / regular.step), F.lit(0)).cast("long")
+        b = F.least(F.floor((at - regular.start) / regular.step), F.lit(len(regular) - 1)).cast("long")
+        around = F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda k: k * regular.step + regular.start)).otherwise(none)
+        end = F.when((at >= last) & (at < last + tile), F.array(F.lit(last).cast("long"))).otherwise(none)
+        return F.explode(F.concat(around, end)).alias(f"t{c}")
 
     picks = [corners("y", height, y0, y1), corners("x", width, x0, x1)]
     return pixels.select("y", "x", "value", picks[0]).select("y", "x", "value", "ty", picks[1])

@@ -282,3 +282,16 @@ def test_split_of_any_number_of_blocks(spark):
         held |= set(sorted(free, key=lambda b: hashlib.md5(f"7:{b}".encode()).hexdigest())[:most])
     assert {r.block for r in found.collect() if r.split == "validation"} == held and found.count() == 900
     assert "windowspecdefinition(positive" not in found._jdf.queryExecution().toString()  # no task holds all blocks of a kind
+
+
+def test_tiles_of_a_long_axis(spark):
+    """A pixel's tiles come from its place, not from a list of all starts."""
+    rng = random.Random(2)
+    for height, tile, bounds in ((3, 5, None), (48, 48, None), (100, 48, None), (145, 48, (7, 0, 131, 1)), (1000, 1, None), (997, 30, (13, 0, 600, 1))):
+        low, high = (0, height) if bounds is None else (bounds[0], bounds[2])
+        pixels = spark.createDataFrame([(y, 0, 1.0) for y in range(height)], "y long, x long, value double")
+        side = min(tile, height)
+        got = sorted((r.y, r.ty) for r in stitch.tiles_of(pixels, height, side, side, None if bounds is None else (*bounds[:3], side)).collect())
+        assert got == sorted((y, s) for s in stitch.tile_starts(height, side, low, high) for y in range(s, s + side))
+    plan = stitch.tiles_of(spark.range(1).selectExpr("id AS y", "id AS x", "1.0D AS value"), 10**7, 48, 48)._jdf.queryExecution().toString()
+    assert len(plan) < 20_000
