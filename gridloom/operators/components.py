@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.numbering import number_rows
 from gridloom.operators.graph import connected_components, roots
-from gridloom.plans.shared import materialize
+from gridloom.plans.shared import few, materialize
 
 #: Positions are y * STRIDE + x.
 STRIDE = 1 << 32
@@ -57,8 +57,8 @@ def label_pixels(mask: DataFrame, tile: int = TILE) -> DataFrame:
         before = side(tile - 1).select((F.col(c) + 1).alias(c), o, "v", F.col("component").alias("u"))
         met = before.join(side(0).select(c, o, "v", F.col("component").alias("w")), ["y", "x", "v"]).select("u", "w").distinct()
         seams = met if seams is None else seams.unionByName(met)
-    moved = connected_components(seams, "u", "w").where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("_root"))
-    return pixels.join(moved, "component", "left").select("y", "x", "v", F.coalesce("_root", "component").alias("component"))
+    moved = materialize(connected_components(seams, "u", "w").where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("_root")), "component-moved")
+    return pixels.join(few(moved), "component", "left").select("y", "x", "v", F.coalesce("_root", "component").alias("component"))
 
 
 def measure(pixels: DataFrame) -> DataFrame:
@@ -135,10 +135,28 @@ def copy_components(pixels: DataFrame, ids: DataFrame, target: DataFrame, dy: in
     return target.join(source, ["y", "x"], "full").select("y", "x", F.coalesce("source_v", "v").alias("v"))
 
 
+def _row_digest() -> Column:
+    return F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("x")), lambda x: x.cast("string"))), 256)
+
+
+def _digest_of_rows() -> Column:
+    return F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("y", "d"))), lambda s: F.concat_ws(":", s["y"].cast("string"), s["d"]))), 256)
+
+
 def fingerprints(pixels: DataFrame) -> DataFrame:
     """(component, fingerprint): digest of the footprint, by rows of digests so that no component is held whole."""
-    rows = pixels.groupBy("component", "y").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("x")), lambda x: x.cast("string"))), 256).alias("d"))
-    return rows.groupBy("component").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("y", "d"))), lambda s: F.concat_ws(":", s["y"].cast("string"), s["d"]))), 256).alias("fingerprint"))
+    rows = pixels.groupBy("component", "y").agg(_row_digest().alias("d"))
+    return rows.groupBy("component").agg(_digest_of_rows().alias("fingerprint"))
+
+
+def footprints(pixels: DataFrame) -> DataFrame:
+    """measure() with the fingerprint, both from the rows of each component: pixels that lie together by component are dealt no more."""
+    rows = pixels.groupBy("component", "y").agg(F.min("v").alias("v"), F.count("*").alias("n"), F.sum("x").alias("s"), F.min("x").alias("x0"), F.max("x").alias("x1"), _row_digest().alias("d"))
+    return rows.groupBy("component").agg(
+        F.min("v").alias("label_value"), F.sum("n").alias("area"),
+        (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("centroid_y"), (F.sum("s") / F.sum("n")).alias("centroid_x"),
+        F.min("y").alias("bbox_y0"), F.min("x0").alias("bbox_x0"), (F.max("y") + 1).alias("bbox_y1"), (F.max("x1") + 1).alias("bbox_x1"), _digest_of_rows().alias("fingerprint"),
+    )
 
 
 KEY = ["label_value", "area", "bbox_y0", "bbox_x0", "bbox_y1", "bbox_x1"]
