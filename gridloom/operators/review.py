@@ -41,6 +41,21 @@ def review_states(events: DataFrame) -> DataFrame:
     return ordered.select("mask", F.aggregate("events", empty, _after).alias("s")).select("mask", "s.*")
 
 
+def covered_pixels(rows: DataFrame, rects: str, *keys: str) -> DataFrame:
+    """(keys, pixels): how many pixels lie in any rectangle of a row's array; without pixels there is no row. Keys name rows.
+
+    Between two edges along y a band has the same intervals of x throughout, so arrays' lengths alone decide the work, not the pixels.
+    """
+    edges = F.array_sort(F.array_distinct(F.flatten(F.transform(rects, lambda r: F.array(r["y0"], r["y1"])))))
+    bands = rows.select(*keys, rects, F.explode(F.arrays_zip(edges.alias("y0"), F.slice(edges, 2, 1 << 30).alias("y1"))).alias("_b"))
+    inside = F.filter(rects, lambda r: (r["y0"] <= F.col("_b.y0")) & (r["y1"] >= F.col("_b.y1")) & (r["x0"] < r["x1"]))
+    runs = F.array_sort(F.transform(inside, lambda r: F.struct(r["x0"].alias("x0"), r["x1"].alias("x1"))))
+    none = F.struct(F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    longer = lambda s, r: F.struct(F.greatest(s["end"], r["x1"]).alias("end"), (s["n"] + F.greatest(r["x1"] - F.greatest(r["x0"], s["end"]), F.lit(0))).cast("long").alias("n"))
+    wide = bands.where("_b.y1 IS NOT NULL").select(*keys, ((F.col("_b.y1") - F.col("_b.y0")) * F.aggregate(runs, none, longer)["n"]).alias("_n"))
+    return wide.groupBy(*keys).agg(F.sum("_n").alias("pixels")).where("pixels > 0")
+
+
 def effective_areas(areas: DataFrame, cuts: DataFrame, bucket: int) -> DataFrame:
     """Pieces of areas (rect_id, box) outside all cuts (box), as cutting one after the other leaves them; an area's cuts are folded in one row, so many of them need areas_less_cuts()."""
     met = overlap_join(areas, cuts.select(*BOX), bucket).groupBy("l_rect_id").agg(F.collect_set(F.struct(*[F.col(f"r_{c}").alias(c) for c in BOX])).alias("cuts"))

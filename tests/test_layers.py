@@ -382,3 +382,14 @@ def test_read_patches_makes_and_shuffles_no_whole_image(spark, tmp_path):
     spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r.py, r.px): (r.y, r.valid) for r in q.QUERIES["read_patches"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): (2.0, 2.0), (250_000, 250_000): (1.0, 1.0), (250_000, 249_999): (0.0, 1.0)}
+
+
+def test_covered_pixels_without_making_pixels(spark):
+    """Overlapping, touching, empty and repeated rectangles against a set of pixels, and areas of 10^12 pixels."""
+    rng = random.Random(5)
+    sets = [[(y, x, y + rng.randint(0, 5), x + rng.randint(-1, 5)) for y, x in ((rng.randint(0, 9), rng.randint(0, 9)) for _ in range(n))] for n in (0, 1, 2, 5, 12, 12)]
+    want = {k: len({(y, x) for a, b, c, d in boxes for y in range(a, c) for x in range(b, d)}) for k, boxes in enumerate(sets)}
+    sets.append([(0, 0, 1_000_000, 1_000_000), (500_000, 500_000, 1_500_000, 1_500_000), (0, 0, 1, 1)])
+    rows = spark.createDataFrame([(k, boxes) for k, boxes in enumerate(sets)], "mask long, areas array<struct<y0:bigint,x0:bigint,y1:bigint,x1:bigint>>")
+    got = {r.mask: r.pixels for r in review.covered_pixels(rows, "areas", "mask").collect()}
+    assert got == {k: n for k, n in want.items() if n} | {6: 1_750_000_000_000}
