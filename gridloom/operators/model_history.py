@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.catalog import comparison_key, file_status
+from gridloom.plans.shared import materialize
 
 #: Scores of a run, and words for what a configuration switches on. Fixed values.
 METRICS = ("dice", "iou", "precision", "recall", "loss")
@@ -131,10 +132,11 @@ def history_points(histories: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, round, series, epoch, axis, scope, patches, step, training_loss, scores) of histories (keys, round, h VARIANT).
 
     Points are the validated checkpoints of each round, as trial or full validation, and full evaluations made later. Only if none of a key's rounds
-    has any, the folds of its last round's cross-validation report give them.
+    has any, the folds of its last round's cross-validation report give them. The histories are made once and kept as a table, however often
+    they are read.
     """
     h = F.col("h")
-    base = histories.select(*keys, "round", "h", (words(h, "validation.evaluation.mode") == "trial").alias("_t")).withColumn("_trial", F.coalesce("_t", F.lit(False)))
+    base = materialize(histories.select(*keys, "round", "h"), "histories").select(*keys, "round", "h", (words(h, "validation.evaluation.mode") == "trial").alias("_t")).withColumn("_trial", F.coalesce("_t", F.lit(False)))
     p = F.col("p")
     scores = lambda v: [number(v, k).alias(k) for k in METRICS]
     name = F.concat(F.lit("Round "), F.col("round").cast("string"))
@@ -148,9 +150,9 @@ def history_points(histories: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "round", F.concat(name, F.lit(" · Full validation")).alias("series"), first_of(number(h, "retained_epoch"), F.lit(0.0)).alias("epoch"), F.lit("epoch").alias("axis"), F.lit("full").alias("scope"),
         whole(p, "patches").alias("patches"), words(p, "training_steps").alias("step"), F.lit(None).cast("double").alias("training_loss"), *scores(part(p, "metrics")),
     )
-    found = checkpoints.unionByName(later)
+    found = materialize(checkpoints.unionByName(later), "history-points")
     newest = base.groupBy(*keys).agg(F.max("round").alias("round"))
-    bare = base.join(newest, [*keys, "round"], "left_semi").join(found.select(*keys).distinct(), keys, "left_anti")
+    bare = base.where(part(h, "cross_validation_report").isNotNull()).join(newest, [*keys, "round"], "left_semi").join(found.select(*keys).distinct(), keys, "left_anti")
     folds = bare.select(*keys, "round", F.explode(part(h, "cross_validation_report.fold_results", "array<variant>")).alias("f"))
     rounds = folds.select(*keys, "round", words(F.col("f"), "fold").alias("fold"), F.explode(part(F.col("f"), "history", "array<variant>")).alias("r"))
     points = rounds.select("*", F.explode(part(F.col("r"), "checkpoints", "array<variant>")).alias("p")).where(filled(part(p, "validation")).isNotNull())

@@ -393,3 +393,23 @@ def test_covered_pixels_without_making_pixels(spark):
     rows = spark.createDataFrame([(k, boxes) for k, boxes in enumerate(sets)], "mask long, areas array<struct<y0:bigint,x0:bigint,y1:bigint,x1:bigint>>")
     got = {r.mask: r.pixels for r in review.covered_pixels(rows, "areas", "mask").collect()}
     assert got == {k: n for k, n in want.items() if n} | {6: 1_750_000_000_000}
+
+
+def test_histories_are_made_once(spark):
+    """Points of checkpoints, evaluations and folds come from one pass over what makes the histories."""
+    from gridloom.operators import model_history
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    point = {"epoch": 1, "validation": {"dice": 0.5}}
+    texts = [("a", 1, {"checkpoints": [point]}), ("b", 1, {"checkpoints": []}), ("b", 2, {"cross_validation_report": {"fold_results": [{"fold": 3, "history": [{"checkpoints": [point]}]}]}}), ("c", 1, {"evaluations": [{"metrics": {"dice": 0.25}}]})]
+    rows = spark.createDataFrame([(k, n, json.dumps(d)) for k, n, d in texts], "id string, round long, d string")
+    histories = rows.mapInArrow(seen, rows.schema).select("id", "round", F.parse_json("d").alias("h"))
+    found = {(r.id, r.series, r.dice) for r in model_history.history_points(histories, ["id"]).collect()}
+    assert found == {("a", "Round 1", 0.5), ("b", "Fold 3", 0.5), ("c", "Round 1 · Full validation", 0.25)}
+    assert made.value == len(texts)
