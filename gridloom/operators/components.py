@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.numbering import number_rows
 from gridloom.operators.graph import connected_components, roots
-from gridloom.plans.shared import few, materialize
+from gridloom.plans.shared import dealt, few, materialize
 
 #: Positions are y * STRIDE + x.
 STRIDE = 1 << 32
@@ -49,7 +49,8 @@ def label_tile(table: pa.Table) -> pa.Table:
 def label_pixels(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """(y, x, v, component): component is the smallest position in it."""
     tiles = mask.where("v <> 0").select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
-    tiles = tiles.groupBy(F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")).applyInArrow(label_tile, "y long, x long, v long, component long")
+    tiles = materialize(tiles.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)}), "component-mask")
+    tiles = dealt(tiles, "ty", "tx").groupBy("ty", "tx").applyInArrow(label_tile, "y long, x long, v long, component long")
     pixels = materialize(tiles, "component-tiles")
     seams = None
     for c, o in ("yx", "xy"):
@@ -115,9 +116,10 @@ def euler(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     number. A pixel goes to the tiles in which its four windows begin: to one, but for those on seams.
     """
     owners = F.array_distinct(F.array(*[F.struct(F.floor((F.col("y") - dy) / tile).alias("ty"), F.floor((F.col("x") - dx) / tile).alias("tx")) for dy in (0, 1) for dx in (0, 1)]))
-    dealt = pixels.select("y", "x", "component", F.explode(owners).alias("t")).select("t.ty", "t.tx", "y", "x", "component")
-    parts = dealt.groupBy("ty", "tx").applyInArrow(lambda table: euler_tile(table, tile), "component long, quarter long")
-    return parts.groupBy("component").agg((F.sum("quarter") / 4).cast("long").alias("euler"))
+    windows = pixels.select("y", "x", "component", F.explode(owners).alias("t")).select("t.ty", "t.tx", "y", "x", "component")
+    rows = pixels.count()
+    parts = dealt(windows, "ty", "tx", rows=rows).groupBy("ty", "tx").applyInArrow(lambda table: euler_tile(table, tile), "component long, quarter long")
+    return dealt(parts, "component", rows=rows).groupBy("component").agg((F.sum("quarter") / 4).cast("long").alias("euler"))
 
 
 def delete_components(pixels: DataFrame, ids: DataFrame) -> DataFrame:

@@ -330,3 +330,16 @@ def test_closure_of_many_boxes_reads_none_of_them(spark, monkeypatch):
     found = library.closure(boxes, spark.createDataFrame([(700, 700, 710, 710)], boxes.schema))
     assert sum(collect(r.limit(11)).__len__() > 10 for r in read) == 0
     assert tuple(collect(found)[0]) == (0, 0, 1402, 1402)
+
+
+def test_euler_numbers_in_as_many_tasks_as_pixels_need(spark, monkeypatch):
+    """No task of the last step gets more than its share of components, however many there are."""
+    from gridloom.plans import shared
+
+    i = F.col("id")
+    pixels = spark.range(4000).select((F.floor(i / 100) * 2).alias("y"), (i % 100 * 2).alias("x"), (F.floor(i / 100) * 2 * components.STRIDE + i % 100 * 2).alias("component"))
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    found = components.euler(pixels, 16)
+    parts = found.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(parts) == 40 and max(r["count"] for r in parts) < 200
+    assert {r.euler for r in found.select("euler").distinct().collect()} == {1} and found.count() == 4000
