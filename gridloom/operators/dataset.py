@@ -158,20 +158,20 @@ def _bins(n: int, out: int) -> np.ndarray:
 
 
 def area_resize(a: np.ndarray, side: int, f: np.ufunc) -> np.ndarray:
-    """Fewer pixels by a ufunc over each bin."""
-    for axis in (0, 1):
+    """Fewer pixels by a ufunc over each bin of the last two axes."""
+    for axis in (-2, -1):
         a = f.reduceat(a, _bins(a.shape[axis], side)[:-1], axis=axis)
     return a
 
 
 def nearest_resize(a: np.ndarray, side: int) -> np.ndarray:
-    """The pixel at the centre of each new one."""
-    at = [np.minimum(((np.arange(side) + 0.5) * n / side).astype(int), n - 1) for n in a.shape]
-    return a[np.ix_(*at)]
+    """The pixel at the centre of each new one, along the last two axes."""
+    y, x = (np.minimum(((np.arange(side) + 0.5) * n / side).astype(int), n - 1) for n in a.shape[-2:])
+    return a[..., y[:, None], x]
 
 
-def model_patch(image: np.ndarray, labels: np.ndarray, valid: np.ndarray, size: int, side: int, classes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, valid) of side x side pixels from a patch that may end before ``size``.
+def model_patches(image: np.ndarray, labels: np.ndarray, valid: np.ndarray, size: int, side: int, classes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, valid) of side x side pixels of each of some patches of one shape, that may end before ``size``.
 
     The image is normalised, its edge repeated, and averaged; unknown pixels and padding aren't valid, and a model pixel is
     valid if all of its pixels are. Binary targets keep their largest value, classes their centre's. Targets or supervision
@@ -179,9 +179,9 @@ def model_patch(image: np.ndarray, labels: np.ndarray, valid: np.ndarray, size:
     """
     if not np.isfinite(image).all():
         raise ValueError("the image holds pixels that aren't finite")
-    low, high = np.percentile(image, (1, 99))
-    pad = [(0, size - n) for n in image.shape]
-    x = np.pad(np.clip((image - low) / max(high - low, 1e-6), 0, 1), pad, mode="edge")
+    low, high = (a[:, None, None] for a in np.percentile(image.reshape(len(image), -1), (1, 99), axis=1))
+    pad = [(0, 0), *((0, size - n) for n in image.shape[1:])]
+    x = np.pad(np.clip((image - low) / np.maximum(high - low, 1e-6), 0, 1), pad, mode="edge")
     truth = np.where(valid, labels, 0)
     if classes is not None and ((truth < 0) | (truth > classes)).any():
         raise ValueError(f"labels must be 0 to {classes}")
@@ -197,22 +197,31 @@ def model_patch(image: np.ndarray, labels: np.ndarray, valid: np.ndarray, size:
     else:
         small = truth
     y = np.where(known, small, 0)
-    lost = set(np.unique(truth)) - set(np.unique(y)) - {0} if classes is not None else truth.any() and not y.any()
-    if lost or not known.any():
+    values = 2 if classes is None else classes + 1
+    held = lambda a: np.unique((np.arange(len(a))[:, None, None] * values + a)[a != 0])  # noqa: E731  a patch's own values
+    if not np.isin(held(truth), held(y)).all() or not known.any(axis=(1, 2)).all():
         raise ValueError("targets or reviewed pixels vanish at the model's size")
     return x.astype(np.float32), y.astype(np.float32), known.astype(np.float32)
 
 
+def model_patch(image: np.ndarray, labels: np.ndarray, valid: np.ndarray, size: int, side: int, classes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One of model_patches."""
+    x, y, known = model_patches(image[None], labels[None], valid[None], size, side, classes)
+    return x[0], y[0], known[0]
+
+
 def read_patches(pixels: DataFrame, mask: DataFrame, reviewed: DataFrame, indexed: DataFrame, size: int, side: int, classes: int | None = None) -> DataFrame:
     """(py, px, x, y, valid) as rows of float arrays of the indexed patches (py, px, box, reviewed_pixels, foreground_pixels).
 
-    A call holds TASK_SIDE x TASK_SIDE pixels of patches, one patch at least; pixels, labels and reviewed places meet there in one shuffle. A patch whose counts of reviewed pixels and foreground aren't those of the index any more fails the query.
+    A call holds TASK_SIDE x TASK_SIDE pixels of patches, one patch at least, and works on those of one shape at once; pixels, labels and reviewed places meet there in one shuffle. A patch whose counts of reviewed pixels and foreground aren't those of the index any more fails the query.
     """
     columns = ["py", "px", "y0", "x0", "y1", "x1", "reviewed_pixels", "foreground_pixels"]
     wanted = indexed.select(*columns)
     at = [F.col(c).cast("long").alias(c) for c in "yx"]
     rows_of = lambda df, kind, value=F.lit(0.0), v=F.lit(0): df.select(*at, value.cast("double").alias("value"), v.cast("long").alias("v"), F.lit(kind).alias("kind"))
     given = rows_of(pixels, 0, value=F.col("value")).unionByName(rows_of(mask.where("v <> 0"), 1, v=F.col("v"))).unionByName(rows_of(reviewed, 2))
+    schema = pa.schema([("py", pa.int64()), ("px", pa.int64()), *((c, pa.list_(pa.float32())) for c in ("x", "y", "valid"))])
+    most = max(1, TASK_SIDE * TASK_SIDE // max(size, side) ** 2)  # patches that are worked on at once
 
     def read(heads: pa.Table, table: pa.Table) -> pa.Table:
         head = {c: heads.column(c).to_numpy() for c in columns}
@@ -228,27 +237,39 @@ def read_patches(pixels: DataFrame, mask: DataFrame, reviewed: DataFrame, indexe
         keys, own = number(head["py"], head["px"]), number(py, px)
         row = np.searchsorted(keys, own)
         there = np.flatnonzero(np.append(keys, -1)[row] == own)
-        there = there[np.argsort(row[there], kind="stable")]
-        ends = np.searchsorted(row[there], np.arange(len(keys) + 1))
-        rows = []
-        for k, (a, b) in enumerate(zip(ends, ends[1:])):
-            one = {c: int(head[c][k]) for c in columns}
-            shape = one["y1"] - one["y0"], one["x1"] - one["x0"]
-            part = there[a:b]
-            y, x, kind = held["y"][part] - one["y0"], held["x"][part] - one["x0"], held["kind"][part]
-            image, labels, valid, seen = np.full(shape, np.nan), np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
-            pixel, inside = kind == 0, (y < shape[0]) & (x < shape[1])
-            if not pixel.any():
-                continue
-            image[y[pixel], x[pixel]], seen[y[pixel], x[pixel]] = held["value"][part][pixel], True
-            label, known = (kind == 1) & inside, (kind == 2) & inside
-            labels[y[label], x[label]], valid[y[known], x[known]] = held["v"][part][label], True
-            labels[~seen], valid[~seen] = 0, False
-            if valid.sum() != one["reviewed_pixels"] or (valid & (labels != 0)).sum() != one["foreground_pixels"]:
-                raise ValueError("annotations changed after indexing; prepare the dataset again")
-            rows.append((one["py"], one["px"], *(t.ravel() for t in model_patch(image, labels, valid, size, side, classes))))
-        kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.float32())] * 3]
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["py", "px", "x", "y", "valid"])
+        row, held = row[there], {c: a[there] for c, a in held.items()}
+        height, width = head["y1"] - head["y0"], head["x1"] - head["x0"]
+        y, x = held["y"] - head["y0"][row], held["x"] - head["x0"][row]
+        inside = (y >= 0) & (x >= 0) & (y < height[row]) & (x < width[row])
+        imaged = np.zeros(len(keys), bool)
+        imaged[row[inside & (held["kind"] == 0)]] = True
+        # patches with pixels in the order of their shapes, and the rows of each kind in that of their patches
+        chosen = np.flatnonzero(imaged)
+        chosen = chosen[np.lexsort((width[chosen], height[chosen]))]
+        rank = np.full(len(keys), -1)
+        rank[chosen] = np.arange(len(chosen))
+        of_kind = []
+        for kind in range(3):
+            rows = np.flatnonzero(inside & imaged[row] & (held["kind"] == kind))
+            rows = rows[np.argsort(rank[row[rows]], kind="stable")]
+            of_kind.append((rows, rank[row[rows]]))
+        one = {c: a[chosen] for c, a in head.items()} | {"h": height[chosen], "w": width[chosen]}
+        starts = np.flatnonzero(np.append(True, (np.diff(one["h"]) != 0) | (np.diff(one["w"]) != 0)))
+        found = []
+        for begin, end in zip(starts, [*starts[1:], len(chosen)]):
+            for a, b in ((k, min(k + most, end)) for k in range(begin, end, most)):
+                shape = int(b - a), int(one["h"][a]), int(one["w"][a])
+                image, labels, valid, seen = np.full(shape, np.nan), np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
+                (pixel, to_pixel), (label, to_label), (known, to_known) = ((k := rows[slice(*np.searchsorted(of, (a, b)))], (rank[row[k]] - a, y[k], x[k])) for rows, of in of_kind)
+                image[to_pixel], seen[to_pixel] = held["value"][pixel], True
+                labels[to_label], valid[to_known] = held["v"][label], True
+                labels[~seen], valid[~seen] = 0, False
+                if (valid.sum((1, 2)) != one["reviewed_pixels"][a:b]).any() or ((valid & (labels != 0)).sum((1, 2)) != one["foreground_pixels"][a:b]).any():
+                    raise ValueError("annotations changed after indexing; prepare the dataset again")
+                ends = pa.array(np.arange(b - a + 1) * side * side, pa.int32())
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(t.ravel())) for t in model_patches(image, labels, valid, size, side, classes)]
+                found.append(pa.table([pa.array(one["py"][a:b], pa.int64()), pa.array(one["px"][a:b], pa.int64()), *arrays], schema=schema))
+        return pa.concat_tables(found) if found else schema.empty_table()
 
     together = max(1, TASK_SIDE // size)  # small patches share a task's call
     group = lambda c, n: F.floor(F.floor(F.col(c) / n) / together).cast("long")

@@ -384,6 +384,41 @@ def test_read_patches_makes_and_shuffles_no_whole_image(spark, tmp_path):
     assert got == {(0, 0): (2.0, 2.0), (250_000, 250_000): (1.0, 1.0), (250_000, 249_999): (0.0, 1.0)}
 
 
+def test_patches_of_one_shape_are_read_at_once(spark, tmp_path, monkeypatch):
+    """Patches read in calls and batches of any size are those of model_patch one by one; pixels beyond the boxes don't count."""
+    rng = np.random.default_rng(4)
+    h, w = 11, 14
+    image, labels, valid = rng.random((h, w)), rng.integers(0, 4, (h, w)), rng.random((h, w)) < 0.8
+    cells = [(y, x, float(image[y, x]), int(labels[y, x]), bool(valid[y, x])) for y in range(h) for x in range(w)]
+    table = spark.createDataFrame(cells + [(11, 3, 5.0, 1, True), (2, 14, 5.0, 1, True)], "y long, x long, value double, v long, valid boolean")
+    mask, known = table.select("y", "x", "v"), table.where("valid").select("y", "x")
+    boxes = [(y // 4, x // 4, y, x, min(y + 4, h), min(x + 4, w)) for y in range(0, h, 4) for x in range(0, w, 4)]
+    parts = {b[:2]: np.s_[b[2] : b[4], b[3] : b[5]] for b in boxes}
+    index = spark.createDataFrame([(*b, int(valid[parts[b[:2]]].sum()), int((valid & (labels != 0))[parts[b[:2]]].sum())) for b in boxes], "py long, px long, y0 long, x0 long, y1 long, x1 long, reviewed_pixels long, foreground_pixels long")
+    for task_side, side, classes in ((512, 4, None), (8, 4, 3), (8, 8, None), (1, 8, 3)):
+        monkeypatch.setattr(dataset, "TASK_SIDE", task_side)
+        got = {(r.py, r.px): (r.x, r.y, r.valid) for r in dataset.read_patches(table, mask, known, index, 4, side, classes).collect()}
+        want = {k: dataset.model_patch(image[p], labels[p], valid[p], 4, side, classes) for k, p in parts.items()}
+        assert got.keys() == want.keys() and all(np.array_equal(np.concatenate(got[k]), np.concatenate([a.ravel() for a in want[k]])) for k in want)
+    # the query deals its lines once; they aren't read again for labels and reviewed places
+    from gridloom.plans.more_queries import q
+
+    spark.createDataFrame([(p, s, "A", "F") for p, s in ((3, 1), (25, 2))], "l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    read = q.QUERIES["read_patches"](spark, str(tmp_path))
+    assert not any("lineitem" in f for f in read.inputFiles()) and read.count() == 1
+
+
+def test_one_bad_patch_among_many_is_an_error():
+    image, labels, valid = np.arange(48.0).reshape(3, 4, 4), np.zeros((3, 4, 4), int), np.ones((3, 4, 4), bool)
+    labels[0, 0, 0] = labels[1, 1, 1] = 2
+    assert dataset.model_patches(image, labels, valid, 4, 2)[1].sum((1, 2)).tolist() == [1, 1, 0]
+    with pytest.raises(ValueError, match="vanish"):
+        dataset.model_patches(image, labels, valid, 4, 2, classes=2)  # the first one's only target; the second's is kept
+    dataset.model_patches(image[1:], labels[1:], valid[1:], 4, 2, classes=2)
+    with pytest.raises(ValueError, match="vanish"):
+        dataset.model_patches(image, labels, valid & (np.arange(3) != 2)[:, None, None], 4, 4)
+
+
 def test_covered_pixels_without_making_pixels(spark):
     """Overlapping, touching, empty and repeated rectangles against a set of pixels, and areas of 10^12 pixels."""
     rng = random.Random(5)
